@@ -47,12 +47,12 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[str]]]:
     """(offset, texts) in runs of bounded bytes; null becomes the empty text."""
     at, size, run = 0, 0, []
     for i, text in enumerate(texts):
         value = text.as_py() or ""
-        if run and size + len(value) > SLICE_BYTES:
+        if run and size + len(value) > limit:
             yield at, run
             at, size, run = i, 0, []
         run.append(value)

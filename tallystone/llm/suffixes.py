@@ -9,18 +9,22 @@ sorted, and all of them are:
    alone, so equal windows in two documents have equal anchors. Anchors whose
    seed's hash occurs once in the corpus are dropped: counts of hashes are
    exchanged, no text.
-2. Suffixes. Each remaining anchor starts a suffix; it is sent with the bytes
-   that any of its windows can hold, to a range of leading bytes given by sampled
-   splitters. Equal seeds never straddle two ranges; ranges of one repeated
-   leading word are spread by the seed's hash. Suffixes of the same task with the same
-   bytes are sent once, with their smallest id. Seeds with HOT occurrences or
-   more are sent window by window, spread by the window's hash, so copies meet as
-   one row a task whatever surrounds them.
-3. Sorting. Each range sorts its suffixes by multikey quicksort, word after word
+2. Contexts. A remaining anchor's context is the bytes that any of its windows
+   can hold. Hashes of contexts are exchanged by seed, once for each task that has
+   them, with their smallest id. Where all of a seed's contexts are equal, the
+   smallest id decides and no text is needed. Seeds with HOT occurrences or more
+   have every window as a context of its own, spread by the window's hash, so
+   copies meet as one row a task whatever surrounds them.
+3. Suffixes. Each distinct context of the other seeds is sent once, by the task
+   that has its smallest id: the suffix at the anchor and the bytes before it.
+   Suffixes go to ranges of leading bytes given by sampled splitters. Equal seeds
+   never straddle two ranges; ranges of one repeated leading word are spread by
+   the seed's hash, so no comparison crosses a boundary.
+4. Sorting. Each range sorts its suffixes by multikey quicksort, word after word
    among equal ones only, and likewise the reversed bytes before the anchors.
    Common prefixes of neighbours give classes of equal right and left bytes; a
    window's class is a pair of them, and the class's smallest id decides.
-4. Removal. Tasks read the verdicts on their own suffixes and cut the bytes.
+5. Removal. Tasks read the verdicts on their own contexts and cut the bytes.
 
 Documents are saved with the number of the task that wrote them; candidates and
 verdicts are saved as one folder for each such task, from which the next pass
@@ -52,6 +56,7 @@ REACH = LENGTH - SEED  # bytes a window may hold before or after its anchor's se
 CONTEXT = LENGTH + REACH
 HOT = 4096
 FLUSH = 200_000
+SLICE = 2 << 20  # text bytes handled at once
 SPLITTER_SAMPLE = 60_000
 #: Text bytes for each range and each exchange bucket.
 RANGE_BYTES = 16 << 20
@@ -67,14 +72,13 @@ def _mix(h: np.ndarray) -> np.ndarray:
 def seed_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the SEED bytes from each position, by doubling a polynomial."""
     base = 0x9E3779B97F4A7C15
-    h, power, parts = data.astype(U) + U(1), base, {}
-    width = 1
+    h, power, width = data.astype(U) + U(1), base, 1
+    rest, tail, p = SEED - (1 << SEED.bit_length() - 1), None, 0
     while width * 2 <= SEED:
         h = h[:-width] * U(power) + h[width:]
         power, width = power * power & (2**64 - 1), width * 2
-        parts[width] = (h, power)
-    rest = SEED - width
-    tail, p = parts[rest]
+        if width == rest:
+            tail, p = h, power
     n = len(data) - SEED + 1
     return _mix(h[:n] * U(p) + tail[width : width + n])
 
@@ -114,19 +118,18 @@ def anchors(data: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def contexts(data: np.ndarray, at: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """The CONTEXT bytes around each anchor, zero where no window of the mask reaches."""
     padded = np.concatenate([np.zeros(REACH, np.uint8), data, np.zeros(LENGTH, np.uint8)])
-    out = padded[at[:, None] + np.arange(CONTEXT)]
-    bits = (mask[:, None] >> np.arange(REACH + 1, dtype=np.uint32)) & 1 > 0
-    left = np.where(bits, np.arange(REACH + 1), -1).max(1)
-    right = LENGTH - np.where(bits, np.arange(REACH + 1), 99).min(1)
-    column = np.arange(CONTEXT) - REACH
-    out[(column < -left[:, None]) | (column >= right[:, None])] = 0
+    out = np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)[at]
+    left = np.frexp(mask.astype(np.float64))[1] - 1  # the highest and the lowest bit
+    right = LENGTH + 1 - np.frexp((mask & (~mask + np.uint32(1))).astype(np.float64))[1]
+    column = np.arange(-REACH, LENGTH, dtype=np.int8)
+    out[(column < -left[:, None].astype(np.int8)) | (column >= right[:, None].astype(np.int8))] = 0
     return out
 
 
-def context_hashes(context: np.ndarray, mask: np.ndarray) -> np.ndarray:
+def context_hashes(context: np.ndarray, mask: np.ndarray, salt: int = 0) -> np.ndarray:
     wide = np.zeros((len(context), CONTEXT + (-CONTEXT % 8)), np.uint8)
     wide[:, :CONTEXT] = context
-    h = _mix(mask.astype(U) + U(0x51ED270B))
+    h = _mix(mask.astype(U) + U(0x51ED270B + salt))
     for word in wide.view(U).T:
         h = (h ^ _mix(word + U(0x2545F491))) * U(0x9FB21C651E98DF25)
         h ^= h >> U(31)
@@ -234,7 +237,7 @@ def _by_task(batches, columns: list[str]) -> Iterator[tuple[int, list, list[str]
             if a == b:
                 continue
             part = batch.slice(a, b - a)
-            for at, texts in slices(part.column(columns[1])):
+            for at, texts in slices(part.column(columns[1]), SLICE):
                 ids = part.column(columns[0]).slice(at, len(texts))
                 ids = np.array([NO_ID if x is None else x for x in ids.to_pylist()], np.int64)
                 yield int(numbers[a]), ids, texts, part.slice(at, len(texts)), (at, len(texts))
@@ -266,18 +269,16 @@ def candidates(documents: DataFrame, doc_id: str, text: str, buckets: int, keep:
         def out(t: int, parts: list[np.ndarray], leads: list[np.ndarray]):
             h, n = np.unique(np.concatenate(parts) >> U(8), return_counts=True)
             packed = h << U(8) | np.minimum(n, 255).astype(U)
-            where = (h % U(buckets)).astype(np.int64)
-            order = np.argsort(where, kind="stable")
-            edge = np.searchsorted(where[order], np.arange(buckets + 1))
-            rows = [(b, packed[order[edge[b] : edge[b + 1]]].tobytes()) for b in np.flatnonzero(np.diff(edge)).tolist()]
+            rows = _rows_for(t, (h % U(buckets)).astype(np.int64), packed, buckets, "bucket")
+            yield rows
             sample = np.concatenate(leads)
-            rows += [(-1, sample.tobytes())] if len(sample) else []
-            return pa.RecordBatch.from_arrays([pa.array([t] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["__t", "bucket", "blob"])
+            if len(sample):
+                yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([-1], pa.int32()), pa.array([sample.tobytes()], pa.binary())], rows.schema.names)
 
         now, parts, leads, held = None, [], [], 0
         for t, _, texts, _, _ in _by_task(batches, [doc_id, text]):
-            if parts and (t != now or held > 8_000_000):
-                yield out(now, parts, leads)
+            if parts and (t != now or held > 3_000_000):
+                yield from out(now, parts, leads)
                 parts, leads, held = [], [], 0
             now = t
             data, stops = _laid(texts)
@@ -287,32 +288,21 @@ def candidates(documents: DataFrame, doc_id: str, text: str, buckets: int, keep:
             leads.append(np.ascontiguousarray(data[some[:, None] + np.arange(8)]).view(">u8").astype(U).ravel() if len(some) else np.zeros(0, U))
             held += len(h)
         if parts:
-            yield out(now, parts, leads)
+            yield from out(now, parts, leads)
 
     counts = saved(documents.select("__t", doc_id, text).mapInArrow(counted, "__t int, bucket int, blob binary"), "seed-counts")
     sample = np.sort(np.frombuffer(b"".join(r[0] for r in counts.where("bucket = -1").select("blob").collect()), U))
 
     def repeated(batches):
-        ts, blobs = [], []
-        for batch in batches:
-            ts += batch.column("__t").to_pylist()
-            blobs += [np.frombuffer(b, U) for b in batch.column("blob").to_pylist()]
-        if not ts:
-            return
-        packed, t = np.concatenate(blobs), np.repeat(np.array(ts, np.int32), [len(b) for b in blobs])
+        packed, t = _gathered(batches, np.dtype(U))
         order = np.argsort(packed, kind="stable")
         packed, t = packed[order], t[order]
         h = packed >> U(8)
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        total = np.add.reduceat((packed & U(255)).astype(np.int64), first)
+        total = np.add.reduceat((packed & U(255)).astype(np.int64), first) if len(h) else first
         total = np.repeat(total, np.diff(np.append(first, len(h))))
         kept = total > 1
-        entry = (h[kept] << U(8)) | (total[kept] >= HOT).astype(U)
-        order = np.argsort(t[kept], kind="stable")
-        entry, t = entry[order], t[kept][order]
-        edge = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1], [True]])) if len(t) else np.zeros(1, np.int64)
-        rows = [(int(t[a]), entry[a:b].tobytes()) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["__t", "blob"])
+        yield _replies(t[kept], (h[kept] << U(8)) | (total[kept] >= HOT).astype(U))
 
     found = counts.where("bucket >= 0").repartition(buckets, "bucket").mapInArrow(repeated, "__t int, blob binary")
     return _by_folder(found, buckets, "seed-candidates"), sample.tolist()
@@ -324,83 +314,178 @@ def _by_folder(rows: DataFrame, tasks: int, name: str) -> str:
     return path
 
 
-def _suffixes_of(data, at, h, row, mask, ids, known: _Candidates):
-    """Contexts, masks, ids, anchor numbers and spread hash of candidate anchors; hot ones by window."""
+def _contexts_of(data, at, h, row, mask, ids, known: _Candidates):
+    """Contexts of candidate anchors: bytes, masks, ids, anchor numbers, groups and keys.
+
+    A group is the seed's hash; for hot seeds, whose windows stand apart, the window's.
+    """
     hit, hot = known.find(h)
     ctx = contexts(data, at[hit], mask[hit])
     plain, warm = np.flatnonzero(~hot), np.flatnonzero(hot)
     part, apart, single = windows_apart(ctx[warm], mask[hit[warm]])
     number = np.concatenate([hit[plain], hit[warm[part]]])
     context, masks = np.concatenate([ctx[plain], apart]), np.concatenate([mask[hit[plain]], single])
-    key = context_hashes(context, masks)
-    is_hot = np.arange(len(number)) >= len(plain)
-    return context, masks, ids[row[number]], number, key, np.where(is_hot, key, _mix(h[number])), is_hot
+    group = np.concatenate([h[hit[plain]], context_hashes(apart, single, 1)])
+    return context, masks, ids[row[number]], number, group, context_hashes(context, masks)
+
+
+def _anchor_slices(batches, doc_id: str, text: str, folders: list[_Folder], read):
+    """(task, what ``read`` made of its blobs, data, stops, part, contexts) for runs of at most 50,000 anchors."""
+    now, of = None, None
+    for t, ids, texts, part, _ in _by_task(batches, [doc_id, text]):
+        if t != now:
+            now, of = t, read(*[f.blobs(t) for f in folders])
+        data, stops = _laid(texts)
+        at, h, row, mask = anchors(data, stops)
+        pieces = [slice(a, a + 50_000) for a in range(0, max(1, len(at)), 50_000)]
+        yield t, of, data, stops, part, ((at[p], _contexts_of(data, at[p], h[p], row[p], mask[p], ids, of[0])) for p in pieces)
+
+
+def _rows_for(t: int, where: np.ndarray, rec: np.ndarray, parts: int, name: str) -> pa.RecordBatch:
+    """Records packed as one row for each part."""
+    order = np.argsort(where, kind="stable")
+    edge = np.searchsorted(where[order], np.arange(parts + 1))
+    rows = [(b, rec[order[edge[b] : edge[b + 1]]].tobytes()) for b in np.flatnonzero(np.diff(edge)).tolist()]
+    return pa.RecordBatch.from_arrays([pa.array([t] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["__t", name, "blob"])
+
+
+def _gathered(batches, record: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All records of a partition and their tasks' numbers."""
+    ts, blobs = [np.zeros(0, np.int32)], [np.zeros(0, record)]
+    for batch in batches:
+        for t, b in zip(batch.column("__t").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+            blobs.append(np.frombuffer(b, record))
+            ts.append(np.full(len(blobs[-1]), t, np.int32))
+    return np.concatenate(blobs), np.concatenate(ts)
+
+
+def _replies(t: np.ndarray, reply: np.ndarray) -> pa.RecordBatch:
+    """Answers packed as one row for each task."""
+    order = np.argsort(t, kind="stable")
+    t, reply = t[order], reply[order]
+    edge = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1], [True]])) if len(t) else np.zeros(1, np.int64)
+    rows = [(int(t[a]), reply[a:b].tobytes()) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["__t", "blob"])
+
 
+#: What tasks say of a context: group, key, smallest id, whether the task has others.
+SAID = np.dtype([("g", "<u8"), ("k", "<u8"), ("i", "<i8"), ("s", "u1")])
+#: What they are told: key, smallest id of all, whether to send the context's bytes.
+TOLD = np.dtype([("k", "<u8"), ("i", "<i8"), ("b", "u1")])
+#: A suffix with the bytes before it, and the verdict on it.
+SENT = np.dtype([("c", np.uint8, CONTEXT), ("m", "<u4"), ("i", "<i8"), ("k", "<u8")])
+JUDGED = np.dtype([("k", "<u8"), ("i", "<i8"), ("m", "<u4")])
+
+
+def known_contexts(documents: DataFrame, doc_id: str, text: str, seeds: str, buckets: int) -> str:
+    """Path of what each task is told of its contexts, after an exchange of their hashes."""
+
+    def said(batches):
+        now, parts, held = None, [], 0
+
+        def out(t: int):
+            group, key, ids = (np.concatenate(p) for p in zip(*parts, strict=True))
+            pick, shared = _first_rows(key, ids)
+            rec = np.zeros(len(pick), SAID)
+            rec["g"], rec["k"], rec["i"], rec["s"] = group[pick], key[pick], ids[pick], shared
+            return _rows_for(t, (group[pick] % U(buckets)).astype(np.int64), rec, buckets, "bucket")
+
+        for t, _, _, _, _, pieces in _anchor_slices(batches, doc_id, text, [_Folder(seeds)], lambda blobs: (_Candidates(blobs),)):
+            if parts and t != now:
+                yield out(now)
+                parts, held = [], 0
+            now = t
+            for _, (_, _, ids, _, group, key) in pieces:
+                parts.append((group, key, ids))
+                held += len(key)
+                if held > 5 * FLUSH:
+                    yield out(now)
+                    parts, held = [], 0
+        if parts:
+            yield out(now)
+
+    def judged(batches):
+        rec, t = _gathered(batches, SAID)
+        order = np.lexsort((t, rec["i"], rec["k"], rec["g"]))
+        rec, t = rec[order], t[order]
+        if not len(rec):
+            return
+        new_group = np.concatenate([[True], rec["g"][1:] != rec["g"][:-1]])
+        new_key = new_group | np.concatenate([[True], rec["k"][1:] != rec["k"][:-1]])
+        first = np.flatnonzero(new_key)
+        least = np.repeat(rec["i"][first], np.diff(np.append(first, len(rec))))
+        heads = np.flatnonzero(new_group)
+        several = np.repeat(np.add.reduceat(new_key, heads, dtype=np.int64) > 1, np.diff(np.append(heads, len(rec))))
+        asked = several & (least == rec["i"])  # one task, or those with rows of the same id
+        told = np.flatnonzero(asked | (rec["s"] > 0) | (least < rec["i"]))
+        reply = np.zeros(len(told), TOLD)
+        reply["k"], reply["i"], reply["b"] = rec["k"][told], least[told], asked[told]
+        yield _replies(t[told], reply)
 
-def verdicts(documents: DataFrame, doc_id: str, text: str, seeds: str, splitters: list[int], ranges: int) -> str:
-    """Path of the verdicts by task: (hash of the suffix, smallest id, mask) packed in 20 bytes."""
+    found = documents.select("__t", doc_id, text).mapInArrow(said, "__t int, bucket int, blob binary")
+    return _by_folder(found.repartition(buckets, "bucket").mapInArrow(judged, "__t int, blob binary"), buckets, "known-contexts")
+
+
+class _Told:
+    """What one task is told of its contexts."""
+
+    def __init__(self, blobs: list[bytes]):
+        rows = np.frombuffer(b"".join(blobs), TOLD)
+        rows = rows[np.lexsort((1 - rows["b"].astype(np.int8), rows["i"], rows["k"]))]
+        first = np.concatenate([[True], rows["k"][1:] != rows["k"][:-1]]) if len(rows) else np.zeros(0, bool)
+        self.rows = rows[first]
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the keys that something is told of, and the rows."""
+        if not len(self.rows):
+            return np.zeros(0, np.int64), self.rows
+        place = np.minimum(np.searchsorted(self.rows["k"], key), len(self.rows) - 1)
+        hit = np.flatnonzero(self.rows["k"][place] == key)
+        return hit, self.rows[place[hit]]
+
+
+def verdicts(documents: DataFrame, doc_id: str, text: str, seeds: str, known: str, splitters: list[int], ranges: int) -> str:
+    """Path of the verdicts on the suffixes that each task was asked for."""
     cuts = np.array(splitters, U)
-    record = np.dtype([("c", np.uint8, CONTEXT), ("m", "<u4"), ("i", "<i8"), ("k", "<u8"), ("s", "u1")])
-    answer = np.dtype([("k", "<u8"), ("i", "<i8"), ("m", "<u4")])
 
-    def range_of(context: np.ndarray, spread: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    def range_of(context: np.ndarray, group: np.ndarray) -> np.ndarray:
         lead = np.ascontiguousarray(context[:, REACH : REACH + 8]).view(">u8").astype(U).ravel()
         low, high = np.searchsorted(cuts, lead, "left"), np.searchsorted(cuts, lead, "right")
-        place = low + (spread % (high - low + 1).astype(U)).astype(np.int64)
-        return np.where(hot, (spread % U(ranges)).astype(np.int64), place)
+        return low + (_mix(group) % (high - low + 1).astype(U)).astype(np.int64)
 
     def sent(batches):
-        folder = _Folder(seeds)
-
-        def out(t: int, parts: list[tuple]):
-            context, mask, ids, key, spread, hot = (np.concatenate(p) for p in zip(*parts, strict=True))
-            pick, shared = _first_rows(key, ids)
-            rec = np.zeros(len(pick), record)
-            rec["c"], rec["m"], rec["i"], rec["k"], rec["s"] = context[pick], mask[pick], ids[pick], key[pick], shared
-            where = range_of(context[pick], spread[pick], hot[pick])
-            order = np.argsort(where, kind="stable")
-            edge = np.searchsorted(where[order], np.arange(ranges + 1))
-            rows = [(b, rec[order[edge[b] : edge[b + 1]]].tobytes()) for b in np.flatnonzero(np.diff(edge)).tolist()]
-            return pa.RecordBatch.from_arrays([pa.array([t] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["__t", "range", "blob"])
-
-        now, known, parts, held = None, None, [], 0
-        for t, ids, texts, _, _ in _by_task(batches, [doc_id, text]):
-            if t != now or held > FLUSH:
-                if parts:
-                    yield out(now, parts)
+        now, parts, held = None, [], 0
+
+        def out(t: int):
+            context, mask, ids, key, group = (np.concatenate(p) for p in zip(*parts, strict=True))
+            pick, _ = _first_rows(key, ids)
+            rec = np.zeros(len(pick), SENT)
+            rec["c"], rec["m"], rec["i"], rec["k"] = context[pick], mask[pick], ids[pick], key[pick]
+            return _rows_for(t, range_of(context[pick], group[pick]), rec, ranges, "range")
+
+        for t, (_, told), _, _, _, pieces in _anchor_slices(batches, doc_id, text, [_Folder(seeds), _Folder(known)], lambda a, b: (_Candidates(a), _Told(b))):
+            if parts and t != now:
+                yield out(now)
                 parts, held = [], 0
-            if t != now:
-                now, known = t, _Candidates(folder.blobs(t))
-            data, stops = _laid(texts)
-            at, h, row, mask = anchors(data, stops)
-            for a in range(0, len(at), 50_000):  # bounds the contexts held at once
-                context, masks, own, _, key, spread, hot = _suffixes_of(data, at[a : a + 50_000], h[a : a + 50_000], row[a : a + 50_000], mask[a : a + 50_000], ids, known)
-                if len(key):
-                    parts.append((context, masks, own, key, spread, hot))
-                    held += len(key)
+            now = t
+            for _, (context, masks, ids, _, group, key) in pieces:
+                hit, row = told.find(key)
+                hit = hit[(row["b"] > 0) & (row["i"] == ids[hit])]
+                parts.append((context[hit], masks[hit], ids[hit], key[hit], group[hit]))
+                held += len(hit)
                 if held > FLUSH:
-                    yield out(now, parts)
+                    yield out(now)
                     parts, held = [], 0
         if parts:
-            yield out(now, parts)
+            yield out(now)
 
     def judged(batches):
-        ts, blobs = [], []
-        for batch in batches:
-            ts += batch.column("__t").to_pylist()
-            blobs += [np.frombuffer(b, record) for b in batch.column("blob").to_pylist()]
-        if not ts:
-            return
-        rec, t = np.concatenate(blobs), np.repeat(np.array(ts, np.int32), [len(b) for b in blobs])
+        rec, t = _gathered(batches, SENT)
         hit = smaller_elsewhere(rec["c"], rec["m"], rec["i"])
-        told = np.flatnonzero((hit > 0) | (rec["s"] > 0))
-        told = told[np.argsort(t[told], kind="stable")]
-        reply = np.zeros(len(told), answer)
+        told = np.flatnonzero(hit)
+        reply = np.zeros(len(told), JUDGED)
         reply["k"], reply["i"], reply["m"] = rec["k"][told], rec["i"][told], hit[told]
-        of = t[told]
-        edge = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]])) if len(of) else np.zeros(1, np.int64)
-        rows = [(int(of[a]), reply[a:b].tobytes()) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["__t", "blob"])
+        yield _replies(t[told], reply)
 
     suffixes = documents.select("__t", doc_id, text).mapInArrow(sent, "__t int, range int, blob binary")
     found = suffixes.repartition(ranges, "range").mapInArrow(judged, "__t int, blob binary")
@@ -408,24 +493,24 @@ def verdicts(documents: DataFrame, doc_id: str, text: str, seeds: str, splitters
 
 
 class _Verdicts:
-    def __init__(self, blobs: list[bytes]):
-        answer = np.dtype([("k", "<u8"), ("i", "<i8"), ("m", "<u4")])
-        rows = np.frombuffer(b"".join(blobs), answer)
-        rows = rows[np.lexsort((rows["i"], rows["k"]))]
-        first = np.concatenate([[True], rows["k"][1:] != rows["k"][:-1]]) if len(rows) else np.zeros(0, bool)
-        self.rows = rows[first]
+    """Which windows of a task's contexts go."""
 
-    def removed(self, key: np.ndarray, ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """Masks of windows to remove: all for ids above the smallest that was judged, those judged for it.
+    def __init__(self, told: _Told, blobs: list[bytes]):
+        rows = np.frombuffer(b"".join(blobs), JUDGED)
+        self.told, self.rows = told, rows[np.argsort(rows["k"], kind="stable")]
 
-        A smaller id than that sent its suffix in another piece, for which nothing was to be told.
-        """
-        if not len(self.rows):
-            return np.zeros(len(key), np.uint32)
-        place = np.minimum(np.searchsorted(self.rows["k"], key), len(self.rows) - 1)
-        found, row = self.rows["k"][place] == key, self.rows[place]
-        judged = np.where(ids > row["i"], mask, np.where(ids == row["i"], row["m"] & mask, 0))
-        return np.where(found, judged, 0).astype(np.uint32)
+    def removed(self, key: np.ndarray, ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """All windows for ids above the context's smallest, for that one those judged."""
+        out = np.zeros(len(key), np.uint32)
+        hit, row = self.told.find(key)
+        above = hit[ids[hit] > row["i"]]
+        out[above] = mask[above]
+        if len(self.rows):
+            place = np.minimum(np.searchsorted(self.rows["k"], key), len(self.rows) - 1)
+            row = self.rows[place]
+            own = np.flatnonzero((row["k"] == key) & (row["i"] == ids))
+            out[own] |= row["m"][own] & mask[own]
+        return out
 
 
 def with_cuts(documents: DataFrame, fields: list[tuple[str, T.DataType, pa.DataType]], make, doc_id: str = "doc_id", text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
@@ -442,23 +527,19 @@ def with_cuts(documents: DataFrame, fields: list[tuple[str, T.DataType, pa.DataT
     # About one anchor for every fourteen bytes.
     seeds, sample = candidates(base, doc_id, text, ranges, max(1, size // 14 // SPLITTER_SAMPLE))
     cuts = [sample[len(sample) * i // ranges] for i in range(1, ranges)] if sample else []
-    answers = verdicts(base, doc_id, text, seeds, cuts, ranges)
+    told = known_contexts(base, doc_id, text, seeds, ranges)
+    answers = verdicts(base, doc_id, text, seeds, told, cuts, ranges)
     schema = T.StructType([*[base.schema[c] for c in kept], *[T.StructField(n, k) for n, k, _ in fields]])
 
     def cut(batches):
-        seed_folder, folder, now, known, told = _Folder(seeds), _Folder(answers), None, None, None
-        for t, ids, texts, part, _ in _by_task(batches, [doc_id, text]):
-            if t != now:
-                now, known, told = t, _Candidates(seed_folder.blobs(t)), _Verdicts(folder.blobs(t))
-            data, stops = _laid(texts)
-            at, h, row, mask = anchors(data, stops)
+        folders = [_Folder(seeds), _Folder(told), _Folder(answers)]
+        for _, (_, judged), data, stops, part, pieces in _anchor_slices(batches, doc_id, text, folders, lambda a, b, c: (_Candidates(a), _Verdicts(_Told(b), c))):
             change = np.zeros(len(data) + 1, np.int32)
-            for a in range(0, len(at), 50_000):
-                piece = slice(a, a + 50_000)
-                _, masks, own, number, key, _, _ = _suffixes_of(data, at[piece], h[piece], row[piece], mask[piece], ids, known)
-                gone = told.removed(key, own, masks)
-                which, offset = np.nonzero((gone[:, None] >> np.arange(REACH + 1, dtype=np.uint32)) & 1)
-                start = at[piece][number[which]] - offset
+            for at, (_, masks, ids, number, _, key) in pieces:
+                gone = judged.removed(key, ids, masks)
+                some = np.flatnonzero(gone)
+                which, offset = np.nonzero((gone[some, None] >> np.arange(REACH + 1, dtype=np.uint32)) & 1)
+                start = at[number[some[which]]] - offset
                 np.add.at(change, start, 1)
                 np.add.at(change, start + LENGTH, -1)
             keep = np.cumsum(change[:-1]) == 0
