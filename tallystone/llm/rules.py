@@ -120,13 +120,15 @@ def _limits(rows: DataFrame) -> dict[str, list[float]]:
     return {f: sorted(v) for f, v in out.items()}
 
 
+def _below(limits: list[float], value: Column) -> Column:
+    return F.size(F.filter(F.lit(limits), lambda x: x < value))
+
+
 def _bins(limits: dict[str, list[float]]) -> Column:
     """(feature, bin) of a row for each feature: the number of thresholds below its value."""
     parts = []
     for i, (f, e) in enumerate(FEATURES.items()):
-        value = F.expr(e)
-        place = F.size(F.filter(F.lit(limits[f] or [0.0]), lambda x, v=value: x < v))
-        parts.append(F.struct(F.lit(i).alias("f"), place.alias("b")))
+        parts.append(F.struct(F.lit(i).alias("f"), _below(limits[f] or [0.0], F.expr(e)).alias("b")))
     return F.array(*parts)
 
 
