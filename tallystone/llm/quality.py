@@ -26,6 +26,7 @@ from tallystone.llm.common import held_out, labelled_sample, with_arrow, without
 
 WIDTH, STRIDE, CHUNK, FILTERS = 8, 4, 256, 16
 HALF = CHUNK // 2
+GUARD = 32  # zero bytes between texts: more than an echo's reach of 24 + 5 and a filter's of 8
 #: Bound of the fitted sample: rows of each label, and characters of a row.
 PER_CLASS, MAX_CHARS = 1200, 12_000
 THRESHOLD = 0.3
@@ -42,7 +43,8 @@ def class_table() -> np.ndarray:
 
 
 def echo(data: np.ndarray) -> np.ndarray:
-    """1 where a stretch of six bytes or more repeats the bytes 2 to 24 before."""
+    """1 where a stretch of six bytes or more repeats the bytes 2 to 24 before; zero bytes repeat nothing."""
+    data = np.concatenate([np.zeros(GUARD, np.uint8), data])
     out = np.zeros(len(data), bool)
     for lag in range(2, 25):
         same = data[lag:] == data[:-lag]
@@ -52,17 +54,20 @@ def echo(data: np.ndarray) -> np.ndarray:
         four = two[2:] & two[:-2]
         six = four[2:] & two[:-4]
         out[lag + 5 :] |= six
-    return out
+    return (out & (data > 0))[GUARD:]
 
 
 def laid(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes with each text padded to whole half chunks, two at least; half chunks of each text."""
+    """Bytes with each text padded to whole half chunks, two at least; half chunks of each text.
+
+    WIDTH zero bytes begin a text and GUARD at least end it, so no filter and no echo reaches from one text to another.
+    """
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    halves = np.array([max(2, -(-len(r) // HALF)) for r in raw], np.int64)
+    halves = np.array([max(2, -(-(WIDTH + len(r) + GUARD) // HALF)) for r in raw], np.int64)
     data = np.zeros(int(halves.sum()) * HALF + WIDTH, np.uint8)
     at = 0
     for r, n in zip(raw, halves.tolist(), strict=True):
-        data[at : at + len(r)] = np.frombuffer(r, np.uint8)
+        data[at + WIDTH : at + WIDTH + len(r)] = np.frombuffer(r, np.uint8)
         at += n * HALF
     return data, halves
 
