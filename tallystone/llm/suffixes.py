@@ -252,6 +252,8 @@ def _laid(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _first_rows(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each distinct key: a row with its smallest id, and whether other ids have it."""
+    if not len(key):
+        return np.zeros(0, np.int64), np.zeros(0, bool)
     order = np.lexsort((ids, key))
     first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
     last = np.append(first[1:], len(order)) - 1
