@@ -1,10 +1,10 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Every n-gram of 4 to 6 bytes of the lower-cased text is a presence feature,
-hashed to 2^22 slots. A slot's value is its naive Bayes log-count ratio between
-the two classes; logistic regression learns one weight for each scaled slot.
-Scoring is linear: a text's score is the sigmoid of the summed weights of the
-slots present anywhere in it.
+Features are the n-grams of 5 to 8 bytes of the lower-cased text, white space
+taken as one kind of blank, hashed to 2^22 slots and counted up to CAP a text. A
+slot's scale is its naive Bayes log-count ratio between the two classes;
+logistic regression learns one weight for each scaled slot. Scoring is linear: a
+text's score is the sigmoid of the summed weights of the n-grams anywhere in it.
 
 Defined cases: null and empty texts hold no n-gram and score the bias alone;
 repeated rows score alike; with labels of one kind only, or none, the score is
@@ -24,12 +24,13 @@ from pyspark.sql import types as T
 from tallystone.llm.common import held_out, labelled_sample, with_arrow, without
 
 BITS = 22
-ORDERS = (4, 5, 6)
+ORDERS = (5, 6, 7, 8)
 #: Bound of the fitted sample: rows of each label, and characters of a row.
-PER_CLASS, MAX_CHARS = 1200, 20_000
-#: Slots in the model, those with the largest evidence.
-KEEP, LEAST_DOCS = 30_000, 5
+PER_CLASS, MAX_CHARS = 2400, 20_000
+#: Slots in the model, those with the largest evidence; what a repeated n-gram counts at most.
+KEEP, LEAST_DOCS, CAP = 4_000, 8, 6
 THRESHOLD = 0.5
+BLANKS = bytes.maketrans(b"\t\n\x0b\x0c\r", b" " * 5)
 
 
 def grams(data: np.ndarray) -> list[np.ndarray]:
@@ -49,14 +50,14 @@ def grams(data: np.ndarray) -> list[np.ndarray]:
 
 def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Lower-cased bytes of the texts one after another, and where each begins."""
-    raw = [f"\n{t.lower()}\n".encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    raw = [f" {t.lower()} ".encode("utf-8", "surrogatepass").translate(BLANKS) if t else b"" for t in texts]
     starts = np.zeros(len(raw) + 1, np.int64)
     np.cumsum([len(r) for r in raw], out=starts[1:])
     return np.frombuffer(b"".join(raw), np.uint8), starts
 
 
-def present(texts: list[str], table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, slot) pairs; with a table, of the slots that it marks."""
+def counted(texts: list[str], table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, slot) pairs and their counts up to CAP; with a table, of the slots that it marks."""
     data, starts = joined(texts)
     found = []
     for n, slot in zip(ORDERS, grams(data), strict=True):
@@ -64,8 +65,8 @@ def present(texts: list[str], table: np.ndarray | None = None) -> tuple[np.ndarr
         row = np.searchsorted(starts, at, "right") - 1
         inside = at + n <= starts[row + 1]
         found.append((row[inside] << BITS) | slot[at[inside]].astype(np.int64))
-    keys = np.unique(np.concatenate(found))
-    return keys >> BITS, keys & ((1 << BITS) - 1)
+    keys, n = np.unique(np.concatenate(found), return_counts=True)
+    return keys >> BITS, keys & ((1 << BITS) - 1), np.minimum(n, CAP)
 
 
 @dataclass
@@ -79,43 +80,46 @@ class Model:
         table[self.slots] = self.weights
 
         def score(texts: list[str]) -> np.ndarray:
-            row, slot = present(texts, table)
-            z = self.bias + np.bincount(row, table[slot], len(texts))
+            row, slot, n = counted(texts, table)
+            z = self.bias + np.bincount(row, table[slot] * n, len(texts))
             return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
         return score
 
 
-def fit(texts: list[str], y: np.ndarray, rate: float | None = None, steps: int = 100, l2: float = 2e-3) -> Model:
-    """Ratios by counting, then logistic regression with Adam on the scaled slots."""
+def fit(texts: list[str], y: np.ndarray, steps: int = 300, l2: float = 1e-2) -> Model:
+    """Ratios by counting documents, then logistic regression with Adam on the scaled slots.
+
+    The sample is read twice, first for the ratios, then for the kept slots, so
+    memory holds the kept slots' pairs only.
+    """
     none = Model(np.zeros(0, np.int64), np.zeros(0, np.float32), -30.0 if not y.any() else 30.0)
     if len(set(y.tolist())) < 2:
         return none
-    rows, slots = [], []
-    for at in range(0, len(texts), 200):
-        r, s = present(texts[at : at + 200])
-        rows.append((r + at).astype(np.int32))
-        slots.append(s.astype(np.int32))
-    row, slot = np.concatenate(rows), np.concatenate(slots)
-    one = y[row] == 1
-    p, q = np.bincount(slot[one], minlength=1 << BITS), np.bincount(slot[~one], minlength=1 << BITS)
+    docs = np.zeros((2, 1 << BITS), np.int32)
+    blocks = [slice(at, at + 100) for at in range(0, len(texts), 100)]
+    for block in blocks:
+        row, slot, _ = counted(texts[block])
+        for k in (0, 1):
+            docs[k] += np.bincount(slot[y[block][row] == k], minlength=1 << BITS).astype(np.int32)
+    q, p = docs
     ratio = np.log((1 + p) / (2 + y.sum())) - np.log((1 + q) / (2 + (1 - y).sum()))
     evidence = np.abs(ratio) * np.sqrt(p + q) * (p + q >= min(LEAST_DOCS, 1 + y.sum() // 2))
     kept = np.sort(np.argsort(-evidence, kind="stable")[:KEEP])
     kept = kept[evidence[kept] > 0]
-    place = np.full(1 << BITS, -1, np.int32)
-    place[kept] = np.arange(len(kept))
-    inside = place[slot] >= 0
-    row, col = row[inside], place[slot[inside]]
-    scale = ratio[kept]
-    value = scale[col]
+    mark = np.zeros(1 << BITS, bool)
+    mark[kept] = True
+    pairs = [(r + block.start, s, n) for block in blocks for r, s, n in [counted(texts[block], mark)]]
+    row, slot, n = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    col, scale = np.searchsorted(kept, slot), ratio[kept]
+    value = scale[col] * n
     w, b = np.zeros(len(kept)), 0.0
     m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     for t in range(1, steps + 1):
         z = b + np.bincount(row, w[col] * value, len(y))
         err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * balance / len(y)
-        g = np.append(np.bincount(col, err[row] * value, len(kept)) + l2 / 10 * w, err.sum())
+        g = np.append(np.bincount(col, err[row] * value, len(kept)) + l2 * w, err.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
