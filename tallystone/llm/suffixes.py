@@ -61,6 +61,7 @@ SPLITTER_SAMPLE = 60_000
 #: Text bytes for each range and each exchange bucket.
 RANGE_BYTES = 16 << 20
 NO_ID = np.iinfo(np.int64).max
+SAMPLE = -1  # in place of a task's number
 U = np.uint64
 
 
@@ -274,8 +275,8 @@ def candidates(documents: DataFrame, doc_id: str, text: str, buckets: int, keep:
             rows = _rows_for(t, (h % U(buckets)).astype(np.int64), packed, buckets, "bucket")
             yield rows
             sample = np.concatenate(leads)
-            if len(sample):
-                yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([-1], pa.int32()), pa.array([sample.tobytes()], pa.binary())], rows.schema.names)
+            if len(sample):  # a bucket of its own, SPLITTER_SAMPLE words or so in all
+                yield pa.RecordBatch.from_arrays([pa.array([SAMPLE], pa.int32()), pa.array([buckets], pa.int32()), pa.array([sample.tobytes()], pa.binary())], rows.schema.names)
 
         now, parts, leads, held = None, [], [], 0
         for t, _, texts, _, _ in _by_task(batches, [doc_id, text]):
@@ -292,11 +293,11 @@ def candidates(documents: DataFrame, doc_id: str, text: str, buckets: int, keep:
         if parts:
             yield from out(now, parts, leads)
 
-    counts = saved(documents.select("__t", doc_id, text).mapInArrow(counted, "__t int, bucket int, blob binary"), "seed-counts")
-    sample = np.sort(np.frombuffer(b"".join(r[0] for r in counts.where("bucket = -1").select("blob").collect()), U))
-
     def repeated(batches):
         packed, t = _gathered(batches, np.dtype(U))
+        if len(t) and t[0] == SAMPLE:
+            yield _replies(t, packed)
+            return
         order = np.argsort(packed, kind="stable")
         packed, t = packed[order], t[order]
         h = packed >> U(8)
@@ -306,13 +307,16 @@ def candidates(documents: DataFrame, doc_id: str, text: str, buckets: int, keep:
         kept = total > 1
         yield _replies(t[kept], (h[kept] << U(8)) | (total[kept] >= HOT).astype(U))
 
-    found = counts.where("bucket >= 0").repartition(buckets, "bucket").mapInArrow(repeated, "__t int, blob binary")
-    return _by_folder(found, buckets, "seed-candidates"), sample.tolist()
+    counts = documents.select("__t", doc_id, text).mapInArrow(counted, "__t int, bucket int, blob binary")
+    found = counts.repartitionById(buckets + 1, F.col("bucket")).mapInArrow(repeated, "__t int, blob binary")
+    path = _by_folder(found, buckets, "seed-candidates")
+    sample = np.frombuffer(b"".join(r[0] for r in spark.read.schema("blob binary, __t int").parquet(path).where(F.col("__t") == SAMPLE).select("blob").collect()), U)
+    return path, np.sort(sample).tolist()
 
 
 def _by_folder(rows: DataFrame, tasks: int, name: str) -> str:
     path = f"{shared_root(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    rows.repartition(tasks, "__t").write.partitionBy("__t").parquet(path)
+    rows.repartitionById(tasks, F.pmod("__t", F.lit(tasks))).write.partitionBy("__t").parquet(path)
     return path
 
 
@@ -425,7 +429,7 @@ def known_contexts(documents: DataFrame, doc_id: str, text: str, seeds: str, buc
         yield _replies(t[told], reply)
 
     found = documents.select("__t", doc_id, text).mapInArrow(said, "__t int, bucket int, blob binary")
-    return _by_folder(found.repartition(buckets, "bucket").mapInArrow(judged, "__t int, blob binary"), buckets, "known-contexts")
+    return _by_folder(found.repartitionById(buckets, F.col("bucket")).mapInArrow(judged, "__t int, blob binary"), buckets, "known-contexts")
 
 
 class _Told:
@@ -490,7 +494,7 @@ def verdicts(documents: DataFrame, doc_id: str, text: str, seeds: str, known: st
         yield _replies(t[told], reply)
 
     suffixes = documents.select("__t", doc_id, text).mapInArrow(sent, "__t int, range int, blob binary")
-    found = suffixes.repartition(ranges, "range").mapInArrow(judged, "__t int, blob binary")
+    found = suffixes.repartitionById(ranges, F.col("range")).mapInArrow(judged, "__t int, blob binary")
     return _by_folder(found, ranges, "suffix-verdicts")
 
 
