@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from tallystone.llm.common import with_arrow
 
 #: Words and transitions remembered by a worker at most.
-MEMORY = 400_000
+MEMORY = 100_000
 #: White space by the Unicode property.
 SPACES = "\t\n\x0b\x0c\r\x20\x85\xa0  -     　"
 FIELDS = [("n_tokens", T.LongType(), pa.int64()), ("ids_sha256", T.StringType(), pa.string()), ("decoded_sha256", T.StringType(), pa.string())]

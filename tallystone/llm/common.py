@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes handled at once inside a Python task.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -65,7 +65,9 @@ def with_arrow(df: DataFrame, text: str, fields: list[tuple[str, T.DataType, pa.
     """Append columns that a Python function makes of whole texts; no shuffle.
 
     ``make`` runs once a task and returns a function from a list of texts to
-    one list per new column. Columns of the same names are replaced.
+    one list per new column; texts come in slices of bounded bytes, and a slice's
+    results leave before the next one's are made. Columns of the same names are
+    replaced.
     """
     base = without(df, [n for n, _, _ in fields])
     schema = T.StructType([*base.schema.fields, *[T.StructField(n, t) for n, t, _ in fields]])
@@ -73,12 +75,10 @@ def with_arrow(df: DataFrame, text: str, fields: list[tuple[str, T.DataType, pa.
     def run(batches):
         made = make()
         for batch in batches:
-            parts: list[list] = [[] for _ in fields]
-            for _, run_of in slices(batch.column(text)):
-                for have, new in zip(parts, made(run_of), strict=True):
-                    have.extend(new)
-            columns = [*batch.columns, *[pa.array(p, kind) for p, (_, _, kind) in zip(parts, fields, strict=True)]]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *[n for n, _, _ in fields]])
+            for at, texts in slices(batch.column(text)):
+                new = [pa.array(p, kind) for p, (_, _, kind) in zip(made(texts), fields, strict=True)]
+                columns = [*batch.slice(at, len(texts)).columns, *new]
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *[n for n, _, _ in fields]])
 
     return base.mapInArrow(run, schema)
 
