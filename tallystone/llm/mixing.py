@@ -9,12 +9,13 @@ from the document's id and w its quality weight: documents are taken until their
 prefix sum reaches the budget, and the last one is cut there, so a source's
 taken words differ from its target by less than one word.
 
-A source may hold any share of all rows: prefix sums are taken over the keys'
-ranges first (a bounded table for each source) and then inside each range.
+A source may hold any share of all rows: sums over ranges of the keys find the
+range in which its budget ends, and only that range is ordered.
 
 Defined cases: null and empty texts have size 0 and take 0 words; repeated rows
-are rows of their own; ties in the keys are ordered by id, then by size; an
-empty table gives no rows.
+are rows of their own; ties in the keys are ordered by id, size and the row's
+hash, and rows that are equal in all columns take equally; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -61,38 +62,59 @@ def targets(sizes: dict[str | None, int], cap: int = CAP) -> dict[str | None, fl
     return out
 
 
-def mix(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep_text: bool = True) -> DataFrame:
-    """All rows with size, source_size, target and taken; columns of these names are replaced.
+def with_order(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Append size and what orders a source's documents: the exponential key, id, size, and a hash of the row."""
+    base = without(documents, RESULTS)
+    own = [F.col(f"`{c}`") for c in base.columns]
+    u = (F.pmod(F.xxhash64(F.lit(SEED), F.col(doc_id).cast("string")), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
+    out = base.select(*own, n_words(F.col(text)).alias("size"))
+    key = -F.log(u) / quality_weight(F.col(text), F.col("size"))
+    return out.withColumn("__order", F.struct(key.alias("key"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"), F.col("size").alias("n"), F.xxhash64(*own).alias("h")))
+
 
-    Without ``keep_text`` the text is read for its size and weight and not carried along.
+def cutoffs(order: DataFrame, plan: DataFrame) -> DataFrame:
+    """(__source, __cut, __each): where each source's budget ends in its order.
 
-    Sources are the mixture's components: the driver holds one number for each.
+    ``order`` has __source, size and __order of all rows, ``plan`` a row for
+    each source. Sums of the keys' ranges find the range in which the budget
+    ends, so only that range is ordered. Rows that nothing tells apart share
+    what is left evenly.
     """
-    base = without(documents, RESULTS).withColumn("__size", n_words(F.col(text)))
-    base = base.withColumn("__weight", quality_weight(F.col(text), F.col("__size")))
-    base = base if keep_text else base.drop(text)
-    spark, own = base.sparkSession, [f"`{c}`" for c in base.columns if c not in ("__size", "__weight")]
-    u = (F.pmod(F.xxhash64(F.lit(SEED), F.col(doc_id).cast("string")), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
-    keyed = base.select(*own, F.col("__size").alias("size"), (-F.log(u) / F.col("__weight")).alias("__key"))
-    keyed = saved(keyed, "mix-keyed")
+    # exp(-key) is nearly uniform, so its ranges are nearly equally full.
+    place = F.floor((1 - F.exp(-F.col("__order.key"))) * F.col("__ranges")).cast("long")
+    rows = order.join(F.broadcast(plan), order["__source"].eqNullSafe(plan["__source"])).select(order["__source"], "size", "__order", "__budget", place.alias("__range"))
+    sums = rows.groupBy("__source", "__range").agg(F.sum("size").alias("n"), F.first("__budget").alias("__budget"))
+    before = Window.partitionBy("__source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    last = sums.where("__before < __budget and __before + n >= __budget").select(F.col("__source").alias("s"), F.col("__range").alias("r"), "__before")
+    inside = rows.join(F.broadcast(last), F.col("__source").eqNullSafe(F.col("s")) & (F.col("__range") == F.col("r")))  # a row for each source
+    alike = inside.groupBy("__source", "__order", "__budget", "__before").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("m"))
+    at = F.col("__before") + F.coalesce(F.sum("n").over(Window.partitionBy("__source").orderBy("__order").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = alike.withColumn("__at", at).where("__at < __budget and __at + n >= __budget")
+    return ends.select(F.col("__source").alias("__s"), F.col("__order").alias("__cut"), F.floor((F.col("__budget") - F.col("__at")) / F.col("m")).cast("long").alias("__each"))
+
+
+def mix(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """All rows with size, source_size, target and taken; columns of these names are replaced.
 
-    totals = keyed.groupBy(source).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    A first pass saves sizes and orders without the texts; the cutoffs follow
+    from it, and a second pass over the documents compares each with its
+    source's cutoff, so texts are neither shuffled nor copied. Sources are the
+    mixture's components: the driver holds a few numbers for each.
+    """
+    spark, rows = documents.sparkSession, with_order(documents, doc_id, text)
+    order = saved(rows.select(F.col(source).alias("__source"), "size", "__order"), "mix-order")
+    totals = order.groupBy("__source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
     goal = targets({r[0]: r["n"] for r in totals})
     plan = [(r[0], r["n"], goal[r[0]], *_epochs(goal[r[0]], r["n"]), max(1, r["rows"] // RANGE_ROWS)) for r in totals]
-    name = T.StructType([T.StructField("__source", base.schema[source].dataType), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("__epochs", T.LongType()), T.StructField("__budget", T.LongType()), T.StructField("__ranges", T.LongType())])
-    planned = spark.createDataFrame(plan, name)  # a row for each source
-    rows = keyed.join(F.broadcast(planned), F.col(source).eqNullSafe(F.col("__source"))).drop("__source")
-    # exp(-key) is nearly uniform, so its ranges are nearly equally full.
-    rows = rows.withColumn("__range", F.floor((1 - F.exp(-F.col("__key"))) * F.col("__ranges")).cast("long"))
-
-    sums = rows.groupBy(source, "__range").agg(F.sum("size").alias("__sum"))
-    before = Window.partitionBy(source).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col(source).alias("__s"), F.col("__range").alias("__r"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy(source, "__range").orderBy("__key", doc_id, "size", *[F.hash(F.col(c)) for c in own]).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__own", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = rows.join(sums, F.col(source).eqNullSafe(F.col("__s")) & (F.col("__range") == F.col("__r")))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("__budget") - F.col("__before") - F.col("__own")))
-    return rows.select(*own, "size", "source_size", "target", (F.col("__epochs") * F.col("size") + part).cast("long").alias("taken"))
+    name = T.StructType([T.StructField("__source", order.schema["__source"].dataType), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("__epochs", T.LongType()), T.StructField("__budget", T.LongType()), T.StructField("__ranges", T.LongType())])
+    planned = spark.createDataFrame(plan, name)
+    ends = cutoffs(order, planned)
+    planned = planned.join(F.broadcast(ends), F.col("__source").eqNullSafe(F.col("__s")), "left")
+    out = rows.join(F.broadcast(planned), F.col(source).eqNullSafe(F.col("__source")))
+    part = F.when(F.col("__order") < F.col("__cut"), F.col("size")).when(F.col("__order") == F.col("__cut"), F.col("__each")).otherwise(F.lit(0))
+    own = [F.col(f"`{c}`") for c in without(documents, RESULTS).columns]
+    return out.select(*own, "size", "source_size", "target", (F.col("__epochs") * F.col("size") + part).cast("long").alias("taken"))
 
 
 def _epochs(target: float, size: int) -> tuple[int, int]:
@@ -111,4 +133,4 @@ def mixed(documents: DataFrame) -> DataFrame:
 
 def report(documents: DataFrame) -> DataFrame:
     """The contract's columns for every document."""
-    return mix(documents.select("doc_id", "source", "text"), keep_text=False).select("doc_id", *RESULTS)
+    return mix(documents.select("doc_id", "source", "text")).select("doc_id", *RESULTS)
