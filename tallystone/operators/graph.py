@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,7 +38,27 @@ def mutual(edges: DataFrame) -> DataFrame:
 
 def lanes(nodes: DataFrame, lane: str, order: str) -> DataFrame:
     """Swim lanes in order of first appearance, and each node's row in its lane."""
-    from pyspark.sql import Window
-
     first = nodes.groupBy(lane).agg(F.min(order).alias("__first")).withColumn("lane_no", F.row_number().over(Window.orderBy("__first")))  # a row for each lane
     return nodes.join(F.broadcast(first), lane).withColumn("row_no", F.row_number().over(Window.partitionBy(lane).orderBy(order))).drop("__first")
+
+
+def next_edges(nodes: DataFrame, diagram: str, order: str, node: str, targets: str) -> DataFrame:
+    """Edges (diagram, src, dst): the stated targets, or the next node where none are stated (null, not empty)."""
+    after = F.lead(node).over(Window.partitionBy(diagram).orderBy(order))
+    implied = F.when(after.isNotNull(), F.array(after)).otherwise(F.array().cast(nodes.schema[targets].dataType))
+    rows = nodes.select(diagram, F.col(node).alias("src"), F.coalesce(F.col(targets), implied).alias("__t"))
+    return rows.select(diagram, "src", F.explode("__t").alias("dst"))
+
+
+def row_offsets(nodes: DataFrame, diagram: str, row: str, height: str, gap: int) -> DataFrame:
+    """Height of each row (its tallest node) and where it begins, one gap after the row above."""
+    tall = nodes.groupBy(diagram, row).agg(F.max(height).alias("row_height"))
+    above = Window.partitionBy(diagram).orderBy(row).rowsBetween(Window.unboundedPreceding, -1)
+    return tall.withColumn("y", F.coalesce(F.sum(F.col("row_height") + gap).over(above), F.lit(0)))
+
+
+def penetrate(edges: DataFrame, roots: DataFrame, threshold: float = 50.0, max_depth: int = 5) -> DataFrame:
+    """``reach`` over edges (parent, child, ratio) whose ratio, a percentage as text, is the threshold or more."""
+    from tallystone.functions.numbers import parse_ratio
+
+    return reach(edges.where(parse_ratio(F.col("ratio")) >= threshold).select("parent", "child"), roots, max_depth)

@@ -25,3 +25,55 @@ def with_fallback(names: DataFrame, first: DataFrame, second: DataFrame, name: s
 def last_n(rows: DataFrame, key: str, order: list, n: int) -> DataFrame:
     over = Window.partitionBy(key).orderBy(*order)
     return rows.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= n)
+
+
+def contained_titles(names: DataFrame, records: DataFrame, name: str, title: str, order: str, least: int = 4) -> DataFrame:
+    """The record of each name by containment: one holds the other and is under twice as long; exact titles first.
+
+    Every part of the longer text that is over half as long as it is looked up
+    by equality, which for titles (some dozens of characters) stays small; no
+    name meets a record that it does not match.
+    """
+    parts = lambda c: f"flatten(transform(sequence(greatest({least}, int(floor(length({c}) / 2)) + 1), greatest(length({c}), {least})), __w -> transform(sequence(1, greatest(length({c}) - __w + 1, 1)), __s -> substring({c}, __s, __w))))"
+    n = names.where(F.length(name) >= least).select(name).distinct()
+    r = records.where(F.length(title) >= least).select(F.col(title).alias("__title"), F.col(order))
+    inside_name = n.select(name, F.explode(F.array_distinct(F.expr(parts(f"`{name}`")))).alias("__p")).join(r, F.col("__p") == F.col("__title")).select(name, "__title", order)
+    inside_title = r.select("__title", order, F.explode(F.array_distinct(F.expr(parts("__title")))).alias("__p")).join(n, F.col("__p") == F.col(name)).select(name, "__title", order)
+    best = F.min_by(F.struct(F.col("__title"), F.col(order)), F.struct(F.abs(F.length("__title") - F.length(name)), F.col(order)))
+    return inside_name.unionByName(inside_title).groupBy(name).agg(best.alias("__b")).select(name, F.col("__b.__title").alias("title"), F.col(f"__b.{order}").alias(order))
+
+
+def all_terms(threads: DataFrame, text: str, asked: str) -> DataFrame:
+    """Threads that contain every blank-separated term of a search text of two characters or more."""
+    terms = [t for t in asked.split() if t]
+    if len(asked.strip()) < 2:
+        raise ValueError("a search needs two characters or more")
+    found = threads
+    for t in terms:
+        found = found.where(F.col(text).contains(t))
+    return found
+
+
+def in_period(rows: DataFrame, stamp: str, period: str | None = None, annual: bool = False) -> DataFrame:
+    """Rows of one reporting date, or of year ends; all if neither is asked for."""
+    day = F.date_format(stamp, "yyyy-MM-dd")
+    if period is not None:
+        return rows.where(day == period)
+    return rows.where(day.endswith("-12-31")) if annual else rows
+
+
+def pending(work: DataFrame, progress: DataFrame, key: str) -> DataFrame:
+    """Work that the progress table has no row for."""
+    return work.join(progress.select(key), key, "left_anti")
+
+
+def overriding(custom: DataFrame, builtin: DataFrame, name: str) -> DataFrame:
+    """Custom entries, and the built-in ones whose name no custom entry has."""
+    return custom.withColumn("custom", F.lit(True)).unionByName(builtin.join(custom.select(name), name, "left_anti").withColumn("custom", F.lit(False)))
+
+
+def rerank(candidates: DataFrame, query: str, item: str, score: str, second: str, k: int, overfetch: int = 3) -> DataFrame:
+    """The best ``overfetch`` * k of each query by one score, of these the best k by a second."""
+    over = lambda s: Window.partitionBy(query).orderBy(F.desc(s), item)
+    fetched = candidates.withColumn("__k", F.row_number().over(over(score))).where(F.col("__k") <= k * overfetch).drop("__k")
+    return fetched.withColumn("rank", F.row_number().over(over(second))).where(F.col("rank") <= k)

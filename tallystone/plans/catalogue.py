@@ -9,20 +9,7 @@ from pyspark.sql import functions as F
 
 from tallystone.functions import numbers, text
 from tallystone.operators import audit, documents, graph, linkage, matching, retrieval
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
-
+from tallystone.plans.registry import QUERIES, SQL, query
 
 TIE = """
 with d as (select l_orderkey, sum(cast(l_extendedprice as decimal(18,2))) as detail from lineitem group by 1),
@@ -361,6 +348,9 @@ def q40_lane_layout(t):
     return rows.select("event_id", F.col("lane_no").cast("long").alias("lane_no"), F.col("row_no").cast("long").alias("row_no"))
 
 
+from tallystone.plans import checks  # noqa: E402, F401 - registers its queries, which build on those above
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
