@@ -60,7 +60,8 @@ def linked(marks: DataFrame, levels: dict[str, int] = LEVELS) -> DataFrame:
 def crossed(left: DataFrame, right: DataFrame, dimension: str, level: int) -> DataFrame:
     """Entities of ``left`` whose value is a value of others in ``right``, as for former names, invested companies and pledges.
 
-    ``n_links`` counts the other entities; a value's entities are counted before
+    ``n_links`` counts the other entities; ``class_id`` is their smallest, or
+    where that is the entity itself the largest. A value's entities are counted before
     the join, so each row of ``left`` meets one row.
     """
     theirs = right.select("entity", "value").distinct()
