@@ -1,9 +1,8 @@
 """Licence scans: TF-IDF cosine of lines to templates, then inheritance by directory; DataFrame operations only.
 
 Every line of every whole text is a sparse vector of its words, weighted by term
-frequency and inverse document frequency. Document frequencies of the templates'
-words are counted over all documents; any other word is as rare as can be. Only
-lines that share a word with some template's prefix are scored: the words of a
+frequency and inverse document frequency. Document frequencies of all words are
+counted over all documents. Only lines that share a word with some template's prefix are scored: the words of a
 template from the rarest on, until the rest alone cannot reach the threshold, so
 no line at the threshold or above is missed.
 
@@ -54,13 +53,16 @@ def template_words(templates: dict[str, str]) -> dict[str, dict[str, int]]:
     return out
 
 
-def idf_of(documents: DataFrame, text: str, templates: dict[str, dict[str, int]]) -> tuple[dict[str, float], float]:
-    """ln(1 + N / df) of the templates' words over all documents, and of a word seen once."""
+def document_frequencies(documents: DataFrame, text: str) -> DataFrame:
+    """(w, df): in how many documents a word stands, for all words; counted before the shuffle, so a common word is a row a task."""
+    return documents.select(F.explode(F.array_distinct(words_of(F.col(text)))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+
+
+def idf_of(frequencies: DataFrame, n: int, templates: dict[str, dict[str, int]]) -> dict[str, float]:
+    """ln(1 + N / df) of the templates' words over all documents."""
     vocabulary = sorted({w for t in templates.values() for w in t})
-    n = documents.count()
-    found = documents.select(F.explode(F.array_intersect(words_of(F.col(text)), F.lit(vocabulary))).alias("w"))
-    df = {r["w"]: r["count"] for r in found.groupBy("w").count().collect()}  # a row for each template word
-    return {w: log(1 + n / max(1, df.get(w, 0))) for w in vocabulary}, log(1 + n)
+    df = {r["w"]: r["df"] for r in frequencies.where(F.col("w").isin(vocabulary)).collect()}  # a row for each template word
+    return {w: log(1 + n / max(1, df.get(w, 0))) for w in vocabulary}
 
 
 def prefix_words(templates: dict[str, dict[str, int]], idf: dict[str, float], threshold: float) -> list[str]:
@@ -79,15 +81,16 @@ def prefix_words(templates: dict[str, dict[str, int]], idf: dict[str, float], th
 def line_scores(documents: DataFrame, text: str, templates: dict[str, str], threshold: float) -> DataFrame:
     """(__row, __line, words, own_licence, own_score) of the lines at the threshold; needs ``__row``."""
     words = template_words(templates)
-    idf, rare = idf_of(documents, text, words)
+    frequencies, total = saved(document_frequencies(documents, text), "licence-frequencies"), documents.count()
+    idf = idf_of(frequencies, total, words)
     prefix = prefix_words(words, idf, threshold)
     # A plain search finds the few documents that hold such a word at all.
     some = documents.where(F.lower(F.col(text)).rlike("|".join(prefix) or "$^"))
     lines = some.select("__row", F.posexplode(F.split(text, "\n", -1)).alias("__line", "line")).withColumn("words", words_of(F.col("line")))
     lines = lines.where(F.arrays_overlap("words", F.lit(prefix)))
     terms = lines.select("__row", "__line", F.size("words").alias("n"), F.explode("words").alias("w")).groupBy("__row", "__line", "n", "w").count()
-    weights = F.create_map(*[F.lit(x) for w in sorted(idf) for x in (w, idf[w])])
-    value = F.col("count") * F.coalesce(weights[F.col("w")], F.lit(rare))
+    terms = terms.join(frequencies, "w")
+    value = F.col("count") * F.log(1 + F.lit(total) / F.col("df"))
     sums = [F.sum(value * value).alias("norm")]
     for name, tf in words.items():
         own = F.create_map(*[F.lit(x) for w in sorted(tf) for x in (w, tf[w] * idf[w])])

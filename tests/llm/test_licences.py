@@ -1,3 +1,5 @@
+import math
+
 from tallystone.llm import licences
 from tallystone.llm.queries import op3_licence_scans
 from tests.llm.fixtures import ROWS, awkward, empty
@@ -26,6 +28,19 @@ def test_inheritance(spark):
     assert licences.scan(df).count() == len(rows)
 
 
+def test_everyday_words_weigh_what_the_corpus_says(spark):
+    line = "This program is licensed under the GNU General Public License, version 3."
+    rows = [(i, f"the program is version {i} of a general work licensed to this public") for i in range(3000)]
+    df = spark.createDataFrame([(str(i), t) for i, t in [*rows, (3000, line)]], "path string, text string")
+    got = {r.path: r for r in licences.scan(df).where("path = '3000'").collect()}["3000"]
+    words = {t: [w for w in "".join(c if c.isalnum() else " " for c in t.lower()).split()] for t in [line, licences.TEMPLATES["GPL-3.0"], *[t for _, t in rows]]}
+    texts = [set(words[t]) for t in [*[t for _, t in rows], line]]
+    idf = lambda w: math.log(1 + len(texts) / max(1, sum(w in t for t in texts)))
+    a, b = ({w: words[t].count(w) * idf(w) for w in words[t]} for t in (line, licences.TEMPLATES["GPL-3.0"]))
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    assert got.own_licence == "GPL-3.0" and abs(got.own_score - sum(a[w] * b.get(w, 0) for w in a) / norm(a) / norm(b)) < 1e-5
+
+
 def test_awkward(spark):
     assert licences.report(awkward(spark)).count() == len(ROWS)
     assert licences.report(empty(spark)).count() == 0
