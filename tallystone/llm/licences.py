@@ -6,23 +6,29 @@ counted over all documents. Only lines that share a word with some template's pr
 template from the rarest on, until the rest alone cannot reach the threshold, so
 no line at the threshold or above is missed.
 
-A document's own licence is that of its best line. A document at least a third
-of whose words stand in matching lines is a licence file and speaks for its
-directory. A document without a licence of its own inherits from the nearest
+Every whole text is a vector too and is scored against full licence texts, kept in
+``licence_texts``, through an inverted index of each text's rarer words. Only
+documents that hold enough of a text's weight to reach the threshold are scored.
+
+A document's own licence is that of its best line or of its whole text. A document
+that matches as a whole, or at least a third of whose words stand in matching
+lines, is a licence file and speaks for its directory. A document without a licence of its own inherits from the nearest
 ancestor directory that has a licence file. Directories are resolved once each,
 not once for each document, and documents join them salted, as one directory may
 hold any share of the rows.
 
 Defined cases: null and empty texts have no licence of their own; equal scores
-go to the first template in order of names; of several licence files of a
+go to the first template in order of names, lines before whole texts; of several licence files of a
 directory the best scored speaks, then the smallest path; repeated rows are rows
 of their own; a null path has no directory and inherits nothing.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from math import log, sqrt
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,6 +47,11 @@ RESULTS = ["own_licence", "own_score", "is_licence_file", "licence", "inherited_
 NOT_WORD = "[^a-z0-9]+"
 
 
+def full_texts() -> dict[str, str]:
+    """Licence texts by name, read on the driver."""
+    return {p.stem: p.read_text("utf-8", "replace") for p in sorted(Path(__file__).with_name("licence_texts").glob("*.txt"))}
+
+
 def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), NOT_WORD), lambda w: w != "")
 
@@ -78,10 +89,9 @@ def prefix_words(templates: dict[str, dict[str, int]], idf: dict[str, float], th
     return sorted(out)
 
 
-def line_scores(documents: DataFrame, text: str, templates: dict[str, str], threshold: float) -> DataFrame:
+def line_scores(documents: DataFrame, text: str, templates: dict[str, str], threshold: float, frequencies: DataFrame, total: int) -> DataFrame:
     """(__row, __line, words, own_licence, own_score) of the lines at the threshold; needs ``__row``."""
     words = template_words(templates)
-    frequencies, total = saved(document_frequencies(documents, text), "licence-frequencies"), documents.count()
     idf = idf_of(frequencies, total, words)
     prefix = prefix_words(words, idf, threshold)
     # A plain search finds the few documents that hold such a word at all.
@@ -104,20 +114,54 @@ def line_scores(documents: DataFrame, text: str, templates: dict[str, str], thre
     return top.select("__row", "__line", "n", "best")
 
 
+def file_scores(documents: DataFrame, text: str, texts: dict[str, str], threshold: float, frequencies: DataFrame, total: int, place: int) -> DataFrame:
+    """(__row, n, best) of the whole texts at the threshold; places begin below ``place``; needs ``__row``."""
+    words = template_words(texts)
+    idf = idf_of(frequencies, total, words)
+    index, sizes = [], []
+    for i, (name, tf) in enumerate(words.items()):
+        weight = sorted((((c * idf[w]) ** 2, w) for w, c in tf.items()), key=lambda x: (idf[x[1]], x[1]))
+        norm2, rest, rare = sum(x for x, _ in weight), 0.0, False
+        for x, w in weight:  # the commonest words stay out while they alone cannot reach half of what is needed
+            rare = rare or rest + x > threshold**2 * norm2 / 2
+            rest += 0.0 if rare else x
+            index.append({"w": w, "i": i, "v": sqrt(x), "rare": rare})
+        sizes.append({"i": i, "name": name, "place": place - i, "norm2": norm2, "rest": rest})
+    spark = documents.sparkSession
+    table = lambda rows, kind: F.broadcast(spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind}>>"))))
+    index, sizes = table(index, "w:string,i:int,v:double,rare:boolean"), table(sizes, "i:int,name:string,place:int,norm2:double,rest:double")
+
+    # cos(d, t) is at most the norm of what t shares with d over the norm of t.
+    held = documents.select("__row", F.explode(F.array_distinct(words_of(F.col(text)))).alias("w")).join(index.where("rare"), "w")
+    held = held.groupBy("__row", "i").agg(F.sum(F.col("v") * F.col("v")).alias("shared")).join(sizes, "i")
+    likely = held.where(F.col("shared") + F.col("rest") >= threshold**2 * F.col("norm2") * (1 - 1e-9)).select("__row").distinct()
+
+    terms = documents.join(saved(likely, "licence-likely"), "__row", "left_semi").select("__row", F.explode(words_of(F.col(text))).alias("w")).groupBy("__row", "w").count()
+    valued = saved(terms.join(frequencies, "w").select("__row", "w", "count", (F.col("count") * F.log(1 + F.lit(total) / F.col("df"))).alias("value")), "licence-terms")
+    norms = valued.groupBy("__row").agg(F.sum("count").alias("n"), F.sum(F.col("value") * F.col("value")).alias("norm"))
+    dots = valued.join(index, "w").groupBy("__row", "i").agg(F.sum(F.col("value") * F.col("v")).alias("dot"))
+    scored = dots.join(norms, "__row").join(sizes, "i").select("__row", "n", F.struct(F.round(F.col("dot") / F.sqrt(F.col("norm") * F.col("norm2")), 6).alias("score"), "place", "name").alias("best"))
+    return scored.groupBy("__row").agg(F.max("n").alias("n"), F.max("best").alias("best")).where(F.col("best.score") >= threshold)
+
+
 def ancestors(path: Column) -> Column:
     """The directories above a path, nearest first; the root is the empty string."""
     parts = F.split(path, "/")
     return F.transform(F.sequence(F.size(parts) - 1, F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
 
 
-def scan(documents: DataFrame, path: str = "path", text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def scan(documents: DataFrame, path: str = "path", text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD, texts: dict[str, str] | None = None) -> DataFrame:
     """All rows with RESULTS and without the text; columns of these names are replaced."""
     base = without(documents, RESULTS)
     own = [F.col(f"`{c}`") for c in base.columns if c != text]
     n = F.coalesce(F.size(words_of(F.col(text))), F.lit(0))
     # Numbers of rows have to be fixed before two passes use them, texts are kept by the table.
     base = saved(base.withColumn("__row", F.monotonically_increasing_id()), "licence-documents")
-    lines = saved(line_scores(base, text, templates or TEMPLATES, threshold), "licence-lines")
+    notices, texts = templates or TEMPLATES, full_texts() if texts is None else texts
+    counts = saved(document_frequencies(base, text), "licence-frequencies"), base.count()
+    lines = saved(line_scores(base, text, notices, threshold, *counts).select("__row", "n", "best"), "licence-lines")
+    if texts:
+        lines = lines.unionByName(saved(file_scores(base, text, texts, threshold, *counts, -len(notices)), "licence-files"))
     matched = lines.groupBy("__row").agg(F.max("best").alias("best"), F.sum("n").alias("in_lines"))
     hits = base.join(matched, "__row").select("__row", "best", (F.col("in_lines") * FILE_SHARE >= n).alias("is_file"), F.col(path).alias("__path"))
     hits = saved(hits, "licence-hits")

@@ -41,6 +41,18 @@ def test_everyday_words_weigh_what_the_corpus_says(spark):
     assert got.own_licence == "GPL-3.0" and abs(got.own_score - sum(a[w] * b.get(w, 0) for w in a) / norm(a) / norm(b)) < 1e-5
 
 
+def test_full_texts_are_licence_files(spark):
+    texts = licences.full_texts()
+    plain = [(f"/p{i}/x.c", f"the loop {i} adds the values of a list and of the other to any of them") for i in range(50)]
+    rows = [row for name, t in texts.items() for row in ((f"/{name}/LICENSE", "Copyright (c) 2020 A. Writer\n\n" + t), (f"/{name}/src/x.c", "int x;"))]
+    rows.append(("/wrapped/COPYING", "\n".join("# " + w for w in texts["MIT"].split())))
+    got = {r.path: r for r in licences.scan(spark.createDataFrame(rows + plain, "path string, text string")).collect()}
+    for name in texts:
+        assert got[f"/{name}/LICENSE"].own_licence == name and got[f"/{name}/LICENSE"].is_licence_file
+        assert got[f"/{name}/src/x.c"].licence == name and got[f"/{name}/src/x.c"].inherited_from == f"/{name}"
+    assert got["/wrapped/COPYING"].own_licence == "MIT" and all(got[p].licence is None for p, _ in plain)
+
+
 def test_awkward(spark):
     assert licences.report(awkward(spark)).count() == len(ROWS)
     assert licences.report(empty(spark)).count() == 0
