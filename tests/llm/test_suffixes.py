@@ -46,9 +46,11 @@ def test_awkward(spark):
     assert suffixes.report(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("hot", [4096, 3])
-def test_planted_passages(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffixes, "HOT", hot)
+@pytest.mark.parametrize("range_bytes", [16 << 20, 100])
+def test_planted_passages(spark, monkeypatch, range_bytes):
+    # Ranges of 100 bytes put boundaries inside most groups of equal windows.
+    monkeypatch.setattr(suffixes, "RANGE_BYTES", range_bytes)
+    monkeypatch.setattr(suffixes, "MAX_PARTITIONS", 7)
     rng = np.random.default_rng(5)
     letters = np.frombuffer(b"abcdefgh ", np.uint8)
     word = lambda n: rng.choice(letters, n).tobytes().decode()
@@ -63,10 +65,29 @@ def test_planted_passages(spark, monkeypatch, hot):
     assert mine(suffixes.report(df)) == brute(rows)
 
 
-def test_words_sort_as_bytes():
+def test_frequent_passage_spreads_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "RANGE_BYTES", 2000)
+    rng = np.random.default_rng(8)
+    word = lambda n: rng.choice(np.frombuffer(b"abcdefgh ", np.uint8), n).tobytes().decode()
+    passage = word(60)
+    rows = [(i, word(40) + passage + word(40)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert mine(suffixes.report(df)) == brute(rows)
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a" * 60, "kept"), (2, "a" * 60, "too")], "doc_id long, text string, __t string")
+    out = suffixes.without_repeats(df)
+    assert out.columns == df.columns
+    assert [tuple(r) for r in out.orderBy("doc_id").collect()] == [(1, "a" * 60, "kept"), (2, "", "too")]
+
+
+@pytest.mark.parametrize("kinds", [2, 256])
+def test_words_sort_as_bytes(kinds):
     rng = np.random.default_rng(1)
-    rows = rng.integers(0, 2, (500, 19)).astype(np.uint8)
-    order, common = suffixes.by_words(rows)
+    rows = rng.integers(0, kinds, (500, 19)).astype(np.uint8)
+    rows[100:200] = rows[:100]
+    order, common = suffixes.in_order(rows)
     got = [rows[i].tobytes() for i in order]
     assert got == sorted(got)
     for k in range(1, 500):
