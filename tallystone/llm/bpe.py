@@ -1,22 +1,30 @@
 """BPE encoding and decoding with a tokenization automaton.
 
-The merges of a byte-pair vocabulary are compiled, one after another, into a
-deterministic automaton over token labels that accepts correct tokenizations
-only. A merge gadget for (u, v) -> w, applied to every state that has an arc u
-into a state with an arc v, sends u to a copy of that state without the arc v,
-and adds an arc w to where v led. Starting from one state with a loop for every
-byte, each label's arcs always lead to one state, so a state is named by the
-last label, and the automaton is kept in factored form: the gadgets in order
-(left, right, when). ``arc`` looks a transition up by replaying them and keeps
-it in the transition table.
-
-Encoding runs the automaton over a word's prefixes: exactly one label can end
-at each prefix, namely the one whose arc leaves the state of the prefix before
-it, so one table-driven pass gives the path. Decoding emits the arc labels.
+The merges of a byte-pair vocabulary are compiled, one after another, into the
+transition table of a deterministic automaton over token labels that accepts
+correct tokenizations only. Before the first merge there is one state with a loop
+for every byte. The gadget of a merge (u, v) -> w sends u to a state without the
+arc v and adds an arc w to where v led; what leaves the state after w is a copy of
+what leaves the state after v, and the arc w leaves every state that the arc u
+leaves. So each label's arcs lead to one state, named by the label, and the gadget
+clears the arc v of u's state, of all states copied from it afterwards, and for all
+arcs added beside v's afterwards. With states in the order of a walk over who
+was copied from whom, latest copies first, and labels likewise, both sets are
+runs, so each gadget clears a rectangle of the table. States with equal
+rows are one. A word's last label has the word end's suffix, after which nothing
+follows.
+
+Encoding runs over a word's prefixes: exactly one label can end at each prefix,
+namely the one whose arc leaves the state of the prefix before it, which is a
+look at the table. Decoding emits the arcs' labels.
+
+Merges have to be those of a trained vocabulary: every one applies to its own
+label's letters (tested for the file used).
 
 Defined cases: null and empty texts have no tokens, and digests of the empty
 string; repeated rows encode alike; a text of one very long word takes time in
-proportion to its length.
+proportion to its length; an empty table gives no rows; columns named as results
+are replaced, ignoring case, and others are kept.
 """
 
 from __future__ import annotations
@@ -25,8 +33,10 @@ import hashlib
 import json
 import re
 import unicodedata
+from bisect import bisect_right
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -34,8 +44,8 @@ from pyspark.sql import types as T
 
 from tallystone.llm.common import with_arrow
 
-#: Words and transitions remembered by a worker at most, some 120 MB and 20 MB.
-WORDS, ARCS = 300_000, 100_000
+#: Words remembered by a worker at most, some 90 MB, and states compiled at once.
+WORDS, BLOCK = 300_000, 1024
 #: White space by the Unicode property.
 SPACES = "\t\n\x0b\x0c\r\x20\x85\xa0  -     　"
 FIELDS = [("n_tokens", T.LongType(), pa.int64()), ("ids_sha256", T.StringType(), pa.string()), ("decoded_sha256", T.StringType(), pa.string())]
@@ -48,19 +58,57 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def walk(parent: dict[int, tuple[int, int]], order: list[int]) -> tuple[np.ndarray, np.ndarray, dict[int, list[tuple[int, int]]]]:
+    """Places of 0 to n - 1, each followed by its copies, latest first; where each one's copies end; and copies by age.
+
+    ``parent`` says from whom and when each was copied; those copied from none come as in ``order``.
+    """
+    copies: dict[int, list[tuple[int, int]]] = {}
+    for child, (origin, when) in sorted(parent.items(), key=lambda x: -x[1][1]):
+        copies.setdefault(origin, []).append((when, child))
+    place, end, at = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64), 0
+    stack = [(i, False) for i in reversed(order) if i not in parent]
+    while stack:
+        node, done = stack.pop()
+        if done:
+            end[node] = at
+            continue
+        place[node], at = at, at + 1
+        stack.append((node, True))
+        stack += [(child, False) for _, child in reversed(copies.get(node, []))]
+    return place, end, copies
+
+
+def run_end(node: int, since: int, place: np.ndarray, end: np.ndarray, copies: dict[int, list[tuple[int, int]]]) -> int:
+    """Where the run of a node and its copies made at ``since`` or later ends."""
+    made = copies.get(node, [])
+    k = bisect_right(made, -since, key=lambda x: -x[0])  # latest first
+    return int(end[made[k - 1][1]] if k else place[node] + 1)
+
+
 class Automaton:
-    """States by last label; arcs by merge gadgets."""
+    """The transition table of a vocabulary: a state for each label that a word can go on after."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str):
         self.ids, self.suffix = vocab, suffix
         self.labels = {i: s for s, i in vocab.items()}
-        self.gadget: dict[int, tuple[int, int, int]] = {}  # label -> left, right, when
-        self.removed: dict[tuple[int, int], int] = {}  # arc (left, right) -> when
-        for when, (u, v) in enumerate(merges):
-            left, right, new = vocab[u], vocab[v], vocab[u + v]
-            self.removed[left, right] = when
-            self.gadget[new] = (left, right, when)
-        self.table: dict[tuple[int, int], bool] = {}
+        gadgets = [(vocab[u], vocab[v], vocab[u + v]) for u, v in merges]
+        n = max(vocab.values()) + 1
+        last = np.zeros(n, bool)  # words end with these, copies of such ones too, so their states need no rows
+        last[[i for s, i in vocab.items() if s.endswith(suffix)]] = True
+        states = walk({w: (v, t) for t, (_, v, w) in enumerate(gadgets)}, np.argsort(last, kind="stable").tolist())
+        labels = walk({w: (u, t) for t, (u, _, w) in enumerate(gadgets)}, list(range(n)))
+        # The state after w is copied before its own gadget's arc is cleared, the arc w after.
+        cleared = np.array([(states[0][u], run_end(u, t + 1, *states), labels[0][v], run_end(v, t, *labels)) for t, (u, v, _) in enumerate(gadgets)]).reshape(-1, 4)
+        self.column, self.row, rows = labels[0].tolist(), [0] * n, {}
+        self.stride, at_place = -(-n // 8), np.argsort(states[0])[: n - last.sum()]
+        for a in range(0, len(at_place), BLOCK):
+            block = np.ones((min(BLOCK, len(at_place) - a), n), np.uint8)
+            for top, bottom, left, right in cleared[(cleared[:, 0] < a + BLOCK) & (cleared[:, 1] > a)].tolist():
+                block[max(0, top - a) : max(0, bottom - a), left:right] = 0
+            for state, bits in zip(at_place[a : a + BLOCK].tolist(), np.packbits(block, axis=1, bitorder="little"), strict=True):
+                self.row[state] = rows.setdefault(bits.tobytes(), len(rows)) * self.stride
+        self.table = b"".join(rows)
         self.letters_of: dict = {}  # trie of labels: letter -> node, "" -> label, suffix -> label at a word's end
         for label, i in vocab.items():
             plain = label.removesuffix(suffix)
@@ -70,45 +118,27 @@ class Automaton:
             node[suffix if plain != label else ""] = i
 
     def arc(self, state: int, label: int) -> bool:
-        got = self.table.get((state, label))
-        if got is None:
-            if len(self.table) >= ARCS:
-                self.table.clear()
-            got = self.table[state, label] = self._arc(state, label)
-        return got
-
-    def _arc(self, state: int, label: int) -> bool:
-        """Does the state after ``state`` have an arc ``label``, all gadgets applied?"""
-        now, strict = len(self.removed), False
-        while True:
-            cut = self.removed.get((state, label))
-            if cut is not None and (cut < now or cut == now and not strict):
-                return False
-            of_state, of_label = self.gadget.get(state), self.gadget.get(label)
-            a, b = of_state[2] if of_state else -1, of_label[2] if of_label else -1
-            if a < 0 and b < 0:
-                return True
-            # The later gadget says what it copied: a state from its right label's
-            # state as it was, an arc from its left label's arc.
-            if a > b:
-                state, now, strict = of_state[1], a, True
-            else:
-                label, now, strict = of_label[0], b, False
+        """Does the state after ``state`` have an arc ``label``?"""
+        column = self.column[label]
+        return self.table[self.row[state] + (column >> 3)] >> (column & 7) & 1 > 0
 
     def path(self, word: str) -> list[int]:
         """Labels of the one accepted path that spells ``word`` (byte letters), the last with the suffix."""
-        n, arc, suffix = len(word), self.arc, self.suffix
+        n, suffix = len(word), self.suffix
+        table, rows, columns, row = self.table, self.row, self.column, 0
         ends: list[int] = [-1] * (n + 1)
         widths = [0] * (n + 1)
         for j in range(n):
-            node, state = self.letters_of, ends[j]
+            node = self.letters_of
+            if j:
+                row = rows[ends[j]]
             for i in range(j + 1, n + 1):
                 node = node.get(word[i - 1])
                 if node is None:
                     break
                 if ends[i] < 0:  # one label at most ends a prefix, so the first found is it
                     label = node.get("" if i < n else suffix)
-                    if label is not None and (j == 0 or arc(state, label)):
+                    if label is not None and (j == 0 or table[row + (columns[label] >> 3)] >> (columns[label] & 7) & 1):
                         ends[i], widths[i] = label, i - j
         out, i = [], n
         while i > 0:
@@ -118,7 +148,7 @@ class Automaton:
 
 
 class _Words(dict):
-    """Word -> (ids, labels) as joined text; emptied when full, so memory is bounded."""
+    """Word -> its ids as joined text; emptied when full, so memory is bounded."""
 
     def __init__(self, coder: Coder):
         self.coder = coder
@@ -127,7 +157,7 @@ class _Words(dict):
         if len(self) >= WORDS:
             self.clear()
         path = self.coder.automaton.path("".join([self.coder.letters[b] for b in word.encode("utf-8", "surrogatepass")]))
-        got = " ".join(map(str, path)), " ".join([self.coder.automaton.labels[i] for i in path])
+        got = " ".join(map(str, path))
         if len(word) < 200:
             self[word] = got
         return got
@@ -144,7 +174,8 @@ class Coder:
         self.automaton = Automaton(model["vocab"], merges, model["end_of_word_suffix"])
         self.letters = byte_letters()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.special_of = {i: s for s, i in self.special.items()}
+        labels = self.automaton.labels | {i: s for s, i in self.special.items()}
+        self.label_of = labels | {str(i): s for i, s in labels.items()}  # ids as numbers or digits
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"].replace(r"\s", SPACES))
@@ -162,30 +193,29 @@ class Coder:
         text = text.lower() if "Σ" not in text else "".join([c.lower() for c in text])
         return self.words.findall(text)
 
-    def pieces(self, text: str) -> list[tuple[str, str]]:
-        """(ids, labels) of each word or special token in order."""
+    def encoded(self, text: str) -> str:
+        """The ids of a text, joined by spaces."""
         known, out = self.known, []
         parts = self.specials.split(text) if "<|" in text else [text]
         for part in parts:
             if part in self.special:
-                out.append((str(self.special[part]), part))
+                out.append(str(self.special[part]))
             elif part:
                 out += [known[w] for w in self.split(part)]
-        return out
+        return " ".join(out)
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for ids, _ in self.pieces(text or "") for i in ids.split(" ")]
+        return [int(i) for i in self.encoded(text or "").split()]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int] | list[str]) -> str:
         """The labels of the arcs, joined by spaces as a tokenizer without a decoder joins them."""
-        labels = self.automaton.labels
-        return " ".join([self.special_of.get(i) or labels[i] for i in ids])
+        return " ".join(map(self.label_of.__getitem__, ids))
 
     def digests(self, text: str) -> tuple[int, str, str]:
-        pieces = self.pieces(text)
-        ids = " ".join([p[0] for p in pieces])
-        labels = " ".join([p[1] for p in pieces])
-        return (ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(labels.encode()).hexdigest())
+        """Number of ids, and digests of the ids and of what they decode to."""
+        joined = self.encoded(text)
+        ids = joined.split()
+        return (len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest())
 
 
 @lru_cache(2)
@@ -231,9 +261,9 @@ def with_round_trip(documents: DataFrame, path: str, text: str = "text") -> Data
         of = coder(path)
 
         def run(texts: list[str]) -> list[list]:
-            ids = [of.encode(t) for t in texts]
-            joined = [hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in ids]
-            return [ids, [len(x) for x in ids], joined, [hashlib.sha256(of.decode(x).encode()).hexdigest() for x in ids]]
+            ids = [of.encoded(t).split() for t in texts]
+            joined = [hashlib.sha256(" ".join(x).encode()).hexdigest() for x in ids]
+            return [[list(map(int, x)) for x in ids], [len(x) for x in ids], joined, [hashlib.sha256(of.decode(x).encode()).hexdigest() for x in ids]]
 
         return run
 

@@ -1,5 +1,7 @@
 import hashlib
+from collections import Counter
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
@@ -38,12 +40,62 @@ def test_query_matches_the_library(spark, library):
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
-def test_automaton_accepts_one_path():
-    coder = bpe.coder(tokenizer_path())
-    path = coder.automaton.path("hello")
-    assert all(coder.automaton.arc(a, b) for a, b in zip(path, path[1:]))
-    letters = coder.automaton.ids
-    assert not coder.automaton.arc(letters["h"], letters["e"])  # merged pairs have no arc left
+def test_every_label_spells_itself():
+    automaton = bpe.coder(tokenizer_path()).automaton
+    ends = {s: i for s, i in automaton.ids.items() if s.endswith(automaton.suffix)}
+    assert len(ends) > 30_000
+    assert all(automaton.path(s.removesuffix(automaton.suffix)) == [i] for s, i in ends.items())
+
+
+def by_copies(vocab, merges):
+    """The table as the gadgets build it: one row and one column copied for each merge."""
+    n = len(vocab)
+    table = np.zeros((n, n), bool)
+    base = [i for s, i in vocab.items() if len(s.removesuffix("$")) == 1]
+    table[np.ix_(base, base)] = True
+    for u, v in merges:
+        a, b, w = vocab[u], vocab[v], vocab[u + v]
+        table[w] = table[b]
+        table[a, b] = False
+        table[:, w] = table[:, a]
+    return table
+
+
+def test_table_is_what_successive_gadgets_build():
+    letters = ["a", "b", "c"]
+    merges = [("a", "b"), ("a", "a"), ("b", "c$"), ("ab", "ab"), ("aa", "a"), ("c", "ab"), ("b", "b"), ("bb", "bb"), ("aa", "bc$"), ("c", "c$"), ("abab", "c$"), ("b", "a")]
+    vocab = {s: i for i, s in enumerate(letters + [x + "$" for x in letters] + [u + v for u, v in merges])}
+    automaton, table = bpe.Automaton(vocab, merges, "$"), by_copies(vocab, merges)
+    for s, i in vocab.items():
+        if not s.endswith("$"):
+            assert [automaton.arc(i, j) for j in range(len(vocab))] == table[i].tolist(), s
+
+
+def merged(word, ranks):
+    """Byte-pair merging by hand."""
+    parts = [*word[:-1], word[-1] + "$"]
+    while True:
+        found = min(((ranks[p], k) for k, p in enumerate(zip(parts, parts[1:])) if p in ranks), default=None)
+        if found is None:
+            return parts
+        k = found[1]
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+
+def test_automaton_spells_as_merging_does():
+    rng = np.random.default_rng(3)
+    alphabet = "abcd"
+    words = ["".join(rng.choice(list(alphabet), int(rng.integers(1, 9)))) for _ in range(400)]
+    merges, corpus = [], [[*w[:-1], w[-1] + "$"] for w in words]
+    for _ in range(60):  # a vocabulary whose merges all apply
+        counts = Counter(p for c in corpus for p in zip(c, c[1:]))
+        best = min(counts, key=lambda p: (-counts[p], p))
+        merges.append(best)
+        corpus = [merged(w, {p: i for i, p in enumerate(merges)}) for w in words]
+    vocab = {s: i for i, s in enumerate([*alphabet, *[x + "$" for x in alphabet], *dict.fromkeys(u + v for u, v in merges)])}
+    automaton, ranks = bpe.Automaton(vocab, merges, "$"), {p: i for i, p in enumerate(merges)}
+    for word in {"".join(rng.choice(list(alphabet), int(rng.integers(1, 14)))) for _ in range(3000)}:
+        assert [automaton.labels[i] for i in automaton.path(word)] == merged(word, ranks), word
 
 
 def test_defined_cases(spark):
