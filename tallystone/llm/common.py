@@ -13,18 +13,24 @@ from pyspark.sql import types as T
 
 #: Text bytes handled at once inside a Python task.
 SLICE_BYTES = 2 << 20
+#: Parts that the rows of a key are spread over where any share of all rows may hold it.
+SALTS = 16
 
 
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors share: the session's checkpoint directory.
 
-    A cluster names it in spark.checkpoint.dir. Where nothing is set (tests on
-    one machine) a temporary folder is used.
+    A cluster names it in spark.checkpoint.dir. Where nothing is set and the
+    master is a local one (tests on one machine), a temporary folder is used.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallystone-"))
+        if named is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="tallystone-")
+        sc.setCheckpointDir(named)
     return str(sc.getCheckpointDir())
 
 
@@ -47,6 +53,16 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def salted_join(rows: DataFrame, keyed: DataFrame, on: str, by: str, how: str = "inner") -> DataFrame:
+    """Join ``keyed``, one row a value of ``on``, to rows of which any share may hold one value.
+
+    ``keyed`` is repeated SALTS times, rows are spread by ``by``.
+    """
+    salt = fresh(rows, "__salt")
+    many = keyed.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(many, [on, salt], how).drop(salt)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or longer where ``df`` has such a column."""
     taken = {c.lower() for c in df.columns}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallystone.llm.common import saved
+from tallystone.llm.common import salted_join, saved
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -15,8 +15,8 @@ def _least(edges: DataFrame) -> DataFrame:
 def roots(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b): the smallest node it reaches.
 
-    Hubs are pre-aggregated before each shuffle; the joins against them leave
-    skew to the adaptive skew join. Edges are saved after every round.
+    Hubs are pre-aggregated before each shuffle, and the joins against them are
+    salted. Edges are saved after every round.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now, seen = saved(now, "edges"), None
@@ -26,9 +26,9 @@ def roots(edges: DataFrame) -> DataFrame:
             break
         seen = mark
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = salted_join(both, _least(both), "u", "v").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         large = saved(large, "large-star")
         least = _least(large)
-        small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = salted_join(large, least, "u", "v").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

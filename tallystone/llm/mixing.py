@@ -9,25 +9,39 @@ from the document's id and w its quality weight: documents are taken until their
 prefix sum reaches the budget, and the last one is cut there, so a source's
 taken words differ from its target by less than one word.
 
-A source may hold any share of all rows: sums over ranges of the keys find the
-range in which its budget ends, and only that range is ordered.
+The quality weight is learned from labels: the naive Bayes chance that a document
+is good, given the bands of its characters a word and of its share of symbols,
+counted over all labelled documents outside the held-out fold, and LEAST_WEIGHT at
+least. Without labels of both kinds all documents weigh the same.
+
+A source may hold any share of all rows: the range of keys in which its budget
+ends is narrowed by quantiles and sums until it holds ORDERED rows or so, and only
+those are ordered.
 
 Defined cases: null and empty texts have size 0 and take 0 words; repeated rows
 are rows of their own; ties in the keys are ordered by id, size and the row's
 hash, and rows that are equal in all columns take equally; an empty table gives
-no rows.
+no rows; columns named as results are replaced, others are kept whatever their
+names; null labels and ids teach nothing; very long texts are counted whole.
 """
 
 from __future__ import annotations
 
+from math import exp, inf, log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallystone.llm.common import saved, without
+from tallystone.llm.common import held_out, saved, without
 
 WORD = r"[^\x20\x09-\x0D]+"
-CAP, SEED, RANGE_ROWS = 3, 11, 20_000
+CAP, SEED = 3, 11
+LEAST_WEIGHT = 0.1
+#: Rows of a source that are ordered, and pieces its range of keys is cut into at a time.
+ORDERED, PIECES = 1000, 32
+#: Last bands of the two features.
+LENGTHS, SYMBOLS = 40, 20
 RESULTS = ["size", "source_size", "target", "taken"]
 
 
@@ -35,13 +49,46 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def quality_weight(text: Column, size: Column) -> Column:
-    """From 0.5 to 1.5: highest for texts with about 6.5 characters to a word, white space included.
+def bands(text: Column, size: Column) -> Column:
+    """(characters a word, share of symbols) in bands; 0 for texts without words."""
+    n = F.nullif(size, F.lit(0))
+    length = F.least(F.lit(LENGTHS), F.floor(2 * F.length(text) / n) + 1)
+    symbols = F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))
+    share = F.least(F.lit(SYMBOLS), F.floor(2 * F.log2(1 + 1000 * symbols / F.nullif(F.length(text), F.lit(0)))) + 1)
+    return F.struct(F.coalesce(length, F.lit(0)).cast("int").alias("length"), F.coalesce(F.when(n.isNotNull(), share), F.lit(0)).cast("int").alias("symbols"))
+
+
+def weights(order: DataFrame, labels: DataFrame | None) -> list[list[float]] | None:
+    """Log odds of a good document by band: a table for each feature, the first with the prior.
 
-    Runs without spaces, lists of single letters and empty texts weigh 0.5.
+    ``order`` has id and bands of all documents. The driver gets a count for
+    each feature, band and label.
     """
-    per_word = F.length(text) / F.nullif(size, F.lit(0))
-    return F.coalesce(1.5 - F.least(F.lit(1.0), F.abs(per_word - 6.5) / 6.5), F.lit(0.5)).cast("double")
+    if labels is None:
+        return None
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.groupBy(F.col("doc_id").cast("string").alias("id")).agg(F.max("quality").alias("y"))
+    seen = order.join(known, "id").groupBy("bands", "y").agg(F.count(F.lit(1)).alias("n")).collect()
+    totals = [sum(r["n"] for r in seen if r["y"] == y) for y in (0, 1)]
+    if not all(totals):
+        return None
+    out = []
+    for feature, last in (("length", LENGTHS), ("symbols", SYMBOLS)):
+        counts = [[1.0] * (last + 1) for _ in (0, 1)]
+        for r in seen:
+            counts[r["y"]][r["bands"][feature]] += r["n"]
+        out.append([log(good / (totals[1] + last + 1)) - log(bad / (totals[0] + last + 1)) for bad, good in zip(*counts, strict=True)])
+    prior = log(totals[1] / totals[0])
+    return [[x + prior for x in out[0]], out[1]]
+
+
+def quality_weight(found: Column, odds: list[list[float]] | None) -> Column:
+    """From LEAST_WEIGHT to 1."""
+    if odds is None:
+        return F.lit(1.0)
+    chance = [[round(1 / (1 + exp(-max(-30.0, min(30.0, a + b)))), 9) for b in odds[1]] for a in odds[0]]
+    table = F.array(*[F.array(*[F.lit(max(LEAST_WEIGHT, x)) for x in line]) for line in chance])
+    return table[found["length"]][found["symbols"]]
 
 
 def targets(sizes: dict[str | None, int], cap: int = CAP) -> dict[str | None, float]:
@@ -62,59 +109,95 @@ def targets(sizes: dict[str | None, int], cap: int = CAP) -> dict[str | None, fl
     return out
 
 
-def with_order(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Append size and what orders a source's documents: the exponential key, id, size, and a hash of the row."""
+def with_draws(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The columns as one, ``row``, with the source of each, its size, id, bands, uniform draw and hash."""
     base = without(documents, RESULTS)
     own = [F.col(f"`{c}`") for c in base.columns]
+    id_ = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     u = (F.pmod(F.xxhash64(F.lit(SEED), F.col(doc_id).cast("string")), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
-    out = base.select(*own, n_words(F.col(text)).alias("size"))
-    key = -F.log(u) / quality_weight(F.col(text), F.col("size"))
-    return out.withColumn("__order", F.struct(key.alias("key"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"), F.col("size").alias("n"), F.xxhash64(*own).alias("h")))
+    out = base.select(F.struct(*own).alias("row"), n_words(F.col(text)).alias("size"), id_.alias("id"), u.alias("u"), F.xxhash64(*own).alias("h"))
+    return out.withColumn("bands", bands(F.col(f"row.`{text}`"), F.col("size")))
 
 
-def cutoffs(order: DataFrame, plan: DataFrame) -> DataFrame:
-    """(__source, __cut, __each): where each source's budget ends in its order.
+def order_of(odds: list[list[float]] | None) -> Column:
+    """What orders a source's documents: the exponential key, id, size, and a hash of the row."""
+    return F.struct((-F.log("u") / quality_weight(F.col("bands"), odds)).alias("key"), "id", F.col("size").alias("n"), "h")
 
-    ``order`` has __source, size and __order of all rows, ``plan`` a row for
-    each source. Sums of the keys' ranges find the range in which the budget
-    ends, so only that range is ordered. Rows that nothing tells apart share
+
+def narrowed(order: DataFrame, plan: dict[str | None, tuple[int, int]]) -> dict[str | None, tuple[float, float, int]]:
+    """For each source (lo, hi, words before): its budget ends among keys above lo and up to hi.
+
+    ``plan`` has budget and rows of each source. The driver gets PIECES numbers
+    for a source and pass; a pass leaves the PIECES-th part of a range's rows.
+    """
+    spark, kind = order.sparkSession, order.schema["source"].dataType
+    spans = {s: (-1.0, inf, 0) for s, (budget, _) in plan.items() if budget > 0}
+    wide = {s for s in spans if plan[s][1] > ORDERED}
+    rows = {s: plan[s][1] for s in wide}
+    while wide:
+        names = T.StructType([T.StructField("s", kind), T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())])
+        table = F.broadcast(spark.createDataFrame([(s, *spans[s][:2]) for s in wide], names))  # a row for each source
+        inside = order.join(table, F.col("source").eqNullSafe(F.col("s")) & (F.col("key") > F.col("lo")) & (F.col("key") <= F.col("hi")))
+        at = F.array(*[F.lit(i / PIECES) for i in range(1, PIECES)])
+        cuts = {r[0]: sorted(set(r[1])) for r in inside.groupBy("source").agg(F.percentile_approx("key", at, F.lit(1000)).alias("q")).collect()}
+        names = T.StructType([T.StructField("c", kind), T.StructField("cuts", T.ArrayType(T.DoubleType()))])
+        table = F.broadcast(spark.createDataFrame(list(cuts.items()), names))
+        piece = F.size(F.filter("cuts", lambda c: c < F.col("key"))).alias("piece")
+        sums = inside.join(table, F.col("source").eqNullSafe(F.col("c"))).groupBy("source", piece).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+        for s in list(wide):
+            lo, hi, before = spans[s]
+            edges = [lo, *cuts[s], hi]
+            for r in sorted((r for r in sums if r[0] == s), key=lambda r: r["piece"]):
+                if before + r["n"] >= plan[s][0]:
+                    spans[s] = (edges[r["piece"]], edges[r["piece"] + 1], before)
+                    if r["rows"] <= ORDERED or r["rows"] == rows[s]:  # equal keys are not cut
+                        wide.discard(s)
+                    rows[s] = r["rows"]
+                    break
+                before += r["n"]
+    return spans
+
+
+def cutoffs(order: DataFrame, plan: dict[str | None, tuple[int, int]], odds: list[list[float]] | None) -> DataFrame:
+    """(s, cut, each): where each source's budget ends in its order.
+
+    ``order`` has the draws of all rows. Rows that nothing tells apart share
     what is left evenly.
     """
-    # exp(-key) is nearly uniform, so its ranges are nearly equally full.
-    place = F.floor((1 - F.exp(-F.col("__order.key"))) * F.col("__ranges")).cast("long")
-    rows = order.join(F.broadcast(plan), order["__source"].eqNullSafe(plan["__source"])).select(order["__source"], "size", "__order", "__budget", place.alias("__range"))
-    sums = rows.groupBy("__source", "__range").agg(F.sum("size").alias("n"), F.first("__budget").alias("__budget"))
-    before = Window.partitionBy("__source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    last = sums.where("__before < __budget and __before + n >= __budget").select(F.col("__source").alias("s"), F.col("__range").alias("r"), "__before")
-    inside = rows.join(F.broadcast(last), F.col("__source").eqNullSafe(F.col("s")) & (F.col("__range") == F.col("r")))  # a row for each source
-    alike = inside.groupBy("__source", "__order", "__budget", "__before").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("m"))
-    at = F.col("__before") + F.coalesce(F.sum("n").over(Window.partitionBy("__source").orderBy("__order").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ends = alike.withColumn("__at", at).where("__at < __budget and __at + n >= __budget")
-    return ends.select(F.col("__source").alias("__s"), F.col("__order").alias("__cut"), F.floor((F.col("__budget") - F.col("__at")) / F.col("m")).cast("long").alias("__each"))
-
-
-def mix(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    order = order.withColumn("order", order_of(odds)).withColumn("key", F.col("order.key"))
+    spans = [(s, *span, plan[s][0]) for s, span in narrowed(order, plan).items()]
+    names = T.StructType([T.StructField("s", order.schema["source"].dataType), T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType()), T.StructField("before", T.LongType()), T.StructField("budget", T.LongType())])
+    table = F.broadcast(order.sparkSession.createDataFrame(spans, names))  # a row for each source
+    inside = order.join(table, F.col("source").eqNullSafe(F.col("s")) & (F.col("key") > F.col("lo")) & (F.col("key") <= F.col("hi")))
+    alike = inside.groupBy("s", "order", "before", "budget").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("m"))
+    at = F.col("before") + F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = alike.withColumn("at", at).where("at < budget and at + n >= budget")
+    return ends.select("s", F.col("order").alias("cut"), F.floor((F.col("budget") - F.col("at")) / F.col("m")).cast("long").alias("each"))
+
+
+def mix(documents: DataFrame, labels: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """All rows with size, source_size, target and taken; columns of these names are replaced.
 
-    A first pass saves sizes and orders without the texts; the cutoffs follow
-    from it, and a second pass over the documents compares each with its
-    source's cutoff, so texts are neither shuffled nor copied. Sources are the
-    mixture's components: the driver holds a few numbers for each.
+    ``labels`` (doc_id, quality) teach the weights. A first pass saves sizes and
+    draws without the texts; weights and cutoffs follow from it, and a second
+    pass over the documents compares each with its source's cutoff, so texts are
+    neither shuffled nor copied. Sources are the mixture's components: the
+    driver holds a few numbers for each.
     """
-    spark, rows = documents.sparkSession, with_order(documents, doc_id, text)
-    order = saved(rows.select(F.col(source).alias("__source"), "size", "__order"), "mix-order")
-    totals = order.groupBy("__source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    spark, rows = documents.sparkSession, with_draws(documents, doc_id, text)
+    of = F.col(f"row.`{source}`")
+    order = saved(rows.select(of.alias("source"), "size", "id", "u", "h", "bands"), "mix-order")
+    odds = weights(order, labels)
+    totals = order.groupBy("source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
     goal = targets({r[0]: r["n"] for r in totals})
-    plan = [(r[0], r["n"], goal[r[0]], *_epochs(goal[r[0]], r["n"]), max(1, r["rows"] // RANGE_ROWS)) for r in totals]
-    name = T.StructType([T.StructField("__source", order.schema["__source"].dataType), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("__epochs", T.LongType()), T.StructField("__budget", T.LongType()), T.StructField("__ranges", T.LongType())])
-    planned = spark.createDataFrame(plan, name)
-    ends = cutoffs(order, planned)
-    planned = planned.join(F.broadcast(ends), F.col("__source").eqNullSafe(F.col("__s")), "left")
-    out = rows.join(F.broadcast(planned), F.col(source).eqNullSafe(F.col("__source")))
-    part = F.when(F.col("__order") < F.col("__cut"), F.col("size")).when(F.col("__order") == F.col("__cut"), F.col("__each")).otherwise(F.lit(0))
-    own = [F.col(f"`{c}`") for c in without(documents, RESULTS).columns]
-    return out.select(*own, "size", "source_size", "target", (F.col("__epochs") * F.col("size") + part).cast("long").alias("taken"))
+    plan = {r[0]: (*_epochs(goal[r[0]], r["n"]), r["n"], r["rows"]) for r in totals}
+    names = T.StructType([T.StructField("name", order.schema["source"].dataType), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("epochs", T.LongType())])
+    planned = spark.createDataFrame([(s, n, goal[s], epochs) for s, (epochs, _, n, _) in plan.items()], names)
+    ends = cutoffs(order, {s: (budget, n_rows) for s, (_, budget, _, n_rows) in plan.items()}, odds)
+    planned = planned.join(F.broadcast(ends), F.col("name").eqNullSafe(F.col("s")), "left")
+    out = rows.withColumn("order", order_of(odds)).join(F.broadcast(planned), of.eqNullSafe(F.col("name")))
+    part = F.when(F.col("order") < F.col("cut"), F.col("size")).when(F.col("order") == F.col("cut"), F.col("each")).otherwise(F.lit(0))
+    return out.select("row.*", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
 
 
 def _epochs(target: float, size: int) -> tuple[int, int]:
@@ -123,14 +206,15 @@ def _epochs(target: float, size: int) -> tuple[int, int]:
     return (words // size, words % size) if size else (0, 0)
 
 
-def mixed(documents: DataFrame) -> DataFrame:
+def mixed(documents: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """The mixture itself: a document once for every epoch that takes it, whole or in part."""
-    rows = mix(documents)
+    own = without(documents, RESULTS).columns
+    rows = mix(documents, labels)
     copies = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    again = rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies)))
-    return again.select(*[F.col(f"`{c}`") for c in without(documents, RESULTS).columns])
+    again = rows.select(*[F.col(f"`{c}`") for c in own], F.explode(F.array_repeat(F.lit(1), copies)))
+    return again.select(*[F.col(f"`{c}`") for c in own])
 
 
-def report(documents: DataFrame) -> DataFrame:
+def report(documents: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """The contract's columns for every document."""
-    return mix(documents.select("doc_id", "source", "text")).select("doc_id", *RESULTS)
+    return mix(documents.select("doc_id", "source", "text"), labels).select("doc_id", *RESULTS)

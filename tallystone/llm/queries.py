@@ -43,7 +43,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.report(_table(spark, sf_dir, "documents"))
+    return mixing.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,14 @@
 """SimHash near-duplicates by Golay-code fuzzy hashing.
 
-A 64-bit fingerprint is cut into segments of 22, 21 and 21 bits. With four
-differing bits at most, some two segments differ in two bits at most each
-(pigeonhole). A segment is taken as a 23-bit word of the perfect Golay code; its
-keys are the indices of all codewords within four bits, one or six. Two words
-that differ in two bits at most always share such a key, by the code's Steiner
-system. The keys of two segments joined give 84 keys a fingerprint on average.
+A 64-bit fingerprint is cut into segments of 22, 21 and 21 bits. A segment is
+taken as a 23-bit word of the perfect Golay code; its indices are those of all
+codewords within four bits, one or six. Two words that differ in two bits at most
+always share such an index, by the code's Steiner system. With four differing bits
+at most, either every segment differs in two bits at most, and the three segments'
+indices joined are a key of 36 bits; or one differs in more and the others in one
+bit together (pigeonhole), so one of them is equal and its bits joined with the
+other's index are a key of 33 or 34. A fingerprint has 180 keys on average, of
+some 10^11, so buckets stay small up to some 10^10 distinct texts.
 
 Distinct fingerprints meet by key, are verified exactly, and every task keeps
 only a spanning forest of the links it found, so a dense group yields fewer
@@ -14,13 +17,15 @@ not compared again. Components of the links follow on DataFrames.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any
 other; fewer than four words are one shingle; equal fingerprints, so repeated
-rows, share a component; a null id is no component's name unless it is alone.
+rows, share a component; a null id is no component's name unless it is alone; an
+empty table gives no rows; very long texts are hashed whole; ``keep_one`` keeps
+all columns whatever their names.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
-from itertools import combinations
+from itertools import combinations, permutations
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallystone.llm.common import saved, with_arrow, without
+from tallystone.llm.common import fresh, salted_join, saved, with_arrow
 from tallystone.llm.components import roots
 
 SHINGLE, SEED, NEAR = 4, 42, 4
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 GENERATOR = 0b110001110101  # of the binary Golay code of length 23
-KEYS_A_TASK = 1 << 20
+KEYS, KEYS_A_TASK = 180, 1 << 20
 #: Buckets above this are searched breadth-first, smaller ones pair by pair.
 LARGE = 64
 
@@ -84,17 +89,23 @@ def golay_tables() -> tuple[np.ndarray, np.ndarray]:
 def fuzzy_keys(fps: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of all keys of the fingerprints."""
     parity, errors = tables
-    parts = []
+    parts, segments = [], []
     for low, bits in SEGMENTS:
         x = (fps.astype(np.uint64) >> np.uint64(low)).astype(np.int64) & ((1 << bits) - 1)
         error = errors[parity[x >> 11] ^ (x & 2047)]
+        segments.append(x)
         parts.append(np.where(error >= 0, (x[:, None] ^ error) >> 11, -1))
     rows, keys = [], []
-    for pair, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-        both = (parts[i][:, :, None] << 12 | parts[j][:, None, :]).reshape(len(fps), -1)
-        row, col = np.nonzero(((parts[i] >= 0)[:, :, None] & (parts[j] >= 0)[:, None, :]).reshape(len(fps), -1))
+
+    def add(kind: int, key: np.ndarray, some: np.ndarray) -> None:
+        row, col = np.nonzero(some.reshape(len(fps), -1))
         rows.append(row)
-        keys.append(both[row, col] | pair << 24)
+        keys.append(key.reshape(len(fps), -1)[row, col] | kind << 36)
+
+    a, b, c = parts[0][:, :, None, None], parts[1][:, None, :, None], parts[2][:, None, None, :]
+    add(0, a << 24 | b << 12 | c, (a >= 0) & (b >= 0) & (c >= 0))
+    for kind, (i, j) in enumerate(permutations(range(3), 2), 1):
+        add(kind, segments[i][:, None] << 12 | parts[j], parts[j] >= 0)
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -155,7 +166,7 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndar
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b) that connect whatever distinct fingerprints of column ``fp`` reach each other."""
     n = fps.count()
-    tasks = max(1, n * 84 // KEYS_A_TASK, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(1, n * KEYS // KEYS_A_TASK, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     schema = T.StructType().add("key", "long").add("fp", "long")
 
     def keyed(batches):
@@ -185,22 +196,23 @@ def component_of(rows: DataFrame) -> DataFrame:
     found = roots(links(nodes.select("fp")))
     rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(names, "root").select("fp", "component_id")
+    return salted_join(rooted, names, "root", "fp").select("fp", "component_id")
 
 
 def report(documents: DataFrame) -> DataFrame:
     """doc_id, fingerprint and component_id of every document."""
     rows = saved(with_fingerprints(documents.select("doc_id", "text")).select("doc_id", "fp"), "simhash-rows")
-    out = rows.join(component_of(rows), "fp")
+    out = salted_join(rows, component_of(rows), "fp", "doc_id")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document, that of the smallest id, of every group of linked ones; columns stay."""
-    marked = with_fingerprints(without(documents, ["__row", "__fp"]), text, "__fp").withColumn("__row", F.monotonically_increasing_id())
+    row, fp = fresh(documents, "__row"), fresh(documents, "__fp")
+    marked = with_fingerprints(documents, text, fp).withColumn(row, F.monotonically_increasing_id())
     marked = saved(marked, "simhash-marked")
-    rows = marked.select(F.col(doc_id).alias("doc_id"), F.col("__fp").alias("fp"), "__row")
-    best = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("best"))
+    rows = marked.select(F.col(doc_id).alias("doc_id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
+    best = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))
     named = component_of(rows)
-    kept = best.join(named, "fp").groupBy("component_id").agg(F.min("best").alias("best")).select(F.col("best.__row").alias("__row"))
-    return marked.join(kept, "__row", "left_semi").drop("__row", "__fp")
+    kept = best.join(named, "fp").groupBy("component_id").agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
+    return marked.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in documents.columns])

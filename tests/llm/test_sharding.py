@@ -1,4 +1,5 @@
 import zlib
+from math import comb
 
 import numpy as np
 import pytest
@@ -32,6 +33,8 @@ def test_shuffle_is_uniform(spark):
         table[a, s] += 1
     # Chi-square of origin against shard: 25 degrees of freedom.
     assert ((table - 1000 / 6) ** 2 / (1000 / 6)).sum() < 60
+    # Exactly the drawn matrix: partitions keep their rows, and each deals out its line.
+    assert table.tolist() == sharding.matrix([1000] * 6, 6).tolist()
     first = rows.sort_values(["shard", "slot"])["id"].to_numpy()
     assert abs(np.corrcoef(first, np.arange(6000))[0, 1]) < 0.06
 
@@ -49,6 +52,35 @@ def test_empty_and_clashing(spark):
     assert [c.lower() for c in out.columns].count("shard") == 1
 
 
+def test_internal_names_may_clash(spark):
+    names = ["part", "at", "key", "block", "row", "n", "rank", "before", "__part", "Slot"]
+    df = spark.createDataFrame([tuple(range(10)), tuple(range(10, 20))], names)
+    out = sharding.shard(df, shards=2)
+    assert out.columns == [*names[:-1], "shard", "slot"]
+    assert sorted(tuple(r)[:9] for r in out.collect()) == [tuple(range(9)), tuple(range(10, 19))]
+
+
+def test_equal_rows_are_dealt_apart(spark):
+    rows = sharding.shard(spark.createDataFrame([("same",)] * 2400, "text string").repartition(2), shards=4).toPandas()
+    assert rows.groupby("shard").size().tolist() == [600] * 4
+
+
+def test_binomial_path_draws_the_hypergeometric_law(monkeypatch):
+    monkeypatch.setattr(sharding, "GENERATOR_RANGE", 0)
+    monkeypatch.setattr(sharding, "SINGLE", 1)
+    rng, good, bad, n = np.random.default_rng(2), 7, 9, 6
+    got = np.bincount([sharding._draw(rng, good, bad, n) for _ in range(6000)], minlength=n + 1)
+    want = 6000 * np.array([comb(good, k) * comb(bad, n - k) for k in range(n + 1)]) / comb(good + bad, n)
+    assert ((got - want) ** 2 / want).sum() < 22  # six degrees of freedom
+
+
+def test_large_draws_have_the_right_spread():
+    rng, good, bad, n = np.random.default_rng(6), 3 * 10**10, 7 * 10**10, 10**9
+    got = np.array([sharding._draw(rng, good, bad, n) for _ in range(400)])
+    sd = (n * 0.3 * 0.7 * (1 - n / 10**11)) ** 0.5
+    assert abs(got.mean() - 0.3 * n) < 4 * sd / 20 and 0.8 < got.std() / sd < 1.2
+
+
 @pytest.mark.parametrize("case", [(10, 0, 4), (0, 10, 4), (2_000_000_000, 2_000_000_000, 10), (2_000_000_000, 2_000_000_000, 1_000_000)])
 def test_draws_stay_in_range(case):
     good, bad, n = case
