@@ -1,26 +1,36 @@
-"""Licence scans: TF-IDF cosine of lines to templates, then inheritance by directory; DataFrame operations only.
-
-Every line of every whole text is a sparse vector of its words, weighted by term
-frequency and inverse document frequency. Document frequencies of all words are
-counted over all documents. Only lines that share a word with some template's prefix are scored: the words of a
-template from the rarest on, until the rest alone cannot reach the threshold, so
-no line at the threshold or above is missed.
-
-Every whole text is a vector too and is scored against full licence texts, kept in
-``licence_texts``, through an inverted index of each text's rarer words. Only
-documents that hold enough of a text's weight to reach the threshold are scored.
-
-A document's own licence is that of its best line or of its whole text. A document
-that matches as a whole, or at least a third of whose words stand in matching
-lines, is a licence file and speaks for its directory. A document without a licence of its own inherits from the nearest
-ancestor directory that has a licence file. Directories are resolved once each,
-not once for each document, and documents join them salted, as one directory may
-hold any share of the rows.
+"""Licence scans: TF-IDF cosine of headers and licence files to templates, then inheritance by directory; DataFrame operations only.
+
+Units of text are sparse vectors of their words, weighted by term frequency and
+inverse document frequency, counted over all words of all documents:
+
+- Every line is scored against one-line notices. Only lines that share a word with
+  some notice's prefix are: the words of a notice from the rarest on, until the
+  rest alone cannot reach the threshold, so no line at the threshold is missed.
+- Every paragraph is scored against the headers that licences ask for, so a header
+  may be wrapped over lines and stand in comments.
+- Every whole text is scored against full licence texts, kept in ``licence_texts``.
+
+An inverted index of the rarer words of headers and full texts finds the documents
+that hold enough of their weight to reach the threshold; only these are scored. An
+SPDX tag is taken as it stands.
+
+A document's own licence is that of its best unit. A document that matches as a
+whole, or at least a third of whose words stand in matching lines outside comments,
+is a licence file and speaks for its directory; a header or a comment speaks for
+its own file only, and so does a text that begins with a comment, unless its name
+says that it is a licence file. A document without a licence of its own inherits from the
+nearest ancestor directory that has a licence file, unless its name says that it is
+a licence file itself. Directories are resolved once each, not once for each
+document, and documents join them salted, as one directory may hold any share of
+the rows.
 
 Defined cases: null and empty texts have no licence of their own; equal scores
-go to the first template in order of names, lines before whole texts; of several licence files of a
-directory the best scored speaks, then the smallest path; repeated rows are rows
-of their own; a null path has no directory and inherits nothing.
+go to tags, then notices in order of names, then headers, then whole texts; of
+several licence files of a directory the best scored speaks, then the smallest
+path; repeated rows are rows of their own; a null path has no directory and inherits
+nothing; a path without a slash lies in the root, which is above all directories;
+very long texts are read whole; an empty table gives no rows; columns named as
+results are replaced, others are kept whatever their names but ``__row``.
 """
 
 from __future__ import annotations
@@ -30,7 +40,7 @@ import re
 from math import log, sqrt
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallystone.llm.common import saved, without
@@ -42,7 +52,25 @@ TEMPLATES = {
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "MIT": "Released under the MIT License.",
 }
+_GNU = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+#: The telling paragraph of the headers that licences ask for.
+HEADERS = {
+    "AGPL-3.0": _GNU.format("Affero General Public License", 3),
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)",
+    "CC-BY-4.0": "This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/ or send a letter to Creative Commons.",
+    "GPL-2.0": _GNU.format("General Public License", 2),
+    "GPL-3.0": _GNU.format("General Public License", 3),
+    "LGPL-2.1": _GNU.format("Lesser General Public License", "2.1").replace("program", "library"),
+    "LGPL-3.0": _GNU.format("Lesser General Public License", 3).replace("program", "library"),
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+}
 THRESHOLD, FILE_SHARE, SALTS = 0.6, 3, 16
+TAG = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+)"
+#: What parts paragraphs: lines without letters and digits.
+BETWEEN = r"\n[^\p{L}\p{N}\n]*\n"
+#: How a line of a comment begins, and how files of licences are called.
+COMMENT, LICENCE_NAME = r"^\s*(#|//|/\*|\*|--|;|%|<!--|\.\\\")", r"(?i)^((un)?licen[cs]es?|copying|copyright|notice)([.\-_].*)?$"
 RESULTS = ["own_licence", "own_score", "is_licence_file", "licence", "inherited_from"]
 NOT_WORD = "[^a-z0-9]+"
 
@@ -98,7 +126,8 @@ def line_scores(documents: DataFrame, text: str, templates: dict[str, str], thre
     some = documents.where(F.lower(F.col(text)).rlike("|".join(prefix) or "$^"))
     lines = some.select("__row", F.posexplode(F.split(text, "\n", -1)).alias("__line", "line")).withColumn("words", words_of(F.col("line")))
     lines = lines.where(F.arrays_overlap("words", F.lit(prefix)))
-    terms = lines.select("__row", "__line", F.size("words").alias("n"), F.explode("words").alias("w")).groupBy("__row", "__line", "n", "w").count()
+    n = F.when(F.col("line").rlike(COMMENT), 0).otherwise(F.size("words")).alias("n")
+    terms = lines.select("__row", "__line", n, F.explode("words").alias("w")).groupBy("__row", "__line", "n", "w").count()
     terms = terms.join(frequencies, "w")
     value = F.col("count") * F.log(1 + F.lit(total) / F.col("df"))
     sums = [F.sum(value * value).alias("norm")]
@@ -114,8 +143,13 @@ def line_scores(documents: DataFrame, text: str, templates: dict[str, str], thre
     return top.select("__row", "__line", "n", "best")
 
 
-def file_scores(documents: DataFrame, text: str, texts: dict[str, str], threshold: float, frequencies: DataFrame, total: int, place: int) -> DataFrame:
-    """(__row, n, best) of the whole texts at the threshold; places begin below ``place``; needs ``__row``."""
+def table_of(spark: SparkSession, rows: list[dict], kind: str) -> DataFrame:
+    """A table of the templates, broadcast: its size is that of their words."""
+    return F.broadcast(spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind}>>"))))
+
+
+def index_of(spark: SparkSession, texts: dict[str, str], threshold: float, frequencies: DataFrame, total: int, place: int) -> tuple[DataFrame, DataFrame]:
+    """The texts' words (w, i, v, rare) and the texts (i, name, place, norm2, rest); places begin below ``place``."""
     words = template_words(texts)
     idf = idf_of(frequencies, total, words)
     index, sizes = [], []
@@ -127,64 +161,96 @@ def file_scores(documents: DataFrame, text: str, texts: dict[str, str], threshol
             rest += 0.0 if rare else x
             index.append({"w": w, "i": i, "v": sqrt(x), "rare": rare})
         sizes.append({"i": i, "name": name, "place": place - i, "norm2": norm2, "rest": rest})
-    spark = documents.sparkSession
-    table = lambda rows, kind: F.broadcast(spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind}>>"))))
-    index, sizes = table(index, "w:string,i:int,v:double,rare:boolean"), table(sizes, "i:int,name:string,place:int,norm2:double,rest:double")
+    return table_of(spark, index, "w:string,i:int,v:double,rare:boolean"), table_of(spark, sizes, "i:int,name:string,place:int,norm2:double,rest:double")
 
-    # cos(d, t) is at most the norm of what t shares with d over the norm of t.
+
+def likely(documents: DataFrame, text: str, index: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """(__row, i) of the documents that hold enough of a text's weight: a cosine is at most the norm of what is shared over the text's norm."""
     held = documents.select("__row", F.explode(F.array_distinct(words_of(F.col(text)))).alias("w")).join(index.where("rare"), "w")
     held = held.groupBy("__row", "i").agg(F.sum(F.col("v") * F.col("v")).alias("shared")).join(sizes, "i")
-    likely = held.where(F.col("shared") + F.col("rest") >= threshold**2 * F.col("norm2") * (1 - 1e-9)).select("__row").distinct()
-
-    terms = documents.join(saved(likely, "licence-likely"), "__row", "left_semi").select("__row", F.explode(words_of(F.col(text))).alias("w")).groupBy("__row", "w").count()
-    valued = saved(terms.join(frequencies, "w").select("__row", "w", "count", (F.col("count") * F.log(1 + F.lit(total) / F.col("df"))).alias("value")), "licence-terms")
-    norms = valued.groupBy("__row").agg(F.sum("count").alias("n"), F.sum(F.col("value") * F.col("value")).alias("norm"))
-    dots = valued.join(index, "w").groupBy("__row", "i").agg(F.sum(F.col("value") * F.col("v")).alias("dot"))
-    scored = dots.join(norms, "__row").join(sizes, "i").select("__row", "n", F.struct(F.round(F.col("dot") / F.sqrt(F.col("norm") * F.col("norm2")), 6).alias("score"), "place", "name").alias("best"))
-    return scored.groupBy("__row").agg(F.max("n").alias("n"), F.max("best").alias("best")).where(F.col("best.score") >= threshold)
+    return held.where(F.col("shared") + F.col("rest") >= threshold**2 * F.col("norm2") * (1 - 1e-9)).select("__row", "i")
+
+
+def unit_scores(units: DataFrame, index: DataFrame, sizes: DataFrame, threshold: float, frequencies: DataFrame, total: int, name: str) -> DataFrame:
+    """(__row, n, best) of the units (__row, __line, words) at the threshold."""
+    key = ["__row", "__line"]
+    terms = units.select(*key, F.explode("words").alias("w")).groupBy(*key, "w").count()
+    valued = saved(terms.join(frequencies, "w").select(*key, "w", "count", (F.col("count") * F.log(1 + F.lit(total) / F.col("df"))).alias("value")), name)
+    norms = valued.groupBy(*key).agg(F.sum("count").alias("n"), F.sum(F.col("value") * F.col("value")).alias("norm"))
+    dots = valued.join(index, "w").groupBy(*key, "i").agg(F.sum(F.col("value") * F.col("v")).alias("dot"))
+    scored = dots.join(norms, key).join(sizes, "i").select(*key, "n", F.struct(F.round(F.col("dot") / F.sqrt(F.col("norm") * F.col("norm2")), 6).alias("score"), "place", "name").alias("best"))
+    return scored.groupBy(*key).agg(F.max("n").alias("n"), F.max("best").alias("best")).where(F.col("best.score") >= threshold).select("__row", "n", "best")
+
+
+def file_scores(documents: DataFrame, text: str, texts: dict[str, str], headers: dict[str, str], threshold: float, frequencies: DataFrame, total: int, place: int) -> DataFrame:
+    """(__row, n, best) of whole texts and of paragraphs at the threshold; a paragraph's n is 0; needs ``__row``."""
+    spark, counts = documents.sparkSession, (frequencies, total)
+    heads = {f"header {name}": t for name, t in headers.items()}
+    index, sizes = index_of(spark, heads | texts, threshold, *counts, place)  # headers come first by name
+    is_head = F.col("name").startswith("header ")
+    found = saved(likely(documents, text, index, sizes, threshold).join(sizes.select("i", is_head.alias("head")), "i").select("__row", "head").distinct(), "licence-likely")
+    some = lambda head: documents.join(found.where("head" if head else "not head"), "__row", "left_semi")
+    whole = some(False).select("__row", F.lit(0).alias("__line"), words_of(F.col(text)).alias("words"))
+    parts = some(True).select("__row", F.posexplode(F.split(text, BETWEEN, -1)).alias("__line", "part")).select("__row", "__line", words_of(F.col("part")).alias("words"))
+    of = lambda head: (index.join(sizes.where(is_head if head else ~is_head).select("i"), "i"), sizes.where(is_head if head else ~is_head))
+    files = unit_scores(whole, *of(False), threshold, *counts, "licence-file-terms")
+    files = saved(files, "licence-whole")  # a licence's own text quotes its header
+    paragraphs = unit_scores(parts, *of(True), threshold, *counts, "licence-header-terms").withColumn("n", F.lit(0).cast("long")).join(files, "__row", "left_anti")
+    plain = F.struct("best.score", "best.place", F.regexp_replace("best.name", "^header ", "").alias("name")).alias("best")
+    return files.unionByName(paragraphs).select("__row", "n", plain)
+
+
+def folder(path: Column) -> Column:
+    """The directory of a path; the root is the empty string."""
+    return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).when(path.isNotNull(), F.lit(""))
 
 
 def ancestors(path: Column) -> Column:
     """The directories above a path, nearest first; the root is the empty string."""
     parts = F.split(path, "/")
-    return F.transform(F.sequence(F.size(parts) - 1, F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    above = F.transform(F.sequence(F.size(parts) - 1, F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    return F.array_union(above, F.array(F.lit("")))
 
 
-def scan(documents: DataFrame, path: str = "path", text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD, texts: dict[str, str] | None = None) -> DataFrame:
+def scan(documents: DataFrame, path: str = "path", text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD, texts: dict[str, str] | None = None, headers: dict[str, str] | None = None) -> DataFrame:
     """All rows with RESULTS and without the text; columns of these names are replaced."""
     base = without(documents, RESULTS)
     own = [F.col(f"`{c}`") for c in base.columns if c != text]
     n = F.coalesce(F.size(words_of(F.col(text))), F.lit(0))
     # Numbers of rows have to be fixed before two passes use them, texts are kept by the table.
     base = saved(base.withColumn("__row", F.monotonically_increasing_id()), "licence-documents")
-    notices, texts = templates or TEMPLATES, full_texts() if texts is None else texts
+    notices, texts, headers = templates or TEMPLATES, full_texts() if texts is None else texts, HEADERS if headers is None else headers
     counts = saved(document_frequencies(base, text), "licence-frequencies"), base.count()
     lines = saved(line_scores(base, text, notices, threshold, *counts).select("__row", "n", "best"), "licence-lines")
-    if texts:
-        lines = lines.unionByName(saved(file_scores(base, text, texts, threshold, *counts, -len(notices)), "licence-files"))
+    if texts or headers:
+        lines = lines.unionByName(saved(file_scores(base, text, texts, headers, threshold, *counts, -len(notices)), "licence-files"))
+    tag = F.struct(F.lit(1.0).alias("score"), F.lit(1).alias("place"), F.regexp_extract(text, TAG, 1).alias("name"))
+    lines = lines.unionByName(base.where(F.col(text).rlike(TAG)).select("__row", F.lit(0).cast("long").alias("n"), tag.alias("best")))
     matched = lines.groupBy("__row").agg(F.max("best").alias("best"), F.sum("n").alias("in_lines"))
-    hits = base.join(matched, "__row").select("__row", "best", (F.col("in_lines") * FILE_SHARE >= n).alias("is_file"), F.col(path).alias("__path"))
+    named = F.coalesce(F.regexp_extract(path, "[^/]*$", 0).rlike(LICENCE_NAME), F.lit(False))
+    is_file = (F.col("in_lines") > 0) & (F.col("in_lines") * FILE_SHARE >= n) & (named | ~F.col(text).rlike(COMMENT))
+    hits = base.join(matched, "__row").select("__row", "best", is_file.alias("is_file"), F.col(path).alias("__path"))
     hits = saved(hits, "licence-hits")
 
-    folder = F.regexp_replace("__path", "/[^/]*$", "")
     order = Window.partitionBy("__dir").orderBy(F.desc("best.score"), F.desc("best.place"), "__path")
-    spoken = hits.where("is_file").withColumn("__dir", folder).withColumn("__k", F.row_number().over(order)).where("__k = 1 and __dir is not null")
+    spoken = hits.where("is_file").withColumn("__dir", folder(F.col("__path"))).withColumn("__k", F.row_number().over(order)).where("__k = 1 and __dir is not null")
     spoken = spoken.select(F.col("__dir").alias("__from"), F.col("best.name").alias("__name"))
 
-    dirs = base.select(F.regexp_replace(path, "/[^/]*$", "").alias("__dir")).where("__dir is not null").distinct()
+    dirs = base.select(folder(F.col(path)).alias("__dir")).where("__dir is not null").distinct()
     above = dirs.select("__dir", F.posexplode(ancestors(F.concat("__dir", F.lit("/")))).alias("__far", "__from"))
     near = above.join(spoken, "__from").groupBy("__dir").agg(F.min_by(F.struct("__from", "__name"), "__far").alias("__near"))
     near = near.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
-    rows = base.select(*own, "__row", F.regexp_replace(path, "/[^/]*$", "").alias("__dir"), F.pmod("__row", F.lit(SALTS)).cast("int").alias("__salt"))
+    rows = base.select(*own, "__row", named.alias("__named"), folder(F.col(path)).alias("__dir"), F.pmod("__row", F.lit(SALTS)).cast("int").alias("__salt"))
     rows = rows.join(hits.select("__row", "best", "is_file"), "__row", "left").join(near, ["__dir", "__salt"], "left")
+    inherits = F.col("best").isNull() & ~F.col("__named")
     return rows.select(
         *own,
         F.col("best.name").alias("own_licence"),
         F.col("best.score").alias("own_score"),
         F.coalesce("is_file", F.lit(False)).alias("is_licence_file"),
-        F.coalesce("best.name", "__near.__name").alias("licence"),
-        F.when(F.col("best").isNull(), F.col("__near.__from")).alias("inherited_from"),
+        F.coalesce("best.name", F.when(inherits, F.col("__near.__name"))).alias("licence"),
+        F.when(inherits, F.col("__near.__from")).alias("inherited_from"),
     )
 
 

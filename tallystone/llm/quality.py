@@ -1,7 +1,7 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 A text's UTF-8 bytes become channels: byte classes and an echo channel (the byte
-is in a stretch of at least six bytes that repeats what stood 2 to 24 bytes
+ends a stretch of at least six bytes that repeats what stood 2 to 24 bytes
 before). Learned filters of 8 bytes slide over them with a stride of 4 and pass
 a rectifier. Chunks of 256 bytes overlap by half and cover the whole text; each
 chunk max-pools every filter. A text's vector is the maximum and the mean of its
@@ -9,7 +9,9 @@ chunks' pooled values, and a logistic unit combines it into one probability.
 
 Defined cases: null and empty texts are one chunk of padding and get that
 chunk's score; repeated rows score alike; with one label only, or none, every
-score is that label (1 without labels, as nothing speaks against a text).
+score is that label (1 without labels, as nothing speaks against a text); an empty
+table gives no rows; very long texts are scored whole, though those above
+MAX_CHARS are not learnt from; columns named as results are replaced, others kept.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ bounded number of counts. The list becomes ordered conditional expressions.
 Defined cases: null and empty texts have no words and fail the base rules;
 repeated rows are rows of their own; without labels of both kinds the list is
 empty and only the base rules reject. Windows are compared by 64-bit hashes of
-their words.
+their words. Very long texts are counted whole; an empty table gives no rows; columns
+named as results are replaced, others kept.
 """
 
 from __future__ import annotations

@@ -1,14 +1,16 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 Features are the n-grams of 5 to 8 bytes of the lower-cased text, white space
-taken as one kind of blank, hashed to 2^22 slots and counted up to CAP a text. A
-slot's scale is its naive Bayes log-count ratio between the two classes;
+taken as one kind of blank, hashed to 2^22 slots; a text's value for a slot is its count, which saturates
+at CAP. A slot's scale is its naive Bayes log-count ratio between the two classes;
 logistic regression learns one weight for each scaled slot. Scoring is linear: a
 text's score is the sigmoid of the summed weights of the n-grams anywhere in it.
 
 Defined cases: null and empty texts hold no n-gram and score the bias alone;
 repeated rows score alike; with labels of one kind only, or none, the score is
-that constant rate (0 without labels).
+that constant rate (0 without labels); an empty table gives no rows; very long
+texts are scored whole, though those above MAX_CHARS are not learnt from; columns
+named as results are replaced, others kept.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ BITS = 22
 ORDERS = (5, 6, 7, 8)
 #: Bound of the fitted sample: rows of each label, and characters of a row.
 PER_CLASS, MAX_CHARS = 2400, 20_000
-#: Slots in the model, those with the largest evidence; what a repeated n-gram counts at most.
+#: The model's shape, the same at every size of the corpus: how many slots it has weights
+#: for, in how many sampled texts a slot must occur, and where an n-gram's count saturates.
 KEEP, LEAST_DOCS, CAP = 4_000, 8, 6
 THRESHOLD = 0.5
 BLANKS = bytes.maketrans(b"\t\n\x0b\x0c\r", b" " * 5)

@@ -28,6 +28,26 @@ def test_inheritance(spark):
     assert licences.scan(df).count() == len(rows)
 
 
+def test_headers_tags_names_and_relative_paths(spark):
+    plain = "int main() { return 0; }"
+    wrap = lambda text: "/*\n" + "\n".join(" * " + " ".join(text.split()[i : i + 8]) for i in range(0, len(text.split()), 8)) + "\n *\n */\n"
+    rows = [(f"h/{name}.c", wrap("Copyright 2020 A. Writer") + wrap(t) + plain * 30) for name, t in licences.HEADERS.items()]
+    rows += [
+        ("LICENSE", licences.full_texts()["MIT"]), ("a.py", plain), ("deep/er/b.py", plain), ("c/COPYING", "all rights reserved by nobody"), ("c/x.c", plain),
+        ("d/c.py", "# " + licences.TEMPLATES["Apache-2.0"]), ("d/e.py", plain), ("f/mit.c", "/*\n" + licences.full_texts()["MIT"] + "*/\nint x;"), ("f/g.c", plain),
+        ("s/tag.c", "// SPDX-License-Identifier: EUPL-1.2\n" + plain),
+    ]
+    plain_rows = [(f"/p{i}/x.c", f"the loop {i} adds the values of a list and of the other to any of them") for i in range(50)]
+    got = {r.path: r for r in licences.scan(spark.createDataFrame(rows + plain_rows, "path string, text string")).collect()}
+    for name in licences.HEADERS:
+        assert got[f"h/{name}.c"].own_licence == name and not got[f"h/{name}.c"].is_licence_file
+    assert got["LICENSE"].is_licence_file and got["a.py"].licence == "MIT" and got["a.py"].inherited_from == "" and got["deep/er/b.py"].licence == "MIT"
+    assert got["c/COPYING"].licence is None and got["c/x.c"].licence == "MIT"  # a licence file never inherits
+    assert got["d/c.py"].own_licence == "Apache-2.0" and not got["d/c.py"].is_licence_file and got["d/e.py"].licence == "MIT"
+    assert got["f/mit.c"].own_licence == "MIT" and not got["f/mit.c"].is_licence_file
+    assert got["s/tag.c"].own_licence == "EUPL-1.2" and got["s/tag.c"].own_score == 1.0
+
+
 def test_everyday_words_weigh_what_the_corpus_says(spark):
     line = "This program is licensed under the GNU General Public License, version 3."
     rows = [(i, f"the program is version {i} of a general work licensed to this public") for i in range(3000)]
