@@ -3,16 +3,21 @@
 A text's payload is its UTF-8 bytes and then zero bytes up to a positive
 multiple of 64. It is stored without loss as the 8-bit samples of a grayscale
 PNG, 64 samples a row, in tar shards whose member names are the payload's
-SHA-256. A row carries digest, shard, offset and length; equal payloads of a
-task share one member. Header-only range reads (the 33 bytes of signature and
-IHDR) fill the metadata columns, and whole members are read back by offset.
+SHA-256. A row carries digest, shard, offset and length. Every payload is stored
+once: digests are counted first, and of the tasks that hold one, the first stores
+it, the others are told to leave it. Header-only range reads (the 33 bytes of
+signature and IHDR) fill the metadata columns, and whole members are read back by
+offset, once a payload however many rows share it.
 
 A shard has a name of its own for every task attempt, and rows name the shard
 they were written to, so a lost or repeated attempt leaves at most an unnamed
-file. The manifest is a saved table, which fixes what later steps read.
+file. Digests and places are saved tables, which fixes what later steps read. Should
+the input's partitions differ between the two passes over it, payloads that nobody
+stored are stored in a third.
 
 Defined cases: null and empty texts store 64 zero bytes; equal texts have equal
-values in all columns that do not locate the copy; empty tables give no rows.
+values in all columns; empty tables give no rows; very long texts are one payload
+each; columns named as results are replaced, others are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +26,6 @@ import hashlib
 import struct
 import uuid
 import zlib
-from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallystone.llm.common import saved, shared_root, slices, without
+from tallystone.llm.common import fresh, salted_join, saved, shared_root, slices, without
+from tallystone.llm.replies import Replies, packed
 
 UNIT = 64
 SHARD_BYTES = 128 << 20
@@ -39,6 +44,7 @@ READ_BYTES = 32 << 20
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER_BYTES = 33
 ENTRY = T.StructType().add("n_bytes", "long").add("payload_bytes", "long").add("digest", "string").add("shard", "string").add("offset", "long").add("length", "long")
+PLACE = T.StructType(ENTRY.fields[3:])
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -85,7 +91,7 @@ def tar_entry(name: str, body: bytes) -> bytes:
 
 
 class ShardWriter:
-    """Appends members to tar shards of bounded size; remembers this shard's digests."""
+    """Appends members to tar shards of bounded size."""
 
     def __init__(self, root: str, limit: int = SHARD_BYTES):
         self.fs, self.folder = pafs.FileSystem.from_uri(root)
@@ -98,16 +104,15 @@ class ShardWriter:
         if self.out is not None and self.at > self.limit:
             self.close()
         if self.out is None:
-            self.name, self.at, self.known = f"{self.stem}-{self.count}.tar", 0, {}
+            self.name, self.at = f"{self.stem}-{self.count}.tar", 0
             self.out = self.fs.open_output_stream(f"{self.folder}/{self.name}")
             self.count += 1
-        if digest not in self.known:
-            media = to_png(payload)
-            entry = tar_entry(f"{digest}.png", media)
-            self.out.write(entry)
-            self.known[digest] = (self.name, self.at + 512, len(media))
-            self.at += len(entry)
-        return self.known[digest]
+        media = to_png(payload)
+        entry = tar_entry(f"{digest}.png", media)
+        self.out.write(entry)
+        place = self.name, self.at + 512, len(media)
+        self.at += len(entry)
+        return place
 
     def close(self) -> None:
         if self.out is not None:
@@ -116,32 +121,73 @@ class ShardWriter:
             self.out = None
 
 
-def store(documents: DataFrame, root: str, text: str = "text") -> DataFrame:
-    """Write every text's payload below ``root``; the documents without text, with their entries.
+def _numbered(documents: DataFrame, text: str) -> DataFrame:
+    return documents.select(F.spark_partition_id().alias("part"), F.col(f"`{text}`").alias("text"))
 
-    Nothing is shuffled. Columns named as the entry's fields are replaced.
-    """
-    base = without(documents, ENTRY.names)
-    kept = [c for c in base.columns if c != text]
-    schema = T.StructType([*[base.schema[c] for c in kept], *ENTRY.fields])
+
+def left_to_others(rows: DataFrame, tasks: int) -> str:
+    """Path of the digests that each task leaves to one before it."""
+    held = rows.select("digest", "part").distinct()
+    first = held.groupBy("digest").agg(F.min("part").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    others = salted_join(held, first, "digest", "part").where("part > first")
+    return packed(others.select(F.col("part").alias("__t"), F.unhex("digest").alias("blob")), tasks, "media-left")
+
+
+def places(documents: DataFrame, root: str, text: str, left: str | None) -> DataFrame:
+    """(digest, shard, offset, length) of what the tasks store: each of their payloads but those left to others."""
 
     def run(batches):
-        writer = ShardWriter(root)
+        writer, done, folder = ShardWriter(root), None, Replies(left) if left else None
         try:
             for batch in batches:
+                if done is None and len(batch):
+                    done = set(folder.blobs(batch.column("part")[0].as_py())) if folder else set()
                 rows: list[tuple] = []
-                for _, texts in slices(batch.column(text)):
+                for _, texts in slices(batch.column("text")):
                     for t in texts:
-                        payload, n = payload_of(t)
-                        digest = hashlib.sha256(payload).hexdigest()
-                        rows.append((n, len(payload), digest, *writer.add(digest, payload)))
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
-                new = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *new], [*kept, *ENTRY.names])
+                        payload, _ = payload_of(t)
+                        digest = hashlib.sha256(payload).digest()
+                        if digest not in done:
+                            done.add(digest)
+                            rows.append((digest.hex(), *writer.add(digest.hex(), payload)))
+                kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["digest", *PLACE.names])
         finally:
             writer.close()
 
-    return saved(base.mapInArrow(run, schema), "media-manifest")
+    stored = saved(_numbered(documents, text).mapInArrow(run, T.StructType([T.StructField("digest", T.StringType()), *PLACE.fields])), "media-places")
+    return stored.groupBy("digest").agg(F.min(F.struct(*PLACE.names)).alias("at")).select("digest", "at.*")
+
+
+def store(documents: DataFrame, root: str, text: str = "text") -> DataFrame:
+    """Write every distinct payload of the texts below ``root``; the documents without text, with their entries.
+
+    Columns named as the entry's fields are replaced.
+    """
+    base = without(documents, ENTRY.names)
+    kept = [c for c in base.columns if c != text]
+    row, known = T.StructType([base.schema[c] for c in kept]), ["n_bytes", "payload_bytes", "digest", "part"]
+    whole = base.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.spark_partition_id().alias("part"), F.col(f"`{text}`").alias("text"))
+
+    def digests(batches):
+        for batch in batches:
+            rows: list[tuple] = []
+            for _, texts in slices(batch.column("text")):
+                for t in texts:
+                    payload, n = payload_of(t)
+                    rows.append((n, len(payload), hashlib.sha256(payload).hexdigest()))
+            new = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *new, batch.column("part")], ["row", *known])
+
+    schema = T.StructType([T.StructField("row", row), *ENTRY.fields[:3], T.StructField("part", T.IntegerType())])
+    rows = saved(whole.mapInArrow(digests, schema), "media-digests")
+    tasks = (rows.agg(F.max("part")).first()[0] or 0) + 1
+    found = places(base, root, text, left_to_others(rows, tasks))
+    if rows.join(found, "digest", "left_anti").limit(1).count():  # the input came in other partitions
+        found = found.unionByName(places(base, root, text, None)).groupBy("digest").agg(F.min(F.struct(*PLACE.names)).alias("at")).select("digest", "at.*")
+    # Equal texts may be any share of the rows; they are spread by what tells rows apart.
+    spread = rows.withColumn("spread", F.monotonically_increasing_id())
+    return saved(salted_join(spread, found, "digest", "spread").select("row.*", *ENTRY.names), "media-manifest")
 
 
 class ShardReader:
@@ -159,36 +205,43 @@ class ShardReader:
         return got
 
 
-def dealt(manifest: DataFrame) -> DataFrame:
-    """The manifest in ranges of locations of about READ_BYTES of media each."""
-    total = manifest.agg(F.sum("length")).first()[0] or 0
-    return manifest.repartitionByRange(max(1, min(-(-total // READ_BYTES) * 4, manifest.sparkSession.sparkContext.defaultParallelism * 4 + total // READ_BYTES)), "shard", "offset").sortWithinPartitions("shard", "offset")
+def dealt(members: DataFrame) -> DataFrame:
+    """Members in ranges of locations of about READ_BYTES of media each."""
+    total = members.agg(F.sum("length")).first()[0] or 0
+    parts = max(1, min(-(-total // READ_BYTES) * 4, members.sparkSession.sparkContext.defaultParallelism * 4 + total // READ_BYTES))
+    return members.repartitionByRange(parts, "shard", "offset").sortWithinPartitions("shard", "offset")
 
 
 def _by_location(manifest: DataFrame, root: str, fields: list[tuple[str, T.DataType, pa.DataType]], make) -> DataFrame:
+    """Append what ``make`` reads of each row's member; members are read once each."""
     base = without(manifest, [n for n, _, _ in fields])
-    schema = T.StructType([*base.schema.fields, *[T.StructField(n, t) for n, t, _ in fields]])
+    members = base.groupBy("digest").agg(F.min(F.struct(*PLACE.names)).alias("at")).select("digest", "at.*")
+    schema = T.StructType([T.StructField("digest", T.StringType()), *[T.StructField(n, t) for n, t, _ in fields]])
 
     def run(batches):
-        reader, known = ShardReader(root), OrderedDict()
+        reader = ShardReader(root)
         for batch in batches:
-            rows = []
-            for at in zip(*[batch.column(c).to_pylist() for c in ("shard", "offset", "length")], strict=True):
-                if at not in known:
-                    known[at] = make(reader, *at)
-                    if len(known) > 4096:  # copies that are next to each other are read once
-                        known.popitem(last=False)
-                rows.append(known[at])
+            rows = [make(reader, *at) for at in zip(*[batch.column(c).to_pylist() for c in PLACE.names], strict=True)]
             new = [pa.array([r[i] for r in rows], k) for i, (_, _, k) in enumerate(fields)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *[n for n, _, _ in fields]])
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), *new], schema.names)
+
+    read = saved(dealt(members).mapInArrow(run, schema), "media-members")
+    spread = fresh(base, "__spread")
+    out = salted_join(base.withColumn(spread, F.monotonically_increasing_id()), read, "digest", spread)
+    return out.select(*[F.col(f"`{c}`") for c in base.columns], *[n for n, _, _ in fields])
+
+
+HEADER = [(n, T.LongType(), pa.int64()) for n in ("width", "height", "depth")]
+FEATURES = [("payload_sha256", T.StringType(), pa.string()), ("tail_crc32", T.LongType(), pa.int64()), ("media_bytes", T.LongType(), pa.int64()), ("media_sha256", T.StringType(), pa.string()), ("feature", T.StringType(), pa.string())]
+
 
-    return base.mapInArrow(run, schema)
+def header_at(reader: ShardReader, shard: str, offset: int, _: int) -> tuple[int, int, int]:
+    return header_of(reader.read(shard, offset, HEADER_BYTES))
 
 
 def with_headers(manifest: DataFrame, root: str) -> DataFrame:
     """Append width, height and depth by range reads of 33 bytes of each member."""
-    kinds = [(n, T.LongType(), pa.int64()) for n in ("width", "height", "depth")]
-    return _by_location(manifest, root, kinds, lambda reader, shard, offset, _: header_of(reader.read(shard, offset, HEADER_BYTES)))
+    return _by_location(manifest, root, HEADER, header_at)
 
 
 def features_of(media: bytes) -> tuple[str, int, int, str, str]:
@@ -202,8 +255,7 @@ def features_of(media: bytes) -> tuple[str, int, int, str, str]:
 
 def with_features(manifest: DataFrame, root: str) -> DataFrame:
     """Read every member back whole and append what its payload and stored form give."""
-    kinds = [("payload_sha256", T.StringType(), pa.string()), ("tail_crc32", T.LongType(), pa.int64()), ("media_bytes", T.LongType(), pa.int64()), ("media_sha256", T.StringType(), pa.string()), ("feature", T.StringType(), pa.string())]
-    return _by_location(manifest, root, kinds, lambda reader, *at: features_of(reader.read(*at)))
+    return _by_location(manifest, root, FEATURES, lambda reader, *at: features_of(reader.read(*at)))
 
 
 def report(documents: DataFrame) -> DataFrame:
@@ -212,5 +264,5 @@ def report(documents: DataFrame) -> DataFrame:
     if "://" not in root:
         root = f"file:{root}" if root.startswith("//") else f"file://{root.removeprefix('file:')}"
     manifest = store(documents.select("doc_id", "text"), root)
-    out = with_features(with_headers(dealt(manifest), root), root)
+    out = _by_location(manifest, root, [*HEADER, *FEATURES], lambda reader, *at: (*header_at(reader, *at), *features_of(reader.read(*at))))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.concat_ws(";", F.concat(F.lit("size="), "width", F.lit("x"), "height", F.lit("x"), "depth"), "feature").alias("feature"))

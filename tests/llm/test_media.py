@@ -3,6 +3,8 @@ import io
 import tarfile
 import zlib
 
+from pyspark.sql import functions as F
+
 from tallystone.llm import media
 from tallystone.llm.common import uri
 from tallystone.llm.queries import op10_media_columns
@@ -40,6 +42,33 @@ def test_awkward(spark):
     assert media.report(empty(spark)).count() == 0
 
 
+def members(root):
+    names = []
+    for path in root.glob("*.tar"):
+        with tarfile.open(path) as tar:
+            names += tar.getnames()
+    return names
+
+
+def test_equal_payloads_of_all_tasks_are_stored_once(spark, tmp_path):
+    texts = ["same"] * 40 + [f"text {i % 25}" for i in range(60)] + [None, ""]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, part string").repartition(6)
+    manifest = media.store(df, uri(str(tmp_path)))
+    names = members(tmp_path)
+    assert len(names) == len(set(names)) == 27
+    out = media.with_features(media.with_headers(manifest, uri(str(tmp_path))), uri(str(tmp_path)))
+    assert out.count() == len(texts) and out.columns[:2] == ["doc_id", "part"]
+    for r in out.collect():
+        assert r.payload_sha256 == r.digest == hashlib.sha256(payload(texts[r.doc_id])[0]).hexdigest() and r.width == 64
+
+
+def test_payloads_left_to_a_task_that_has_none(spark, tmp_path, monkeypatch):
+    """Told to leave everything, tasks store nothing; a further pass stores it all."""
+    df = spark.createDataFrame([(i, f"text {i % 5}") for i in range(20)], "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(media, "left_to_others", lambda rows, tasks: media.packed(rows.select(F.col("part").alias("__t"), F.unhex("digest").alias("blob")), tasks, "all"))
+    assert media.store(df, uri(str(tmp_path))).where("shard is not null").count() == 20
+
+
 def test_shards_are_tar_files(spark, tmp_path):
     writer = media.ShardWriter(uri(str(tmp_path)), limit=2000)
     placed = {}
