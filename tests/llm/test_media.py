@@ -52,7 +52,9 @@ def members(root):
 
 def test_equal_payloads_of_all_tasks_are_stored_once(spark, tmp_path):
     texts = ["same"] * 40 + [f"text {i % 25}" for i in range(60)] + [None, ""]
-    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, part string").repartition(6)
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, part string")
+    df.repartition(6).write.parquet(f"{tmp_path}/documents")
+    df = spark.read.option("maxPartitionBytes", "1").parquet(f"{tmp_path}/documents")
     manifest = media.store(df, uri(str(tmp_path)))
     names = members(tmp_path)
     assert len(names) == len(set(names)) == 27
