@@ -66,7 +66,7 @@ def test_run(spark):
 
 def test_awkward_and_empty_tables(spark, tmp_path):
     """Nulls, repeats, odd texts, clashing names and no rows at all pass through all stages."""
-    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 13)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 13)], "doc_id long, quality int, toxic int")
     for name, docs in (("awkward", awkward(spark)), ("empty", empty(spark))):
         docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
         labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
