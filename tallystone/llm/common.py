@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 SLICE_BYTES = 2 << 20
 #: Parts that the rows of a key are spread over where any share of all rows may hold it.
 SALTS = 16
+FREQUENT, FREQUENT_VALUES = 1000, 10_000
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -53,14 +54,22 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
-def salted_join(rows: DataFrame, keyed: DataFrame, on: str, by: str, how: str = "inner") -> DataFrame:
-    """Join ``keyed``, one row a value of ``on``, to rows of which any share may hold one value.
+def salted_join(rows: DataFrame, keyed: DataFrame, on: str, by: str) -> DataFrame:
+    """Inner join of ``keyed``, one row a value of ``on``, to rows of which any share may hold one value.
 
-    ``keyed`` is repeated SALTS times, rows are spread by ``by``.
+    Rows of the frequent values are spread by ``by`` and their partners repeated
+    SALTS times. A value is frequent if it has more than FREQUENT rows and more
+    than the FREQUENT_VALUES-th part of all, so at most so many are broadcast.
     """
-    salt = fresh(rows, "__salt")
-    many = keyed.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(many, [on, salt], how).drop(salt)
+    counts = rows.groupBy(on).agg(F.count(F.lit(1)).alias("n"))
+    salt, hot = fresh(rows, "__salt"), fresh(rows, "__hot")
+    limit = max(FREQUENT, rows.count() // FREQUENT_VALUES)
+    frequent = F.broadcast(saved(counts.where(F.col("n") > limit).select(on, F.lit(True).alias(hot)), "frequent-values"))
+    spread = F.when(F.col(hot), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(0).cast("int")
+    copies = F.when(F.col(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(frequent, on, "left").withColumn(salt, spread).drop(hot)
+    right = keyed.join(frequent, on, "left").withColumn(salt, F.explode(copies)).drop(hot)
+    return left.join(right, [on, salt]).drop(salt)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,14 +127,16 @@ def _numbered(documents: DataFrame, text: str) -> DataFrame:
 
 def left_to_others(rows: DataFrame, tasks: int) -> str:
     """Path of the digests that each task leaves to one before it."""
-    held = rows.select("digest", "part").distinct()
-    first = held.groupBy("digest").agg(F.min("part").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    others = salted_join(held, first, "digest", "part").where("part > first")
-    return packed(others.select(F.col("part").alias("__t"), F.unhex("digest").alias("blob")), tasks, "media-left")
+    before = Window.partitionBy("digest").orderBy("part")  # a row a task
+    others = rows.where("new").select("digest", "part", F.row_number().over(before).alias("k")).where("k > 1")
+    return packed(others.select(F.col("part").alias("__t"), F.col("digest").alias("blob")), tasks, "media-left")
 
 
 def places(documents: DataFrame, root: str, text: str, left: str | None) -> DataFrame:
-    """(digest, shard, offset, length) of what the tasks store: each of their payloads but those left to others."""
+    """(digest, shard, offset, length) of what the tasks store: each of their payloads but those left to others.
+
+    The table's files follow the shards and their offsets.
+    """
 
     def run(batches):
         writer, done, folder = ShardWriter(root), None, Replies(left) if left else None
@@ -149,45 +151,59 @@ def places(documents: DataFrame, root: str, text: str, left: str | None) -> Data
                         digest = hashlib.sha256(payload).digest()
                         if digest not in done:
                             done.add(digest)
-                            rows.append((digest.hex(), *writer.add(digest.hex(), payload)))
-                kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+                            rows.append((digest, *writer.add(digest.hex(), payload)))
+                kinds = (pa.binary(), pa.string(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["digest", *PLACE.names])
         finally:
             writer.close()
 
-    stored = saved(_numbered(documents, text).mapInArrow(run, T.StructType([T.StructField("digest", T.StringType()), *PLACE.fields])), "media-places")
-    return stored.groupBy("digest").agg(F.min(F.struct(*PLACE.names)).alias("at")).select("digest", "at.*")
+    return saved(_numbered(documents, text).mapInArrow(run, T.StructType([T.StructField("digest", T.BinaryType()), *PLACE.fields])), "media-places")
 
 
-def store(documents: DataFrame, root: str, text: str = "text") -> DataFrame:
-    """Write every distinct payload of the texts below ``root``; the documents without text, with their entries.
+def stored(documents: DataFrame, root: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Write every distinct payload of the texts below ``root``.
 
-    Columns named as the entry's fields are replaced.
+    Rows (row, n_bytes, payload_bytes, digest, at), ``row`` the columns but the
+    text and ``at`` a number of their own, and members (digest, shard, offset, length).
     """
-    base = without(documents, ENTRY.names)
-    kept = [c for c in base.columns if c != text]
-    row, known = T.StructType([base.schema[c] for c in kept]), ["n_bytes", "payload_bytes", "digest", "part"]
-    whole = base.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.spark_partition_id().alias("part"), F.col(f"`{text}`").alias("text"))
+    kept = [c for c in documents.columns if c != text]
+    row, known = T.StructType([documents.schema[c] for c in kept]), ["n_bytes", "payload_bytes", "digest", "new", "part"]
+    whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.spark_partition_id().alias("part"), F.col(f"`{text}`").alias("text"))
 
     def digests(batches):
+        seen: set[bytes] = set()
         for batch in batches:
             rows: list[tuple] = []
             for _, texts in slices(batch.column("text")):
                 for t in texts:
                     payload, n = payload_of(t)
-                    rows.append((n, len(payload), hashlib.sha256(payload).hexdigest()))
-            new = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string()))]
+                    digest = hashlib.sha256(payload).digest()
+                    rows.append((n, len(payload), digest, digest not in seen))
+                    seen.add(digest)
+            new = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column("row"), *new, batch.column("part")], ["row", *known])
 
-    schema = T.StructType([T.StructField("row", row), *ENTRY.fields[:3], T.StructField("part", T.IntegerType())])
+    schema = T.StructType([T.StructField("row", row), *ENTRY.fields[:2], T.StructField("digest", T.BinaryType()), T.StructField("new", T.BooleanType()), T.StructField("part", T.IntegerType())])
     rows = saved(whole.mapInArrow(digests, schema), "media-digests")
     tasks = (rows.agg(F.max("part")).first()[0] or 0) + 1
-    found = places(base, root, text, left_to_others(rows, tasks))
-    if rows.join(found, "digest", "left_anti").limit(1).count():  # the input came in other partitions
-        found = found.unionByName(places(base, root, text, None)).groupBy("digest").agg(F.min(F.struct(*PLACE.names)).alias("at")).select("digest", "at.*")
+    found = places(documents, root, text, left_to_others(rows, tasks))
+    several = lambda df: df.select("digest").distinct().count()
+    if not found.count() == several(found) == several(rows.where("new")):  # the input came in other partitions
+        if rows.where("new").join(found, "digest", "left_anti").limit(1).count():
+            found = found.unionByName(places(documents, root, text, None))
+        found = saved(found.groupBy("digest").agg(F.min(F.struct(*PLACE.names)).alias("at")).select("digest", "at.*"), "media-places")
+    return rows.drop("new", "part").withColumn("at", F.monotonically_increasing_id()), found
+
+
+def store(documents: DataFrame, root: str, text: str = "text") -> DataFrame:
+    """Write the texts' payloads below ``root``; the documents without text, with their entries.
+
+    Columns named as the entry's fields are replaced.
+    """
+    rows, found = stored(without(documents, ENTRY.names), root, text)
     # Equal texts may be any share of the rows; they are spread by what tells rows apart.
-    spread = rows.withColumn("spread", F.monotonically_increasing_id())
-    return saved(salted_join(spread, found, "digest", "spread").select("row.*", *ENTRY.names), "media-manifest")
+    out = salted_join(rows, found, "digest", "at").withColumn("digest", F.lower(F.hex("digest")))
+    return saved(out.select("row.*", *ENTRY.names), "media-manifest")
 
 
 class ShardReader:
@@ -205,18 +221,9 @@ class ShardReader:
         return got
 
 
-def dealt(members: DataFrame) -> DataFrame:
-    """Members in ranges of locations of about READ_BYTES of media each."""
-    total = members.agg(F.sum("length")).first()[0] or 0
-    parts = max(1, min(-(-total // READ_BYTES) * 4, members.sparkSession.sparkContext.defaultParallelism * 4 + total // READ_BYTES))
-    return members.repartitionByRange(parts, "shard", "offset").sortWithinPartitions("shard", "offset")
-
-
-def _by_location(manifest: DataFrame, root: str, fields: list[tuple[str, T.DataType, pa.DataType]], make) -> DataFrame:
-    """Append what ``make`` reads of each row's member; members are read once each."""
-    base = without(manifest, [n for n, _, _ in fields])
-    members = base.groupBy("digest").agg(F.min(F.struct(*PLACE.names)).alias("at")).select("digest", "at.*")
-    schema = T.StructType([T.StructField("digest", T.StringType()), *[T.StructField(n, t) for n, t, _ in fields]])
+def read_back(members: DataFrame, root: str, fields: list[tuple[str, T.DataType, pa.DataType]], make) -> DataFrame:
+    """``digest`` and what ``make`` reads of each member."""
+    schema = T.StructType([members.schema["digest"], *[T.StructField(n, t) for n, t, _ in fields]])
 
     def run(batches):
         reader = ShardReader(root)
@@ -225,9 +232,17 @@ def _by_location(manifest: DataFrame, root: str, fields: list[tuple[str, T.DataT
             new = [pa.array([r[i] for r in rows], k) for i, (_, _, k) in enumerate(fields)]
             yield pa.RecordBatch.from_arrays([batch.column("digest"), *new], schema.names)
 
-    read = saved(dealt(members).mapInArrow(run, schema), "media-members")
+    return members.mapInArrow(run, schema)
+
+
+def _by_member(manifest: DataFrame, root: str, fields: list[tuple[str, T.DataType, pa.DataType]], make) -> DataFrame:
+    """Append what ``make`` reads of each row's member; members are read once each, in ranges of location of about READ_BYTES."""
+    base = without(manifest, [n for n, _, _ in fields])
+    members = base.groupBy("digest").agg(F.min(F.struct(*PLACE.names)).alias("at")).select("digest", "at.*")
+    parts = max(1, -(-(members.agg(F.sum("length")).first()[0] or 0) // READ_BYTES))
+    members = members.repartitionByRange(parts, "shard", "offset").sortWithinPartitions("shard", "offset")
     spread = fresh(base, "__spread")
-    out = salted_join(base.withColumn(spread, F.monotonically_increasing_id()), read, "digest", spread)
+    out = salted_join(base.withColumn(spread, F.monotonically_increasing_id()), read_back(members, root, fields, make), "digest", spread)
     return out.select(*[F.col(f"`{c}`") for c in base.columns], *[n for n, _, _ in fields])
 
 
@@ -241,7 +256,7 @@ def header_at(reader: ShardReader, shard: str, offset: int, _: int) -> tuple[int
 
 def with_headers(manifest: DataFrame, root: str) -> DataFrame:
     """Append width, height and depth by range reads of 33 bytes of each member."""
-    return _by_location(manifest, root, HEADER, header_at)
+    return _by_member(manifest, root, HEADER, header_at)
 
 
 def features_of(media: bytes) -> tuple[str, int, int, str, str]:
@@ -255,7 +270,7 @@ def features_of(media: bytes) -> tuple[str, int, int, str, str]:
 
 def with_features(manifest: DataFrame, root: str) -> DataFrame:
     """Read every member back whole and append what its payload and stored form give."""
-    return _by_location(manifest, root, FEATURES, lambda reader, *at: features_of(reader.read(*at)))
+    return _by_member(manifest, root, FEATURES, lambda reader, *at: features_of(reader.read(*at)))
 
 
 def report(documents: DataFrame) -> DataFrame:
@@ -263,6 +278,7 @@ def report(documents: DataFrame) -> DataFrame:
     root = f"{shared_root(documents.sparkSession)}/media-{uuid.uuid4().hex}"
     if "://" not in root:
         root = f"file:{root}" if root.startswith("//") else f"file://{root.removeprefix('file:')}"
-    manifest = store(documents.select("doc_id", "text"), root)
-    out = _by_location(manifest, root, [*HEADER, *FEATURES], lambda reader, *at: (*header_at(reader, *at), *features_of(reader.read(*at))))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.concat_ws(";", F.concat(F.lit("size="), "width", F.lit("x"), "height", F.lit("x"), "depth"), "feature").alias("feature"))
+    rows, members = stored(documents.select("doc_id", "text"), root)
+    read = read_back(members, root, [*HEADER, *FEATURES], lambda reader, *at: (*header_at(reader, *at), *features_of(reader.read(*at))))
+    out = salted_join(rows, read, "digest", "at")
+    return out.select("row.doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.concat_ws(";", F.concat(F.lit("size="), "width", F.lit("x"), "height", F.lit("x"), "depth"), "feature").alias("feature"))

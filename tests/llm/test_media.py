@@ -67,7 +67,7 @@ def test_equal_payloads_of_all_tasks_are_stored_once(spark, tmp_path):
 def test_payloads_left_to_a_task_that_has_none(spark, tmp_path, monkeypatch):
     """Told to leave everything, tasks store nothing; a further pass stores it all."""
     df = spark.createDataFrame([(i, f"text {i % 5}") for i in range(20)], "doc_id long, text string").repartition(3)
-    monkeypatch.setattr(media, "left_to_others", lambda rows, tasks: media.packed(rows.select(F.col("part").alias("__t"), F.unhex("digest").alias("blob")), tasks, "all"))
+    monkeypatch.setattr(media, "left_to_others", lambda rows, tasks: media.packed(rows.select(F.col("part").alias("__t"), F.col("digest").alias("blob")), tasks, "all"))
     assert media.store(df, uri(str(tmp_path))).where("shard is not null").count() == 20
 
 
