@@ -225,7 +225,8 @@ def scan(documents: DataFrame, path: str = "path", text: str = "text", templates
     if texts or headers:
         lines = lines.unionByName(saved(file_scores(base, text, texts, headers, threshold, *counts, -len(notices)), "licence-files"))
     tag = F.struct(F.lit(1.0).alias("score"), F.lit(1).alias("place"), F.regexp_extract(text, TAG, 1).alias("name"))
-    lines = lines.unionByName(base.where(F.col(text).rlike(TAG)).select("__row", F.lit(0).cast("long").alias("n"), tag.alias("best")))
+    # Saved, so that the join below sees how few rows match and does not move the texts.
+    lines = lines.unionByName(saved(base.where(F.col(text).rlike(TAG)).select("__row", F.lit(0).cast("long").alias("n"), tag.alias("best")), "licence-tags"))
     matched = lines.groupBy("__row").agg(F.max("best").alias("best"), F.sum("n").alias("in_lines"))
     named = F.coalesce(F.regexp_extract(path, "[^/]*$", 0).rlike(LICENCE_NAME), F.lit(False))
     is_file = (F.col("in_lines") > 0) & (F.col("in_lines") * FILE_SHARE >= n) & (named | ~F.col(text).rlike(COMMENT))
