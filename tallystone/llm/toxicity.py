@@ -100,21 +100,24 @@ def fit(texts: list[str], y: np.ndarray, steps: int = 300, l2: float = 1e-2) ->
     if len(set(y.tolist())) < 2:
         return none
     docs = np.zeros((2, 1 << BITS), np.int32)
-    blocks = [slice(at, at + 100) for at in range(0, len(texts), 100)]
+    blocks = [slice(at, at + 20) for at in range(0, len(texts), 20)]
     for block in blocks:
         row, slot, _ = counted(texts[block])
         for k in (0, 1):
-            docs[k] += np.bincount(slot[y[block][row] == k], minlength=1 << BITS).astype(np.int32)
-    q, p = docs
+            np.add.at(docs[k], slot[y[block][row] == k], 1)
+    seen = np.flatnonzero(docs.sum(0, dtype=np.int32) >= max(1, min(LEAST_DOCS, 1 + y.sum() // 2)))
+    q, p = docs[:, seen]
+    del docs
     ratio = np.log((1 + p) / (2 + y.sum())) - np.log((1 + q) / (2 + (1 - y).sum()))
-    evidence = np.abs(ratio) * np.sqrt(p + q) * (p + q >= min(LEAST_DOCS, 1 + y.sum() // 2))
-    kept = np.sort(np.argsort(-evidence, kind="stable")[:KEEP])
-    kept = kept[evidence[kept] > 0]
+    evidence = np.abs(ratio) * np.sqrt(p + q)
+    best = np.sort(np.argsort(-evidence, kind="stable")[:KEEP])
+    best = best[evidence[best] > 0]
+    kept, scale = seen[best], ratio[best]
     mark = np.zeros(1 << BITS, bool)
     mark[kept] = True
-    pairs = [(r + block.start, s, n) for block in blocks for r, s, n in [counted(texts[block], mark)]]
+    pairs = [((r + block.start).astype(np.int32), s.astype(np.int32), n.astype(np.int32)) for block in blocks for r, s, n in [counted(texts[block], mark)]]
     row, slot, n = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    col, scale = np.searchsorted(kept, slot), ratio[kept]
+    col = np.searchsorted(kept, slot)
     value = scale[col] * n
     w, b = np.zeros(len(kept)), 0.0
     m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
