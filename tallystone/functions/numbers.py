@@ -9,6 +9,7 @@ FULL_WIDTH = ("０１２３４５６７８９，．（）－＋　", "0123456789
 #: Cells that stand for zero in an amount column.
 ZERO_MARKS = ["", "-", "--", "—", "–", "_", "/"]
 TOLERANCE = 0.01
+SIMPLE = r"^-?(\d+|\d{1,3}(,\d{3})+)(\.\d+)?$"
 
 
 def half_width(text: Column) -> Column:
@@ -21,8 +22,14 @@ def parse_number(text: Column) -> Column:
     Empty cells and dashes are zero. Parentheses make it negative. Of two kinds
     of separators the last is the decimal one; a lone comma before exactly three
     digits separates thousands, before another number of digits decimals. 万
-    and 亿 multiply.
+    and 亿 multiply. Amounts in digits with thousands' commas, the most of all, take
+    one match and one cast.
     """
+    simple = F.when(text.rlike(SIMPLE), F.translate(text, ",", "").try_cast("double"))
+    return F.coalesce(simple, _any_number(text))
+
+
+def _any_number(text: Column) -> Column:
     t = F.regexp_replace(half_width(F.coalesce(text, F.lit(""))), r"\s+", "")
     wrapped = t.rlike(r"^\(.*\)$")
     bare = F.regexp_replace(t, r"[()¥￥$€元]", "")

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 CJK = "[一-龥]"
 #: Mail domains that say nothing about a company.
-PUBLIC_DOMAINS = ["126.com", "139.com", "163.com", "189.cn", "foxmail.com", "gmail.com", "hotmail.com", "outlook.com", "qq.com", "sina.com", "sohu.com", "yeah.net"]
+PUBLIC_DOMAINS = [
+    "qq.com", "163.com", "126.com", "sina.com", "sohu.com", "hotmail.com", "gmail.com", "outlook.com", "foxmail.com", "yeah.net", "139.com", "189.cn", "aliyun.com", "wo.cn",
+    "vip.qq.com", "vip.163.com", "tom.com", "21cn.com", "188.com", "2980.com", "263.net", "mail.com", "yahoo.com", "live.com", "icloud.com", "me.com", "msn.com",
+]
 
 
 def strip_html(text: Column) -> Column:

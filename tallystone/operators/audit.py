@@ -44,8 +44,11 @@ class Rule:
     id: str
     terms: tuple[tuple[int, str, bool], ...]  # sign, item, required
     target: str
+    second: tuple[str, ...] = ()  # names of an item that is added only where the terms alone do not make the target
 
 
+#: Names of the exchange effect.
+EXCHANGE = ("汇率变动对现金的影响", "汇率变动对现金及现金等价物的影响", "汇率变动对现金的影响额")
 #: Identities of the statements by their items' printed names.
 IDENTITIES = (
     Rule("R1", ((1, "流动资产合计", True), (1, "非流动资产合计", True)), "资产总计"),
@@ -54,7 +57,7 @@ IDENTITIES = (
     Rule("R4", ((1, "资产总计", True),), "负债和所有者权益总计"),
     Rule("R6", ((1, "营业利润", True), (1, "营业外收入", False), (-1, "营业外支出", False)), "利润总额"),
     Rule("R7", ((1, "利润总额", True), (-1, "所得税费用", False)), "净利润"),
-    Rule("R8", ((1, "经营活动产生的现金流量净额", True), (1, "投资活动产生的现金流量净额", True), (1, "筹资活动产生的现金流量净额", True), (1, "汇率变动对现金及现金等价物的影响", False)), "现金及现金等价物净增加额"),
+    Rule("R8", ((1, "经营活动产生的现金流量净额", True), (1, "投资活动产生的现金流量净额", True), (1, "筹资活动产生的现金流量净额", True)), "现金及现金等价物净增加额", EXCHANGE),
     Rule("R9", ((1, "期初现金及现金等价物余额", True), (1, "现金及现金等价物净增加额", True)), "期末现金及现金等价物余额"),
 )
 
@@ -64,9 +67,10 @@ def identities(items: DataFrame, rules: tuple[Rule, ...] = IDENTITIES, key: str
 
     One aggregation brings a statement's items side by side, whatever the number
     of rules. A missing required item or target fails; a mismatch with an
-    optional item missing is a warning.
+    optional item missing is a warning. A rule's second item is tried where its
+    terms alone do not hold.
     """
-    names = sorted({n for r in rules for _, n, _ in r.terms} | {r.target for r in rules})
+    names = sorted({n for r in rules for _, n, _ in r.terms} | {r.target for r in rules} | {n for r in rules for n in r.second})
     place = {n: f"i{k}" for k, n in enumerate(names)}
     wide = items.groupBy(key).agg(*[F.max(F.when(F.col(item) == n, F.col(value).cast("decimal(24,4)"))).alias(place[n]) for n in names])
     checks = []
@@ -74,6 +78,9 @@ def identities(items: DataFrame, rules: tuple[Rule, ...] = IDENTITIES, key: str
         needed = [F.col(place[n]).isNull() for _, n, required in r.terms if required] + [F.col(place[r.target]).isNull()]
         optional = [F.col(place[n]).isNull() for _, n, required in r.terms if not required]
         expected = sum((F.col(place[n]) if required else F.coalesce(F.col(place[n]), F.lit(0).cast("decimal(24,4)"))) * s for s, n, required in r.terms)
+        if r.second:
+            more = F.coalesce(*[F.col(place[n]) for n in r.second])
+            expected = F.when((F.abs(expected - F.col(place[r.target])) > TOLERANCE) & more.isNotNull(), expected + more).otherwise(expected)
         gap = F.abs(expected - F.col(place[r.target]))
         passed = F.coalesce(gap <= TOLERANCE, F.lit(False))
         absent = F.lit(False)

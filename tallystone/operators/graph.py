@@ -5,14 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallystone.session import checkpointed
+
 
 def reach(edges: DataFrame, roots: DataFrame, max_depth: int = 5) -> DataFrame:
-    """Nodes reached from the roots and their smallest depth; cycles end as nodes are visited once."""
-    seen = roots.select(F.col("node"), F.lit(0).alias("depth"))
-    front = seen
+    """Nodes reached from the roots and their smallest depth; cycles end as nodes are visited once.
+
+    Edges and each level are checkpointed, so a level reads the one before it
+    and no level is derived twice; it ends early where a level is empty.
+    """
+    edges = checkpointed(edges.select("parent", "child"))
+    front = checkpointed(roots.select("node").distinct().withColumn("depth", F.lit(0)))
+    seen = front
     for depth in range(1, max_depth + 1):
         found = front.join(edges, front["node"] == edges["parent"]).select(F.col("child").alias("node")).distinct()
-        front = found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
+        front = checkpointed(found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 

@@ -20,16 +20,23 @@ def shared(entities: DataFrame, key: str, value: str, dimension: str, level: int
 
 
 def adjacent(entities: DataFrame, key: str, number: str) -> DataFrame:
-    """As ``shared``, for numbers of ten digits or more that differ in the last digit only."""
-    stem = F.when(F.length(number) >= 10, F.expr(f"substring({number}, 1, length({number}) - 1)"))
-    return shared(entities.withColumn("__stem", stem), key, "__stem", "segment", 3)
+    """As ``shared``, for landlines (leading 0, ten digits or more) that differ in the last digit, and only there.
+
+    Links are to other numbers of the segment: entities with the same number are
+    no neighbours of each other. Mobile numbers have no segments.
+    """
+    landline = F.col(number).startswith("0") & (F.length(number) >= 10)
+    rows = entities.where(landline).select(F.col(key).alias("entity"), F.col(number).alias("number"), F.expr(f"substring({number}, 1, length({number}) - 1)").alias("value")).distinct()
+    same = rows.groupBy("value", "number").agg(F.count(F.lit(1)).alias("n_same"), F.min("entity").alias("first"))
+    segments = same.groupBy("value").agg(F.sum("n_same").alias("n_all"), F.min("first").alias("class_id"))
+    sizes = same.join(segments, "value").select("value", "number", "class_id", (F.col("n_all") - F.col("n_same")).alias("n_links")).where("n_links > 0")
+    return rows.join(sizes, ["value", "number"]).select("entity", "value", "class_id", "n_links", F.lit("segment").alias("dimension"), F.lit(3).alias("level"))
 
 
 def prefixes(entities: DataFrame, key: str, name: str, least: int = 8) -> DataFrame:
     """Names that begin with another, shorter one of ``least`` characters or more.
 
-    Names are blocked on their first ``least`` characters; inside a block every
-    prefix of a name is looked up by equality.
+    Every prefix of a name is looked up among the names by equality.
     """
     rows = entities.where(F.length(name) >= least).select(F.col(key).alias("entity"), F.col(name).alias("name"))
     stems = rows.groupBy(F.col("name").alias("stem")).agg(F.min("entity").alias("class_id"))

@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder that spark.checkpoint.dir names; a temporary one on a local master only."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallystone-"))
+    return df.checkpoint()
 
 
 def session(name: str = "tallystone", **conf: str) -> SparkSession:

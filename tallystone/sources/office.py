@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 SCHEMA = "path string, table_name string, row_no int, cells array<string>, error string"
 
 
@@ -37,11 +38,14 @@ def xlsx_rows(content: bytes) -> Iterator[tuple[str, int, list[str]]]:
     strings: list[str] = []
     if "xl/sharedStrings.xml" in names:
         strings = ["".join(t.text or "" for t in s.iter(f"{SHEET}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{SHEET}si")]
-    sheets = [s.get("name") for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{SHEET}sheet")]
-    for n, sheet in enumerate(sheets, 1):
-        if f"xl/worksheets/sheet{n}.xml" not in names:
+    # A sheet's file is named by its relation, not by its place among the sheets.
+    related = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+    for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{SHEET}sheet"):
+        sheet, target = s.get("name"), related.get(s.get(RELATION), "")
+        part = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+        if part not in names:
             continue
-        for r, row in enumerate(ElementTree.fromstring(book.read(f"xl/worksheets/sheet{n}.xml")).iter(f"{SHEET}row")):
+        for r, row in enumerate(ElementTree.fromstring(book.read(part)).iter(f"{SHEET}row")):
             cells: list[str] = []
             for cell in row.iter(f"{SHEET}c"):
                 column = 0
@@ -64,7 +68,7 @@ def read_office(spark: SparkSession, path: str) -> DataFrame:
                 try:
                     reader = docx_rows if name.endswith(".docx") else xlsx_rows
                     rows += [(name, t, r, c, None) for t, r, c in reader(content)]
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError) as e:
+                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError, IndexError) as e:
                     rows.append((name, None, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["path", "table_name", "row_no", "cells", "error"])
 

@@ -1,12 +1,16 @@
 """Operators on small hand-written tables: edge cases of amounts, statements, tables, texts and stores."""
 
+import io
+import zipfile
+
 import pytest
 from pyspark.sql import functions as F
 
-from tallystone.functions import numbers
+from tallystone.functions import numbers, text
 from tallystone.functions.formulas import compile_formula, is_subsequence, signed_sum
-from tallystone.operators import documents, graph, matching, related, report, statements
+from tallystone.operators import audit, documents, graph, linkage, matching, related, report, statements
 from tallystone.sinks import store, tables
+from tallystone.sources import office
 
 
 def rows(df):
@@ -84,9 +88,46 @@ def test_subtitle_lines(spark):
 
 
 def test_persona_gates(spark):
-    good = "### 模型1\n### 模型2\n### 模型3\n局限\n句式 词汇 语气\n## 诚实边界\n- a\n- b\n- c\n## 来源\n一手 一手 二手\n张力 矛盾"
+    good = "### 模型1\n### 模型2\n### 模型3\n局限\n## 表达DNA\n句式 词汇 语气\n## 诚实边界\n- a\n- b\n- c\n## 来源\n一手 一手 二手\n张力 矛盾"
     got = documents.persona_gates(spark.createDataFrame([(good,), ("",), (None,)], "t string"), "t")
-    assert [r[0] for r in got.select("gates_passed").collect()][:2] == [6, 0]
+    assert [r[0] for r in got.select("gates_passed").collect()]== [6, 1, 1]  # no marked source is no fault
+    cases = {"has_models": "## 心智模型\n### a\n### b\n### c\n## next\n### d", "has_boundary": "## honest boundary\n* a\n* b\n* c", "mostly_primary": "## Source\nprimary secondary"}
+    got = {c: documents.persona_gates(spark.createDataFrame([(x,)], "t string"), "t").first()[c] for c, x in cases.items()}
+    assert got == {"has_models": True, "has_boundary": True, "mostly_primary": False}
+    assert not documents.persona_gates(spark.createDataFrame([("句式 词汇 语气",)], "t string"), "t").first()["has_style"]
+
+
+def test_adjacent_landlines_only(spark):
+    numbers = [(1, "075582284751"), (2, "075582284750"), (3, "075582284750"), (4, "13822847501"), (5, "13822847502"), (6, "02112345678"), (7, "02112345678")]
+    got = linkage.adjacent(spark.createDataFrame(numbers, "k int, n string"), "k", "n")
+    assert rows(got.select("entity", "class_id", "n_links")) == [(1, 1, 2), (2, 1, 1), (3, 1, 1)]
+
+
+def test_public_domains_are_no_link(spark):
+    df = spark.createDataFrame([("a@yahoo.com b@firm.cn c@icloud.com d@vip.163.com",)], "t string")
+    assert df.select(text.private_domains(text.emails(F.col("t"))).alias("d")).first()["d"] == ["firm.cn"]
+
+
+def test_statement_identities(spark):
+    flows = ["经营活动产生的现金流量净额", "投资活动产生的现金流量净额", "筹资活动产生的现金流量净额"]
+    cash = lambda key, increase, exchange: [(key, n, "10") for n in flows] + [(key, "现金及现金等价物净增加额", increase)] + ([(key, audit.EXCHANGE[0], exchange)] if exchange else [])
+    sheet = [("full", n, v) for n, v in (("流动资产合计", "60"), ("非流动资产合计", "40.01"), ("资产总计", "100"), ("流动负债合计", "30"), ("非流动负债合计", "10"), ("负债合计", "40"), ("所有者权益合计", "60"), ("负债和所有者权益总计", "100.02"))]
+    profit = [("full", n, v) for n, v in (("营业利润", "50"), ("营业外收入", "5"), ("营业外支出", "3"), ("利润总额", "52"), ("所得税费用", "12"), ("净利润", "41"), ("期初现金及现金等价物余额", "7"), ("期末现金及现金等价物余额", "37"))]
+    items = sheet + profit + cash("full", "30", "5") + cash("exchange", "35", "5") + cash("off", "36", "5") + cash("none", "35", None)
+    got = {(r.stmt, r.rule_id): r.passed for r in audit.identities(spark.createDataFrame(items, "stmt string, item string, current string")).collect()}
+    assert [got["full", r] for r in ("R1", "R2", "R3", "R4", "R6", "R7", "R8", "R9")] == [True, True, False, False, True, False, True, True]
+    assert [got[k, "R8"] for k in ("exchange", "off", "none")] == [True, False, False]
+
+
+def test_sheets_follow_their_relations():
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as book:
+        book.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="one" r:id="r2"/><sheet name="two" r:id="r1"/></sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+        for n in (1, 2):
+            book.writestr(f"xl/worksheets/sheet{n}.xml", f'<worksheet {ns}><sheetData><row><c r="B1"><v>{n}</v></c></row></sheetData></worksheet>')
+    assert list(office.xlsx_rows(out.getvalue())) == [("one", 0, ["", "2"]), ("two", 0, ["", "1"])]
 
 
 def test_contained_titles(spark):
