@@ -146,7 +146,7 @@ def key_findings(text: Column, most: int = 3) -> Column:
     """The first second-level headings, else bold words, else plain lines cut at 50 characters."""
     heads = F.regexp_extract_all(text, F.lit(r"(?m)^##\s+(.+)$"), 1)
     bold = F.regexp_extract_all(text, F.lit(r"\*\*(.+?)\*\*"), 1)
-    lines = F.transform(F.filter(F.split(text, "\n"), lambda x: (F.trim(x) != "") & ~x.startswith("#")), F.trim)
+    lines = F.transform(F.filter(F.split(text, "\n"), lambda x: (F.trim(x) != "") & ~x.startswith("#")), lambda x: F.trim(x))
     short = F.transform(lines, lambda x: F.when(F.length(x) > 50, F.concat(F.substring(x, 1, 50), F.lit("..."))).otherwise(x))
     return F.slice(F.when(F.size(heads) > 0, heads).when(F.size(bold) > 0, bold).otherwise(short), 1, most)
 

@@ -96,7 +96,8 @@ def names_subjects(rows: Column, subjects: list[str], sample: int = 10, most: in
 
 def candidate_reason(headers: Column) -> Column:
     """变动表 where some but not all of opening, closing, increase and decrease stand in the headers, else 复杂横加."""
-    n = sum(F.exists(_cells(headers), lambda h, w=w: F.coalesce(h.contains(w), F.lit(False))).cast("int") for w in ("期初", "期末", "增加", "减少"))
+    stands = lambda w: F.exists(_cells(headers), lambda h: F.coalesce(h.contains(w), F.lit(False)))
+    n = sum(stands(w).cast("int") for w in ("期初", "期末", "增加", "减少"))
     return F.when(n.between(1, 3), "变动表").otherwise("复杂横加")
 
 
@@ -181,14 +182,13 @@ def table_total(rows: Column, column: Column | None = None) -> Column:
     of the first column with amounts.
     """
     rs = _rows(rows)
-    amounts = lambda r: F.transform(r, lambda x: lenient_number(x))
     total = F.get(_total_rows(rs), F.lit(0))
     add = lambda place: F.aggregate(F.array_compact(F.transform(rs, lambda r: lenient_number(F.get(r, place)))), F.lit(None).cast("double"), lambda s, x: F.coalesce(s, F.lit(0.0)) + x)
     if column is not None:
         return F.when(total.isNotNull(), lenient_number(F.get(total, column))).otherwise(add(column))
     width = F.coalesce(F.array_max(F.transform(rs, F.size)), F.lit(0))
     sums = F.transform(F.when(width > 0, F.sequence(F.lit(0), width - 1)).otherwise(F.array().cast("array<int>")), add)
-    return F.when(total.isNotNull(), F.get(F.array_compact(amounts(total)), F.lit(0))).otherwise(F.get(F.array_compact(sums), F.lit(0)))
+    return F.when(total.isNotNull(), F.get(F.array_compact(F.transform(total, lenient_number)), F.lit(0))).otherwise(F.get(F.array_compact(sums), F.lit(0)))
 
 
 def prompt_text(headers: Column, rows: Column) -> Column:

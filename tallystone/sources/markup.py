@@ -12,8 +12,8 @@ def markdown_tables(documents: DataFrame, key: str, text: str) -> DataFrame:
     rows = lines.where(F.trim("line").startswith("|"))
     over = Window.partitionBy(key).orderBy("line_no")
     rows = rows.withColumn("__new", (F.col("line_no") - F.lag("line_no", 1, -2).over(over) > 1).cast("int"))
-    rows = rows.withColumn("table_no", F.sum("__new").over(over)).where(~F.col("line").rlike(r"^\s*\|[\s:|\-]+\|\s*$"))
-    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), F.trim)
+    rows = rows.withColumn("table_no", F.sum("__new").over(over) - 1).where(~F.col("line").rlike(r"^\s*\|[\s:|\-]+\|\s*$"))
+    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
     return rows.select(key, "table_no", (F.row_number().over(Window.partitionBy(key, "table_no").orderBy("line_no")) - 1).alias("row_no"), cells.alias("cells"))
 
 
