@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 256
+BLOCK, PART = 1024, 1 << 15
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -22,14 +22,18 @@ def cosine(a: Column, b: Column) -> Column:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 5) -> DataFrame:
     """(query_id, vec_id, score, rank): the k best of all vectors for each query, exactly.
 
-    Queries are packed in blocks of BLOCK; every block meets every vector by its
-    number, a task multiplies matrices and keeps k for each query, so what is
-    shuffled is k rows for each query and batch. Equal scores rank by id.
+    Queries are dealt by their hash in blocks of about BLOCK, vectors in parts of
+    about PART, both numbers from the tables' counts, so a group has a bounded size
+    at any scale. Every block meets every part; a task multiplies two matrices
+    and keeps k for each query. Equal scores rank by id.
     """
-    packed = queries.select(F.col("vec_id").alias("q"), F.col("embedding").alias("e"), F.floor((F.row_number().over(Window.orderBy("vec_id")) - 1) / BLOCK).alias("block"))
-    packed = packed.groupBy("block").agg(F.collect_list(F.struct("q", "e")).alias("qs"))
     n_blocks = max(1, -(-queries.count() // BLOCK))
-    spread = vectors.select("vec_id", "embedding").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    parts = max(1, vectors.sparkSession.sparkContext.defaultParallelism, -(-vectors.count() // PART))
+    number = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+    packed = queries.groupBy(number(n_blocks).alias("block")).agg(F.collect_list(F.struct(F.col("vec_id").alias("q"), F.col("embedding").alias("e"))).alias("qs"))
+    packed = packed.withColumn("part", copies(parts))
+    spread = vectors.select("vec_id", "embedding", number(parts).alias("part")).withColumn("block", copies(n_blocks))
     schema = "query_id long, vec_id long, score double"
 
     def unit(rows: list) -> np.ndarray:
@@ -47,9 +51,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 5) -> Da
             out.append(pd.DataFrame({"query_id": q["q"], "vec_id": ids[order], "score": line[order]}))
         return pd.concat(out)
 
-    parts = max(1, vectors.sparkSession.sparkContext.defaultParallelism)
-    spread = spread.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)))
-    packed = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")))
     found = spread.groupBy("block", "part").cogroup(packed.groupBy("block", "part")).applyInPandas(best, schema)
     over = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= k)
