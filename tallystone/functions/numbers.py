@@ -41,7 +41,14 @@ def _any_number(text: Column) -> Column:
 
 
 def lenient_number(text: Column) -> Column:
-    """As ``parse_number``, but empty cells and dashes are unknown, not zero."""
+    """As ``parse_number``, but empty cells and dashes are unknown, not zero.
+
+    Amounts in plain digits, the most of all, take one cast and no pattern.
+    """
+    return F.coalesce(F.translate(text, ",", "").try_cast("double"), _written_number(text))
+
+
+def _written_number(text: Column) -> Column:
     t = F.regexp_replace(half_width(text), r"[\s,]+", "")
     value = F.regexp_replace(t, r"^\((.*)\)$", "-$1").try_cast("double")
     return F.when(~t.isin(ZERO_MARKS), value)

@@ -24,15 +24,18 @@ def foot_tables(cells: DataFrame, table: str, row: str, column: str, label: str,
     Columns of percentages, columns without a total and placeholder totals are
     left out; a mismatch is a warning. One aggregation, combined before its shuffle.
     """
-    name = F.regexp_replace(F.coalesce(F.col(label), F.lit("")), "[\\s　]+", "")
-    value = lenient_number(F.col(text)).cast(MONEY)
-    grand, part = name.rlike("合计|总计"), name.contains("小计")
-    detail = F.when(~grand & ~part, F.when(name.startswith("减"), -F.abs(value)).otherwise(value))
+    bare = F.translate(F.coalesce(F.col(label), F.lit("")), " \t\r\n\u3000", "")
+    # Names and amounts are made once a cell, before the aggregation uses them several times.
+    cells = cells.select(table, column, row, bare.alias("__name"), lenient_number(F.col(text)).cast(MONEY).alias("__value"), F.col(text).contains("%").alias("__pct"))
+    name, value = F.col("__name"), F.col("__value")
+    cells = cells.select(table, column, row, "__value", "__pct", (name.contains("合计") | name.contains("总计")).alias("__g"), name.contains("小计").alias("__s"), name.startswith("减").alias("__m"))
+    grand, part = F.col("__g"), F.col("__s")
+    detail = F.when(~grand & ~part, F.when(F.col("__m"), -F.abs(value)).otherwise(value))
     sums = cells.groupBy(table, column).agg(
         F.sum(detail).alias("footed"),
         F.max_by(F.when(grand, value), F.when(grand, F.col(row))).alias("__grand"), F.max(grand).alias("__has"),
         F.max_by(F.when(part, value), F.when(part, F.col(row))).alias("__part"),
-        F.max(F.col(text).contains("%")).alias("__percent"),
+        F.max("__pct").alias("__percent"),
     )
     total = F.when(F.col("__has"), F.col("__grand")).otherwise(F.col("__part"))
     found = sums.where(~F.coalesce("__percent", F.lit(False))).withColumn("total", total).where("total is not null and footed is not null")
