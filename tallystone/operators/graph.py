@@ -39,6 +39,31 @@ def validate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return one.withColumn("score", score.cast("long"))
 
 
+#: Fields that every node of a diagram has to have, and its types.
+NODE_FIELDS = ["id", "step", "type", "swimlane_role", "node_role"]
+NODE_TYPES = ["process", "decision"]
+
+
+def field_errors(nodes: DataFrame, key: str, targets: str) -> DataFrame:
+    """(key, error) once for each fault of a node's fields: null fields, unknown types, blank steps and roles, null and blank targets.
+
+    ``key`` names the row, as a node's own id may be what is missing. Row-wise, no shuffle.
+    """
+    blank = lambda c: F.trim(c) == ""
+    faults = [F.when(F.col(f).isNull(), F.lit(f"null {f}")) for f in NODE_FIELDS]
+    faults += [F.when(~F.col("type").isin(NODE_TYPES), F.lit("unknown type"))] + [F.when(blank(F.col(f)), F.lit(f"blank {f}")) for f in ("step", "swimlane_role")]
+    ends = F.transform(F.coalesce(F.col(targets), F.array().cast(nodes.schema[targets].dataType)), lambda x: F.when(x.isNull(), "null target").when(blank(x.cast("string")), "blank target"))
+    return nodes.select(key, F.explode(F.array_compact(F.concat(F.array(*faults), ends))).alias("error"))
+
+
+def isolated(nodes: DataFrame, diagram: str, order: str, node: str, targets: str) -> DataFrame:
+    """(diagram, node) of nodes without targets that none points to; not the first and the last, and none in diagrams of fewer than three."""
+    named = nodes.select(diagram, F.explode(targets).alias(node)).distinct()
+    ends = nodes.groupBy(diagram).agg(F.min(order).alias("__first"), F.max(order).alias("__last"), F.count(F.lit(1)).alias("__n")).where("__n >= 3")
+    loose = nodes.where(F.size(F.coalesce(F.col(targets), F.array().cast(nodes.schema[targets].dataType))) == 0).join(named, [diagram, node], "left_anti")
+    return loose.join(ends, diagram).where((F.col(order) != F.col("__first")) & (F.col(order) != F.col("__last"))).select(diagram, node)
+
+
 def mutual(edges: DataFrame) -> DataFrame:
     """Pairs of nodes with edges both ways, the smaller first."""
     pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), (F.col("src") < F.col("dst")).alias("up"))

@@ -58,3 +58,17 @@ def reconcile_names(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
     b = right.select(name).distinct().withColumn("__right", F.lit(True))
     status = F.when(F.col("__left") & F.col("__right"), "matched").when(F.col("__left"), "missed").otherwise("extra")
     return a.join(b, name, "full").select(name, status.alias("status"))
+
+
+def likely_names(left: DataFrame, right: DataFrame, name: str, order: str, width: int = 4) -> DataFrame:
+    """(name, likely): for names that the right list lacks, the first right name that holds their first ``width`` characters, or null.
+
+    Names are compared without blanks and with half-width parentheses. The parts of
+    the right names are reduced to one row a part before they meet the left ones.
+    """
+    bare = lambda c: F.translate(F.regexp_replace(c, r"\s+", ""), "（）", "()")
+    theirs = right.select(bare(F.col(name)).alias("__b"), F.col(name).alias("likely"), F.col(order).alias("__o"))
+    parts = F.array_distinct(F.expr(f"flatten(transform(sequence(1, least({width}, length(__b))), w -> transform(sequence(1, length(__b) - w + 1), i -> substring(__b, i, w))))"))
+    first = theirs.where("__b <> ''").select(F.explode(parts).alias("__p"), "likely", "__o").groupBy("__p").agg(F.min_by("likely", "__o").alias("likely"))
+    missed = left.select(name, bare(F.col(name)).alias("__b")).distinct().join(theirs.select("__b").distinct(), "__b", "left_anti")
+    return missed.withColumn("__p", F.substring("__b", 1, width)).join(first, "__p", "left").select(name, "likely")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallystone.functions import numbers, text
+from tallystone.operators import linkage
 
 HIGH, MEDIUM, LOW = 3, 2, 1
 #: Words of addresses in residential buildings.
@@ -44,6 +45,20 @@ def contacts(companies: DataFrame, key: str) -> DataFrame:
     return rows.select("entity", "dimension", F.explode("__v").alias("value"))
 
 
+def phone_segments(companies: DataFrame, key: str) -> DataFrame:
+    """Links of landlines that differ in the last digit only, for companies that share no number with others: HIGH."""
+    numbers_of = companies.select(F.col(key).alias("entity"), F.explode(text.phones(F.col("phone"))).alias("number"))
+    same = linkage.shared(numbers_of, "entity", "number", "phone", HIGH).select("entity")
+    return linkage.adjacent(numbers_of.join(same, "entity", "left_anti"), "entity", "number").withColumn("dimension", F.lit("phone_segment"))
+
+
+def address_prefixes(companies: DataFrame, key: str) -> DataFrame:
+    """Companies whose normal address goes on from another one of eight characters or more: MEDIUM."""
+    rows = companies.select(F.col(key).alias("entity"), text.normal_address(F.col("address")).alias("place"))
+    found = linkage.prefixes(rows, "entity", "place")
+    return found.select("entity", "class_id", F.col("n_prefixes").alias("n_links"), F.lit("address_prefix").alias("dimension"), F.lit(MEDIUM).alias("level"))
+
+
 def without_excluded(marks: DataFrame, excluded: DataFrame) -> DataFrame:
     """Marks whose value is not on a list of public bodies and persons; names of one character are none."""
     return marks.where(F.length("value") >= 2).join(excluded.select("value"), "value", "left_anti")

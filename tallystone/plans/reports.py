@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallystone.operators import companies, display, gates
+from tallystone.operators import companies, display, gates, graph, linkage, related
 from tallystone.plans.registry import query
 
 ITEMS = ["资产总计", "负债合计", "股东权益合计", "营业收入", "营业成本", "营业利润", "利润总额", "净利润", "合计", "美元", "人民币", "其中：股本"]
@@ -239,3 +239,51 @@ def q105_all_addresses(t):
     change = lambda item, before: F.struct(F.lit(item).alias("item"), F.lit(before).alias("before"))
     changes = F.when(k % 3 == 0, F.array(change("地址变更", "old"), change("名称变更", "x"), change("地址变更", ""))).otherwise(F.array(change("名称变更", "y")))
     return t("customer").select(k, F.array_join(display.all_addresses(F.array(F.concat(F.lit("now "), k.cast("string"))), F.when(k % 2 == 0, "invoice"), changes), "|").alias("addresses"))
+
+
+@query("""
+with c as (select c_custkey as k, case when c_custkey % 7 = 0 then '0107777777' else '010' || lpad(cast(c_custkey as varchar), 7, '0') end as n from customer),
+s as (select * from c where k % 7 <> 0), g as (select k, substr(n, 1, length(n) - 1) as value from s)
+select k as entity, value, min(k) over (partition by value) as class_id, count(*) over (partition by value) - 1 as n_links, 'phone_segment' as dimension, 3 as level from g qualify n_links > 0""")
+def q130_phone_segments(t):
+    k = F.col("c_custkey")
+    phone = F.when(k % 7 == 0, "010-7777777").otherwise(F.concat(F.lit("010-"), F.lpad(k.cast("string"), 7, "0")))
+    return related.phone_segments(t("customer").select(k.alias("k"), phone.alias("phone")), "k")
+
+
+@query("select c_custkey as entity, c_custkey - 1 as class_id, 1 as n_links, 'address_prefix' as dimension, 2 as level from customer where c_custkey % 2 = 1")
+def q131_address_prefixes(t):
+    k = F.col("c_custkey")
+    place = F.concat(F.lit("北京市海淀区中关村大街"), F.lpad(F.floor(k / 2).cast("string"), 12, "0"), F.when(k % 2 == 1, "号 3 层").otherwise("号"))
+    return related.address_prefixes(t("customer").select(k, place.alias("address")), "c_custkey")
+
+
+@query("""
+with l as (select distinct 'N' || lpad(cast(c_custkey as varchar), 6, '0') || '（甲）' as name, c_custkey as k from customer), r as (select 'N' || lpad(cast(s_suppkey * 2 as varchar), 6, '0') || '(甲)' as name, s_suppkey as k from supplier),
+m as (select name from l where replace(replace(name, '（', '('), '）', ')') not in (select name from r))
+select m.name, arg_min(r.name, r.k) as likely from m left join r on contains(r.name, substr(m.name, 1, 4)) group by 1""")
+def q132_likely_names(t):
+    name = lambda c, end: F.concat(F.lit("N"), F.lpad(c.cast("string"), 6, "0"), F.lit(end)).alias("name")
+    return linkage.likely_names(t("customer").select(name(F.col("c_custkey"), "（甲）")), t("supplier").select(name(F.col("s_suppkey") * 2, "(甲)"), F.col("s_suppkey").alias("k")), "name", "k")
+
+
+@query("""
+with e as (select event_id, unnest(list_filter([case when event_id % 11 = 0 then 'null id' end, case when event_id % 7 = 0 then 'null step' end, case when event_id % 5 = 0 then 'unknown type' end, case when event_id % 7 = 1 then 'blank step' end,
+ case when event_id % 3 = 0 then 'null target' end, case when event_id % 3 = 0 then 'blank target' end], lambda x: x is not null)) as error from events)
+select error, count(*) as n, min(event_id) as first from e group by 1""")
+def q133_node_fields(t):
+    k = F.col("event_id")
+    nodes = t("events").select(
+        k.alias("k"), F.when(k % 11 != 0, k.cast("string")).alias("id"), F.when(k % 7 == 1, "  ").when(k % 7 > 1, "s").alias("step"), F.when(k % 5 == 0, "loop").otherwise("process").alias("type"), F.lit("r").alias("swimlane_role"), F.lit("n").alias("node_role"),
+        F.when(k % 3 == 0, F.array(F.lit(None).cast("string"), F.lit(" "), F.lit("x"))).alias("next_steps"),
+    )
+    return graph.field_errors(nodes, "k", "next_steps").groupBy("error").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first"))
+
+
+@query("""
+with n as (select user_id, event_id, min(event_id) over (partition by user_id) as lo, max(event_id) over (partition by user_id) as hi, count(*) over (partition by user_id) as c, event_id % 4 = 0 as points from events), p as (select distinct user_id, event_id + 1 as event_id from n where points)
+select user_id, event_id from n where not points and c >= 3 and event_id <> lo and event_id <> hi and not exists (select 1 from p where p.user_id = n.user_id and p.event_id = n.event_id)""")
+def q134_isolated_nodes(t):
+    k = F.col("event_id")
+    nodes = t("events").select("user_id", "event_id", F.when(k % 4 == 0, F.array(k + 1)).alias("next_steps"))
+    return graph.isolated(nodes, "user_id", "event_id", "event_id", "next_steps")
