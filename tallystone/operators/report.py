@@ -13,28 +13,37 @@ from tallystone.functions.numbers import TOLERANCE, check_equal, lenient_number
 
 #: Endings that a note's subject may have beyond the statement's item.
 SUBJECT_ENDINGS = ["净值", "净额", "账面价值", "账面余额", "原值"]
+#: Cells of a total row that hold no total.
+NO_TOTAL = ["-", "—", "–", "——", "", "0", "0.00"]
+#: Words of header rows below the headers, and of columns of percentages.
+HEADER_WORDS = ["金额", "比例", "余额", "价值", "准备", "类别"]
+PERCENT_WORDS = ["%", "比例", "百分比", "rate", "损失率", "计提比例", "占比"]
+#: Row kinds of an annotation that hold totals, column kinds that are no amounts.
+TOTAL_KINDS = ["total", "subtotal", "sum", "合计", "小计"]
+RATIO_KINDS = ["percentage", "percent", "ratio"]
 MONEY = "decimal(24,4)"
 
 
 def foot_tables(cells: DataFrame, table: str, row: str, column: str, label: str, text: str) -> DataFrame:
     """Footing of every amount column of every table, from cells in long form.
 
-    Rows labelled 合计 or 总计 (else 小计) hold the total, the last such row
-    counts, and no summary row is summed. Rows that begin with 减 are taken off.
-    Columns of percentages, columns without a total and placeholder totals are
-    left out; a mismatch is a warning. One aggregation, combined before its shuffle.
+    Rows labelled 合计 or 总计 (else 小计; a row that names both is a 小计) hold the
+    total, the last such row counts, and no summary row is summed. Rows with 减 and
+    a colon are taken off. Columns of percentages, columns without a total and
+    placeholder totals are left out; a mismatch is a warning. One aggregation,
+    combined before its shuffle.
     """
     bare = F.translate(F.coalesce(F.col(label), F.lit("")), " \t\r\n\u3000", "")
     # Names and amounts are made once a cell, before the aggregation uses them several times.
-    cells = cells.select(table, column, row, bare.alias("__name"), lenient_number(F.col(text)).cast(MONEY).alias("__value"), F.col(text).contains("%").alias("__pct"))
+    cells = cells.select(table, column, row, bare.alias("__name"), lenient_number(F.col(text)).cast(MONEY).alias("__value"), F.col(text).contains("%").alias("__pct"), F.trim(F.col(text)).isin(NO_TOTAL).alias("__none"))
     name, value = F.col("__name"), F.col("__value")
-    cells = cells.select(table, column, row, "__value", "__pct", (name.contains("合计") | name.contains("总计")).alias("__g"), name.contains("小计").alias("__s"), name.startswith("减").alias("__m"))
-    grand, part = F.col("__g"), F.col("__s")
+    cells = cells.select(table, column, row, "__value", "__pct", "__none", (name.rlike("合计|总计") & ~name.contains("小计")).alias("__g"), name.contains("小计").alias("__s"), (name.contains("减") & name.rlike("[:：]")).alias("__m"))
+    grand, part, shown = F.col("__g"), F.col("__s"), ~F.coalesce("__none", F.lit(True))
     detail = F.when(~grand & ~part, F.when(F.col("__m"), -F.abs(value)).otherwise(value))
     sums = cells.groupBy(table, column).agg(
         F.sum(detail).alias("footed"),
-        F.max_by(F.when(grand, value), F.when(grand, F.col(row))).alias("__grand"), F.max(grand).alias("__has"),
-        F.max_by(F.when(part, value), F.when(part, F.col(row))).alias("__part"),
+        F.max_by(F.when(grand & shown, value), F.when(grand, F.col(row))).alias("__grand"), F.max(grand).alias("__has"),
+        F.max_by(F.when(part & shown, value), F.when(part, F.col(row))).alias("__part"),
         F.max("__pct").alias("__percent"),
     )
     total = F.when(F.col("__has"), F.col("__grand")).otherwise(F.col("__part"))
@@ -44,6 +53,60 @@ def foot_tables(cells: DataFrame, table: str, row: str, column: str, label: str,
     return found.select(table, column, F.col("footed").cast("double").alias("footed"), F.col("total").cast("double").alias("total"), gap.cast("double").alias("difference"), passed.alias("passed"), F.when(passed, "info").otherwise("warning").alias("severity"))
 
 
+def with_merged_headers(tables: DataFrame, headers: str, rows: str) -> DataFrame:
+    """Header rows that stand among the rows move into the headers, column by column.
+
+    Of two rows at least, the second is one if it is as long as the headers and
+    has a header word, and takes the first along; else the first is one if it
+    has a header word or its first cell repeats the first header. No shuffle.
+    """
+    top, body = F.col(headers), F.col(rows)
+    row = lambda i: F.get(body, F.lit(i))
+    fits = lambda i: (F.size(body) >= 2) & (F.size(row(i)) == F.size(top))
+    worded = lambda i: F.concat_ws(" ", row(i)).rlike("|".join(HEADER_WORDS))
+    start = F.get(row(0), F.lit(0))
+    repeated = (start != "") & start.contains(F.get(top, F.lit(0)))
+    n = F.when(fits(1) & worded(1), 2).when(fits(0) & (worded(0) | F.coalesce(repeated, F.lit(False))), 1).otherwise(0)
+    joined = F.transform(top, lambda h, i: F.concat_ws(" ", h, F.when(F.col("__n") > 0, F.get(row(0), i)), F.when(F.col("__n") > 1, F.get(row(1), i))))
+    kept = F.when(F.col("__n") == 0, body).otherwise(F.slice(body, F.col("__n") + 1, F.greatest(F.size(body) - F.col("__n"), F.lit(0))))
+    return tables.withColumn("__n", n).withColumns({headers: joined, rows: kept}).drop("__n")
+
+
+def foot_matrices(tables: DataFrame, table: str, headers: str, rows: str) -> DataFrame:
+    """``foot_tables`` of tables held as arrays of cells: header rows are merged, columns headed as percentages left out.
+
+    The first cell of a row is its label. The result's ``col`` counts from 0.
+    """
+    t = with_merged_headers(tables.select(table, headers, rows), headers, rows)
+    lines = t.select(table, headers, F.posexplode(rows).alias("row", "__cells"))
+    cells = lines.select(table, "row", F.get("__cells", F.lit(0)).alias("label"), F.posexplode(F.arrays_zip(F.col(headers).alias("head"), F.col("__cells").alias("text"))).alias("col", "__z"))
+    percent = F.coalesce(F.lower("__z.head").rlike("|".join(PERCENT_WORDS)), F.lit(False))
+    amounts = cells.where((F.col("col") > 0) & F.col("__z.head").isNotNull() & ~percent).select(table, "row", "col", "label", F.col("__z.text").alias("text"))
+    return foot_tables(amounts, table, "row", "col", "label", "text")
+
+
+def annotated_foot(cells: DataFrame, row_notes: DataFrame, column_notes: DataFrame, table: str, row: str, column: str, text: str) -> DataFrame:
+    """Footing by annotation: the signed detail rows of every amount column against each of its total rows.
+
+    Row notes are (table, row, kind, op, is_subitem): parts of another row are
+    not summed. Column notes are (table, column, kind). Totals that are no number
+    or placeholders are left out, as are columns without details. Joins are on
+    keys; the details of a column are combined before their shuffle.
+    """
+    kind = F.lower("kind")
+    amount = (kind == "amount") | (~F.col("kind").isin(RATIO_KINDS) & kind.contains("amount"))
+    value = lenient_number(F.col(text)).cast(MONEY)
+    noted = cells.join(row_notes.select(table, row, F.col("kind").alias("__kind"), "op", "is_subitem"), [table, row])
+    noted = noted.join(column_notes.where(amount).select(table, column).distinct(), [table, column]).withColumn("__value", value)
+    details = noted.where((F.col("__kind") == "detail") & ~F.coalesce("is_subitem", F.lit(False)))
+    footed = details.groupBy(table, column).agg(F.sum(F.when(F.col("op") == "-", -F.col("__value")).otherwise(F.col("__value"))).alias("footed")).where("footed is not null")
+    totals = noted.where(F.col("__kind").isin(TOTAL_KINDS) & F.col("__value").isNotNull() & ~F.trim(F.col(text)).isin(NO_TOTAL))
+    both = totals.select(table, row, column, F.col("__value").alias("total")).join(footed, [table, column])
+    gap = F.abs(F.col("total") - F.col("footed"))
+    passed = gap <= TOLERANCE
+    return both.select(table, row, column, F.col("footed").cast("double").alias("footed"), F.col("total").cast("double").alias("total"), gap.cast("double").alias("difference"), passed.alias("passed"), F.when(passed, "info").otherwise("warning").alias("severity"))
+
+
 @dataclass(frozen=True)
 class Pattern:
     """A relation across a row: header patterns of signed operands and of the result."""

@@ -79,7 +79,7 @@ def q46_table_classes(t):
 with l as (select l_orderkey, case when l_linenumber = 7 then -1 else 1 end as sign, cast(l_extendedprice as decimal(18,2)) as price, cast(l_quantity as decimal(18,2)) as quantity from lineitem),
 c as (select l_orderkey, 'price' as col, sign * price as v from l union all select l_orderkey, 'quantity', sign * quantity from l),
 s as (select l_orderkey, col, sum(v) as footed, sum(v) + case when l_orderkey % 10 = 0 then 0.05 else 0 end as total from c group by l_orderkey, col)
-select l_orderkey, col, cast(footed as double) as footed, cast(total as double) as total, cast(abs(total - footed) as double) as difference, total = footed as passed, case when total = footed then 'info' else 'warning' end as severity from s""")
+select l_orderkey, col, cast(footed as double) as footed, cast(total as double) as total, cast(abs(total - footed) as double) as difference, total = footed as passed, case when total = footed then 'info' else 'warning' end as severity from s where total <> 0""")
 def q47_table_footing(t):
     """Tables of an order's lines with a total row, some totals off by five cents, and a column of percentages."""
     shown = F.array(F.struct(F.lit("price").alias("col"), money("l_extendedprice").alias("v")), F.struct(F.lit("quantity").alias("col"), money("l_quantity").alias("v")))
@@ -413,3 +413,46 @@ def q86_subsequence(t):
 def q87_upsert(t):
     k = t("orders").select(F.col("o_orderkey").alias("id"))
     return store.upsert(k.where("id % 2 = 0"), k.where("id % 3 = 0"))
+
+
+@query("""
+with l as (select l_orderkey as k, case when l_linenumber = 7 then -1 else 1 end as sign, cast(l_extendedprice as decimal(18,2)) as p, cast(l_quantity as decimal(18,2)) as q from lineitem),
+s as (select k, 1 as col, sum(sign * p) as footed from l group by k union all select k, 2, sum(sign * q) from l where k % 5 = 0 group by k),
+f as (select k, col, footed, footed + case when k % 10 = 0 then 0.05 else 0 end as total from s where k % 4 <> 1)
+select k, col, cast(footed as double) as footed, cast(total as double) as total, cast(abs(total - footed) as double) as difference, total = footed as passed, case when total = footed then 'info' else 'warning' end as severity from f where total <> 0""")
+def q135_matrix_footing(t):
+    """Tables of an order's lines under no, one or two further header rows; a row 减： is taken off, 减值损失 is not; some totals are 0.00."""
+    k, texts = F.col("k"), lambda *x: F.array(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    price, quantity = money("l_extendedprice"), money("l_quantity")
+    sign = F.when(F.col("l_linenumber") == 7, -1).otherwise(1)
+    label = F.when(F.col("l_linenumber") == 7, "减：返还").when(F.col("l_linenumber") == 3, "减值损失").otherwise("明细")
+    lines = t("lineitem").select(F.col("l_orderkey").alias("k"), F.struct(F.col("l_linenumber").alias("n"), texts(label, price.cast("string"), quantity.cast("string")).alias("c")).alias("line"), (price * sign).alias("p"), (quantity * sign).alias("q"))
+    off = F.when(F.col("k") % 10 == 0, F.lit("0.05").cast("decimal(18,2)")).otherwise(F.lit(0).cast("decimal(18,2)"))
+    shown = lambda c: F.when(k % 4 == 1, "0.00").otherwise((c + off).cast("string"))
+    sums = lines.groupBy("k").agg(F.transform(F.array_sort(F.collect_list("line")), lambda x: x["c"]).alias("lines"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    last = F.when(k % 5 == 0, "数量").otherwise("占比")
+    headers = F.when(k % 3 == 0, texts("项目", "金额", last)).when(k % 3 == 1, texts("项目", "本年", "本年")).otherwise(texts("项目", "2024", "2024"))
+    above = F.when(k % 3 == 1, F.array(texts("项目", "金额", last))).when(k % 3 == 2, F.array(texts("", "本年", "本年"), texts("类别", "金额", last)))
+    rows = F.concat(F.coalesce(above, F.array().cast("array<array<string>>")), "lines", F.array(texts("合计", shown(F.col("p")), shown(F.col("q")))))
+    return report.foot_matrices(sums.select("k", headers.alias("headers"), rows.alias("rows")), "k", "headers", "rows")
+
+
+@query("""
+with l as (select l_orderkey as k, case when l_linenumber = 4 then -1 else 1 end as sign, cast(l_extendedprice as decimal(18,2)) as p, cast(l_quantity as decimal(18,2)) as q from lineitem where l_linenumber <> 5),
+s as (select k, 1 as col, sum(sign * p) as footed from l group by k union all select k, 2, sum(sign * q) from l group by k),
+f as (select k, 100 as row_no, col, footed, footed as total from s union all select k, 50, col, footed, footed + case when k % 10 = 0 then 0.05 else 0 end from s where k % 4 <> 1)
+select k, row_no, col, cast(footed as double) as footed, cast(total as double) as total, cast(abs(total - footed) as double) as difference, total = footed as passed, case when total = footed then 'info' else 'warning' end as severity from f where total <> 0""")
+def q136_annotated_totals(t):
+    """An order's lines as annotated rows: line 4 is taken off, line 5 is a part of another, rows 50 and 100 hold totals."""
+    n, both = F.col("l_linenumber"), lambda p, q: F.explode(F.array(*[F.struct(F.lit(i).alias("col"), v.alias("v")) for i, v in ((1, p), (2, q), (3, p))])).alias("c")
+    sign = F.when(n == 4, -1).when(n == 5, 0).otherwise(1)
+    lines = t("lineitem").select(F.col("l_orderkey").alias("k"), n.alias("row_no"), sign.alias("sign"), both(money("l_extendedprice"), money("l_quantity"))).select("k", "row_no", "sign", "c.*")
+    sums = lines.groupBy("k", "col").agg(F.sum(F.col("v") * F.col("sign")).alias("v"))
+    off = F.when((F.col("k") % 10 == 0) & (F.col("row_no") == 50), F.lit("0.05").cast("decimal(18,2)")).otherwise(F.lit(0).cast("decimal(18,2)"))
+    totals = sums.withColumn("row_no", F.explode(F.array(F.lit(50), F.lit(100)))).select("k", "row_no", "col", F.when((F.col("k") % 4 == 1) & (F.col("row_no") == 50), "—").otherwise((F.col("v") + off).cast("string")).alias("text"))
+    cells = lines.select("k", "row_no", "col", F.col("v").cast("string").alias("text")).unionByName(totals)
+    kind = F.when(F.col("row_no") == 50, "小计").when(F.col("row_no") == 100, "total").otherwise("detail")
+    row_notes = cells.select("k", "row_no").distinct().select("k", "row_no", kind.alias("kind"), F.when(F.col("row_no") == 4, "-").otherwise("+").alias("op"), (F.col("row_no") == 5).alias("is_subitem"))
+    kinds = F.create_map(F.lit(1), F.lit("amount"), F.lit(2), F.lit("Amount_in_units"), F.lit(3), F.lit("percentage"))
+    column_notes = cells.select("k", "col").distinct().withColumn("kind", kinds[F.col("col")])
+    return report.annotated_foot(cells, row_notes, column_notes, "k", "row_no", "col", "text")

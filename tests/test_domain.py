@@ -57,6 +57,28 @@ def test_footing_takes_last_total_and_skips_subtotals(spark):
     assert rows(got.select("t", "footed", "total", "passed")) == [("t", 70.0, 70.0, True)]
 
 
+def test_footing_takes_off_rows_with_a_colon_only_and_needs_a_total(spark):
+    cells = [("t", 1, "c", "甲", "100"), ("t", 2, "c", "减值准备", "30"), ("t", 3, "c", "（2）减: 乙", "10"), ("t", 4, "c", "合计", "120"), ("u", 1, "c", "甲", "1"), ("u", 2, "c", "合计", "0.00"), ("v", 1, "c", "甲", "1"), ("v", 2, "c", "小计", "2"), ("v", 3, "c", "合计（小计）", "1")]
+    got = report.foot_tables(spark.createDataFrame(cells, "t string, r int, c string, l string, v string"), "t", "r", "c", "l", "v")
+    assert rows(got.select("t", "footed", "passed")) == [("t", 120.0, True), ("v", 1.0, True)]
+
+
+def test_header_rows_are_merged(spark):
+    cases = [
+        (["项目", "a"], [["项目", "金额"], ["x", "1"]], (["项目 项目", "a 金额"], [["x", "1"]])),
+        (["项目", "a"], [["", "b"], ["类别", "c"], ["x", "1"]], (["项目  类别", "a b c"], [["x", "1"]])),
+        (["项目", "a"], [["x", "1"], ["y", "2"]], (["项目", "a"], [["x", "1"], ["y", "2"]])),
+        (["项目", "a"], [["项目", "金额"]], (["项目", "a"], [["项目", "金额"]])),
+        (["项目", "a"], [["项目", "金额", "z"], ["y", "2"]], (["项目", "a"], [["项目", "金额", "z"], ["y", "2"]])),
+        (["项目", "a"], [], (["项目", "a"], [])),
+        (None, None, (None, None)),
+    ]
+    df = spark.createDataFrame([(i, h, r) for i, (h, r, _) in enumerate(cases)], "i int, h array<string>, r array<array<string>>")
+    got = {x.i: (x.h, x.r) for x in report.with_merged_headers(df, "h", "r").collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, _, want in cases]
+    assert report.foot_matrices(df, "i", "h", "r").count() == 0
+
+
 def test_cross_foot_without_pattern_is_null(spark):
     df = spark.createDataFrame([(["名称", "金额"], ["x", "1"]), (["账面余额", "坏账准备", "账面价值"], ["1,000", "100", "900"])], "h array<string>, c array<string>")
     assert rows(report.cross_foot_tables(df, "h", "c").select("pattern", "passed")) == [("A", True), (None, None)]
