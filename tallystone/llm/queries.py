@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallystone.llm import bpe, centroids, divergence, licences, media, mixing, quality, rules, sharding, simhash, suffixes, toxicity
+from tallystone.llm import bpe, centroids, divergence, licences, media, mixing, personal, quality, rules, sharding, simhash, suffixes, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -62,6 +62,10 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.report(_table(spark, sf_dir, "documents"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.report(_table(spark, sf_dir, "documents"))
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.report(_table(spark, sf_dir, "embeddings"))
 
@@ -71,7 +75,7 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_sharding, op2_quality_classifier, op3_licence_scans, op4_bpe, op5_suffix_dedup, op6_mixing, op7_toxicity, op8_simhash, op9_quality_rules, op10_media_columns, op12_centroid_clustering, op13_source_divergence)
+    found = (op1_sharding, op2_quality_classifier, op3_licence_scans, op4_bpe, op5_suffix_dedup, op6_mixing, op7_toxicity, op8_simhash, op9_quality_rules, op10_media_columns, op11_personal_data, op12_centroid_clustering, op13_source_divergence)
     return {f.__name__: f for f in found}
 
 
