@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallystone.functions.numbers import calculator_number
+
 
 def compile_formula(formula: str, value: Callable[[str], Column]) -> Column:
     """A formula of names, numbers, ``+ - * / % ** //`` and parentheses as one Column.
@@ -54,6 +56,143 @@ def compile_formula(formula: str, value: Callable[[str], Column]) -> Column:
         raise ValueError(f"not a formula: {formula}") from e
 
 
+#: Numbers, operators and brackets of a written formula.
+TOKEN = r"(\d+\.?\d*(?:[eE][-+]?\d+)?|\.\d+(?:[eE][-+]?\d+)?|\*\*|//|[-+*/%()])"
+#: How tightly operators bind; ``u-`` and ``u+`` are signs. Only ``**`` groups from the right.
+BINDING = {"+": 1, "-": 1, "*": 2, "/": 2, "//": 2, "%": 2, "u-": 3, "u+": 3, "**": 4}
+_STACKS = "struct<vals: array<double>, ops: array<string>, operand: boolean, ok: boolean>"
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _binding(op: Column) -> Column:
+    out = F.when(op == "(", F.lit(0))
+    for level in sorted(set(BINDING.values())):
+        out = out.when(op.isin([o for o, b in BINDING.items() if b == level]), F.lit(level))
+    return out
+
+
+def _applied(op: Column, a: Column, b: Column) -> Column:
+    """a op b; null for a division by zero and for what is no real number."""
+    quotient = F.try_divide(a, b)
+    power = F.when((a == 0) & (b < 0), F.lit(None).cast("double")).otherwise(F.pow(a, b))
+    found = F.when(op == "+", a + b).when(op == "-", a - b).when(op == "*", a * b).when(op == "/", quotient).when(op == "//", F.floor(quotient).cast("double"))
+    return found.when(op == "%", a - F.floor(quotient) * b).when(op == "**", F.when(~F.isnan(power), power))
+
+
+def _popped(state: Column, least: Column) -> Column:
+    """Operators on top that bind at least as tightly as ``least`` are carried out, down to an opening bracket."""
+    start = F.struct(state["vals"].alias("vals"), state["ops"].alias("ops"), F.lit(False).alias("stop"))
+
+    def step(acc: Column, op: Column) -> Column:
+        vals, n = acc["vals"], F.size(acc["vals"])
+        last, other = F.get(vals, n - 1), F.get(vals, n - 2)
+        sign = op.isin("u-", "u+")
+        value = F.when(op == "u-", -last).when(op == "u+", last).otherwise(_applied(op, other, last))
+        rest = F.slice(vals, F.lit(1), F.greatest(n - F.when(sign, 1).otherwise(2), F.lit(0)))
+        done = F.struct(F.concat(rest, F.array(value)).alias("vals"), F.slice(acc["ops"], F.lit(1), F.size(acc["ops"]) - 1).alias("ops"), F.lit(False).alias("stop"))
+        halt = acc["stop"] | (op == "(") | (_binding(op) < least)
+        return F.when(halt, F.struct(acc["vals"].alias("vals"), acc["ops"].alias("ops"), F.lit(True).alias("stop"))).otherwise(done)
+
+    return F.aggregate(F.reverse(state["ops"]), start.cast("struct<vals: array<double>, ops: array<string>, stop: boolean>"), step)
+
+
+def _read(state: Column, token: Column) -> Column:
+    """The stacks after one more token: values, operators, whether an operand is wanted, whether all was in order."""
+
+    def made(vals: Column, ops: Column, operand: bool, ok: Column) -> Column:
+        return F.struct(vals.alias("vals"), ops.alias("ops"), F.lit(operand).alias("operand"), ok.alias("ok")).cast(_STACKS)
+
+    vals, ops, wanted, ok = state["vals"], state["ops"], state["operand"], state["ok"]
+    push = lambda x: F.concat(ops, F.array(x))
+    number = made(F.concat(vals, F.array(token.try_cast("double"))), ops, False, ok & wanted)
+    opening = made(vals, push(F.lit("(")), True, ok & wanted)
+    sign = made(vals, push(F.concat(F.lit("u"), token)), True, ok & token.isin("-", "+"))
+    # An operator that groups from the left carries out those that bind as tightly, a closing bracket all of them.
+    least = F.when(token == ")", F.lit(1)).otherwise(_binding(token) + F.when(token == "**", 1).otherwise(0))
+
+    def after(p: Column) -> Column:
+        top = F.get(p["ops"], F.size(p["ops"]) - 1)
+        closing = made(p["vals"], F.slice(p["ops"], F.lit(1), F.greatest(F.size(p["ops"]) - 1, F.lit(0))), False, ok & ~wanted & F.coalesce(top == "(", F.lit(False)))
+        return F.when(token == ")", closing).otherwise(made(p["vals"], F.concat(p["ops"], F.array(token)), True, ok & ~wanted))
+
+    unchanged = made(vals, ops, False, F.lit(False))
+    return F.when(~ok, unchanged).when(token.rlike(r"^[\d.]"), number).when(token == "(", opening).when(wanted & (token != ")"), sign).otherwise(_bound(_popped(state, least), after))
+
+
+def evaluate(formula: Column) -> Column:
+    """The value of a formula of numbers that differs from row to row, as a double.
+
+    ``+ - * / % ** //``, signs and brackets, with the usual precedence; commas
+    are dropped, blanks part tokens. Null for a division by zero, for what is no
+    formula, and for what is no finite real number. A fold over the tokens with
+    two arrays as stacks; no Python worker.
+    """
+    bare = F.translate(formula, ",", "")
+    strange = F.regexp_replace(bare, TOKEN + r"|\s", "") != ""
+    # Two numbers that only a blank parts are two tokens, so the fold refuses them.
+    tokens = F.regexp_extract_all(bare, F.lit(TOKEN), 1)
+    start = F.struct(F.array().cast("array<double>").alias("vals"), F.array().cast("array<string>").alias("ops"), F.lit(True).alias("operand"), F.lit(True).alias("ok")).cast(_STACKS)
+
+    def last(state: Column) -> Column:
+        done = _bound(_popped(state, F.lit(1)), lambda p: F.when((F.size(p["ops"]) == 0) & (F.size(p["vals"]) == 1), F.get(p["vals"], F.lit(0))))
+        return F.when(state["ok"] & ~state["operand"], done)
+
+    value = F.aggregate(tokens, start, _read, last)
+    return F.when(~strange, F.when(F.abs(value) < F.lit(float("inf")), value))
+
+
+#: Fields that stand for each other where one has no value, in this order.
+FIELD_SYNONYMS = {
+    "年末余额": ["期末余额", "账面余额", "账面价值", "金额", "余额"],
+    "期末余额": ["年末余额", "账面余额", "账面价值", "金额", "余额"],
+    "账面价值": ["账面余额", "年末余额", "期末余额"],
+    "账面余额": ["账面价值", "年末余额", "期末余额"],
+    "本年发生额": ["发生额", "本年金额", "金额", "本期金额"],
+    "本期金额": ["本年发生额", "发生额", "金额"],
+}
+#: Cells without a value.
+BLANK_VALUES = ["", "-", "—"]
+
+
+def _entries(values: Column) -> Column:
+    return F.filter(F.map_entries(values), lambda e: e["value"].isNotNull() & ~e["value"].isin(BLANK_VALUES))
+
+
+def value_of_field(values: Column, field: Column) -> Column:
+    """The value under a name, or under the first name in the map's order that contains it."""
+    known = _entries(values)
+    exact = F.get(F.filter(known, lambda e: e["key"] == field), F.lit(0))["value"]
+    return F.coalesce(exact, F.get(F.filter(known, lambda e: F.contains(e["key"], field)), F.lit(0))["value"])
+
+
+def with_values(formula: Column, values: Column) -> Column:
+    """A formula's names replaced by their amounts in brackets, longest names first; names without an amount stay."""
+    amounts = F.transform(_entries(values), lambda e, i: F.struct((-F.length(e["key"])).alias("l"), i.alias("i"), e["key"].alias("key"), calculator_number(e["value"]).alias("value")))
+    known = F.array_sort(F.filter(amounts, lambda e: e["value"].isNotNull() & (e["key"] != "")))
+    return F.aggregate(known, formula, lambda text, e: F.replace(text, e["key"], F.concat(F.lit("("), e["value"].cast("string"), F.lit(")"))))
+
+
+def note_value(formula: Column, field: Column, values: Column) -> Column:
+    """What a note states, as text: its formula's value to two places, else its field's, else that of a synonym.
+
+    Only what stands before an equals sign counts, and only formulas with + or
+    - are computed; a name without an amount leaves the formula out.
+    """
+    written = F.trim(F.substring_index(F.coalesce(formula, F.lit("")), "=", 1))
+    filled = with_values(written, values)
+    value = F.when(written.rlike("[-+]") & ~filled.rlike("[\u4e00-\u9fa5]"), evaluate(filled))
+    synonyms = F.lit(None).cast("array<string>")
+    for name, others in FIELD_SYNONYMS.items():
+        synonyms = F.when(field == name, F.array(*[F.lit(o) for o in others])).otherwise(synonyms)
+    instead = F.get(F.filter(F.transform(synonyms, lambda s: value_of_field(values, s)), lambda v: v.isNotNull()), F.lit(0))
+    named = F.when(F.coalesce(field, F.lit("")) != "", F.coalesce(value_of_field(values, field), instead))
+    return F.coalesce(F.translate(F.format_number(value, 2), ",", ""), named)
+
+
 def signed_sum(formula: Column, values: Column) -> Column:
     """A formula of names joined by + and - that differs from row to row, over a map of values.
 

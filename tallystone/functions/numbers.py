@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 FULL_WIDTH = ("０１２３４５６７８９，．（）－＋　", "0123456789,.()-+ ")
 #: Cells that stand for zero in an amount column.
 ZERO_MARKS = ["", "-", "--", "—", "–", "_", "/"]
+#: Cells that the calculator takes for zero.
+CALCULATOR_ZEROS = ["", "-", "—", "–", "－", "_"]
+#: Blanks at the ends of a text, Unicode ones too.
+EDGES = r"^[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+|[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+$"
 TOLERANCE = 0.01
 SIMPLE = r"^-?(\d+|\d{1,3}(,\d{3})+)(\.\d+)?$"
 
@@ -40,6 +44,52 @@ def _any_number(text: Column) -> Column:
     return F.when(t.isin(ZERO_MARKS), F.lit(0.0)).otherwise(F.when(wrapped, -F.abs(value)).otherwise(value) * scale)
 
 
+def calculator_number(text: Column) -> Column:
+    """A written amount as the checks' calculator reads it: as a double, null if there is no number in it.
+
+    Empty texts and dashes are zero. The first number in the text counts, so
+    ``12%`` is 12 and ``约3,000`` is 3000. Brackets around the whole make it
+    negative. Of commas and points the last parts the decimals; a lone comma does
+    so unless exactly three digits follow. 万 multiplies by 10,000 (亿 does not).
+    Amounts in plain digits, the most of all, take one match and one cast.
+    """
+    simple = F.when(text.rlike(SIMPLE), F.translate(text, ",", "").try_cast("double"))
+    return F.coalesce(simple, F.get(F.transform(F.array(F.coalesce(text, F.lit(""))), _calculated), F.lit(0)))
+
+
+def _calculated(text: Column) -> Column:
+    bind = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731 - computed once
+    strip = lambda c: F.regexp_replace(c, EDGES, "")
+
+    def read(half: Column) -> Column:
+        wrapped = half.rlike(r"^\(.*\)$")
+        inner = F.translate(F.when(wrapped, F.substring(half, F.lit(2), F.length(half) - 2)).otherwise(half), " ", "")
+
+        def number(t: Column) -> Column:
+            comma, point = F.length(t) - F.length(F.substring_index(t, ",", -1)), F.length(t) - F.length(F.substring_index(t, ".", -1))
+            whole, rest = F.translate(F.substring(t, F.lit(1), comma), ".,", ""), F.substring(t, comma + 1, F.length(t))
+            lone = t.rlike(r"^\d+,\d+$") & ~t.rlike(r"^\d+,\d{3}$")
+            plain = F.when((comma > 0) & (point > 0) & (comma > point), F.concat(whole, F.lit("."), rest)).when(lone, F.translate(t, ",", ".")).otherwise(F.translate(t, ",", ""))
+            value = F.regexp_extract(plain, r"[-+]?\d*\.?\d+", 0).try_cast("double")
+            return F.when(wrapped, -value).otherwise(value)
+
+        return bind(inner, number)
+
+    value = bind(strip(F.translate(text, "，（）", ",()")), read) * F.when(text.contains("万"), F.lit(1e4)).otherwise(F.lit(1.0))
+    return F.when(strip(text).isin(CALCULATOR_ZEROS), F.lit(0.0)).otherwise(value)
+
+
+def table_number(text: Column) -> Column:
+    """A cell's amount where a table's total is looked up: the first number, null for empty cells and dashes.
+
+    Brackets around the whole make it negative; full-width ones are no brackets, and no unit multiplies.
+    """
+    bare = F.regexp_replace(text, EDGES, "")
+    wrapped = bare.rlike(r"^\(.*\)$")
+    value = F.regexp_extract(F.translate(bare, ", ", ""), r"-?\d+\.?\d*", 0).try_cast("double")
+    return F.when(~bare.isin(CALCULATOR_ZEROS), F.when(wrapped, -value).otherwise(value))
+
+
 def lenient_number(text: Column) -> Column:
     """As ``parse_number``, but empty cells and dashes are unknown, not zero.
 
