@@ -409,6 +409,7 @@ def report(documents: DataFrame) -> DataFrame:
     """The contract's columns; counts are those of the patterns' spans, ``n_added`` of the field's."""
     found = find(documents.select("doc_id", "text"), train(documents))
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    of = lambda kind: F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS]
     added = F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added")
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), added)
