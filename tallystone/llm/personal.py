@@ -309,15 +309,20 @@ def extended(text: str, seed: int) -> tuple[list[Token], list[int]]:
     rng, base = random.Random(seed), base_spans(text)
     words = re.findall(r"[^\W\d_]+", text[:2000]) or ["word"]
     parts, at, marks = [text], len(text), []
+    # Strangers are more than twins, stand in any order and are repeated, so that neither a form nor a place nor mere repetition gives an entity away.
+    wanted: list[tuple[str, int]] = []
     for s, k, e in base[:40]:
-        for twin in (True, False):
-            if rng.random() < 0.25:
-                continue
-            form = _respelt(k, text[s:e] if twin else _altered(text[s:e], rng), rng)
-            lead = "\n" + " ".join(rng.choices(words, k=rng.randint(3, 8))) + " "
-            parts += [lead, form, ", " + rng.choice(words) + "."]
-            marks.append((at + len(lead), at + len(lead) + len(form), k + 1 if twin else 0))
-            at += sum(map(len, parts[-3:]))
+        if rng.random() < 0.75:
+            wanted.append((_respelt(k, text[s:e], rng), k + 1))
+        for _ in range(2):
+            strange = _altered(text[s:e], rng)
+            wanted += [(strange if k in (1, 2) and rng.random() < 0.5 else _respelt(k, strange, rng), 0)] * rng.choice((0, 1, 1, 2, 5))
+    rng.shuffle(wanted)
+    for form, label in wanted:
+        lead = "\n" + " ".join(rng.choices(words, k=rng.randint(3, 8))) + " "
+        parts += [lead, form, ", " + rng.choice(words) + "."]
+        marks.append((at + len(lead), at + len(lead) + len(form), label))
+        at += sum(map(len, parts[-3:]))
     whole = "".join(parts)
     found = base_spans(whole)
     doc = tokens(whole, found)
