@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallystone.functions.text import BLANK
+
 FULL_WIDTH = ("０１２３４５６７８９，．（）－＋　", "0123456789,.()-+ ")
 #: Cells that stand for zero in an amount column.
 ZERO_MARKS = ["", "-", "--", "—", "–", "_", "/"]
 #: Cells that the calculator takes for zero.
 CALCULATOR_ZEROS = ["", "-", "—", "–", "－", "_"]
 #: Blanks at the ends of a text, Unicode ones too.
-EDGES = r"^[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+|[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+$"
+EDGES = f"^{BLANK}+|{BLANK}+$"
 TOLERANCE = 0.01
 SIMPLE = r"^-?(\d+|\d{1,3}(,\d{3})+)(\.\d+)?$"
 
@@ -35,7 +37,7 @@ def parse_number(text: Column) -> Column:
 
 def _any_number(text: Column) -> Column:
     t = F.regexp_replace(half_width(F.coalesce(text, F.lit(""))), r"\s+", "")
-    wrapped = t.rlike(r"^\(.*\)$")
+    wrapped = t.rlike(r"(?s)^\(.*\)$")
     bare = F.regexp_replace(t, r"[()¥￥$€元]", "")
     european = bare.rlike(r"\..*,") | (bare.rlike(r"^[^,.]*,[^,.]*$") & ~bare.rlike(r",\d{3}(?!\d)"))
     plain = F.when(european, F.translate(F.translate(bare, ".", ""), ",", ".")).otherwise(F.translate(bare, ",", ""))
@@ -62,7 +64,7 @@ def _calculated(text: Column) -> Column:
     strip = lambda c: F.regexp_replace(c, EDGES, "")
 
     def read(half: Column) -> Column:
-        wrapped = half.rlike(r"^\(.*\)$")
+        wrapped = half.rlike(r"(?s)^\(.*\)$")
         inner = F.translate(F.when(wrapped, F.substring(half, F.lit(2), F.length(half) - 2)).otherwise(half), " ", "")
 
         def number(t: Column) -> Column:
@@ -85,25 +87,11 @@ def table_number(text: Column) -> Column:
     Brackets around the whole make it negative; full-width ones are no brackets, and no unit multiplies.
     """
     bare = F.regexp_replace(text, EDGES, "")
-    wrapped = bare.rlike(r"^\(.*\)$")
+    wrapped = bare.rlike(r"(?s)^\(.*\)$")
     value = F.regexp_extract(F.translate(bare, ", ", ""), r"-?\d+\.?\d*", 0).try_cast("double")
     return F.when(~bare.isin(CALCULATOR_ZEROS), F.when(wrapped, -value).otherwise(value))
 
 
-def lenient_number(text: Column) -> Column:
-    """As ``parse_number``, but empty cells and dashes are unknown, not zero.
-
-    Amounts in plain digits, the most of all, take one cast and no pattern.
-    """
-    return F.coalesce(F.translate(text, ",", "").try_cast("double"), _written_number(text))
-
-
-def _written_number(text: Column) -> Column:
-    t = F.regexp_replace(half_width(text), r"[\s,]+", "")
-    value = F.regexp_replace(t, r"^\((.*)\)$", "-$1").try_cast("double")
-    return F.when(~t.isin(ZERO_MARKS), value)
-
-
 def clean_number_cell(text: Column) -> Column:
     """Drop blanks inside a cell that is a number otherwise; null becomes empty."""
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), "[ \t　]+", "")

@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CJK = "[一-龥]"
+#: Any blank, Unicode ones too, as a class of a pattern.
+BLANK = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Letters and digits of any script, and the underscore, inside a class of a pattern.
+WORD = r"\p{L}\p{N}_"
 #: Mail domains that say nothing about a company.
 PUBLIC_DOMAINS = [
     "qq.com", "163.com", "126.com", "sina.com", "sohu.com", "hotmail.com", "gmail.com", "outlook.com", "foxmail.com", "yeah.net", "139.com", "189.cn", "aliyun.com", "wo.cn",
@@ -28,13 +32,21 @@ def normal_address(text: Column) -> Column:
 
 
 def phones(text: Column) -> Column:
-    """Mobile and landline numbers, country code dropped, distinct in order of value."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"[,;，；、/\s]+"), lambda x: F.regexp_replace(F.regexp_replace(x, r"[^\d+]", ""), r"^(\+86|86(?=1\d{10}$))", ""))
-    return F.array_sort(F.array_distinct(F.filter(parts, lambda x: x.rlike(r"^(1\d{10}|0\d{9,11}|\d{7,8})$"))))
+    """Mobile and landline numbers without country code, distinct in order of value.
+
+    A landline of 11 or 12 digits with its area code also gives the number without
+    its first three digits, so that numbers with and without the code meet.
+    """
+    bare = F.transform(F.split(strip_html(F.coalesce(text, F.lit(""))), r"(?:[,，;；、/]|" + BLANK + ")+"), lambda x: F.regexp_replace(x, r"[\-—()（）]", ""))
+    local = F.transform(bare, lambda x: F.when(x.startswith("+86"), F.substring(x, 4, 1_000_000)).when(x.startswith("86") & (F.length(x) > 11), F.substring(x, 3, 1_000_000)).otherwise(x))
+    known = F.filter(local, lambda x: x.rlike(r"^(?:1[3-9]\d{9}|0\d{9,11}|\d{7,8})$"))
+    short = F.transform(F.filter(known, lambda x: x.rlike(r"^0\d{10,11}$")), lambda x: F.substring(x, 4, 1_000_000))
+    return F.array_sort(F.array_distinct(F.concat(known, short)))
 
 
 def emails(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9_.+\-]+@[a-z0-9\-]+(?:\.[a-z0-9\-]+)+)"), 1))
+    """Mail addresses in lower case, distinct in order of place; letters of any script count."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(strip_html(text)), F.lit(f"([{WORD}.+-]+@[{WORD}.-]+\\.[{WORD}]{{2,}})"), 1))
 
 
 def private_domains(mails: Column) -> Column:
@@ -65,4 +77,5 @@ def chunk_id(source: Column, index: Column) -> Column:
 
 
 def content_hash(*columns: str) -> Column:
-    return F.substring(F.sha2(F.to_json(F.struct(*sorted(columns))), 256), 1, 32)
+    """First 32 hex digits of the SHA-256 of the columns as JSON, in the order of their names; nulls count as such."""
+    return F.substring(F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256), 1, 32)

@@ -22,8 +22,8 @@ def tie_out(stated: DataFrame, detail: DataFrame, key: str, amount: str, part: s
     Details are summed before the join, so each key meets one row; keys without
     detail are warnings.
     """
-    sums = detail.groupBy(key).agg(F.sum(F.col(part).cast("decimal(18,2)")).alias("__sum"))
-    both = stated.select(key, F.col(amount).cast("decimal(18,2)").alias("__stated")).join(sums, key, "left")
+    sums = detail.groupBy(key).agg(F.sum(F.col(part).try_cast("decimal(18,2)")).alias("__sum"))
+    both = stated.select(key, F.col(amount).try_cast("decimal(18,2)").alias("__stated")).join(sums, key, "left")
     gap = F.col("__stated") - F.col("__sum")
     passed = F.coalesce(F.abs(gap) <= TOLERANCE, F.lit(False))
     return both.select(key, F.col("__stated").cast("double").alias("stated"), F.col("__sum").cast("double").alias("detail"), gap.cast("double").alias("difference"), passed.alias("passed"), severity(passed, F.col("__sum").isNull()).alias("severity"))
@@ -31,7 +31,7 @@ def tie_out(stated: DataFrame, detail: DataFrame, key: str, amount: str, part: s
 
 def footing(cells: DataFrame, table: str, amount: str, kind: str) -> DataFrame:
     """Sum of a table's detail rows against its total row; ``kind`` is detail, total or other."""
-    value = F.col(amount).cast("decimal(18,2)")
+    value = F.col(amount).try_cast("decimal(18,2)")
     sums = cells.groupBy(table).agg(F.sum(F.when(F.col(kind) == "detail", value)).alias("footed"), F.max(F.when(F.col(kind) == "total", value)).alias("total"))
     gap = F.col("total") - F.col("footed")
     return sums.select(table, F.col("footed").cast("double").alias("footed"), F.col("total").cast("double").alias("total"), gap.cast("double").alias("difference"), F.coalesce(F.abs(gap) <= TOLERANCE, F.lit(False)).alias("passed"))
@@ -72,7 +72,7 @@ def identities(items: DataFrame, rules: tuple[Rule, ...] = IDENTITIES, key: str
     """
     names = sorted({n for r in rules for _, n, _ in r.terms} | {r.target for r in rules} | {n for r in rules for n in r.second})
     place = {n: f"i{k}" for k, n in enumerate(names)}
-    wide = items.groupBy(key).agg(*[F.max(F.when(F.col(item) == n, F.col(value).cast("decimal(24,4)"))).alias(place[n]) for n in names])
+    wide = items.groupBy(key).agg(*[F.max(F.when(F.col(item) == n, F.col(value).try_cast("decimal(24,4)"))).alias(place[n]) for n in names])
     checks = []
     for r in rules:
         needed = [F.col(place[n]).isNull() for _, n, required in r.terms if required] + [F.col(place[r.target]).isNull()]
@@ -96,8 +96,8 @@ def identities(items: DataFrame, rules: tuple[Rule, ...] = IDENTITIES, key: str
 
 def cross_foot(rows: DataFrame, terms: list[tuple[int, str]], result: str) -> DataFrame:
     """Append ``passed``: signed columns make the result column, in exact decimals."""
-    total = sum(F.col(c).cast("decimal(24,4)") * s for s, c in terms)
-    return rows.withColumn("passed", check_equal(total, F.col(result).cast("decimal(24,4)")))
+    total = sum(F.col(c).try_cast("decimal(24,4)") * s for s, c in terms)
+    return rows.withColumn("passed", check_equal(total, F.col(result).try_cast("decimal(24,4)")))
 
 
 def roll_forward(rows: DataFrame, period: str, movement: str) -> DataFrame:

@@ -12,8 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallystone.functions.numbers import lenient_number
-from tallystone.operators.statements import several_currencies
+from tallystone.functions.numbers import table_number
+from tallystone.operators.statements import multi_currency, several_currencies
 
 #: Words by which headers, totals and statements are known.
 AMOUNT_HEADERS = ["金额", "余额", "价值", "合计", "小计", "元", "万元"]
@@ -103,8 +103,7 @@ def candidate_reason(headers: Column) -> Column:
 
 def prefiltered(tables: DataFrame, kind: str, headers: str, rows: str) -> DataFrame:
     """Note tables of one currency that a cross-footing may be sought in, with the reason."""
-    text = F.concat_ws(" ", line(F.col(headers)), table_text(F.col(rows)))
-    return tables.where((F.col(kind) == "note_detail") & ~several_currencies(text)).withColumn("reason", candidate_reason(F.col(headers)))
+    return tables.where((F.col(kind) == "note_detail") & ~multi_currency(F.col(headers), F.col(rows))).withColumn("reason", candidate_reason(F.col(headers)))
 
 
 def sheet_valid(rows: Column, item: Column, current: Column, prior: Column) -> Column:
@@ -183,12 +182,12 @@ def table_total(rows: Column, column: Column | None = None) -> Column:
     """
     rs = _rows(rows)
     total = F.get(_total_rows(rs), F.lit(0))
-    add = lambda place: F.aggregate(F.array_compact(F.transform(rs, lambda r: lenient_number(F.get(r, place)))), F.lit(None).cast("double"), lambda s, x: F.coalesce(s, F.lit(0.0)) + x)
+    add = lambda place: F.aggregate(F.array_compact(F.transform(rs, lambda r: table_number(F.get(r, place)))), F.lit(None).cast("double"), lambda s, x: F.coalesce(s, F.lit(0.0)) + x)
     if column is not None:
-        return F.when(total.isNotNull(), lenient_number(F.get(total, column))).otherwise(add(column))
+        return F.when(total.isNotNull(), table_number(F.get(total, column))).otherwise(add(column))
     width = F.coalesce(F.array_max(F.transform(rs, F.size)), F.lit(0))
     sums = F.transform(F.when(width > 0, F.sequence(F.lit(0), width - 1)).otherwise(F.array().cast("array<int>")), add)
-    return F.when(total.isNotNull(), F.get(F.array_compact(F.transform(total, lenient_number)), F.lit(0))).otherwise(F.get(F.array_compact(sums), F.lit(0)))
+    return F.when(total.isNotNull(), F.get(F.array_compact(F.transform(total, table_number)), F.lit(0))).otherwise(F.get(F.array_compact(sums), F.lit(0)))
 
 
 def prompt_text(headers: Column, rows: Column) -> Column:

@@ -108,3 +108,70 @@ def penetrate(edges: DataFrame, roots: DataFrame, threshold: float = 50.0, max_d
     from tallystone.functions.numbers import parse_ratio
 
     return reach(edges.where(parse_ratio(F.col("ratio")) >= threshold).select("parent", "child"), roots, max_depth)
+
+
+#: Sizes of a diagram's parts, and the lane of nodes that name none.
+LANE_WIDTH, FRAME_LEFT, FRAME_TOP, NODE_WIDTH = 280, 40, 40, 120
+ROLE_HEIGHT, STEP_HEIGHT, DOC_HEIGHT, DECISION_HEIGHT, ROW_GAP = 30, 40, 40, 60, 100
+FIRST_ROW = FRAME_TOP + 60 + 40 + 80
+NO_LANE = "未定义部门"
+
+
+def place_rows(lanes: list[int], before: list[list[int]]) -> list[int]:
+    """The row of every node of a diagram, in the nodes' order.
+
+    ``lanes`` numbers each node's lane, ``before`` lists the nodes with an edge to
+    it. A node joins the row at hand unless its lane is taken there, or an edge
+    from a node of the row would pass through a taken lane; then a row begins.
+    """
+    rows: list[int] = []
+    row, taken = 0, set()
+    for i, lane in enumerate(lanes):
+        beside = (lanes[p] for p in before[i] if p < i and rows[p] == row)
+        if lane in taken or any(min(a, lane) < t < max(a, lane) for a in beside for t in taken):
+            row, taken = row + 1, set()
+        rows.append(row)
+        taken.add(lane)
+    return rows
+
+
+def layout(nodes: DataFrame, diagram: str, order: str, node: str, lane: str, targets: str, kind: str, docs: str) -> DataFrame:
+    """(diagram, order, lane_no, row_no, x, y, height) of every node: lanes from 0 by first appearance, rows from 0.
+
+    Where a node goes depends on those before it, so a diagram is folded by one
+    task; diagrams are dealt to tasks. ``targets`` is an array of ids; null means the
+    next node, an empty array none. A row is as high as its tallest node.
+    """
+    import pandas as pd
+
+    kept = nodes.select(F.col(diagram).alias("__d"), F.col(order).alias("__o"), F.col(node).cast("string").alias("__id"), F.trim(F.coalesce(F.col(lane), F.lit(NO_LANE))).alias("__lane"), F.col(targets).cast("array<string>").alias("__t"), F.col(kind).alias("__kind"), F.trim(F.coalesce(F.col(docs), F.lit(""))).alias("__docs"))
+    types = nodes.schema
+    schema = f"`{diagram}` {types[diagram].dataType.simpleString()}, `{order}` {types[order].dataType.simpleString()}, lane_no int, row_no int, x int, y int, height int"
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__o", kind="stable")
+        names = pdf["__lane"].tolist()
+        number = {n: i for i, n in enumerate(dict.fromkeys(n for n in names if n))}
+        lanes = [number.get(n, 0) for n in names]
+        place: dict[str, list[int]] = {}
+        ids = pdf["__id"].tolist()
+        for i, listed in enumerate(pdf["__t"].tolist()):
+            if listed is not None:
+                for t in listed:
+                    place.setdefault(str(t), []).append(i)
+            elif i + 1 < len(ids):
+                place.setdefault(str(ids[i + 1]), []).append(i)
+        rows = place_rows(lanes, [place.get(str(i), []) for i in ids])
+        plain = ROLE_HEIGHT + STEP_HEIGHT
+        heights = [DECISION_HEIGHT if k == "decision" else plain + DOC_HEIGHT * (d != "" and d.lower() != "nan") for k, d in zip(pdf["__kind"], pdf["__docs"])]
+        tallest: dict[int, int] = {}
+        for r, h in zip(rows, heights):
+            tallest[r] = max(tallest.get(r, 0), h)
+        tops, y = {}, FIRST_ROW
+        for r in sorted(tallest):
+            tops[r] = y
+            y += tallest[r] + ROW_GAP
+        x = [round((FRAME_LEFT + n * LANE_WIDTH + (LANE_WIDTH - NODE_WIDTH) / 2) / 10) * 10 for n in lanes]
+        return pd.DataFrame({diagram: pdf["__d"], order: pdf["__o"], "lane_no": lanes, "row_no": rows, "x": x, "y": [round(tops[r] / 10) * 10 for r in rows], "height": heights})
+
+    return kept.groupBy("__d").applyInPandas(fold, schema)

@@ -46,10 +46,14 @@ def contacts(companies: DataFrame, key: str) -> DataFrame:
 
 
 def phone_segments(companies: DataFrame, key: str) -> DataFrame:
-    """Links of landlines that differ in the last digit only, for companies that share no number with others: HIGH."""
+    """Links of landlines with their area code that differ in the last digit only: HIGH.
+
+    The test is on pairs, so a number shared with one company is no bar to the
+    segment's others. Companies that share a number besides are linked by it at
+    the same level; their segment link is not taken off.
+    """
     numbers_of = companies.select(F.col(key).alias("entity"), F.explode(text.phones(F.col("phone"))).alias("number"))
-    same = linkage.shared(numbers_of, "entity", "number", "phone", HIGH).select("entity")
-    return linkage.adjacent(numbers_of.join(same, "entity", "left_anti"), "entity", "number").withColumn("dimension", F.lit("phone_segment"))
+    return linkage.adjacent(numbers_of, "entity", "number").withColumn("dimension", F.lit("phone_segment"))
 
 
 def address_prefixes(companies: DataFrame, key: str) -> DataFrame:

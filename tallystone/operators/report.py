@@ -7,9 +7,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallystone.functions.formulas import signed_sum
-from tallystone.functions.numbers import TOLERANCE, check_equal, lenient_number
+from tallystone.functions.numbers import TOLERANCE, calculator_number, check_equal
+from tallystone.operators.statements import multi_currency, statement_text
 
 #: Endings that a note's subject may have beyond the statement's item.
 SUBJECT_ENDINGS = ["净值", "净额", "账面价值", "账面余额", "原值"]
@@ -24,32 +26,56 @@ RATIO_KINDS = ["percentage", "percent", "ratio"]
 MONEY = "decimal(24,4)"
 
 
-def foot_tables(cells: DataFrame, table: str, row: str, column: str, label: str, text: str) -> DataFrame:
+def _amount(text: Column) -> Column:
+    """A cell's amount as an exact decimal: null for empty cells, those without a number, and numbers beyond MONEY."""
+    return F.when(text != "", calculator_number(text)).try_cast(MONEY)
+
+
+def _beyond(text: Column) -> Column:
+    """True for cells whose number is too large to be summed exactly."""
+    number = F.when(text != "", calculator_number(text))
+    return number.isNotNull() & number.try_cast(MONEY).isNull()
+
+
+def unreadable(cells: DataFrame, table: str, row: str, column: str, text: str) -> DataFrame:
+    """(table, row, column, text) of cells whose number is too large to be summed; their columns do not pass."""
+    return cells.where(_beyond(F.col(text))).select(table, row, column, text)
+
+
+def foot_tables(cells: DataFrame, table: str, row: str, column: str, label: str, text: str, header: str | None = None) -> DataFrame:
     """Footing of every amount column of every table, from cells in long form.
 
     Rows labelled 合计 or 总计 (else 小计; a row that names both is a 小计) hold the
     total, the last such row counts, and no summary row is summed. Rows with 减 and
-    a colon are taken off. Columns of percentages, columns without a total and
-    placeholder totals are left out; a mismatch is a warning. One aggregation,
-    combined before its shuffle.
+    a colon are taken off. A cell counts by the first number in it. Columns whose
+    ``header`` tells of percentages, columns without a total and placeholder totals
+    are left out; a mismatch is a warning, as is a number too large to be summed
+    (then ``footed`` is null). One aggregation, combined before its shuffle.
     """
     bare = F.translate(F.coalesce(F.col(label), F.lit("")), " \t\r\n\u3000", "")
+    if header is not None:
+        cells = cells.where(~F.coalesce(F.lower(F.col(header)).rlike("|".join(PERCENT_WORDS)), F.lit(False)))
     # Names and amounts are made once a cell, before the aggregation uses them several times.
-    cells = cells.select(table, column, row, bare.alias("__name"), lenient_number(F.col(text)).cast(MONEY).alias("__value"), F.col(text).contains("%").alias("__pct"), F.trim(F.col(text)).isin(NO_TOTAL).alias("__none"))
+    number = F.when(F.col(text) != "", calculator_number(F.col(text)))
+    cells = cells.select(table, column, row, bare.alias("__name"), number.alias("__number"), F.trim(F.col(text)).isin(NO_TOTAL).alias("__none"))
     name, value = F.col("__name"), F.col("__value")
-    cells = cells.select(table, column, row, "__value", "__pct", "__none", (name.rlike("合计|总计") & ~name.contains("小计")).alias("__g"), name.contains("小计").alias("__s"), (name.contains("减") & name.rlike("[:：]")).alias("__m"))
+    cells = cells.select(
+        table, column, row, F.col("__number").try_cast(MONEY).alias("__value"), "__number", "__none",
+        (name.rlike("合计|总计") & ~name.contains("小计")).alias("__g"), name.contains("小计").alias("__s"), (name.contains("减") & name.rlike("[:：]")).alias("__m"),
+    )
     grand, part, shown = F.col("__g"), F.col("__s"), ~F.coalesce("__none", F.lit(True))
     detail = F.when(~grand & ~part, F.when(F.col("__m"), -F.abs(value)).otherwise(value))
     sums = cells.groupBy(table, column).agg(
         F.sum(detail).alias("footed"),
         F.max_by(F.when(grand & shown, value), F.when(grand, F.col(row))).alias("__grand"), F.max(grand).alias("__has"),
         F.max_by(F.when(part & shown, value), F.when(part, F.col(row))).alias("__part"),
-        F.max("__pct").alias("__percent"),
+        F.max(F.col("__number").isNotNull() & value.isNull()).alias("__beyond"),
     )
     total = F.when(F.col("__has"), F.col("__grand")).otherwise(F.col("__part"))
-    found = sums.where(~F.coalesce("__percent", F.lit(False))).withColumn("total", total).where("total is not null and footed is not null")
+    found = sums.withColumn("total", total).withColumn("footed", F.when(~F.col("__beyond"), F.col("footed")))
+    found = found.where((F.col("total").isNotNull() & F.col("footed").isNotNull()) | F.col("__beyond"))
     gap = F.abs(F.col("total") - F.col("footed"))
-    passed = gap <= TOLERANCE
+    passed = F.coalesce(gap <= TOLERANCE, F.lit(False))
     return found.select(table, column, F.col("footed").cast("double").alias("footed"), F.col("total").cast("double").alias("total"), gap.cast("double").alias("difference"), passed.alias("passed"), F.when(passed, "info").otherwise("warning").alias("severity"))
 
 
@@ -75,14 +101,15 @@ def with_merged_headers(tables: DataFrame, headers: str, rows: str) -> DataFrame
 def foot_matrices(tables: DataFrame, table: str, headers: str, rows: str) -> DataFrame:
     """``foot_tables`` of tables held as arrays of cells: header rows are merged, columns headed as percentages left out.
 
-    The first cell of a row is its label. The result's ``col`` counts from 0.
+    Statements and tables of several currencies are left out. The first cell of
+    a row is its label. The result's ``col`` counts from 0.
     """
-    t = with_merged_headers(tables.select(table, headers, rows), headers, rows)
+    kept = tables.where(~multi_currency(F.col(headers), F.col(rows)) & ~statement_text(F.col(headers), F.col(rows)))
+    t = with_merged_headers(kept.select(table, headers, rows), headers, rows)
     lines = t.select(table, headers, F.posexplode(rows).alias("row", "__cells"))
     cells = lines.select(table, "row", F.get("__cells", F.lit(0)).alias("label"), F.posexplode(F.arrays_zip(F.col(headers).alias("head"), F.col("__cells").alias("text"))).alias("col", "__z"))
-    percent = F.coalesce(F.lower("__z.head").rlike("|".join(PERCENT_WORDS)), F.lit(False))
-    amounts = cells.where((F.col("col") > 0) & F.col("__z.head").isNotNull() & ~percent).select(table, "row", "col", "label", F.col("__z.text").alias("text"))
-    return foot_tables(amounts, table, "row", "col", "label", "text")
+    amounts = cells.where((F.col("col") > 0) & F.col("__z.head").isNotNull()).select(table, "row", "col", "label", F.col("__z.head").alias("head"), F.col("__z.text").alias("text"))
+    return foot_tables(amounts, table, "row", "col", "label", "text", "head")
 
 
 def annotated_foot(cells: DataFrame, row_notes: DataFrame, column_notes: DataFrame, table: str, row: str, column: str, text: str) -> DataFrame:
@@ -90,18 +117,18 @@ def annotated_foot(cells: DataFrame, row_notes: DataFrame, column_notes: DataFra
 
     Row notes are (table, row, kind, op, is_subitem): parts of another row are
     not summed. Column notes are (table, column, kind). Totals that are no number
-    or placeholders are left out, as are columns without details. Joins are on
-    keys; the details of a column are combined before their shuffle.
+    or placeholders are left out, as are columns without details. Cells meet their
+    notes by keys; one aggregation by column then sums the details and keeps the
+    column's few totals beside the sum.
     """
     kind = F.lower("kind")
     amount = (kind == "amount") | (~F.col("kind").isin(RATIO_KINDS) & kind.contains("amount"))
-    value = lenient_number(F.col(text)).cast(MONEY)
-    noted = cells.join(row_notes.select(table, row, F.col("kind").alias("__kind"), "op", "is_subitem"), [table, row])
-    noted = noted.join(column_notes.where(amount).select(table, column).distinct(), [table, column]).withColumn("__value", value)
-    details = noted.where((F.col("__kind") == "detail") & ~F.coalesce("is_subitem", F.lit(False)))
-    footed = details.groupBy(table, column).agg(F.sum(F.when(F.col("op") == "-", -F.col("__value")).otherwise(F.col("__value"))).alias("footed")).where("footed is not null")
-    totals = noted.where(F.col("__kind").isin(TOTAL_KINDS) & F.col("__value").isNotNull() & ~F.trim(F.col(text)).isin(NO_TOTAL))
-    both = totals.select(table, row, column, F.col("__value").alias("total")).join(footed, [table, column])
+    noted = cells.select(table, row, column, text).join(row_notes.select(table, row, F.col("kind").alias("__kind"), "op", "is_subitem"), [table, row])
+    noted = noted.join(column_notes.where(amount).select(table, column).distinct(), [table, column]).withColumn("__value", _amount(F.col(text)))
+    is_total = F.col("__kind").isin(TOTAL_KINDS) & ~F.trim(F.col(text)).isin(NO_TOTAL) & F.col("__value").isNotNull()
+    detail = F.when((F.col("__kind") == "detail") & ~F.coalesce("is_subitem", F.lit(False)), F.when(F.col("op") == "-", -F.col("__value")).otherwise(F.col("__value")))
+    sums = noted.groupBy(table, column).agg(F.sum(detail).alias("footed"), F.collect_list(F.when(is_total, F.struct(F.col(row), F.col("__value").alias("total")))).alias("__totals"))
+    both = sums.where("footed is not null").select(table, column, "footed", F.explode("__totals").alias("__t")).select(table, column, "footed", "__t.*")
     gap = F.abs(F.col("total") - F.col("footed"))
     passed = gap <= TOLERANCE
     return both.select(table, row, column, F.col("footed").cast("double").alias("footed"), F.col("total").cast("double").alias("total"), gap.cast("double").alias("difference"), passed.alias("passed"), F.when(passed, "info").otherwise("warning").alias("severity"))
@@ -124,23 +151,48 @@ CROSS_PATTERNS = (
 )
 
 
+#: Words that give a header its role, in this order; every header has one role at most.
+CHAIN = (("余额", "balance"), ("坏账准备|减值准备", "provision"), ("^(?!.*价值).*准备", "provision"), ("价值", "net"), ("期初", "opening"), ("增加", "increase"), ("减少", "decrease"), ("期末", "closing"), ("原价|原值", "cost"), ("折旧", "depreciation"), ("减值", "impairment"), ("净值", "carrying"))
+#: The relations by roles: 期初余额 and 期末余额 are balances here, so B needs headers such as 期初数, and C needs 净值.
+CHAIN_PATTERNS = (
+    Pattern("A", ((1, "^balance$"), (-1, "^provision$")), "^net$"),
+    Pattern("B", ((1, "^opening$"), (1, "^increase$"), (-1, "^decrease$")), "^closing$"),
+    Pattern("C", ((1, "^cost$"), (-1, "^depreciation$"), (-1, "^impairment$")), "^carrying$"),
+)
+
+
+def header_roles(headers: Column) -> Column:
+    """Every header's role by the chain of words; empty text where no word stands in it."""
+
+    def role(h: Column) -> Column:
+        out = F.when(h.rlike(CHAIN[0][0]), CHAIN[0][1])
+        for words, name in CHAIN[1:]:
+            out = out.when(h.rlike(words), name)
+        return out.otherwise("")
+
+    return F.transform(headers, role)
+
+
 def _column_of(headers: Column, pattern: str) -> Column:
     """Place (from 0) of the last header that matches; null if none does."""
     places = F.filter(F.transform(headers, lambda h, i: F.when(h.rlike(pattern), i)), lambda i: i.isNotNull())
     return F.try_element_at(places, F.lit(-1))
 
 
-def cross_foot_tables(rows: DataFrame, headers: str, cells: str, patterns: tuple[Pattern, ...] = CROSS_PATTERNS) -> DataFrame:
+def cross_foot_tables(rows: DataFrame, headers: str, cells: str, patterns: tuple[Pattern, ...] | None = None, chain: bool = False) -> DataFrame:
     """Append pattern, expected, actual and passed: the first pattern whose headers are all there.
 
-    Null where none fits or a cell is no amount. Row-wise, no shuffle.
+    With ``chain`` headers are told by ``header_roles``, one role a header, which
+    finds fewer relations. Empty cells and dashes are zero; null where no pattern
+    fits, a row is too short or a cell is no amount. Row-wise, no shuffle.
     """
-    chosen = []
-    for p in patterns:
-        parts = [(s, _column_of(F.col(headers), h)) for s, h in p.operands]
-        target = _column_of(F.col(headers), p.result)
+    chosen, heads = [], header_roles(F.col(headers)) if chain else F.col(headers)
+    for p in patterns or (CHAIN_PATTERNS if chain else CROSS_PATTERNS):
+        parts = [(s, _column_of(heads, h)) for s, h in p.operands]
+        target = _column_of(heads, p.result)
         fits = reduce(lambda a, b: a & b, [c.isNotNull() for _, c in parts], target.isNotNull())
-        amount = lambda c: lenient_number(F.get(F.col(cells), c)).cast(MONEY)
+        long = F.size(F.col(cells)) > F.greatest(target, *[c for _, c in parts])
+        amount = lambda c: F.when(long, calculator_number(F.coalesce(F.get(F.col(cells), c), F.lit("")))).try_cast(MONEY)
         expected = sum(amount(c) * s for s, c in parts)
         chosen.append(F.when(fits, F.struct(F.lit(p.id).alias("pattern"), expected.cast("double").alias("expected"), amount(target).cast("double").alias("actual"))))
     out = rows.withColumn("__c", F.coalesce(*chosen))
@@ -151,13 +203,19 @@ def cross_foot_tables(rows: DataFrame, headers: str, cells: str, patterns: tuple
 def annotated_cross_foot(rows: DataFrame, annotations: DataFrame, table: str, values: str) -> DataFrame:
     """Append expected, actual and passed by each table's annotation (operands, result_col).
 
-    Operands are structs (col, op) with op + or -. The join is on the table's
-    id; the sum runs over the array, so rows are not multiplied.
+    Operands are structs (col, op) with op + or -; places beyond a row and empty
+    cells add nothing, a cell that is no amount leaves the row open. Cells are
+    amounts or written ones. The join is on the
+    table's id; the sum runs over the array, so rows are not multiplied.
     """
     both = rows.join(annotations, table)
-    term = lambda s, o: s + F.get(F.col(values), o["col"]).cast(MONEY) * F.when(o["op"] == "-", -1).otherwise(1)
-    expected = F.aggregate("operands", F.lit(0).cast("decimal(36,4)"), lambda s, o: term(s, o).cast("decimal(36,4)"))
-    actual = F.get(F.col(values), F.col("result_col")).cast(MONEY)
+    written = isinstance(rows.schema[values].dataType.elementType, T.StringType)
+    amount = lambda c: (calculator_number(c) if written else c).try_cast(MONEY)
+    empty = lambda c: c.isNull() | (c == "") if written else c.isNull()
+    place = lambda o: F.get(F.col(values), o["col"])
+    part = lambda o: F.when(empty(place(o)), F.lit(0).cast(MONEY)).otherwise(amount(place(o))) * F.when(o["op"] == "-", -1).when(o["op"] == "+", 1).otherwise(0)
+    expected = F.aggregate("operands", F.lit(0).cast("decimal(36,4)"), lambda s, o: (s + part(o)).cast("decimal(36,4)"))
+    actual = amount(F.get(F.col(values), F.col("result_col")))
     return both.withColumn("expected", expected.cast("double")).withColumn("actual", actual.cast("double")).withColumn("passed", F.coalesce(F.abs(expected - actual) <= TOLERANCE, F.lit(False))).drop("operands", "result_col")
 
 
@@ -206,23 +264,6 @@ def continuity(rows: DataFrame, key: str, number: str) -> DataFrame:
     return sums.select(key, "n_present", missing.alias("n_missing"), F.when(missing == 0, "passed").when(missing <= allowed, "info").otherwise("warning").alias("verdict"))
 
 
-def typos(documents: DataFrame, key: str, text: str, words: dict[str, str], right: tuple[str, ...] = (), around: int = 20) -> DataFrame:
-    """(key, typo, suggestion, n, context) of a dictionary's wrong words; hits inside right words do not count.
-
-    The dictionary is one pattern, tried once on each text. Right words come
-    first in it and so take up the hits inside them. The context is that of a
-    typo's first place.
-    """
-    quote = lambda ws: [f"\\Q{w}\\E" for w in sorted(ws, key=lambda w: (-len(w), w))]
-    pattern = "(" + "|".join(quote(right) + quote(words)) + ")"
-    hits = documents.where(F.col(text).rlike(pattern)).select(key, text, F.explode(F.regexp_extract_all(text, F.lit(pattern), 1)).alias("typo"))
-    fix = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
-    hits = hits.where(F.col("typo").isin(list(words))).withColumn("__at", F.position(F.col("typo"), F.col(text)))
-    start = F.greatest(F.col("__at") - around, F.lit(1))
-    context = F.substring(F.col(text), start, F.col("__at") - start + F.length("typo") + around)
-    return hits.groupBy(key, "typo").agg(F.count(F.lit(1)).alias("n"), F.min(context).alias("context")).select(key, "typo", F.try_element_at(fix, F.col("typo")).alias("suggestion"), "n", "context")
-
-
 def banded(findings: DataFrame, kind: str = "kind", confidence: str = "confidence") -> DataFrame:
     """Findings by confidence: typos from 0.5 on (errors from 0.85), grammar from 0.85 on."""
     c = F.col(confidence)

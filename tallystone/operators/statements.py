@@ -7,12 +7,24 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallystone.functions.numbers import lenient_number
+from tallystone.functions.text import BLANK
 from tallystone.operators.audit import TOLERANCE, Rule, severity
 
 #: Currencies that mark a table of several currencies.
 CURRENCIES = ["美元", "人民币", "欧元", "日元", "英镑", "港币", "林吉特", "瑞士法郎", "加元", "澳元", "韩元", "新台币", "新加坡元", "泰铢", "越南盾", "卢布"]
-TOTALS = ["合计", "总计"]
+#: Words of a statement, which footing of notes leaves out.
+STATEMENT_WORDS = ["资产总计", "负债合计", "所有者权益合计", "营业收入", "营业利润", "流动资产合计", "非流动资产合计", "流动负债合计", "非流动负债合计", "现金流量", "利润总额", "净利润"]
+#: Printed names of items and the names that the rules know them by.
+ALIASES = {
+    "负债和所有者权益合计": "负债和所有者权益总计", "负债及所有者权益合计": "负债和所有者权益总计", "负债和股东权益总计": "负债和所有者权益总计", "负债及股东权益总计": "负债和所有者权益总计",
+    "负债和股东权益合计": "负债和所有者权益总计", "负债及股东权益合计": "负债和所有者权益总计", "股东权益合计": "所有者权益合计", "归属于母公司股东的权益合计": "归属于母公司所有者权益合计",
+    "营业总收入": "营业收入", "归属于母公司股东的净利润": "归属于母公司所有者的净利润",
+    "年初现金及现金等价物余额": "期初现金及现金等价物余额", "年末现金及现金等价物余额": "期末现金及现金等价物余额", "现金及现金等价物净增加额": "现金及现金等价物净增加额",
+    "上期期末余额": "上年年末余额", "上期末余额": "上年年末余额", "上年期末余额": "上年年末余额", "期初余额": "上年年末余额", "年初余额": "上年年末余额", "本年期初余额": "上年年末余额", "本期期初余额": "上年年末余额",
+    "本期期末余额": "本年年末余额", "本年期末余额": "本年年末余额", "期末余额": "本年年末余额", "本年余额": "本年年末余额",
+}
+#: Words of headers of this period's and the last one's amounts.
+CURRENT_WORDS, PRIOR_WORDS = ["期末", "本期", "本年", "当年"], ["期初", "上期", "上年", "年初"]
 
 #: Operating profit from its terms; losses are taken off whatever sign they are printed with.
 OPERATING_PROFIT = Rule(
@@ -27,11 +39,22 @@ LOSSES = ("信用减值损失", "资产减值损失")
 
 
 def clean_item(name: Column) -> Column:
-    """An item's name without blanks, numbering, leading 其中/加/减 and parentheses that hold no digit."""
-    bare = F.regexp_replace(name, "[\\s　]+", "")
-    bare = F.regexp_replace(bare, r"^(?:[一二三四五六七八九十]+、|[（(][一二三四五六七八九十\d]+[）)]|\d+[.、．])", "")
-    bare = F.regexp_replace(bare, "^(?:其中|加|减)[:：]", "")
-    return F.regexp_replace(bare, r"[（(][^（()）\d]*[）)]", "")
+    """An item's name without blanks, leading numbers, 其中, 加 or 减, and parentheses that hold no digit.
+
+    What leads is taken off once in each of these ways, with or without a mark
+    after it; that also takes the first letter of 减值准备 and of 一年内到期, as the
+    rules expect.
+    """
+    bare = F.regexp_replace(name, BLANK + "+", "")
+    for lead in ("^[一二三四五六七八九十]+[、.．]*", "^[(（][一二三四五六七八九十]+[)）]", "^[(（]?\\d+[)）]?[、.．]*", "^其中[：:]*", "^[加减][：:]*"):
+        bare = F.regexp_replace(bare, lead, "")
+    return F.regexp_replace(bare, r"[（(][^()（）\d]*[)）]", "")
+
+
+def canonical_name(name: Column) -> Column:
+    """The name that the rules know an item by; others stay."""
+    known = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, name), name)
 
 
 def canonical(items: DataFrame, aliases: DataFrame, item: str = "item") -> DataFrame:
@@ -59,7 +82,7 @@ def operating_profit(items: DataFrame, key: str = "stmt", item: str = "item", va
     item missing; another mismatch is an error.
     """
     names = [n for _, n, _ in OPERATING_PROFIT.terms] + [*LOSSES, OPERATING_PROFIT.target]
-    wide = items.groupBy(key).agg(*[F.max(F.when(F.col(item) == n, F.col(value).cast("decimal(24,4)"))).alias(n) for n in names])
+    wide = items.groupBy(key).agg(*[F.max(F.when(F.col(item) == n, F.col(value).try_cast("decimal(24,4)"))).alias(n) for n in names])
     zero = F.lit(0).cast("decimal(24,4)")
     expected = sum((F.col(n) if required else F.coalesce(n, zero)) * s for s, n, required in OPERATING_PROFIT.terms)
     expected = expected - sum(F.abs(F.coalesce(n, zero)) for n in LOSSES)
@@ -95,29 +118,66 @@ def table_class(text: Column, n_rows: Column, has_amount: Column, keywords: list
 
 
 def several_currencies(text: Column, currencies: list[str] = CURRENCIES) -> Column:
-    """Two currencies or more in a table's text."""
+    """Two currencies or more in a text."""
     return sum(text.contains(c).cast("int") for c in currencies) >= 2
 
 
-def numeric_share(cells: Column) -> Column:
-    """Share of an array's cells that are amounts; 0 for an empty one."""
-    return F.coalesce(F.try_divide(F.size(F.filter(cells, lambda x: lenient_number(x).isNotNull())).cast("double"), F.size(cells)), F.lit(0.0))
+def multi_currency(headers: Column, rows: Column, sample: int = 30) -> Column:
+    """Tables by currency, whose total is in one: two currencies in the headers and the first ``sample`` rows, and a row 合计."""
+    none = F.array().cast("array<array<string>>")
+    body = F.coalesce(rows, none)
+    text = F.concat_ws(" ", F.array_join(F.coalesce(headers, F.array().cast("array<string>")), " "), F.array_join(F.transform(F.slice(body, 1, sample), lambda r: F.array_join(r, " ")), " "))
+    return several_currencies(text) & F.exists(body, lambda r: F.coalesce(F.get(r, F.lit(0)).contains("合计"), F.lit(False)))
 
 
-def column_roles(cells: DataFrame, table: str, column: str, header: str, share: str) -> DataFrame:
-    """(table, item_col, current_col, prior_col): amount columns by their years in the header, else by numeric share.
+def statement_text(headers: Column, rows: Column) -> Column:
+    """True for tables that have a word of a statement in a header or a cell."""
+    cells = F.concat(F.array(F.coalesce(headers, F.array().cast("array<string>"))), F.coalesce(rows, F.array().cast("array<array<string>>")))
+    return F.array_join(F.transform(cells, lambda r: F.array_join(r, " ")), " ").rlike("|".join(STATEMENT_WORDS))
+
+
+def numeric_shares(headers: Column, rows: Column) -> Column:
+    """For every column, the share of the rows reaching it that have a digit there; null where none reaches it."""
+
+    def share(_: Column, i: Column) -> Column:
+        reaching = F.filter(rows, lambda r: F.size(r) > i)
+        filled = F.filter(reaching, lambda r: F.coalesce(F.get(r, i).rlike(r"-?\d[\d,.]*"), F.lit(False)))
+        return F.try_divide(F.size(filled).cast("double"), F.size(reaching))
+
+    return F.transform(headers, share)
 
-    The item column is that of the smallest share; of the others the latest year
-    is current and the one before it prior, or the two columns of the largest
-    shares. Two aggregations over one shuffle key; ties go to the left column.
+
+def linear_columns(headers: Column, shares: Column) -> Column:
+    """Struct item_col, current_col, prior_col (from 0) of a statement's table.
+
+    The item stands first. Amounts are told by their headers first: the first
+    with a word of this period or the latest year of all headers is current, the
+    first with a word of the last period or the year before is prior. Without a
+    header, the columns with most digits take the places, the left one of equals,
+    and then the second and the next one.
     """
-    year = F.regexp_extract(F.col(header), r"(20\d\d)", 1).try_cast("int")
-    picks = cells.groupBy(table).agg(
-        F.min_by(column, F.struct(F.col(share), F.col(column))).alias("item_col"),
-        F.array_sort(F.collect_list(F.struct((-F.coalesce(year, F.lit(0))).alias("y"), (-F.col(share)).alias("s"), F.col(column).alias("c")))).alias("__c"),
-    )
-    amounts = F.filter("__c", lambda x: x["c"] != F.col("item_col"))
-    return picks.select(table, "item_col", F.get(amounts, F.lit(0))["c"].alias("current_col"), F.get(amounts, F.lit(1))["c"].alias("prior_col"))
+    bind = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731 - computed once
+    year = lambda h: F.regexp_extract(h, r"20\d\d", 0)
+    years = F.reverse(F.array_sort(F.array_distinct(F.filter(F.transform(headers, year), lambda y: y != ""))))
+
+    def place(words: list[str], rank: int) -> Column:
+        told = lambda h: h.rlike("|".join(words)) | F.coalesce(year(h) == F.get(years, F.lit(rank)), F.lit(False))
+        return F.get(F.filter(F.transform(headers, lambda h, i: F.when(told(h), i)), lambda i: i.isNotNull()), F.lit(0))
+
+    def placed(said: Column) -> Column:
+        ranked = F.array_sort(F.filter(F.transform(shares, lambda s, i: F.struct((-s).alias("s"), i.alias("i"))), lambda x: x["s"].isNotNull() & (x["i"] > 0)))
+        current = F.coalesce(said["current"], F.get(ranked, F.lit(0))["i"], F.when(F.size(headers) > 1, F.lit(1)).otherwise(F.lit(0)))
+        prior = F.coalesce(said["prior"], F.get(ranked, F.lit(1))["i"], F.when(current + 1 < F.size(headers), current + 1).otherwise(current))
+        return F.struct(F.lit(0).alias("item_col"), current.cast("int").alias("current_col"), prior.cast("int").alias("prior_col"))
+
+    return bind(F.struct(place(CURRENT_WORDS, 0).alias("current"), place(PRIOR_WORDS, 1).alias("prior")), placed)
+
+
+def column_roles(cells: DataFrame, table: str, column: str, header: str, share: str) -> DataFrame:
+    """(table, item_col, current_col, prior_col) as ``linear_columns``, from one row a column; columns count from 0 without gaps."""
+    whole = cells.groupBy(table).agg(F.array_sort(F.collect_list(F.struct(column, header, share))).alias("__c"))
+    roles = linear_columns(F.transform("__c", lambda c: F.coalesce(c[header], F.lit(""))), F.transform("__c", lambda c: c[share]))
+    return whole.select(table, roles.alias("__r")).select(table, "__r.*")
 
 
 def pair_by_rank(current: DataFrame, prior: DataFrame, group: str, order: str) -> DataFrame:

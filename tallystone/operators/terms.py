@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallystone.functions.automaton import Automaton
+from tallystone.functions.text import BLANK
 
 #: Bytes of terms handed to the tasks at once, bytes of text run at once, rows that leave a task at once.
 ROUND_BYTES, SLICE_BYTES, OUT_ROWS = 32 << 20, 2 << 20, 50_000
@@ -28,8 +29,6 @@ TYPOS = {
 }
 #: Whole words that a wrong one may be cut from; a text that has one has no such typo.
 WHOLE_WORDS = ["利润表", "审计报告", "资产负债表", "现金流量表", "财务报表", "会计师事务所", "特殊普通合伙", "财务报告", "所有者权益", "先进先出"]
-#: Unicode blanks, as in ``\s`` of a pattern over text.
-BLANK = r"[\s\x1c-\x1f\x85   -     　]"
 #: What parts a table's name and its labels, so that no term reaches over two of them.
 PART = "\x1f"
 

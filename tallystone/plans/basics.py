@@ -30,27 +30,32 @@ def q116_statement_identities(t):
     return found.groupBy("rule_id", "passed", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Items as printed: numbers with other marks, 其中 and 减 without a colon, and names that lose their first letter.
+PRINTED = ["一．货币　资金", "1）应收 票据", "其中应收账款（净）", "（三）减营业成本", "减值准备", "一年内到期"]
+
+
 @query("""
-select p_partkey, '货币资金' || p_partkey as item, case when p_partkey % 2 = 0 then 'cash' else '应收' end as named, '中文合计 a b' as joined, '法' || p_partkey as title, p_brand || '_x_' || p_partkey || '.docx' as file from part""")
+select p_partkey, case p_partkey % 6 when 0 then '货币资金' when 1 then '应收票据' when 2 then '应收账款' when 3 then '营业成本' when 4 then '值准备' else '年内到期' end as item, case when p_partkey % 3 = 0 then '所有者权益合计' when p_partkey % 3 = 1 then '本年年末余额' else '存货' end as canonical, case when p_partkey % 2 = 0 then 'cash' else '应收' end as named, '中文' || p_partkey || '合计 a b' as joined, '法' || p_partkey as title, p_brand || '_x_' || p_partkey || '.docx' as file from part""")
 def q117_clean_names(t):
     k = F.col("p_partkey").cast("string")
     rows = t("part").select(
         "p_partkey", statements.clean_item(F.concat(F.lit("（一）其中: "), F.lit("货币资金"), k, F.lit("（注）"))).alias("__x"), F.when(F.col("p_partkey") % 2 == 0, "货币").otherwise("应收").alias("named"),
-        text.join_broken_cjk(F.lit("中 文  合计 a b")).alias("joined"), text.clean_title(F.concat(F.lit("《<em class='x'>法</em>"), k, F.lit("》 "))).alias("title"), text.safe_filename(F.col("p_brand"), F.lit("x"), k, extension="docx").alias("file"),
-        F.regexp_replace(statements.clean_item(F.concat(F.lit("一、货币 资金"), k)), "　", "").alias("item"),
+        text.join_broken_cjk(F.concat(F.lit("中 文"), k, F.lit("合 计 a b"))).alias("joined"), text.clean_title(F.concat(F.lit("《<em class='x'>法</em>"), k, F.lit("》 "))).alias("title"), text.safe_filename(F.col("p_brand"), F.lit("x"), k, extension="docx").alias("file"),
+        statements.clean_item(F.get(F.array(*[F.lit(n) for n in PRINTED]), (F.col("p_partkey") % 6).cast("int"))).alias("item"),
+        statements.canonical_name(F.when(F.col("p_partkey") % 3 == 0, "股东权益合计").when(F.col("p_partkey") % 3 == 1, "期末余额").otherwise("存货")).alias("canonical"),
     )
     aliases = rows.sparkSession.createDataFrame([("货币", "cash"), ("现金", "cash")], "alias string, name string")
     return statements.canonical(rows.drop("__x"), aliases, "named")
 
 
 @query("""
-select c_custkey, cast(c_acctbal as decimal(18,2))::double + c_custkey as total, '1,234' as cleaned, c_custkey % 3 = 0 as reconciled, md5(c_name) is not null as hashed from customer""")
+select c_custkey, cast(c_acctbal as decimal(18,2))::double + c_custkey as total, c_custkey || ',234' as cleaned, c_custkey % 3 = 0 as reconciled, substr(sha256('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}'), 1, 32) as hashed from customer""")
 def q118_number_texts(t):
     k = F.col("c_custkey")
     v = F.col("c_acctbal").cast("decimal(18,2)")
     return t("customer").select(
-        k, numbers.sum_numbers(F.concat(F.lit("合计 "), v.cast("string"), F.lit(" 元和 "), k.cast("string"), F.lit(" 元"))).alias("total"), numbers.clean_number_cell(F.lit("1 ,2 34")).alias("cleaned"),
-        numbers.reconcile(v, F.lit(5), F.lit(3), v + 2 + F.when(k % 3 == 0, 0).otherwise(1)).alias("reconciled"), (F.length(text.content_hash("c_custkey", "c_name")) == 32).alias("hashed"),
+        k, numbers.sum_numbers(F.concat(F.lit("合计 "), v.cast("string"), F.lit(" 元和 "), k.cast("string"), F.lit(" 元"))).alias("total"), numbers.clean_number_cell(F.concat(k.cast("string"), F.lit(" ,2 34"))).alias("cleaned"),
+        numbers.reconcile(v, F.lit(5), F.lit(3), v + 2 + F.when(k % 3 == 0, 0).otherwise(1)).alias("reconciled"), text.content_hash("c_name", "c_custkey").alias("hashed"),
     )
 
 

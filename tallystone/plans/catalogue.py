@@ -287,10 +287,11 @@ def q30_url_hosts(t):
 
 
 @query("""
-with m as (select doc_id, list_distinct(regexp_extract_all(lower(text), '([a-z0-9_.+\\-]+@[a-z0-9\\-]+(?:\\.[a-z0-9\\-]+)+)', 1)) as e from documents)
+with m as (select doc_id, list_distinct(regexp_extract_all(lower(regexp_replace('写信给<br>张三@Firm' || doc_id || '.cn, ' || text, '<[^>]+>', '', 'g')), '([\\pL\\pN_.+-]+@[\\pL\\pN_.-]+\\.[\\pL\\pN_]{2,})', 1)) as e from documents)
 select doc_id, array_to_string(list_sort(e), '|') as emails, len(e) as n_emails from m where len(e) > 0""")
 def q31_contact_extract(t):
-    rows = t("documents").select("doc_id", text.emails(F.col("text")).alias("e")).where(F.size("e") > 0)
+    written = F.concat(F.lit("写信给<br>张三@Firm"), F.col("doc_id").cast("string"), F.lit(".cn, "), "text")
+    rows = t("documents").select("doc_id", text.emails(written).alias("e")).where(F.size("e") > 0)
     return rows.select("doc_id", F.array_join(F.array_sort("e"), "|").alias("emails"), F.size("e").cast("long").alias("n_emails"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallystone.functions.formulas import compile_formula, is_subsequence
-from tallystone.operators import documents, graph, matching, related, report, statements
+from tallystone.operators import documents, graph, matching, related, report, statements, terms
 from tallystone.plans.registry import query
 from tallystone.sinks import store, tables
 from tallystone.streaming import ingest
@@ -89,7 +89,7 @@ def q47_table_footing(t):
     totals = sums.select("l_orderkey", F.lit(100).alias("row_no"), F.when(F.col("l_orderkey") % 3 == 0, "小 计").otherwise("合计").alias("label"), "col", (F.col("v") + off).alias("v"))
     cells = lines.unionByName(totals).withColumn("text", F.col("v").cast("string")).drop("v")
     rates = t("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("row_no"), F.lit("明细").alias("label"), F.lit("rate").alias("col"), F.lit("12%").alias("text"))
-    return report.foot_tables(cells.unionByName(rates), "l_orderkey", "row_no", "col", "label", "text")
+    return report.foot_tables(cells.unionByName(rates), "l_orderkey", "row_no", "col", "label", "text", "col")
 
 
 @query("""
@@ -158,12 +158,20 @@ def q53_page_continuity(t):
     return report.continuity(t("events").withColumn("page", F.floor(F.col("event_id") / 40)), "user_id", "page")
 
 
+#: Wrong words among the syllables of the given texts, what stands for the right ones, and whole words that hold a wrong one.
+TYPOS, WHOLE = {"oredat": "predate", "ndern": "modern", "thwh": "that", "chtkeit": "keit"}, ["anthwhon", "nderntionre", "schtkeiten"]
+
+
 @query("""
-with h as (select doc_id, text, unnest(regexp_extract_all(text, '(ndernt|oredat|ndern|thwh)', 1)) as typo from documents),
-p as (select doc_id, typo, position(typo in text) as p, text from h where typo <> 'ndernt')
-select doc_id, typo, case typo when 'oredat' then 'predate' when 'ndern' then 'modern' else 'that' end as suggestion, count(*) as n, min(substr(text, greatest(p - 20, 1), p - greatest(p - 20, 1) + length(typo) + 20)) as context from p group by all""")
+with raw as (select doc_id, '<!-- SOURCE file="a" page=1 -->' || replace(text, chr(10), chr(10) || '<!-- SOURCE file="a" page=2 method=x -->') as raw from documents),
+d as (select *, regexp_replace(regexp_replace(raw, '<!--.*?-->', '', 'gs'), '\\s+', '', 'g') as bare from raw),
+w as (select * from (values ('oredat', 'predate', null, 'o\\s*r\\s*e\\s*d\\s*a\\s*t'), ('ndern', 'modern', 'nderntionre', 'n\\s*d\\s*e\\s*r\\s*n'), ('thwh', 'that', 'anthwhon', 't\\s*h\\s*w\\s*h'), ('chtkeit', 'keit', 'schtkeiten', 'c\\s*h\\s*t\\s*k\\s*e\\s*i\\s*t')) v(typo, suggestion, whole, spread)),
+h as (select *, position(typo in bare) as p from d join w on contains(bare, typo) and not coalesce(contains(bare, whole), false))
+select doc_id, typo, suggestion, substr(bare, greatest(p - 20, 1), p - greatest(p - 20, 1) + length(typo) + 20) as context,
+ case when regexp_matches(raw, spread) then list_extract(regexp_extract_all(regexp_extract(raw, '(?s)^(.*?)' || spread, 1), '<!-- SOURCE[^>]*page=(\\d+)[^>]*-->', 1), -1) end as page from h""")
 def q54_typo_scan(t):
-    return report.typos(t("documents"), "doc_id", "text", {"oredat": "predate", "ndern": "modern", "thwh": "that"}, ("ndernt",))
+    marked = F.concat(F.lit('<!-- SOURCE file="a" page=1 -->'), F.replace("text", F.lit("\n"), F.lit('\n<!-- SOURCE file="a" page=2 method=x -->')))
+    return terms.typos(t("documents").select("doc_id", marked.alias("text")), "doc_id", "text", TYPOS, WHOLE)
 
 
 @query("""
@@ -387,13 +395,16 @@ def q83_windowed_counts(t):
     return ingest.windowed(t("events"), "ts", "1 hour", "event_type")
 
 
-@query("with b as (select p_brand, length(p_brand) = 7 as years from part group by all) select p_brand, 0 as item_col, case when years then 2 else 1 end as current_col, case when years then 1 else 2 end as prior_col from b")
+@query("""
+with b as (select p_partkey, p_partkey % 6 as k from part)
+select p_partkey, 0 as item_col, case k when 0 then 2 when 1 then 2 when 2 then 1 when 3 then 3 when 4 then 2 else 1 end as current_col, case k when 0 then 1 when 1 then 1 when 2 then 2 when 3 then 1 when 4 then 1 else 2 end as prior_col from b""")
 def q84_column_roles(t):
-    years = F.length("p_brand") == 7
-    cell = lambda c, name, share: F.struct(F.lit(c).alias("column"), name.alias("header"), F.lit(share).alias("share"))
-    cells = F.array(cell(0, F.lit("项目"), 0.1), cell(1, F.when(years, "2023年").otherwise("甲"), 0.9), cell(2, F.when(years, "2024年").otherwise("乙"), 0.8))
-    rows = t("part").select("p_brand").distinct().select("p_brand", F.explode(cells).alias("c")).select("p_brand", "c.*")
-    return statements.column_roles(rows, "p_brand", "column", "header", "share")
+    """Opening before closing, years in either order, one header told, and none told: digits decide, the left of equals first."""
+    heads = [("项目", "期初余额", "期末余额", "x"), ("项目", "2023年", "2024年", "x"), ("项目", "本期金额", "上期金额", "x"), ("项目", "年初数", "附注", "甲"), ("项目", "上年", "甲", "乙"), ("甲", "乙", "丙", "丁")]
+    digits = [(0.1, 0.9, 0.8, 0.1), (0.1, 0.9, 0.8, 0.1), (0.1, 0.2, 0.8, 0.9), (0.9, 0.1, 0.2, 0.9), (0.1, 0.9, 0.9, 0.1), (0.9, 0.5, 0.5, 0.2)]
+    cases = [F.array(*[F.struct(F.lit(i).alias("column"), F.lit(h).alias("header"), F.lit(d).alias("share")) for i, (h, d) in enumerate(zip(hs, ds))]) for hs, ds in zip(heads, digits)]
+    rows = t("part").select("p_partkey", F.explode(F.get(F.array(*cases), (F.col("p_partkey") % 6).cast("int"))).alias("c")).select("p_partkey", "c.*")
+    return statements.column_roles(rows, "p_partkey", "column", "header", "share")
 
 
 @query("""

@@ -35,6 +35,12 @@ def test_formula_by_zero_is_null(spark):
     assert [r[0] for r in df.select(compile_formula("a / b + 1", F.col)).collect()] == [None, 3.0]
 
 
+def test_item_aliases(spark):
+    df = spark.createDataFrame([(n,) for n in ("股东权益合计", "期初余额", "存货", None)], "n string")
+    assert [r[0] for r in df.select(statements.canonical_name(F.col("n"))).collect()] == ["所有者权益合计", "上年年末余额", "存货", None]
+    assert len(statements.ALIASES) == 24
+
+
 def test_signed_sum(spark):
     df = spark.createDataFrame([("a-b+c", {"a": 5.0, "b": 2.0, "c": 1.0}), ("a-x", {"a": 5.0})], "f string, v map<string,double>")
     assert [r[0] for r in df.select(signed_sum(F.col("f"), F.col("v"))).collect()] == [4.0, None]
@@ -46,15 +52,16 @@ def test_subsequence(spark):
 
 
 def test_clean_item(spark):
-    names = ["一、营业 收入", "（二）其中：利息收入", "减：营业成本", "3. 净利润（亏损以号填列）", "应收账款（附注5）"]
+    # Numbers without a mark, and 其中 and 减 without a colon, are taken off as well.
+    names = ["一．货币资金", "1）货币资金", "其中应收账款", "减营业成本", "十二利息收入", "一、营业 收入", "（二）其中：利息收入", "减：营业成本", "3. 净利润（亏损以号填列）", "应收账款（附注5）"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
-    assert [r[0] for r in df.select(statements.clean_item(F.col("n"))).collect()] == ["营业收入", "利息收入", "营业成本", "净利润", "应收账款（附注5）"]
+    assert [r[0] for r in df.select(statements.clean_item(F.col("n"))).collect()] == ["货币资金", "货币资金", "应收账款", "营业成本", "利息收入", "营业收入", "利息收入", "营业成本", "净利润", "应收账款（附注5）"]
 
 
 def test_footing_takes_last_total_and_skips_subtotals(spark):
     cells = [("t", 1, "c", "甲", "100"), ("t", 2, "c", "小计", "100"), ("t", 3, "c", "减：乙", "30"), ("t", 4, "c", "合计", "999"), ("t", 5, "c", "合 计", "70"), ("u", 1, "c", "甲", "1"), ("u", 2, "c", "合计", "-"), ("p", 1, "c", "甲", "5%"), ("p", 2, "c", "合计", "5%")]
     got = report.foot_tables(spark.createDataFrame(cells, "t string, r int, c string, l string, v string"), "t", "r", "c", "l", "v")
-    assert rows(got.select("t", "footed", "total", "passed")) == [("t", 70.0, 70.0, True)]
+    assert rows(got.select("t", "footed", "total", "passed")) == [("p", 5.0, 5.0, True), ("t", 70.0, 70.0, True)]
 
 
 def test_footing_takes_off_rows_with_a_colon_only_and_needs_a_total(spark):
@@ -84,10 +91,53 @@ def test_cross_foot_without_pattern_is_null(spark):
     assert rows(report.cross_foot_tables(df, "h", "c").select("pattern", "passed")) == [("A", True), (None, None)]
 
 
-def test_typos_inside_right_words_do_not_count(spark):
-    df = spark.createDataFrame([(1, "帐户与帐号，入帐户名"), (2, "无")], "k int, t string")
-    got = report.typos(df, "k", "t", {"帐户": "账户"}, ("入帐户名",))
-    assert rows(got.select("k", "typo", "suggestion", "n")) == [(1, "帐户", "账户", 1)]
+def test_cells_count_by_their_first_number_and_large_ones_do_not_end_the_job(spark):
+    cells = [("t", 1, "c", "甲", "100元"), ("t", 2, "c", "乙", "1"), ("t", 3, "c", "合计", "101"), ("u", 1, "c", "甲", "9" * 30), ("u", 2, "c", "合计", "1"), ("v", 1, "c", "甲", "约3,000"), ("v", 2, "c", "合计", "3,000.00"), ("w", 1, "c", "甲", ""), ("w", 2, "c", "合计", "5"), ("x", 1, "损失率", "甲", "1"), ("x", 2, "损失率", "合计", "2")]
+    df = spark.createDataFrame(cells, "t string, r int, c string, l string, v string")
+    got = report.foot_tables(df, "t", "r", "c", "l", "v", "c")
+    assert rows(got.select("t", "footed", "total", "passed", "severity")) == [("t", 101.0, 101.0, True, "info"), ("u", None, 1.0, False, "warning"), ("v", 3000.0, 3000.0, True, "info")]
+    assert rows(report.unreadable(df, "t", "r", "c", "v")) == [("u", 1, "c", "9" * 30)]
+
+
+def test_tables_of_currencies_and_statements_are_not_footed(spark):
+    lines = lambda *first: [[f, "1"] for f in first]
+    cases = [
+        (1, ["项目", "金额"], lines("美元", "日元", "合计")), (2, ["项目", "金额"], lines("美元", "日元", "总计")), (3, ["项目", "金额"], lines(*["甲"] * 30, "美元", "日元", "合计")), (4, ["项目", "金额"], lines("净利润", "合计")), (5, ["项目", "金额"], lines("甲", "合计")),
+    ]
+    df = spark.createDataFrame(cases, "i int, h array<string>, r array<array<string>>")
+    assert [r[0] for r in df.select(statements.multi_currency(F.col("h"), F.col("r"))).collect()] == [True, False, False, False, False]
+    assert rows(report.foot_matrices(df, "i", "h", "r").select("i", "passed")) == [(2, False), (3, False), (5, True)]
+
+
+def test_columns_by_words_years_and_digits(spark):
+    cases = [
+        (["项目", "期初余额", "期末余额"], [["a", "1", "2"]], (0, 2, 1)), (["项目", "2023", "2024年", "2022"], [["a", "1", "2", "3"]], (0, 2, 1)), (["项目", "附注", "甲", "乙"], [["a", "", "1", "2"], ["b", "x", "1"]], (0, 2, 3)),
+        (["项目", "附注", "期末"], [["a", "注1", "2"], ["b", "", "3"]], (0, 2, 1)), (["项目"], [["a"]], (0, 0, 0)), (["项目", "金额"], [], (0, 1, 1)),
+    ]
+    df = spark.createDataFrame([(i, h, r) for i, (h, r, _) in enumerate(cases)], "i int, h array<string>, r array<array<string>>")
+    got = {x.i: tuple(x.c) for x in df.select("i", statements.linear_columns(F.col("h"), statements.numeric_shares(F.col("h"), F.col("r"))).alias("c")).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, _, want in cases]
+
+
+def test_headers_of_one_role(spark):
+    df = spark.createDataFrame([(["期初余额", "本期增加", "本期减少", "期末余额"], ["1", "2", "1", "2"]), (["期初数", "增加", "减少", "期末数"], ["1", "2", "-", "3"]), (["原值", "折旧", "减值", "净值"], ["9", "", "1", "8"]), (["原值", "折旧", "减值准备", "账面价值"], ["9", "1", "1", "7"]), (["余额", "准备", "价值"], ["1", "x", "1"])], "h array<string>, c array<string>")
+    assert [tuple(r) for r in report.cross_foot_tables(df, "h", "c", chain=True).select("pattern", "passed").collect()] == [(None, None), ("B", True), ("C", True), (None, None), ("A", None)]
+    assert [tuple(r) for r in report.cross_foot_tables(df, "h", "c").select("pattern", "passed").collect()] == [("B", True), ("B", True), ("C", True), ("C", True), ("A", None)]
+
+
+def test_landlines_with_and_without_area_code_meet(spark):
+    df = spark.createDataFrame([("021-55556666",), ("55556666",), ("+86 13812345678、(0755)82284751",), ("8613812345678",), ("12345678901",), (None,)], "t string")
+    assert [r[0] for r in df.select(text.phones(F.col("t"))).collect()] == [["02155556666", "55556666"], ["55556666"], ["075582284751", "13812345678", "582284751"], ["13812345678"], [], []]
+
+
+def test_neighbours_of_shared_numbers_are_linked(spark):
+    df = spark.createDataFrame([(1, "0755-82284751"), (2, "0755-82284750"), (3, "0755-82284750")], "k int, phone string")
+    assert rows(related.phone_segments(df, "k").select("entity", "class_id", "n_links")) == [(1, 1, 2), (2, 1, 1), (3, 1, 1)]
+
+
+def test_mails_of_any_script(spark):
+    df = spark.createDataFrame([("写信给 张三@firm.cn, <b>A.b+c</b>@Mail.example.com; x@y; q@z.co.",)], "t string")
+    assert df.select(text.emails(F.col("t")).alias("e")).first()["e"] == ["张三@firm.cn", "a.b+c@mail.example.com", "q@z.co"]
 
 
 def test_paragraphs_fold_as_by_hand(spark):
