@@ -117,3 +117,52 @@ def shares(rows: DataFrame, by: str) -> DataFrame:
 def severity_matrix(results: DataFrame, by: str) -> DataFrame:
     one = lambda level: F.sum((F.col("severity") == level).cast("long")).alias(f"n_{level}")
     return results.groupBy(by).agg(F.count(F.lit(1)).alias("n"), one("error"), one("warning"), one("info"))
+
+
+def matrix_closure(cells: DataFrame, table: str, row: str, column: str, row_kind: str, column_kind: str, value: str) -> DataFrame:
+    """Breaks of a matrix that has to close along both axes, such as a statement of changes in equity.
+
+    Row kinds are opening, movement and closing: in every column opening and
+    movements make the closing balance. Column kinds are part and total: in every
+    row the parts make the total. One row for each break: axis (row or column), its
+    place, expected, actual and difference (actual less expected). Rows and columns
+    without their total have no break. Unknown kinds are left out; empty cells are 0.
+    """
+    amount = F.coalesce(F.col(value).try_cast("decimal(24,4)"), F.lit(0).cast("decimal(24,4)"))
+    known = cells.select(table, F.col(row).cast("string").alias("__row"), F.col(column).cast("string").alias("__column"), F.col(row_kind).alias("__rk"), F.col(column_kind).alias("__ck"), amount.alias("__v"))
+    known = known.where(F.col("__rk").isin("opening", "movement", "closing") & F.col("__ck").isin("part", "total"))
+
+    def breaks(axis: str, place: str, kind: str, target: str) -> DataFrame:
+        one = F.col(kind) == target
+        sums = known.groupBy(table, F.col(place).alias("place")).agg(F.sum(F.when(~one, F.col("__v"))).alias("expected"), F.sum(F.when(one, F.col("__v"))).alias("actual"))
+        gap = F.col("actual") - F.col("expected")
+        return sums.where(F.abs(gap) > TOLERANCE).select(table, F.lit(axis).alias("axis"), "place", F.col("expected").cast("double").alias("expected"), F.col("actual").cast("double").alias("actual"), gap.cast("double").alias("difference"))
+
+    return breaks("row", "__row", "__ck", "total").unionByName(breaks("column", "__column", "__rk", "closing"))
+
+
+def broken_cells(cells: DataFrame, breaks: DataFrame, table: str, row: str, column: str, row_kind: str, column_kind: str) -> DataFrame:
+    """(table, row, column, off): the one cell that explains a matrix's breaks, and by how much it is too large.
+
+    Where just one row and one column break, and by the same amount under the
+    signs of their crossing cell, that cell is it. Other matrices have no row.
+    """
+    pick = lambda axis, c: F.max(F.when(F.col("axis") == axis, F.col(c)))
+    n = lambda axis: F.sum((F.col("axis") == axis).cast("int"))
+    one = breaks.groupBy(table).agg(n("row").alias("__n"), n("column").alias("__m"), pick("row", "place").alias("__row"), pick("column", "place").alias("__column"), pick("row", "difference").alias("__dr"), pick("column", "difference").alias("__dc")).where("__n = 1 and __m = 1")
+    places = cells.select(table, F.col(row).cast("string").alias("__row"), F.col(column).cast("string").alias("__column"), F.col(row_kind).alias("__rk"), F.col(column_kind).alias("__ck"))
+    off_row = F.when(F.col("__ck") == "total", F.col("__dr")).otherwise(-F.col("__dr"))
+    off_column = F.when(F.col("__rk") == "closing", F.col("__dc")).otherwise(-F.col("__dc"))
+    found = one.join(places, [table, "__row", "__column"]).where(F.abs(off_row - off_column) <= TOLERANCE)
+    return found.select(table, F.col("__row").alias(row), F.col("__column").alias(column), F.round(off_row, 4).alias("off"))
+
+
+def equity_links(cells: DataFrame, statements: DataFrame, table: str, column: str, row_kind: str, value: str, item: str = "item", current: str = "current") -> DataFrame:
+    """Closing balances of a matrix's columns against the balance sheet's items of the same names.
+
+    Items without a column, and columns without an item, have no row.
+    """
+    closing = cells.where(F.col(row_kind) == "closing").groupBy(table, F.col(column).alias(item)).agg(F.sum(F.col(value).try_cast("decimal(24,4)")).alias("__matrix"))
+    both = closing.join(statements.select(table, item, F.col(current).try_cast("decimal(24,4)").alias("__sheet")), [table, item])
+    passed = F.coalesce(F.abs(F.col("__matrix") - F.col("__sheet")) <= TOLERANCE, F.lit(False))
+    return both.select(table, item, F.col("__matrix").cast("double").alias("matrix"), F.col("__sheet").cast("double").alias("sheet"), passed.alias("passed"), severity(passed).alias("severity"))

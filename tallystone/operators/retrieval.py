@@ -6,9 +6,14 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallystone.session import shared_path
+from tallystone.sources.folders import files_below, opened
+
 BLOCK, PART = 1024, 1 << 15
 
 
@@ -22,36 +27,60 @@ def cosine(a: Column, b: Column) -> Column:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 5) -> DataFrame:
     """(query_id, vec_id, score, rank): the k best of all vectors for each query, exactly.
 
-    Queries are dealt by their hash in blocks of about BLOCK, vectors in parts of
-    about PART, both numbers from the tables' counts, so a group has a bounded size
-    at any scale. Every block meets every part; a task multiplies two matrices
-    and keeps k for each query. Equal scores rank by id.
+    Queries are written once to the shared folder, in files of about BLOCK. Vectors
+    stay where they are: every task takes up to PART of its own at a time, reads the
+    files one after another, multiplies two matrices and keeps k for each query;
+    those few are merged by query. No vector is copied or shuffled, and a task holds
+    one part and one block. Equal scores rank by id; ids and vectors without a null.
     """
-    n_blocks = max(1, -(-queries.count() // BLOCK))
-    parts = max(1, vectors.sparkSession.sparkContext.defaultParallelism, -(-vectors.count() // PART))
-    number = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
-    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
-    packed = queries.groupBy(number(n_blocks).alias("block")).agg(F.collect_list(F.struct(F.col("vec_id").alias("q"), F.col("embedding").alias("e"))).alias("qs"))
-    packed = packed.withColumn("part", copies(parts))
-    spread = vectors.select("vec_id", "embedding", number(parts).alias("part")).withColumn("block", copies(n_blocks))
-    schema = "query_id long, vec_id long, score double"
-
-    def unit(rows: list) -> np.ndarray:
-        m = np.array([np.asarray(r, dtype=np.float64) for r in rows])
+    spark = vectors.sparkSession
+    path = shared_path(spark, "query-blocks")
+    asked = queries.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("q"), F.col("embedding").cast("array<double>").alias("e"))
+    asked.write.option("maxRecordsPerFile", BLOCK).parquet(path)
+    blocks = [f.path for f in files_below(path, (".parquet",))]
+    before = opened(path)[2]
+
+    def unit(column: pa.Array) -> np.ndarray:
+        lengths = np.diff(column.offsets.to_numpy())
+        m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), lengths[0] if len(lengths) else 0)
         return m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300)
 
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        qs, ids = right["qs"].iloc[0], left["vec_id"].to_numpy()
-        score = np.round(unit([q["e"] for q in qs]) @ unit(left["embedding"].tolist()).T, digits) + 0.0
-        out = []
-        for q, line in zip(qs, score, strict=True):
-            order = np.lexsort((ids, -line))[:k]
-            out.append(pd.DataFrame({"query_id": q["q"], "vec_id": ids[order], "score": line[order]}))
-        return pd.concat(out)
-
-    found = spread.groupBy("block", "part").cogroup(packed.groupBy("block", "part")).applyInPandas(best, schema)
+    def best(ids: np.ndarray, units: np.ndarray):
+        for path in blocks:
+            with opened(before + path)[0].open_input_file(path) as f:
+                block = pq.read_table(f)
+            if block.num_rows == 0 or len(ids) == 0:
+                continue
+            score = np.round(unit(block["e"].combine_chunks()) @ units.T, digits) + 0.0
+            asking = block["q"].to_numpy()
+            n = min(k, len(ids))
+            # Candidates reach the k-th best score; ties at it are all kept until they are sorted by id.
+            limit = np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n]
+            row, column = np.nonzero(score >= limit[:, None])
+            value = score[row, column]
+            order = np.lexsort((ids[column], -value, row))
+            row, column, value = row[order], column[order], value[order]
+            start = np.searchsorted(row, np.arange(len(asking)))
+            kept = np.arange(len(row)) - start[row] < n
+            yield pa.RecordBatch.from_arrays([pa.array(asking[row[kept]]), pa.array(ids[column[kept]]), pa.array(value[kept])], ["query_id", "vec_id", "score"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= PART:
+                yield from joined(held)
+                held, size = [], 0
+        yield from joined(held)
+
+    def joined(held):
+        if sum(b.num_rows for b in held):
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield from best(table["vec_id"].to_numpy(), unit(table["embedding"].combine_chunks()))
+
+    known = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    found = known.mapInArrow(run, "query_id long, vec_id long, score double")
     over = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= k)
 
@@ -96,3 +125,74 @@ def recursive_chunks(documents: DataFrame, key: str, text: str, size: int = 800,
 
     kind = documents.schema[key].dataType.simpleString()
     return documents.select(key, text).mapInPandas(run, f"{key} {kind}, chunk_index int, chunk string")
+
+
+DIGITS = "一二三四五六七八九"
+
+
+def chapter_numbers(most: int = 99) -> list[str]:
+    """一 to 九十九 as chapters are numbered."""
+    tens = lambda n: ("" if n == 1 else DIGITS[n - 1]) + "十" if n else ""
+    return [tens(n // 10) + (DIGITS[n % 10 - 1] if n % 10 else "") for n in range(1, most + 1)]
+
+
+#: Delimiters from coarse to fine by strategy; a piece begins with the delimiter that opens it.
+STRATEGIES = {
+    "chinese_regulation": [[f"\n第{n}章" for n in chapter_numbers()], ["\n\n"], ["\n"]],
+    "generic": [["\n# "], ["\n## "], ["\n### "], ["\n\n"], ["\n"]],
+}
+
+
+def cores(text: str, size: int, least: int, levels: list[list[str]]) -> list[str]:
+    """Pieces of at most ``size`` characters that make up the text, cut at the coarsest delimiters that serve.
+
+    Neighbours that fit together stay together; what no delimiter cuts is cut by
+    length. A piece shorter than ``least`` joins its neighbour where both fit.
+    """
+    if len(text) <= size:
+        return [text] if text else []
+    if not levels:
+        return [text[i : i + size] for i in range(0, len(text), size)]
+    pattern = "|".join(re.escape(d) for d in sorted(levels[0], key=len, reverse=True))
+    cuts = [0, *[m.start() for m in re.finditer(pattern, text) if m.start()], len(text)]
+    out: list[str] = []
+    for a, b in zip(cuts, cuts[1:]):
+        for piece in cores(text[a:b], size, least, levels[1:]):
+            if out and len(out[-1]) + len(piece) <= size and (len(piece) < least or len(out[-1]) < least or b - a <= size):
+                out[-1] += piece
+            else:
+                out.append(piece)
+    return out
+
+
+def chunks(documents: DataFrame, key: str, text: str, strategy: str = "chinese_regulation", size: int = 800, overlap: float = 0.15, least: int = 50) -> DataFrame:
+    """(key, chunk_index, core, overlap, start): a text's pieces, and with each what follows it.
+
+    The cores of a text, put together in their order, are the text, so its
+    re-assembly is exact; ``overlap`` is the beginning of the next piece, ``size *
+    overlap`` characters at most. A chunk to be embedded is core and overlap;
+    ``worth_keeping`` tells those of ``least`` characters or more. Null texts have none.
+    """
+    levels, context = STRATEGIES[strategy], int(size * overlap)
+
+    def run(batches):
+        for df in batches:
+            rows = []
+            for k, t in zip(df[key], df[text], strict=True):
+                pieces, start = cores(t or "", size, least, levels), 0
+                for i, piece in enumerate(pieces):
+                    rows.append((k, i, piece, pieces[i + 1][:context] if i + 1 < len(pieces) else "", start))
+                    start += len(piece)
+            yield pd.DataFrame(rows, columns=[key, "chunk_index", "core", "overlap", "start"])
+
+    kind = documents.schema[key].dataType.simpleString()
+    return documents.select(key, text).mapInPandas(run, f"{key} {kind}, chunk_index int, core string, overlap string, start int")
+
+
+def worth_keeping(core: Column, overlap: Column, least: int = 50) -> Column:
+    return F.length(core) + F.length(overlap) >= least
+
+
+def reassembled(pieces: DataFrame, key: str, order: str = "chunk_index", core: str = "core") -> DataFrame:
+    """(key, text) of texts put together from their cores."""
+    return pieces.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, core))), lambda c: c[core]), "").alias("text"))

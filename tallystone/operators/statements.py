@@ -190,3 +190,64 @@ def continued(sheets: DataFrame, statement: str, order: str, rows: str) -> DataF
     """Rows of a statement's sheets, continuation sheets after the main one."""
     parts = F.transform(F.array_sort(F.collect_list(F.struct(order, rows))), lambda s: s[rows])
     return sheets.groupBy(statement).agg(F.flatten(parts).alias(rows))
+
+
+def prior_matrices(mains: DataFrame, candidates: DataFrame, report: str, order: str, year: str, width: str, most: int = 2) -> DataFrame:
+    """(report, order, prior) of each main matrix and the first candidate of its report with an earlier year and about its width.
+
+    Both are (report, order, year, width). Widths may differ by ``most``; a
+    candidate without a year is none, and a main table without one takes any.
+    Candidates are put into the widths they fit, main tables among them, and one
+    window over the years keeps the smallest order so far: no pairs are made.
+    """
+    fits = F.sequence(F.col(width) - most, F.col(width) + most)
+    later = candidates.where(F.col(year).isNotNull()).select(report, F.col(order).alias("__prior"), F.col(year).alias("__y"), F.explode(fits).alias("__w"), F.lit(None).cast(mains.schema[order].dataType).alias(order))
+    own = mains.select(report, F.lit(None).cast(candidates.schema[order].dataType).alias("__prior"), F.col(year).alias("__y"), F.col(width).alias("__w"), order)
+    same = Window.partitionBy(report, "__w")
+    before = same.orderBy("__y").rangeBetween(Window.unboundedPreceding, -1)
+    found = F.when(F.col("__y").isNull(), F.min("__prior").over(same)).otherwise(F.min("__prior").over(before))
+    return later.unionByName(own).withColumn("prior", found).where(F.col(order).isNotNull()).select(report, order, "prior")
+
+
+#: Statements and the words that tell them where no name does; the first three have to be there.
+TELLING_WORDS = {
+    "合并资产负债表": ["资产总计", "流动资产合计", "非流动资产合计"], "母公司资产负债表": ["资产总计", "流动资产合计", "非流动资产合计"],
+    "合并利润表": ["营业收入", "营业成本", "营业利润"], "母公司利润表": ["营业收入", "营业成本", "营业利润"],
+    "合并现金流量表": ["经营活动现金流入小计", "经营活动现金流出小计", "投资活动现金流入小计"], "母公司现金流量表": ["经营活动现金流入小计", "经营活动现金流出小计", "投资活动现金流入小计"],
+}
+
+
+def tables_by_reference(references: DataFrame, tables: DataFrame, report: str, reference: str, table: str, order: str, name: str, rows: str, sample: int = 30) -> DataFrame:
+    """(report, reference, table, stage) of the table that each reference means; the table is null where none does.
+
+    References are texts. One that is a whole number is an id (stage ``id``) and
+    nothing else. Others mean the first table whose name holds them or is held in
+    them (``name``); what is left means the first table whose first ``sample`` rows
+    have the first three words of a statement that holds the reference or is held
+    in it (``words``). Each stage works on what the one before left; names and
+    words are found by automata, so no reference meets every table.
+    """
+    from tallystone.operators import terms
+
+    asked = references.select(report, F.col(reference).cast("string").alias("__ref")).where("__ref is not null").distinct()
+    known = tables.select(report, F.col(table).alias("__table"), F.col(order).alias("__order"), F.coalesce(F.col(name), F.lit("")).alias("__name"), F.col(rows).alias("__rows"))
+    numbers, texts = asked.where(F.col("__ref").rlike(r"^\d+$")), asked.where(~F.col("__ref").rlike(r"^\d+$"))
+    first = lambda found: found.groupBy(report, "__ref").agg(F.min_by("__table", "__order").alias("__table"))
+    by_id = first(known.withColumn("__ref", F.col("__table").cast("string")).join(numbers, [report, "__ref"]))
+
+    # A reference in a name, and a name in a reference: one join each, on equality.
+    in_names = terms.contained(known, [report, "__table", "__order"], "__name", texts.select("__ref"), "__ref").select(report, "__ref", "__table", "__order").join(texts, [report, "__ref"])
+    in_texts = terms.contained(texts, [report, "__ref"], "__ref", known.select("__name"), "__name").select(report, "__ref", "__name").join(known.select(report, "__name", "__table", "__order"), [report, "__name"])
+    by_name = first(in_names.unionByName(in_texts.select(in_names.columns)))
+
+    left = texts.join(by_name.select(report, "__ref"), [report, "__ref"], "left_anti")
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.array(*[F.lit(w) for w in words]).alias("words")) for k, words in TELLING_WORDS.items()])
+    meant = left.select(report, "__ref", F.explode(kinds).alias("__k")).where(F.contains(F.col("__k.kind"), F.col("__ref")) | F.contains(F.col("__ref"), F.col("__k.kind")))
+    text = F.array_join(F.transform(F.slice(F.coalesce("__rows", F.array().cast("array<array<string>>")), 1, sample), lambda r: F.array_join(r, " ")), " ")
+    held = terms.contained(known.withColumn("__text", text), [report, "__table", "__order"], "__text", sorted({w for ws in TELLING_WORDS.values() for w in ws}), "__word")
+    per_table = held.groupBy(report, "__table", "__order").agg(F.collect_set("__word").alias("__has"))
+    of_kind = per_table.select(report, "__table", "__order", F.explode(F.filter(kinds, lambda k: F.size(F.array_intersect(k["words"], F.col("__has"))) == 3)).alias("__k"))
+    by_words = first(meant.select(report, "__ref", F.col("__k.kind").alias("__kind")).join(of_kind.select(report, F.col("__k.kind").alias("__kind"), "__table", "__order"), [report, "__kind"]))
+
+    found = by_id.withColumn("stage", F.lit("id")).unionByName(by_name.withColumn("stage", F.lit("name"))).unionByName(by_words.withColumn("stage", F.lit("words")))
+    return asked.join(found, [report, "__ref"], "left").select(report, F.col("__ref").alias(reference), F.col("__table").alias(table), "stage")

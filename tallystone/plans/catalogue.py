@@ -361,7 +361,7 @@ def q40_lane_layout(t):
     return rows.select("event_id", F.col("lane_no").cast("long").alias("lane_no"), F.col("row_no").cast("long").alias("row_no"))
 
 
-from tallystone.plans import basics, checks, intake, reports  # noqa: E402, F401 - register their queries, which build on those above
+from tallystone.plans import basics, checks, intake, mechanisms, reports  # noqa: E402, F401 - register their queries, which build on those above
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

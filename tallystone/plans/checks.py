@@ -397,7 +397,7 @@ def q83_windowed_counts(t):
 
 @query("""
 with b as (select p_partkey, p_partkey % 6 as k from part)
-select p_partkey, 0 as item_col, case k when 0 then 2 when 1 then 2 when 2 then 1 when 3 then 3 when 4 then 2 else 1 end as current_col, case k when 0 then 1 when 1 then 1 when 2 then 2 when 3 then 1 when 4 then 1 else 2 end as prior_col from b""")
+select p_partkey, 0 as item_col, case k when 0 then 2 when 1 then 2 when 2 then 1 when 3 then 3 when 4 then 1 else 1 end as current_col, case k when 0 then 1 when 1 then 1 when 2 then 2 when 3 then 1 when 4 then 1 else 2 end as prior_col from b""")
 def q84_column_roles(t):
     """Opening before closing, years in either order, one header told, and none told: digits decide, the left of equals first."""
     heads = [("项目", "期初余额", "期末余额", "x"), ("项目", "2023年", "2024年", "x"), ("项目", "本期金额", "上期金额", "x"), ("项目", "年初数", "附注", "甲"), ("项目", "上年", "甲", "乙"), ("甲", "乙", "丙", "丁")]

@@ -3,18 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that spark.checkpoint.dir names; a temporary one on a local master only."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the one that spark.checkpoint.dir names; a temporary one on a local master only."""
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallystone-"))
+    return str(spark.sparkContext.getCheckpointDir())
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path of the shared folder that nothing has used."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, which cuts its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition
 from pyspark.sql.types import StructType
 
-from tallystone.sources.folders import content
+from tallystone.sources.folders import content, files_below, opened
 
 #: Rows of a list, as text; whoever reads them casts.
 SCHEMA = "id string, title string, date string, status string"
@@ -30,14 +30,24 @@ MAX_PAGES = 1_000_000
 
 
 class FolderPages:
-    """Pages as JSON files; a page beyond the first that is not there is empty."""
+    """Pages as JSON files in a folder or in folders below it; a page beyond the first that is not there is empty."""
 
     def __init__(self, options: dict[str, str]):
         self.path = options["path"].rstrip("/")
+        self.places: dict[str, str] = {}
 
     def fetch(self, page: int) -> dict:
+        name = f"page-{page}.json"
         try:
-            return json.loads(content(f"{self.path}/page-{page}.json"))
+            try:
+                return json.loads(content(f"{self.path}/{name}"))
+            except FileNotFoundError:
+                if not self.places:
+                    before = opened(self.path)[2]
+                    self.places = {f.path.rsplit("/", 1)[-1]: before + f.path for f in files_below(self.path, (".json",))}
+                if name not in self.places:
+                    raise
+                return json.loads(content(self.places[name]))
         except FileNotFoundError:
             if page == 1:
                 raise
