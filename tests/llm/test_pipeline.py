@@ -2,7 +2,7 @@ import corpus_pipeline
 from tests.llm.fixtures import awkward, empty
 from tests.llm.test_classifiers import gram_counts
 from tests.llm.test_mixing import WORD, by_hand
-from tests.llm.test_simhash import brute as components
+from tests.llm.test_near import groups
 from tests.llm.test_suffixes import brute as cuts
 
 SF = "/root/testdata/sf0.001"
@@ -31,7 +31,7 @@ def test_stages_against_brute_force(spark):
 
     single = stage["simhash_near_dedup"](spark, calm, SF).cache()
     rows = [(r.doc_id, r.text) for r in calm.collect()]
-    assert sorted(r.doc_id for r in single.collect()) == sorted({c for _, _, c in components(rows)})
+    assert sorted(r.doc_id for r in single.collect()) == sorted(min(g) for g in groups(rows))
     assert single.columns == docs.columns
 
     cut = stage["suffix_array_dedup"](spark, single, SF).cache()
