@@ -6,13 +6,16 @@ inverse document frequency, counted over all words of all documents:
 - Every line is scored against one-line notices. Only lines that share a word with
   some notice's prefix are: the words of a notice from the rarest on, until the
   rest alone cannot reach the threshold, so no line at the threshold is missed.
-- Every paragraph is scored against the headers that licences ask for, so a header
-  may be wrapped over lines and stand in comments.
+- Windows of words, as long as a template and a quarter of it apart, are scored
+  against the headers that licences ask for, the notices, and licence texts of up to
+  WINDOW_WORDS words, so these may be wrapped over lines, stand in comments or in a
+  long line, and have code right behind them.
 - Every whole text is scored against full licence texts, kept in ``licence_texts``.
 
 An inverted index of the rarer words of headers and full texts finds the documents
 that hold enough of their weight to reach the threshold; only these are scored. An
-SPDX tag is taken as it stands.
+SPDX tag gives its whole expression (``MIT OR Apache-2.0``). A text that matches
+GPL-3.0 but names the Affero licence in its title is AGPL-3.0.
 
 A document's own licence is that of its best unit. A document that matches as a
 whole, or at least a third of whose words stand in matching lines outside comments,
@@ -20,7 +23,8 @@ is a licence file and speaks for its directory; a header or a comment speaks for
 its own file only, and so does a text that begins with a comment, unless its name
 says that it is a licence file. A document without a licence of its own inherits from the
 nearest ancestor directory that has a licence file, unless its name says that it is
-a licence file itself. Directories are resolved once each, not once for each
+a licence file itself or its first HEAD_LINES lines speak of a licence that was
+not recognised. Directories are resolved once each, not once for each
 document, and documents join them salted, as one directory may hold any share of
 the rows.
 
@@ -30,7 +34,7 @@ several licence files of a directory the best scored speaks, then the smallest
 path; repeated rows are rows of their own; a null path has no directory and inherits
 nothing; a path without a slash lies in the root, which is above all directories;
 very long texts are read whole; an empty table gives no rows; columns named as
-results are replaced, others are kept whatever their names but ``__row``.
+results are replaced, others are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -40,10 +44,10 @@ import re
 from math import log, sqrt
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystone.llm.common import saved, without
+from tallystone.llm.common import salted_join, saved, without
 
 #: Notices that licences ask to be put at the head of a file.
 TEMPLATES = {
@@ -66,9 +70,12 @@ HEADERS = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
 }
 THRESHOLD, FILE_SHARE, SALTS = 0.6, 3, 16
-TAG = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+)"
-#: What parts paragraphs: lines without letters and digits.
-BETWEEN = r"\n[^\p{L}\p{N}\n]*\n"
+_ID = r"(?:\([ \t]*)*[A-Za-z0-9.+:-]+(?:[ \t]*\))*"
+TAG = rf"SPDX-License-Identifier:[ \t]*({_ID}(?:[ \t]+(?:AND|OR|WITH|and|or|with)[ \t]+{_ID})*)"
+#: Licence texts up to this length are sought in windows, too; a window begins every 1 / STEPS of its length.
+WINDOW_WORDS, STEPS = 400, 4
+#: What speaks of a licence in the head of a file, and how long the head is.
+SPEAKS, HEAD_LINES = r"(?i)\b(licen[cs](e|ed|es|ing)|redistribut(e|ed|ion)|all rights reserved|public domain|spdx)\b", 40
 #: How a line of a comment begins, and how files of licences are called.
 COMMENT, LICENCE_NAME = r"^\s*(#|//|/\*|\*|--|;|%|<!--|\.\\\")", r"(?i)^((un)?licen[cs]es?|copying|copyright|notice)([.\-_].*)?$"
 RESULTS = ["own_licence", "own_score", "is_licence_file", "licence", "inherited_from"]
@@ -128,7 +135,7 @@ def line_scores(documents: DataFrame, text: str, templates: dict[str, str], thre
     lines = lines.where(F.arrays_overlap("words", F.lit(prefix)))
     n = F.when(F.col("line").rlike(COMMENT), 0).otherwise(F.size("words")).alias("n")
     terms = lines.select("__row", "__line", n, F.explode("words").alias("w")).groupBy("__row", "__line", "n", "w").count()
-    terms = terms.join(frequencies, "w")
+    terms = salted_join(terms, frequencies, "w", "__row")
     value = F.col("count") * F.log(1 + F.lit(total) / F.col("df"))
     sums = [F.sum(value * value).alias("norm")]
     for name, tf in words.items():
@@ -172,32 +179,53 @@ def likely(documents: DataFrame, text: str, index: DataFrame, sizes: DataFrame,
 
 
 def unit_scores(units: DataFrame, index: DataFrame, sizes: DataFrame, threshold: float, frequencies: DataFrame, total: int, name: str) -> DataFrame:
-    """(__row, n, best) of the units (__row, __line, words) at the threshold."""
-    key = ["__row", "__line"]
-    terms = units.select(*key, F.explode("words").alias("w")).groupBy(*key, "w").count()
-    valued = saved(terms.join(frequencies, "w").select(*key, "w", "count", (F.col("count") * F.log(1 + F.lit(total) / F.col("df"))).alias("value")), name)
+    """(__row, n, best) of the units (__row, __line, i, words) at the threshold, each against its template ``i``, or all where it is null."""
+    key = ["__row", "__line", "__i"]
+    terms = units.select("__row", "__line", F.coalesce("i", F.lit(-1)).alias("__i"), F.explode("words").alias("w")).groupBy(*key, "w").count()
+    terms = salted_join(terms, frequencies, "w", "__row")
+    valued = saved(terms.select(*key, "w", "count", (F.col("count") * F.log(1 + F.lit(total) / F.col("df"))).alias("value")), name)
     norms = valued.groupBy(*key).agg(F.sum("count").alias("n"), F.sum(F.col("value") * F.col("value")).alias("norm"))
-    dots = valued.join(index, "w").groupBy(*key, "i").agg(F.sum(F.col("value") * F.col("v")).alias("dot"))
+    dots = valued.join(index, "w").where("__i = -1 or __i = i").groupBy(*key, "i").agg(F.sum(F.col("value") * F.col("v")).alias("dot"))
     scored = dots.join(norms, key).join(sizes, "i").select(*key, "n", F.struct(F.round(F.col("dot") / F.sqrt(F.col("norm") * F.col("norm2")), 6).alias("score"), "place", "name").alias("best"))
     return scored.groupBy(*key).agg(F.max("n").alias("n"), F.max("best").alias("best")).where(F.col("best.score") >= threshold).select("__row", "n", "best")
 
 
-def file_scores(documents: DataFrame, text: str, texts: dict[str, str], headers: dict[str, str], threshold: float, frequencies: DataFrame, total: int, place: int) -> DataFrame:
-    """(__row, n, best) of whole texts and of paragraphs at the threshold; a paragraph's n is 0; needs ``__row``."""
+def windows(words: Column, length: Column) -> Column:
+    """Runs of ``length`` words, a quarter of it apart, the last of them at the end; the whole where it is shorter."""
+    last = F.greatest(F.size(words) - length, F.lit(0))
+    step = F.greatest(F.floor(length / STEPS).cast("int"), F.lit(1))
+    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, step), F.array(last)))
+    return F.transform(starts, lambda at: F.slice(words, at + 1, length))
+
+
+def file_scores(documents: DataFrame, text: str, texts: dict[str, str], headers: dict[str, str], notices: dict[str, str], threshold: float, frequencies: DataFrame, total: int, place: int) -> DataFrame:
+    """(__row, n, best) of whole texts and of windows at the threshold; a window's n is 0; needs ``__row``."""
     spark, counts = documents.sparkSession, (frequencies, total)
-    heads = {f"header {name}": t for name, t in headers.items()}
+    lengths = {name: sum(tf.values()) for name, tf in template_words(texts).items()}
+    heads = {f"header {name}": t for name, t in headers.items()} | {f"notice {name}": t for name, t in notices.items()} | {f"part {name}": t for name, t in texts.items() if lengths[name] <= WINDOW_WORDS}
     index, sizes = index_of(spark, heads | texts, threshold, *counts, place)  # headers come first by name
-    is_head = F.col("name").startswith("header ")
-    found = saved(likely(documents, text, index, sizes, threshold).join(sizes.select("i", is_head.alias("head")), "i").select("__row", "head").distinct(), "licence-likely")
-    some = lambda head: documents.join(found.where("head" if head else "not head"), "__row", "left_semi")
-    whole = some(False).select("__row", F.lit(0).alias("__line"), words_of(F.col(text)).alias("words"))
-    parts = some(True).select("__row", F.posexplode(F.split(text, BETWEEN, -1)).alias("__line", "part")).select("__row", "__line", words_of(F.col("part")).alias("words"))
+    is_head = F.col("name").rlike("^(header|notice|part) ")
+    found = saved(likely(documents, text, index, sizes, threshold).join(sizes.select("i", "name", is_head.alias("head")), "i").select("__row", "i", "name", "head"), "licence-likely")
+    whole = documents.join(found.where("not head").select("__row").distinct(), "__row", "left_semi").select("__row", F.lit(0).alias("__line"), F.lit(None).cast("int").alias("i"), words_of(F.col(text)).alias("words"))
     of = lambda head: (index.join(sizes.where(is_head if head else ~is_head).select("i"), "i"), sizes.where(is_head if head else ~is_head))
     files = unit_scores(whole, *of(False), threshold, *counts, "licence-file-terms")
     files = saved(files, "licence-whole")  # a licence's own text quotes its header
-    paragraphs = unit_scores(parts, *of(True), threshold, *counts, "licence-header-terms").withColumn("n", F.lit(0).cast("long")).join(files, "__row", "left_anti")
-    plain = F.struct("best.score", "best.place", F.regexp_replace("best.name", "^header ", "").alias("name")).alias("best")
-    return files.unionByName(paragraphs).select("__row", "n", plain)
+
+    long = F.create_map(*[F.lit(x) for name, tf in template_words(heads).items() for x in (name, sum(tf.values()))]) if heads else F.lit(None)
+    wanted = found.where("head").join(files.select("__row"), "__row", "left_anti").groupBy("__row").agg(F.collect_list(F.struct("i", "name")).alias("__heads"))  # as many as there are templates at most
+    parts = documents.select("__row", F.col(text).alias("__t")).join(wanted, "__row").withColumn("words", words_of(F.col("__t"))).select("__row", "words", F.explode("__heads").alias("h"))
+    parts = parts.select("__row", F.col("h.i").alias("i"), F.posexplode(windows(F.col("words"), long[F.col("h.name")])).alias("__line", "words"))
+    near = unit_scores(parts, *of(True), threshold, *counts, "licence-header-terms").withColumn("n", F.lit(0).cast("long"))
+    plain = F.struct("best.score", "best.place", F.regexp_replace("best.name", "^(header|notice|part) ", "").alias("name")).alias("best")
+    return files.unionByName(near).select("__row", "n", plain)
+
+
+def expression(text: Column) -> Column:
+    """The expression of an SPDX tag, without brackets around the whole; empty without a tag."""
+    found = F.regexp_replace(F.regexp_extract(text, TAG, 1), r"[ \t]+", " ")
+    bare = F.regexp_replace(found, r"^\( ?([^()]*?) ?\)$", "$1")
+    # Closing brackets that nothing opened belong to the text around.
+    return F.when(~bare.contains("("), F.regexp_replace(bare, r"[ \t]*\)", "")).otherwise(bare)
 
 
 def folder(path: Column) -> Column:
@@ -215,44 +243,51 @@ def ancestors(path: Column) -> Column:
 def scan(documents: DataFrame, path: str = "path", text: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD, texts: dict[str, str] | None = None, headers: dict[str, str] | None = None) -> DataFrame:
     """All rows with RESULTS and without the text; columns of these names are replaced."""
     base = without(documents, RESULTS)
-    own = [F.col(f"`{c}`") for c in base.columns if c != text]
-    n = F.coalesce(F.size(words_of(F.col(text))), F.lit(0))
+    names = [c for c in base.columns if c != text]
+    # The user's columns travel as one, so that their names meet no other.
+    own = F.struct(F.lit(True).alias("__any"), *[F.col(f"`{c}`") for c in names]).alias("__own")
     # Numbers of rows have to be fixed before two passes use them, texts are kept by the table.
-    base = saved(base.withColumn("__row", F.monotonically_increasing_id()), "licence-documents")
+    base = base.select(own, F.col(f"`{path}`").cast("string").alias("__path"), F.col(f"`{text}`").cast("string").alias("__text"), F.monotonically_increasing_id().alias("__row"))
+    base, text, path = saved(base, "licence-documents"), "__text", "__path"
     notices, texts, headers = templates or TEMPLATES, full_texts() if texts is None else texts, HEADERS if headers is None else headers
     counts = saved(document_frequencies(base, text), "licence-frequencies"), base.count()
     lines = saved(line_scores(base, text, notices, threshold, *counts).select("__row", "n", "best"), "licence-lines")
     if texts or headers:
-        lines = lines.unionByName(saved(file_scores(base, text, texts, headers, threshold, *counts, -len(notices)), "licence-files"))
-    tag = F.struct(F.lit(1.0).alias("score"), F.lit(1).alias("place"), F.regexp_extract(text, TAG, 1).alias("name"))
+        found = file_scores(base, text, texts, headers, notices, threshold, *counts, -len(notices))
+        lines = lines.unionByName(saved(found, "licence-files"))
+    tag = F.struct(F.lit(1.0).alias("score"), F.lit(1).alias("place"), expression(F.col(text)).alias("name"))
     # Saved, so that the join below sees how few rows match and does not move the texts.
     lines = lines.unionByName(saved(base.where(F.col(text).rlike(TAG)).select("__row", F.lit(0).cast("long").alias("n"), tag.alias("best")), "licence-tags"))
     matched = lines.groupBy("__row").agg(F.max("best").alias("best"), F.sum("n").alias("in_lines"))
+    n = F.coalesce(F.size(words_of(F.col(text))), F.lit(0))
     named = F.coalesce(F.regexp_extract(path, "[^/]*$", 0).rlike(LICENCE_NAME), F.lit(False))
     is_file = (F.col("in_lines") > 0) & (F.col("in_lines") * FILE_SHARE >= n) & (named | ~F.col(text).rlike(COMMENT))
-    hits = base.join(matched, "__row").select("__row", "best", is_file.alias("is_file"), F.col(path).alias("__path"))
+    affero = (F.col("best.name") == "GPL-3.0") & (F.col("in_lines") > 0) & F.lower(F.substring(text, 1, 300)).contains("affero general public")
+    title = F.when(affero, "AGPL-3.0").otherwise(F.col("best.name"))
+    hits = base.join(matched, "__row").select("__row", F.col("best").withField("name", title).alias("best"), is_file.alias("is_file"), path)
     hits = saved(hits, "licence-hits")
 
-    order = Window.partitionBy("__dir").orderBy(F.desc("best.score"), F.desc("best.place"), "__path")
-    spoken = hits.where("is_file").withColumn("__dir", folder(F.col("__path"))).withColumn("__k", F.row_number().over(order)).where("__k = 1 and __dir is not null")
-    spoken = spoken.select(F.col("__dir").alias("__from"), F.col("best.name").alias("__name"))
+    # One licence file speaks for a directory: the best scored, then the smallest path.
+    rank = F.struct((-F.col("best.score")).alias("s"), (-F.col("best.place")).alias("p"), F.col(path).alias("f"))
+    spoken = hits.where("is_file").withColumn("__dir", folder(F.col(path))).where("__dir is not null").groupBy(F.col("__dir").alias("__from")).agg(F.min_by("best.name", rank).alias("__name"))
 
     dirs = base.select(folder(F.col(path)).alias("__dir")).where("__dir is not null").distinct()
     above = dirs.select("__dir", F.posexplode(ancestors(F.concat("__dir", F.lit("/")))).alias("__far", "__from"))
     near = above.join(spoken, "__from").groupBy("__dir").agg(F.min_by(F.struct("__from", "__name"), "__far").alias("__near"))
     near = near.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
-    rows = base.select(*own, "__row", named.alias("__named"), folder(F.col(path)).alias("__dir"), F.pmod("__row", F.lit(SALTS)).cast("int").alias("__salt"))
+    unsaid = F.coalesce(F.substring_index(text, "\n", HEAD_LINES).rlike(SPEAKS), F.lit(False))
+    rows = base.select("__own", "__row", (named | unsaid).alias("__silent"), folder(F.col(path)).alias("__dir"), F.pmod("__row", F.lit(SALTS)).cast("int").alias("__salt"))
     rows = rows.join(hits.select("__row", "best", "is_file"), "__row", "left").join(near, ["__dir", "__salt"], "left")
-    inherits = F.col("best").isNull() & ~F.col("__named")
+    inherits = F.col("best").isNull() & ~F.col("__silent")
     return rows.select(
-        *own,
+        "__own",
         F.col("best.name").alias("own_licence"),
         F.col("best.score").alias("own_score"),
         F.coalesce("is_file", F.lit(False)).alias("is_licence_file"),
         F.coalesce("best.name", F.when(inherits, F.col("__near.__name"))).alias("licence"),
         F.when(inherits, F.col("__near.__from")).alias("inherited_from"),
-    )
+    ).select(*[F.col(f"__own.`{c}`") for c in names], *RESULTS)
 
 
 def report(documents: DataFrame) -> DataFrame:
@@ -289,4 +324,5 @@ above as (select dir, dir as up, 0 as far from dirs union all select dir, regexp
 near as (select above.dir, up, name from above join spoken on spoken.dir = above.up qualify row_number() over (partition by above.dir order by far) = 1)
 select d.doc_id, d.path, h.name as own_licence, h.score as own_score, coalesce(h.is_file, false) as is_licence_file, coalesce(h.name, n.name) as licence, case when h.name is null then n.up end as inherited_from
 from docs d left join hits h on h.doc_id = d.doc_id left join near n on n.dir = regexp_replace(d.path, '/[^/]*$', '')
+ and not coalesce(regexp_matches(array_to_string(string_split(text, chr(10))[1:{HEAD_LINES}], chr(10)), '{SPEAKS}'), false)
 """

@@ -73,6 +73,32 @@ def test_full_texts_are_licence_files(spark):
     assert got["/wrapped/COPYING"].own_licence == "MIT" and all(got[p].licence is None for p, _ in plain)
 
 
+def test_what_was_labelled_wrongly(spark):
+    """Headers with code right behind, unknown notices, expressions, notices in long lines, and a retitled licence text."""
+    code = "int main() { return 0; } // nothing about it here\n" * 40
+    gpl2 = licences.HEADERS["GPL-2.0"]
+    agpl = licences.full_texts()["GPL-3.0"].replace("GNU GENERAL PUBLIC LICENSE", "GNU AFFERO GENERAL PUBLIC LICENSE", 1)
+    rows = [
+        ("/a/LICENSE", licences.full_texts()["MIT"]), ("/a/gpl.c", "/* " + gpl2 + "\n" + code + "*/"), ("/a/bsd.c", "// Use of this source code is governed by a BSD-style license\n// that can be found in the LICENSE file.\n" + code),
+        ("/a/or.c", "// SPDX-License-Identifier: (MIT OR Apache-2.0)\n" + code), ("/a/plain.c", "/* SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 */\n" + code), ("/a/brackets.c", "(SPDX-License-Identifier: MIT)"),
+        ("/a/nested.c", "# SPDX-License-Identifier: MIT AND (BSD-3-Clause OR Zlib)\n"), ("/a/line.txt", "the loop adds the values " * 60 + licences.TEMPLATES["Apache-2.0"] + " and others of the list" * 60), ("/b/COPYING", agpl), ("/b/x.c", code), ("/a/free.c", code),
+        ("/a/head.c", "x\n" * 60 + "the license of this is unknown"), ("/a/text.c", "/*\n" + licences.full_texts()["ISC"] + "*/\n" + code * 10),
+    ]
+    plain = [(f"/p{i}/x.c", f"the loop {i} adds the values of a list and of the other to any of them") for i in range(50)]
+    df = spark.createDataFrame(rows + plain, "path string, text string")
+    for name in ("best", "is_file", "in_lines", "__dir", "__salt", "__row", "__text", "w", "n", "i"):
+        df = df.withColumn(name, licences.F.lit("mine"))
+    got = {r.path: r for r in licences.scan(df).collect()}
+    assert got["/a/gpl.c"].own_licence == "GPL-2.0"
+    assert got["/a/bsd.c"].licence is None and got["/a/bsd.c"].inherited_from is None
+    assert got["/a/or.c"].licence == "MIT OR Apache-2.0" and got["/a/plain.c"].licence == "GPL-2.0-only WITH Classpath-exception-2.0"
+    assert got["/a/brackets.c"].licence == "MIT" and got["/a/nested.c"].licence == "MIT AND (BSD-3-Clause OR Zlib)"
+    assert got["/a/line.txt"].own_licence == "Apache-2.0" and not got["/a/line.txt"].is_licence_file
+    assert got["/b/COPYING"].licence == "AGPL-3.0" and got["/b/x.c"].licence == "AGPL-3.0"
+    assert got["/a/free.c"].licence == "MIT" and got["/a/head.c"].licence == "MIT" and got["/a/text.c"].own_licence == "ISC"
+    assert all(r["best"] == r["__row"] == r["__dir"] == "mine" for r in got.values())
+
+
 def test_awkward(spark):
     assert licences.report(awkward(spark)).count() == len(ROWS)
     assert licences.report(empty(spark)).count() == 0
