@@ -47,7 +47,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystone.llm.common import salted_join, saved, without
+from tallystone.llm.common import fresh, salted_join, saved, without
 
 #: Notices that licences ask to be put at the head of a file.
 TEMPLATES = {
@@ -245,7 +245,7 @@ def scan(documents: DataFrame, path: str = "path", text: str = "text", templates
     base = without(documents, RESULTS)
     names = [c for c in base.columns if c != text]
     # The user's columns travel as one, so that their names meet no other.
-    own = F.struct(F.lit(True).alias("__any"), *[F.col(f"`{c}`") for c in names]).alias("__own")
+    own = F.struct(F.lit(True).alias(fresh(base, "__any")), *[F.col(f"`{c}`") for c in names]).alias("__own")
     # Numbers of rows have to be fixed before two passes use them, texts are kept by the table.
     base = base.select(own, F.col(f"`{path}`").cast("string").alias("__path"), F.col(f"`{text}`").cast("string").alias("__text"), F.monotonically_increasing_id().alias("__row"))
     base, text, path = saved(base, "licence-documents"), "__text", "__path"

@@ -23,7 +23,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallystone.llm.common import held_out, saved, without
+from tallystone.llm.common import fresh, held_out, saved, without
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -44,8 +44,10 @@ BINS, MAX_RULES, MAX_LITERALS, LEAST_COVER, LEAST_PRECISION = 48, 8, 4, 5, 0.95
 def with_stats(documents: DataFrame, text: str = "text") -> DataFrame:
     """Append STATS and drop the text; columns of these names are replaced."""
     base = without(documents, STATS)
-    keep = [f"`{c}`" for c in base.columns if c != text]
-    body = F.coalesce(F.col(text), F.lit(""))
+    names = [c for c in base.columns if c != text]
+    # The user's columns travel as one, so that their names meet no other.
+    keep, body = ["__own"], F.coalesce(F.col("__text"), F.lit(""))
+    base = base.select(F.struct(F.lit(True).alias(fresh(base, "__any")), *[F.col(f"`{c}`") for c in names]).alias("__own"), F.col(f"`{text}`").alias("__text"))
     step = base.select(
         *keep,
         F.filter(F.split(body, SPACE), lambda w: w != "").alias("__words"),
@@ -70,7 +72,7 @@ def with_stats(documents: DataFrame, text: str = "text") -> DataFrame:
     step = step.withColumn("__at", F.sort_array(F.transform(twice, lambda x: x["i"])))
     gaps = F.zip_with("__at", F.slice("__at", 2, F.greatest(F.size("__at"), F.lit(1))), lambda a, b: F.coalesce(F.least(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
     total = F.aggregate(gaps, F.lit(0).cast("long"), lambda s, x: s + x)
-    return step.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(total, F.lit(0)).cast("long").alias("n_repeat_words"))
+    return step.select(*[F.col(f"__own.`{c}`") for c in names], "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(total, F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
 def _same(x: Column, k: Column) -> Column:

@@ -580,7 +580,8 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     def text_of(raw: np.ndarray, keep: np.ndarray) -> tuple[str]:
         return (raw[keep].tobytes().decode("utf-8", "ignore"),)
 
-    out = with_cuts(documents, [("__kept", T.StringType(), pa.string())], text_of)
-    new = {"text": F.when(F.col("text").isNull(), F.lit(None).cast("string")).otherwise(F.col("__kept"))}
-    out = out.withColumns(new | ({"n_chars": F.length("__kept").cast(documents.schema["n_chars"].dataType)} if "n_chars" in out.columns else {}))
+    kept = fresh(documents, "__kept")
+    out = with_cuts(documents, [(kept, T.StringType(), pa.string())], text_of)
+    new = {"text": F.when(F.col("text").isNull(), F.lit(None).cast("string")).otherwise(F.col(kept))}
+    out = out.withColumns(new | ({"n_chars": F.length(kept).cast(documents.schema["n_chars"].dataType)} if "n_chars" in out.columns else {}))
     return out.select(*[F.col(f"`{c}`") for c in documents.columns])

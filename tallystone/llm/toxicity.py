@@ -151,8 +151,11 @@ def score(documents: DataFrame, model: Model, text: str = "text", threshold: flo
 
 def drop_toxic(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The documents that the model does not reject, with their own columns only."""
-    kept = score(documents, model, text, prefix="__toxicity_")
-    return kept.where(F.col("__toxicity_predicted") == 0).drop("__toxicity_score", "__toxicity_predicted")
+    prefix = "__toxicity_"
+    while any(c.lower().startswith(prefix) for c in documents.columns):
+        prefix += "_"
+    kept = score(documents, model, text, prefix=prefix)
+    return kept.where(F.col(f"{prefix}predicted") == 0).drop(f"{prefix}score", f"{prefix}predicted")
 
 
 def report(documents: DataFrame, labels: DataFrame) -> DataFrame:
