@@ -11,7 +11,8 @@ CORE_ENDINGS = ["有限公司", "股份有限公司", "集团有限公司", "股
 FULL_FORMS = ["有限公司", "股份有限公司", "有限责任公司", "集团有限公司", "合伙企业"]
 PRONOUNS = ["本", "该", "贵", "各", "其", "乃", "我"]
 NAME = "([一-龥A-Za-z0-9]{2,30}(?:" + "|".join(FULL_FORMS) + "))"
-HEADING = "(?m)^[^\\n]*(?:有限公司|股份有限公司|集团|公司)[^\\n]*"
+#: A line that names a group or a company.
+HEADING = "(?m)^.*(?:集团|公司).*$"
 
 
 def legal_name(name: Column) -> Column:
@@ -51,8 +52,8 @@ def company_consistency(reports: DataFrame, key: str, text: str, listed: str) ->
     are the preparer and the listed company with it, and the heading with the
     preparer. Names that hold each other agree. Without any name in the text the
     listed one meets the preparer. One row a report: main_core, n_mentions,
-    n_conflicts, passed, severity. Names are counted inside their row; nothing
-    is shuffled.
+    n_conflicts, passed, severity. Names are counted inside their row by one fold
+    over the sorted mentions; nothing is shuffled.
     """
     mentions = F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(NAME), 1), core_name)
     names = F.filter(mentions, lambda n: (F.length(n) >= 2) & ~n.rlike("^[" + "".join(PRONOUNS) + "]"))
@@ -60,11 +61,18 @@ def company_consistency(reports: DataFrame, key: str, text: str, listed: str) ->
         key, names.alias("names"), legal_name(prepared_by(F.col(text))).alias("preparer"), legal_name(F.col(listed)).alias("listed"),
         legal_name(F.trim(F.regexp_extract(F.coalesce(F.col(text), F.lit("")), HEADING, 0))).alias("heading"),
     )
-    counted = F.transform(F.array_sort(F.array_distinct("names")), lambda n: F.struct((-F.size(F.filter("names", lambda m: m == n))).alias("k"), n.alias("n")))
-    best = F.get(F.array_sort(counted), F.lit(0))
+    # Equal names stand together: the run at hand and the longest run so far, of equals the first.
+    start = F.struct(F.lit("").alias("name"), F.lit(0).alias("run"), F.lit("").alias("n"), F.lit(0).alias("k"))
+
+    def follow(state: Column, name: Column) -> Column:
+        run = F.when(state["name"] == name, state["run"] + 1).otherwise(1)
+        longer = run > state["k"]
+        return F.struct(name.alias("name"), run.alias("run"), F.when(longer, name).otherwise(state["n"]).alias("n"), F.when(longer, run).otherwise(state["k"]).alias("k"))
+
+    best = F.aggregate(F.array_sort("names"), start, follow)
     rows = rows.withColumn("__b", best)
-    preparer, named, heading, main = core_name(F.col("preparer")), core_name(F.col("listed")), core_name(F.col("heading")), F.coalesce("__b.n", F.lit(""))
+    preparer, named, heading, main = core_name(F.col("preparer")), core_name(F.col("listed")), core_name(F.col("heading")), F.col("__b.n")
     conflicts = _apart(preparer, main).cast("int") + _apart(named, main).cast("int") + _apart(heading, preparer).cast("int")
     alone = ((preparer != "") & (named != "") & (preparer != named)).cast("int")
     n = F.when(main == "", alone).otherwise(conflicts)
-    return rows.select(key, main.alias("main_core"), F.coalesce(-F.col("__b.k"), F.lit(0)).alias("n_mentions"), n.alias("n_conflicts"), (n == 0).alias("passed"), F.when(n == 0, "info").otherwise("warning").alias("severity"))
+    return rows.select(key, main.alias("main_core"), F.col("__b.k").alias("n_mentions"), n.alias("n_conflicts"), (n == 0).alias("passed"), F.when(n == 0, "info").otherwise("warning").alias("severity"))

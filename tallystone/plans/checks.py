@@ -340,10 +340,10 @@ def q76_contact_links(t):
     return related.linked(related.contacts(companies, "c_custkey"))
 
 
-@query("with e as (select distinct o_custkey as entity, 'person' as dimension, 'P' || o_orderkey % 200 as value, 2 as level from orders where o_orderkey % 200 not in (select s_suppkey from supplier where s_suppkey < 5)) " + LINKED)
+@query("with e as (select distinct l_orderkey as entity, 'person' as dimension, 'P' || l_suppkey as value, 2 as level from lineitem where l_suppkey not in (select s_suppkey from supplier where s_nationkey = 3)) " + LINKED)
 def q77_shared_people(t):
-    marks = t("orders").select(F.col("o_custkey").alias("entity"), F.lit("person").alias("dimension"), words("P", F.col("o_orderkey") % 200).alias("value"))
-    public = t("supplier").where("s_suppkey < 5").select(words("P", F.col("s_suppkey")).alias("value"))
+    marks = t("lineitem").select(F.col("l_orderkey").alias("entity"), F.lit("person").alias("dimension"), words("P", F.col("l_suppkey")).alias("value"))
+    public = t("supplier").where("s_nationkey = 3").select(words("P", F.col("s_suppkey")).alias("value"))
     return related.linked(related.without_excluded(marks, public))
 
 
@@ -378,10 +378,10 @@ def q80_relation_types(t):
 
 
 @query("""
-with e as (select distinct l_suppkey as p, l_partkey % 250 as c from lineitem)
+with e as (select distinct l_suppkey as p, l_partkey as c from lineitem)
 select 'C' || p as parent, count(*) as n from e where c in (select s_suppkey from supplier) and p in (select s_suppkey from supplier) group by 1""")
 def q81_investments(t):
-    edges = t("lineitem").select(words("C", F.col("l_suppkey")).alias("parent"), words("C", F.col("l_partkey") % 250).alias("child"))
+    edges = t("lineitem").select(words("C", F.col("l_suppkey")).alias("parent"), words("C", F.col("l_partkey")).alias("child"))
     return related.investments(edges, t("supplier").select(words("C", F.col("s_suppkey")).alias("name"))).groupBy("parent").agg(F.count(F.lit(1)).alias("n"))
 
 

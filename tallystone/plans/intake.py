@@ -32,9 +32,10 @@ def q107_file_routes(t):
     return t("orders").select(k.alias("k"), files.route(path, page, k % 5, k % 2).alias("route"), files.workbook_role(path, sheets).alias("role"))
 
 
-@query("select source, avg(length(trim(substr(text, 1, cast(20 + doc_id % 60 as int))))) < 50 as scanned from documents group by 1")
+@query("select conv_id, avg(length(trim(coalesce(text, '')))) < 50 as scanned from conversations group by 1")
 def q108_scanned_documents(t):
-    return files.scanned_documents(t("documents").select("source", F.expr("substring(text, 1, int(20 + doc_id % 60))").alias("page")), "source", "page")
+    """Conversations as documents, a page a turn, whole texts."""
+    return files.scanned_documents(t("conversations"), "conv_id", "text")
 
 
 @query("""

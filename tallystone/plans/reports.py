@@ -114,11 +114,12 @@ def q94_equity_balances(t):
     return gates.equity_balances(rows, "l_orderkey", "item", "v", "l_linenumber")
 
 
-@query("select p_partkey, s_suppkey, s_name from part join supplier on s_suppkey in (p_partkey % 97, p_partkey % 89 + 1) ")
+@query("select distinct l_orderkey, o_orderkey, o_orderstatus from (select l_orderkey, unnest([l_orderkey, l_partkey, l_suppkey]) as o_orderkey from lineitem) join orders using (o_orderkey)")
 def q95_mapped_tables(t):
-    k = F.col("p_partkey")
-    notes = t("part").select(k, F.array_distinct(F.array((k % 97).cast("long"), (k % 89 + 1).cast("long"))).alias("table_ids"))
-    return gates.mapped_tables(notes, t("supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name"), "table_ids", "s_suppkey")
+    """Notes that name the tables of an order, and of what is numbered as its parts and suppliers."""
+    ids = F.array(*[F.col(c).cast("long") for c in ("l_orderkey", "l_partkey", "l_suppkey")])
+    notes = t("lineitem").select("l_orderkey", F.explode(ids).alias("i")).distinct().groupBy("l_orderkey").agg(F.collect_list("i").alias("table_ids"))
+    return gates.mapped_tables(notes, t("orders").select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderstatus"), "table_ids", "o_orderkey")
 
 
 @query(TABLES + """
