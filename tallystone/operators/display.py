@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallystone.operators.gates import has_any
@@ -151,6 +151,19 @@ def key_findings(text: Column, most: int = 3) -> Column:
     return F.slice(F.when(F.size(heads) > 0, heads).when(F.size(bold) > 0, bold).otherwise(short), 1, most)
 
 
+#: Words by which texts contradict each other, with what follows them.
+CONTRADICTION = r"(?:矛盾|相反|但实际上|然而.*?不同|争议).{0,100}"
+
+
+def contradictions(files: DataFrame, topic: str, order: str, name: str, text: str, most: int = 5, width: int = 80) -> DataFrame:
+    """(topic, places): the first places in a topic's files, in their order, that speak of a contradiction, with the file's name."""
+    found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(CONTRADICTION), 0)
+    shown = F.transform(found, lambda m: F.concat(F.coalesce(F.col(name), F.lit("")), F.lit(": "), F.substring(m, 1, width)))
+    rows = files.select(topic, F.col(order).alias("__o"), F.slice(shown, 1, most).alias("__s")).where(F.size("__s") > 0)
+    listed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("__o", "__s"))), lambda x: x["__s"]))
+    return rows.groupBy(topic).agg(F.slice(listed, 1, most).alias("places"))
+
+
 def fenced_json(text: Column, schema: str) -> Column:
     """A model's answer as a struct: what stands inside a fence, or all of it; null where it is no JSON of the schema."""
     inside = F.regexp_extract(text, r"(?s)```(?:json)?(.*?)(?:```|$)", 1)

@@ -6,6 +6,7 @@ a class before it meets its members, so no layer lists all pairs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallystone.functions import numbers, text
 from tallystone.operators import linkage
+from tallystone.session import shared_path
 
 HIGH, MEDIUM, LOW = 3, 2, 1
 #: Words of addresses in residential buildings.
@@ -133,3 +135,52 @@ def intangibles(marks: DataFrame, generic: DataFrame) -> DataFrame:
     """Links by shared trademarks, software and accounts; generic labels are left out."""
     return linked(marks.join(generic.select("value"), "value", "left_anti"))
 
+
+#: Roles of people in a company; the executives' ones make a shared person a HIGH link.
+EXECUTIVES, LEGAL = ["core_team", "main_person"], "legal_person"
+
+
+def shared_people(people: DataFrame, excluded: DataFrame) -> DataFrame:
+    """Links by people that two companies share, from (entity, value, role): class id, n_links, dimension and level.
+
+    A shared legal person, the same in both, is HIGH and no shared person besides.
+    Any other shared person is HIGH where either company has it as an executive,
+    else MEDIUM; an entity has a row for each level. Names on the list of public
+    bodies and persons and names of one character are none. Names are counted by
+    kind before they meet their companies, so no pairs are made.
+    """
+    marks = people.select("entity", F.trim("value").alias("value"), "role").where(F.length("value") >= 2).join(excluded.select("value"), "value", "left_anti")
+    one = marks.groupBy("entity", "value").agg(F.max(F.col("role").isin(EXECUTIVES)).alias("x"), F.max(F.col("role") == LEGAL).alias("l"))
+    n = lambda c: F.sum(c.cast("long"))
+    x, l = F.col("x"), F.col("l")
+    sizes = one.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("entity").alias("class_id"), n(l).alias("n_l"), n(x).alias("n_x"), n(x & ~l).alias("n_xo"), n(~l).alias("n_o")).where("n > 1")
+    both = one.join(sizes, "value")
+    # Partners that count: all others, but for a legal person those only that have it in another role.
+    partners = F.when(l, F.col("n_o")).otherwise(F.col("n") - 1)
+    high = F.when(x, partners).when(l, F.col("n_xo")).otherwise(F.col("n_x"))
+    found = F.array(
+        F.struct(F.lit("legal_person").alias("dimension"), F.lit(HIGH).alias("level"), F.when(l, F.col("n_l") - 1).otherwise(0).alias("n_links")),
+        F.struct(F.lit("person").alias("dimension"), F.lit(HIGH).alias("level"), high.alias("n_links")),
+        F.struct(F.lit("person").alias("dimension"), F.lit(MEDIUM).alias("level"), (partners - high).alias("n_links")),
+    )
+    return both.select("entity", "value", "class_id", F.explode(found).alias("f")).select("entity", "value", "class_id", "f.*").where("n_links > 0")
+
+
+def isolated(rules: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, dict[str, str]]:
+    """(the rules' rows with their ``rule``, the error of each rule that failed): one rule's failure leaves the others.
+
+    Every rule is run and kept in the shared folder, so that what fails while
+    rows are made is known before the union; rules may have different columns.
+    """
+    out, errors = None, {}
+    for name, rule in rules.items():
+        try:
+            rows = rule().withColumn("rule", F.lit(name))
+            path = shared_path(rows.sparkSession, "rule")
+            rows.write.parquet(path)
+            kept = rows.sparkSession.read.schema(rows.schema).parquet(path)
+        except Exception as e:  # noqa: BLE001 - whatever a rule raises is its own failure
+            errors[name] = str(e).splitlines()[0]
+            continue
+        out = kept if out is None else out.unionByName(kept, allowMissingColumns=True)
+    return out, errors

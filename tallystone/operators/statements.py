@@ -68,6 +68,11 @@ def last_unless_zero(rows: DataFrame, keys: list[str], order: str, value: str) -
     return rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.max_by(value, F.struct(F.col(value) != 0, F.col(order))).alias(value))
 
 
+def first_filled(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """One value for each key: the first in order that is neither null nor a blank or a dash."""
+    return rows.where(F.col(value).isNotNull() & ~F.col(value).isin("", "-", "—")).groupBy(*keys).agg(F.min_by(value, order).alias(value))
+
+
 def matrix_statement(current: DataFrame, prior: DataFrame, item: str, order: str, value: str) -> DataFrame:
     """(item, current, prior) of two sheets: the first row of an item counts, absent values are empty text."""
     first = lambda rows, name: rows.groupBy(item).agg(F.min_by(F.col(value).cast("string"), order).alias(name))

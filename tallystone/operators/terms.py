@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallystone.functions.automaton import Automaton
-from tallystone.functions.text import BLANK
+from tallystone.functions.text import BLANK, join_broken_cjk
 
 #: Bytes of terms handed to the tasks at once, bytes of text run at once, rows that leave a task at once.
 ROUND_BYTES, SLICE_BYTES, OUT_ROWS = 32 << 20, 2 << 20, 50_000
@@ -29,6 +29,18 @@ TYPOS = {
 }
 #: Whole words that a wrong one may be cut from; a text that has one has no such typo.
 WHOLE_WORDS = ["利润表", "审计报告", "资产负债表", "现金流量表", "财务报表", "会计师事务所", "特殊普通合伙", "财务报告", "所有者权益", "先进先出"]
+#: Terms of the trade, which no finding of a wrong word is about.
+AUDIT_TERMS = [
+    "金融机构", "所得税", "决策", "所有者权益", "非经常性损益", "关联方", "合并报表", "资产负债", "现金流量", "营业收入", "营业成本", "应收账款", "固定资产", "无形资产",
+    "长期股权投资", "应付账款", "存货", "资本公积", "盈余公积", "未分配利润", "递延所得税", "公允价值", "减值准备", "坏账准备", "累计折旧", "累计摊销", "应付职工薪酬", "应收票据",
+    "其他应收款", "其他应付款", "预付账款", "预收账款", "投资性房地产", "在建工程", "长期待摊费用", "短期借款", "长期借款", "应付债券", "股本", "实收资本", "专项储备",
+    "其他综合收益", "营业利润", "利润总额", "净利润", "每股收益", "基本每股收益", "稀释每股收益", "归属于母公司所有者的净利润", "少数股东损益", "经营活动", "投资活动", "筹资活动",
+    "现金及现金等价物净增加额", "期初现金及现金等价物余额", "期末现金及现金等价物余额", "流动资产", "非流动资产", "流动负债", "非流动负债", "资产总计", "负债合计", "所有者权益合计",
+    "负债和所有者权益总计", "一年内到期的", "长期应收款", "长期应付款", "预计负债", "递延收益", "递延所得税资产", "递延所得税负债", "应付股利", "应交税费", "其他流动资产", "其他非流动资产",
+    "交易性金融资产", "债权投资", "其他债权投资", "投资收益", "资产处置收益", "其他收益", "营业外收入", "营业外支出", "所得税费用", "持续经营净利润", "终止经营净利润", "综合收益总额",
+    "归属于母公司", "少数股东权益", "财务费用", "销售费用", "管理费用", "研发费用", "税金及附加", "信用减值损失", "资产减值损失", "净敞口套期收益", "其他权益工具投资", "合同资产",
+    "合同负债", "合同取得成本", "合同履约成本", "应收款项融资",
+]
 #: What parts a table's name and its labels, so that no term reaches over two of them.
 PART = "\x1f"
 
@@ -168,3 +180,9 @@ def typos(documents: DataFrame, key: str, text: str, words: dict[str, str] = TYP
     start = F.greatest(F.col("start") - around, F.lit(0))
     context = F.substring(F.col("__bare"), start + 1, F.col("start") - start + F.length("term") + around)
     return hits.select(key, F.col("term").alias("typo"), F.try_element_at(fix, F.col("term")).alias("suggestion"), context.alias("context"), page_of(F.col("__raw"), F.col("term")).alias("page"))
+
+
+def without_terms(findings: DataFrame, original: str = "original", suggestion: str = "suggestion", known: list[str] = AUDIT_TERMS) -> DataFrame:
+    """Findings of wrong words that are no term of the trade: neither the word nor what should stand there is one, blanks between letters aside."""
+    is_term = lambda c: F.coalesce(join_broken_cjk(F.col(c)).isin(known), F.lit(False))
+    return findings.where(~is_term(original) & ~is_term(suggestion))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from tallystone.functions import formulas
-from tallystone.operators import audit, graph, report, retrieval, statements, terms
+from tallystone.operators import audit, display, documents, graph, related, report, retrieval, statements, terms
 from tallystone.plans.registry import query
 from tallystone.plans.reports import TABLES, _tables
 from tallystone.session import shared_path
@@ -249,3 +249,56 @@ def q153_annotation_cache(t):
     cache.write(spark, root, "m", known.where("p_size % 6 = 0"))
     cache.write(spark, root, "m", known.where("p_size % 6 = 3"))
     return cache.missing(rows, cache.read(spark, root, "m")).groupBy("p_size").agg(F.count(F.lit(1)).alias("n_missing"))
+
+
+@query("""
+with p as (select l_orderkey as e, 'P' || l_partkey as v, max(l_suppkey % 4 in (1, 2)) as x, max(l_suppkey % 4 = 0) as l from lineitem where l_partkey not in (select min(l_partkey) from lineitem) group by all),
+m as (select a.e, a.v, a.l and b.l as legal, not (a.l and b.l) and (a.x or b.x) as high, b.e as other from p a join p b on a.v = b.v and a.e <> b.e),
+c as (select v, min(e) as class_id from p group by v)
+select e as entity, v as value, class_id, case when legal then 'legal_person' else 'person' end as dimension, case when legal or high then 3 else 2 end as level, count(*) as n_links from m join c using (v) group by all""")
+def q154_shared_people(t):
+    """Orders as companies that share parts in several roles, tested pair by pair."""
+    role = picked(F.col("l_suppkey") % 4, "legal_person", "core_team", "main_person", "shareholder")
+    people = t("lineitem").select(F.col("l_orderkey").alias("entity"), words("P", F.col("l_partkey")).alias("value"), role.alias("role"))
+    return related.shared_people(people, t("lineitem").agg(words("P", F.min("l_partkey")).alias("value")))
+
+
+@query("select o_custkey, o_orderstatus, arg_min(case when o_orderkey % 5 = 3 then ' ' else o_orderstatus || o_orderkey end, o_orderkey) as value from orders where o_orderkey % 5 > 2 group by all")
+def q155_first_filled(t):
+    value = picked(F.col("o_orderkey") % 5, "", "-", "—", " ", words(F.col("o_orderstatus"), F.col("o_orderkey")))
+    rows = t("orders").withColumn("v", F.when(F.col("o_orderkey") % 5 > 0, value))
+    return statements.first_filled(rows, ["o_custkey", "o_orderstatus"], "o_orderkey", "v").withColumnRenamed("v", "value")
+
+
+@query("select p_partkey from part where p_partkey % 4 in (2, 3)")
+def q156_terms_of_the_trade(t):
+    """Findings whose word is broken by blanks, or whose suggestion is a term, go; longer words that hold one stay."""
+    k = F.col("p_partkey")
+    rows = t("part").select("p_partkey", picked(k % 4, "金融机 构", words("x", k), "现金流理表", words("净利润", k)).alias("original"), picked(k % 4, "金融", "所得 税", words("y", k), "z").alias("suggestion"))
+    return terms.without_terms(rows).select("p_partkey")
+
+
+@query("""
+with c as (select conv_id, turn, role, case when turn % 3 = 0 then '相反' || text when turn % 3 = 1 then text || chr(10) || '争议' || turn else text end as text from conversations),
+f as (select conv_id, turn, role, unnest(list_transform(regexp_extract_all(text, '(?:矛盾|相反|但实际上|然而.*?不同|争议).{0,100}'), lambda m: substr(m, 1, 80))) as m from c)
+select conv_id, array_to_string(list(role || ': ' || m order by turn)[1:5], '|') as places from f group by 1""")
+def q157_contradictions(t):
+    turn = F.col("turn")
+    text = F.when(turn % 3 == 0, F.concat(F.lit("相反"), "text")).when(turn % 3 == 1, F.concat("text", F.lit("\n争议"), turn.cast("string"))).otherwise(F.col("text"))
+    found = display.contradictions(t("conversations").withColumn("text", text), "conv_id", "turn", "role", "text")
+    return found.select("conv_id", F.array_join("places", "|").alias("places"))
+
+
+@query("""
+with c as (select c_custkey as k from customer)
+select k, k % 5 >= 3 as has_models, k % 2 = 1 as has_limits, k % 3 = 0 as has_style, k % 7 < 3 as has_boundary, k % 11 < 5 as has_tension, k % 4 < 2 as mostly_primary,
+ (k % 5 >= 3)::int + (k % 2 = 1)::int + (k % 3 = 0)::int + (k % 7 < 3)::int + (k % 11 < 5)::int + (k % 4 < 2)::int as gates_passed from c""")
+def q158_profile_gates(t):
+    k = F.col("c_custkey")
+    part = lambda on, text: F.when(on, F.lit(text)).otherwise("")
+    models = F.concat(*[part(k % 5 >= i, f"### 模型{i}\n") for i in range(1, 5)])
+    text = F.concat(
+        models, part(k % 2 == 1, "局限\n"), part(k % 3 == 0, "## 表达DNA\n句式 词汇 语气\n"), F.lit("## 诚实边界\n"), part(k % 7 < 3, "- a\n- b\n- c\n"), F.lit("## 来源\n"), part(k % 4 < 2, "一手 一手 二手\n"), part(k % 4 >= 2, "二手 一手 二手\n"),
+        part(k % 11 < 5, "## 其他\n张力 矛盾"),
+    )
+    return documents.persona_gates(t("customer").select(k.alias("k"), text.alias("text")), "text").drop("text")

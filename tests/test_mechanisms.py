@@ -165,3 +165,35 @@ def test_amounts_as_the_calculator_reads_them(spark):
     cells = {"": None, "-": None, "_": None, "100元": 100.0, "(1,5)": -15.0, "（5）": 5.0, "2万": 2.0, "x": None, "12%": 12.0, "3.": 3.0, "(－)": None}
     got = spark.createDataFrame([(k,) for k in cells], "t string").select("t", numbers.table_number(F.col("t")).alias("v")).collect()
     assert {r["t"]: r["v"] for r in got} == cells
+
+
+def test_people_shared_in_several_roles(spark):
+    from tallystone.operators import related
+
+    data = [(1, "王五", "legal_person"), (2, "王五", "legal_person"), (3, "王五", "shareholder"), (1, "李四", "shareholder"), (2, "李四", "shareholder"), (3, "李四", "core_team"), (1, "公", "legal_person"), (2, "公", "legal_person"), (1, "财政部", "controller"), (2, "财政部", "controller"), (4, "赵六", "main_person")]
+    excluded = spark.createDataFrame([("财政部",)], "value string")
+    got = related.shared_people(spark.createDataFrame(data, "entity int, value string, role string"), excluded)
+    want = [(1, "王五", 1, "legal_person", 3, 1), (2, "王五", 1, "legal_person", 3, 1), (1, "王五", 1, "person", 2, 1), (2, "王五", 1, "person", 2, 1), (3, "王五", 1, "person", 2, 2)]
+    want += [(1, "李四", 1, "person", 3, 1), (1, "李四", 1, "person", 2, 1), (2, "李四", 1, "person", 3, 1), (2, "李四", 1, "person", 2, 1), (3, "李四", 1, "person", 3, 2)]
+    assert rows(got.select("entity", "value", "class_id", "dimension", "level", "n_links")) == sorted(want, key=str)
+
+
+def test_a_rule_that_fails_leaves_the_others(spark):
+    from tallystone.operators import related
+
+    good = spark.createDataFrame([(1, "x")], "entity int, value string")
+
+    def broken():
+        raise KeyError("no column")
+
+    found, errors = related.isolated({"a": lambda: good, "b": broken, "c": lambda: good.withColumn("value", F.raise_error(F.lit("stop")).cast("string")), "d": lambda: good.select("entity", F.lit(3).alias("level")), "e": lambda: good.select("nothing")})
+    assert rows(found.select("entity", "value", "level", "rule")) == sorted([(1, "x", None, "a"), (1, None, 3, "d")], key=str)
+    assert set(errors) == {"b", "c", "e"}
+    assert related.isolated({"b": broken})[0] is None
+
+
+def test_terms_are_no_wrong_words(spark):
+    data = [(1, "金融机 构", "x"), (2, "x", "所得税"), (3, "现金流理表", "现金流量表"), (4, None, None)]
+    got = terms.without_terms(spark.createDataFrame(data, "k int, original string, suggestion string"))
+    assert [r.k for r in got.orderBy("k").collect()] == [3, 4]
+    assert len(set(terms.AUDIT_TERMS)) == len(terms.AUDIT_TERMS)
