@@ -1,8 +1,9 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-A text's UTF-8 bytes become channels: byte classes and an echo channel (the byte
-ends a stretch of at least six bytes that repeats what stood 2 to 24 bytes
-before). Learned filters of 8 bytes slide over them with a stride of 4 and pass
+A text's UTF-8 bytes become vectors: every byte value has a learned embedding, which
+training starts from the byte's class and moves by gradients like any weight, and
+an echo channel tells that the byte ends a stretch of at least six bytes that
+repeats what stood 2 to 24 bytes before. Learned filters of 8 bytes slide over them with a stride of 4 and pass
 a rectifier. Chunks of 256 bytes overlap by half and cover the whole text; each
 chunk max-pools every filter. A text's vector is the maximum and the mean of its
 chunks' pooled values, and a logistic unit combines it into one probability.
@@ -32,7 +33,7 @@ GUARD = 32  # zero bytes between texts: more than an echo's reach of 24 + 5 and
 #: Bound of the fitted sample: rows of each label, and characters of a row.
 PER_CLASS, MAX_CHARS = 1200, 12_000
 THRESHOLD = 0.3
-#: Byte classes: each is one input channel of the filters.
+#: Byte classes: where the embeddings start, each class a component; byte values of a class part in training.
 CLASSES = (b"abcdefghijklmnopqrstuvwxyz", b"aeiou", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n\r\t", b"|", b"#*$%&<>", b".,;:!?", b"@/\\_=+~^`", b"()[]{}\"'-", bytes(range(128, 256)), bytes(1))
 CHANNELS = len(CLASSES) + 1
 
@@ -85,13 +86,14 @@ def chunk_starts(halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
+    embeddings: np.ndarray  # (256, CHANNELS - 1)
     filters: np.ndarray  # (WIDTH, CHANNELS, FILTERS)
     shift: np.ndarray
     weights: np.ndarray  # maxima, then means
     bias: float
 
     def scorer(self):
-        per_byte = np.stack([class_table() @ self.filters[j, :-1] for j in range(WIDTH)]).astype(np.float32)
+        per_byte = np.stack([self.embeddings @ self.filters[j, :-1] for j in range(WIDTH)]).astype(np.float32)
         # Tables of byte pairs halve the lookups: (WIDTH / 2, 65536, FILTERS), a fixed size.
         pairs = np.stack([(per_byte[j][:, None, :] + per_byte[j + 1][None, :, :]).reshape(65536, FILTERS) for j in range(0, WIDTH, 2)])
         for_echo = self.filters[:, -1, :].astype(np.float32)
@@ -135,17 +137,18 @@ def fit(texts: list[str], y: np.ndarray, rate: float = 0.86, epochs: int = 10, s
     """
     rng = np.random.default_rng(seed)
     filters = rng.normal(0, 0.3, (WIDTH * CHANNELS, FILTERS))
-    p = {"f": filters, "s": np.zeros(FILTERS), "w": rng.normal(0, 0.2, 2 * FILTERS), "b": np.zeros(1)}
+    table = class_table().astype(np.float64)
+    p = {"e": table + rng.normal(0, 0.05, table.shape) * (np.arange(256) > 0)[:, None], "f": filters, "s": np.zeros(FILTERS), "w": rng.normal(0, 0.2, 2 * FILTERS), "b": np.zeros(1)}
     if len(set(y.tolist())) < 2:
-        return Model(np.zeros((WIDTH, CHANNELS, FILTERS)), p["s"], np.zeros(2 * FILTERS), 30.0 if not len(y) or y[0] else -30.0)
+        return Model(table, np.zeros((WIDTH, CHANNELS, FILTERS)), p["s"], np.zeros(2 * FILTERS), 30.0 if not len(y) or y[0] else -30.0)
     mom = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in p.items()}
-    table, steps, t = class_table(), HALF // STRIDE, 0
+    steps, t = HALF // STRIDE, 0
     for _ in range(epochs):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), 64):
             pick = order[at : at + 64]
             data, halves = laid([texts[i] for i in pick])
-            x = np.hstack([table[data], echo(data)[:, None].astype(np.float32)])
+            x = np.hstack([p["e"].astype(np.float32)[data], echo(data)[:, None].astype(np.float32)])
             count = int(halves.sum()) * steps
             view = np.lib.stride_tricks.sliding_window_view(x, WIDTH, 0)[: count * STRIDE : STRIDE].transpose(0, 2, 1)
             flat = view.reshape(count, -1)
@@ -175,6 +178,13 @@ def fit(texts: list[str], y: np.ndarray, rate: float = 0.86, epochs: int = 10, s
             d_half *= act > 0
             g["s"] = d_half.sum(0)
             g["f"] = np.stack([d_half[:, k] @ flat[where[:, k]] for k in range(FILTERS)], 1)
+            # A byte under a pooled filter moves by the filter's weights at its place; equal bytes are added up first.
+            g["e"], by_place = 1e-4 * (p["e"] - table), p["f"].reshape(WIDTH, CHANNELS, FILTERS)
+            for k in range(FILTERS):
+                for j in range(WIDTH):
+                    moved = np.bincount(data[where[:, k] * STRIDE + j], d_half[:, k], 256)
+                    g["e"] += moved[:, None] * by_place[j, :-1, k]
+            g["e"][0] = 0  # the padding stays
             t += 1
             for k in p:
                 m, s = mom[k]
@@ -182,7 +192,7 @@ def fit(texts: list[str], y: np.ndarray, rate: float = 0.86, epochs: int = 10, s
                 s[:] = 0.999 * s + 0.001 * g[k] ** 2
                 p[k] = p[k] - 0.01 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
     prior = np.log(rate / (1 - rate)) - np.log(y.mean() / (1 - y.mean()))
-    return Model(p["f"].reshape(WIDTH, CHANNELS, FILTERS), p["s"], p["w"], float(p["b"][0] + prior))
+    return Model(p["e"], p["f"].reshape(WIDTH, CHANNELS, FILTERS), p["s"], p["w"], float(p["b"][0] + prior))
 
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
