@@ -128,7 +128,7 @@ def by_fingerprints(nodes: DataFrame) -> DataFrame:
     """Candidates (a, b, share) from nodes (id, fp): equal fingerprints, and those that Golay keys bring together."""
     least = saved(nodes.groupBy("fp").agg(F.min("id").alias("head")), "near-fingerprints")
     same = salted_join(nodes.select("fp", "id"), least, "fp", "id").where("head < id").select(F.col("head").alias("a"), F.col("id").alias("b"))
-    linked = simhash.links(least.select("fp"))
+    linked = saved(simhash.links(least.select("fp")), "near-links")
     # A link's second end is its group's smallest fingerprint, which many links may have.
     a = linked.join(least.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a")
     a = salted_join(a, least.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b", "a")
@@ -136,16 +136,11 @@ def by_fingerprints(nodes: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets (id, set) are so similar; a set that many pairs have is spread."""
-    with_b = salted_join(pairs.select("a", "b"), sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b", "a")
-    both = salted_join(with_b, sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a", "b")
+    """The pairs (a, b, others) whose sets (id, set) are so similar; a set that many pairs have is spread."""
+    with_b = salted_join(pairs, sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b", "a")
+    both = salted_join(saved(with_b, "near-half"), sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a", "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
-    return both.where(common >= similarity * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
-
-
-def _named(nodes: DataFrame, group: DataFrame) -> DataFrame:
-    """(id, best, root) of all nodes; one that no link reaches is its own root."""
-    return nodes.select("id", "best").join(group, nodes["id"] == group["node"], "left").select("id", "best", F.coalesce("root", "id").alias("root"))
+    return both.where(common >= similarity * (F.size("set_a") + F.size("set_b") - common)).select(*pairs.columns)
 
 
 def keep_one(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -172,12 +167,18 @@ def keep_one(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     sets = saved(sets.select(F.col(row).alias("id"), "set"), "near-sets")
 
     first = pairs.groupBy("b").agg(F.max_by("a", F.struct("share", -F.col("a"))).alias("a")).select("a", "b")
-    held = saved(verified(first, sets, similarity), "near-held")
-    named = _named(nodes, roots(held))
+    group = saved(roots(saved(verified(first, sets, similarity), "near-held")), "near-groups")
+    # Candidates that still lie between two groups: only the nodes that have one are looked up.
+    inside = saved(sets.select("id").join(group, sets["id"] == group["node"], "left").select("id", F.coalesce("root", "id").alias("root")), "near-inside")
     other = pairs.join(first, ["a", "b"], "left_anti").select("a", "b")
     for side, by in (("a", "b"), ("b", "a")):
-        other = salted_join(other, named.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}")), side, by)
-    apart = other.where("root_a <> root_b").select("a", "b")
-    named = _named(nodes, roots(held.unionByName(verified(apart, sets, similarity))))
+        other = saved(salted_join(other, inside.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}")), side, by), "near-other")
+    apart = other.where("root_a <> root_b")
+    bridges = saved(verified(apart, sets, similarity).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "near-bridges")
+    if bridges.limit(1).count():
+        above = roots(bridges)
+        group = group.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(above).groupBy("node").agg(F.min("root").alias("root"))
+
+    named = nodes.select("id", "best").join(group, nodes["id"] == group["node"], "left").select("best", F.coalesce("root", "id").alias("root"))
     kept = named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
     return marked.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in documents.columns])
