@@ -190,16 +190,21 @@ def unit_scores(units: DataFrame, index: DataFrame, sizes: DataFrame, threshold:
     return scored.groupBy(*key).agg(F.max("n").alias("n"), F.max("best").alias("best")).where(F.col("best.score") >= threshold).select("__row", "n", "best")
 
 
-def windows(words: Column, length: Column) -> Column:
-    """Runs of ``length`` words, a quarter of it apart, the last of them at the end; the whole where it is shorter."""
+def windows(words: Column, length: Column, telling: Column) -> Column:
+    """Runs of ``length`` words, a quarter of it apart, that hold a telling word; the whole where it is shorter."""
     last = F.greatest(F.size(words) - length, F.lit(0))
     step = F.greatest(F.floor(length / STEPS).cast("int"), F.lit(1))
-    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, step), F.array(last)))
+    hits = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(telling, w), i)), lambda i: i.isNotNull())
+    around = F.flatten(F.transform(hits, lambda i: F.transform(F.sequence(F.lit(0), F.lit(STEPS)), lambda k: F.least(F.greatest((F.floor(i / step).cast("int") - k) * step, F.lit(0)), last))))
+    starts = F.filter(F.array_distinct(F.concat(around, F.transform(F.slice(hits, F.size(hits), 1), lambda i: last))), lambda at: F.exists(hits, lambda i: (i >= at) & (i < at + length)))
     return F.transform(starts, lambda at: F.slice(words, at + 1, length))
 
 
-def file_scores(documents: DataFrame, text: str, texts: dict[str, str], headers: dict[str, str], notices: dict[str, str], threshold: float, frequencies: DataFrame, total: int, place: int) -> DataFrame:
-    """(__row, n, best) of whole texts and of windows at the threshold; a window's n is 0; needs ``__row``."""
+def file_scores(documents: DataFrame, text: str, texts: dict[str, str], headers: dict[str, str], notices: dict[str, str], settled: DataFrame, threshold: float, frequencies: DataFrame, total: int, place: int) -> DataFrame:
+    """(__row, n, best) of whole texts and of windows at the threshold; a window's n is 0; needs ``__row``.
+
+    Rows that are ``settled`` have a line that no window can score above.
+    """
     spark, counts = documents.sparkSession, (frequencies, total)
     lengths = {name: sum(tf.values()) for name, tf in template_words(texts).items()}
     heads = {f"header {name}": t for name, t in headers.items()} | {f"notice {name}": t for name, t in notices.items()} | {f"part {name}": t for name, t in texts.items() if lengths[name] <= WINDOW_WORDS}
@@ -211,10 +216,15 @@ def file_scores(documents: DataFrame, text: str, texts: dict[str, str], headers:
     files = unit_scores(whole, *of(False), threshold, *counts, "licence-file-terms")
     files = saved(files, "licence-whole")  # a licence's own text quotes its header
 
-    long = F.create_map(*[F.lit(x) for name, tf in template_words(heads).items() for x in (name, sum(tf.values()))]) if heads else F.lit(None)
-    wanted = found.where("head").join(files.select("__row"), "__row", "left_anti").groupBy("__row").agg(F.collect_list(F.struct("i", "name")).alias("__heads"))  # as many as there are templates at most
-    parts = documents.select("__row", F.col(text).alias("__t")).join(wanted, "__row").withColumn("words", words_of(F.col("__t"))).select("__row", "words", F.explode("__heads").alias("h"))
-    parts = parts.select("__row", F.col("h.i").alias("i"), F.posexplode(windows(F.col("words"), long[F.col("h.name")])).alias("__line", "words"))
+    of_head = template_words(heads)
+    idf = idf_of(frequencies, total, of_head)
+    # Of a window at the threshold one word at least is among a template's heaviest.
+    told = [{"name": name, "length": sum(tf.values()), "telling": prefix_words({name: tf}, idf, threshold)} for name, tf in of_head.items()]
+    told = table_of(spark, told, "name:string,length:int,telling:array<string>")
+    wanted = found.where("head").join(files.select("__row"), "__row", "left_anti").join(settled, "__row", "left_anti").join(told, "name")
+    wanted = wanted.groupBy("__row").agg(F.collect_list(F.struct("i", "length", "telling")).alias("__heads"))  # as many as there are templates at most
+    parts = documents.select("__row", F.col(text).alias("__t")).join(saved(wanted, "licence-wanted"), "__row").withColumn("words", words_of(F.col("__t"))).select("__row", "words", F.explode("__heads").alias("h"))
+    parts = parts.select("__row", F.col("h.i").alias("i"), F.posexplode(windows(F.col("words"), F.col("h.length"), F.col("h.telling"))).alias("__line", "words"))
     near = unit_scores(parts, *of(True), threshold, *counts, "licence-header-terms").withColumn("n", F.lit(0).cast("long"))
     plain = F.struct("best.score", "best.place", F.regexp_replace("best.name", "^(header|notice|part) ", "").alias("name")).alias("best")
     return files.unionByName(near).select("__row", "n", plain)
@@ -253,7 +263,7 @@ def scan(documents: DataFrame, path: str = "path", text: str = "text", templates
     counts = saved(document_frequencies(base, text), "licence-frequencies"), base.count()
     lines = saved(line_scores(base, text, notices, threshold, *counts).select("__row", "n", "best"), "licence-lines")
     if texts or headers:
-        found = file_scores(base, text, texts, headers, notices, threshold, *counts, -len(notices))
+        found = file_scores(base, text, texts, headers, notices, lines.where("best.score >= 1").select("__row").distinct(), threshold, *counts, -len(notices))
         lines = lines.unionByName(saved(found, "licence-files"))
     tag = F.struct(F.lit(1.0).alias("score"), F.lit(1).alias("place"), expression(F.col(text)).alias("name"))
     # Saved, so that the join below sees how few rows match and does not move the texts.
