@@ -4,8 +4,8 @@
 ``register(spark)``, for rows (name, content) with content as binary or text. Every
 task writes into a folder of its own under ``_pending``; the commit moves the tasks'
 folders into place, the driver handling one name a task. Task attempts that failed
-or came second are never moved; an abort removes what was written. Names may hold
-folders; two rows with one name both stay, in their tasks' folders.
+or came second are never moved; an abort removes what was written, and what a task
+that is stopped late still writes stays hidden. Names may hold folders; two rows with one name both stay, in their tasks' folders.
 """
 
 from __future__ import annotations
