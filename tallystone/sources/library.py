@@ -1,6 +1,6 @@
 """A data source of documents: text of md, txt and docx files below a folder, one row a file.
 
-``spark.read.format("documents").load(folder)`` after ``register(spark)``. Files
+``spark.read.format("documents").load(folder)``, registered as ``read_documents`` does. Files
 are dealt into partitions of about ``partition_bytes``, in order of their paths; a
 larger file is a partition of its own. Filters on the extension, the path and the
 length are applied to the list of files, so that files they drop are never opened
