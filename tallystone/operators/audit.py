@@ -146,6 +146,8 @@ def broken_cells(cells: DataFrame, breaks: DataFrame, table: str, row: str, colu
 
     Where just one row and one column break, and by the same amount under the
     signs of their crossing cell, that cell is it. Other matrices have no row.
+    Both sides grow with the matrices, and plans take exploded cells for smaller
+    than they are, so the join is merged, not broadcast.
     """
     pick = lambda axis, c: F.max(F.when(F.col("axis") == axis, F.col(c)))
     n = lambda axis: F.sum((F.col("axis") == axis).cast("int"))
@@ -153,7 +155,7 @@ def broken_cells(cells: DataFrame, breaks: DataFrame, table: str, row: str, colu
     places = cells.select(table, F.col(row).cast("string").alias("__row"), F.col(column).cast("string").alias("__column"), F.col(row_kind).alias("__rk"), F.col(column_kind).alias("__ck"))
     off_row = F.when(F.col("__ck") == "total", F.col("__dr")).otherwise(-F.col("__dr"))
     off_column = F.when(F.col("__rk") == "closing", F.col("__dc")).otherwise(-F.col("__dc"))
-    found = one.join(places, [table, "__row", "__column"]).where(F.abs(off_row - off_column) <= TOLERANCE)
+    found = one.hint("merge").join(places, [table, "__row", "__column"]).where(F.abs(off_row - off_column) <= TOLERANCE)
     return found.select(table, F.col("__row").alias(row), F.col("__column").alias(column), F.round(off_row, 4).alias("off"))
 
 
