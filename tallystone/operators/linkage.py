@@ -36,12 +36,15 @@ def adjacent(entities: DataFrame, key: str, number: str) -> DataFrame:
 def prefixes(entities: DataFrame, key: str, name: str, least: int = 8) -> DataFrame:
     """Names that begin with another, shorter one of ``least`` characters or more.
 
-    Every prefix of a name is looked up among the names by equality.
+    Every prefix of a name that is as long as some name is looked up among the names
+    by equality. Names are as many as the entities, so they are merged, not broadcast.
     """
     rows = entities.where(F.length(name) >= least).select(F.col(key).alias("entity"), F.col(name).alias("name"))
     stems = rows.groupBy(F.col("name").alias("stem")).agg(F.min("entity").alias("class_id"))
-    cuts = rows.select("entity", F.explode(F.expr(f"transform(sequence({least}, length(name)), n -> substring(name, 1, n))")).alias("stem"), "name")
-    found = cuts.join(stems, "stem").where(F.length("stem") < F.length("name"))
+    lengths = rows.agg(F.collect_set(F.length("name"))).scalar()  # one row
+    shorter = F.filter("__lengths", lambda n: n < F.length("name"))
+    cuts = rows.withColumn("__lengths", lengths).select("entity", F.explode(F.transform(shorter, lambda n: F.substring(F.col("name"), F.lit(1), n))).alias("stem"))
+    found = cuts.join(stems.hint("merge"), "stem")
     return found.groupBy("entity").agg(F.count(F.lit(1)).alias("n_prefixes"), F.min_by("class_id", F.length("stem")).alias("class_id"))
 
 
