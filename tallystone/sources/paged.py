@@ -2,7 +2,8 @@
 
 A page is an object ``{"total": n, "rows": [...]}``; ``FolderPages`` reads pages as
 files ``page-<n>.json`` of a folder, and another service is another ``fetch``. In a
-batch every page is a partition. A filter on the date that asks for what is not
+batch a partition is a page or, of many, a run of pages, whose places the driver
+finds once. A filter on the date that asks for what is not
 older than a day is turned into the last page to read, found by looking at the
 newest rows of log2(pages) pages; pages behind it are never read. As a stream, the
 offset is the number of records listed so far: as new ones come first, what is
@@ -14,7 +15,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,8 @@ from tallystone.sources.folders import content, files_below, opened
 #: Rows of a list, as text; whoever reads them casts.
 SCHEMA = "id string, title string, date string, status string"
 MAX_PAGES = 1_000_000
+#: Partitions at most; of more pages, a partition is a run.
+PARTITIONS = 400
 
 
 class FolderPages:
@@ -36,6 +39,11 @@ class FolderPages:
         self.path = options["path"].rstrip("/")
         self.places: dict[str, str] = {}
 
+    def found(self) -> dict[str, str]:
+        """Places of all pages by their names."""
+        before = opened(self.path)[2]
+        return {f.path.rsplit("/", 1)[-1]: before + f.path for f in files_below(self.path, (".json",))}
+
     def fetch(self, page: int) -> dict:
         name = f"page-{page}.json"
         try:
@@ -43,8 +51,7 @@ class FolderPages:
                 return json.loads(content(f"{self.path}/{name}"))
             except FileNotFoundError:
                 if not self.places:
-                    before = opened(self.path)[2]
-                    self.places = {f.path.rsplit("/", 1)[-1]: before + f.path for f in files_below(self.path, (".json",))}
+                    self.places = self.found()
                 if name not in self.places:
                     raise
                 return json.loads(content(self.places[name]))
@@ -56,7 +63,11 @@ class FolderPages:
 
 @dataclass
 class Page(InputPartition):
+    """A page, or a run of pages up to the last one, and where they are, if the driver had to look for them."""
+
     number: int
+    last: int
+    places: dict[str, str] = field(default_factory=dict)
 
 
 @dataclass
@@ -108,15 +119,20 @@ class PageReader(DataSourceReader):
         n = min(self.cap, math.ceil(first["total"] / size)) if size else 0
         if self.since is not None:
             n = last_page(self.pages, n, self.since)
-        return [Page(i) for i in range(1, n + 1)] or [Page(0)]
+        step = max(1, math.ceil(n / PARTITIONS))
+        places, self.pages.places = getattr(self.pages, "places", {}), {}
+        held = lambda a, b: {k: places[k] for k in (f"page-{i}.json" for i in range(a, b + 1)) if k in places}
+        runs = [(a, min(n, a + step - 1)) for a in range(1, n + 1, step)]
+        return [Page(a, b, held(a, b)) for a, b in runs] or [Page(1, 0)]
 
     def read(self, partition: Page) -> Iterator[pa.RecordBatch]:
-        if partition.number:
-            yield batch_of(self.pages.fetch(partition.number)["rows"], self.names)
+        self.pages.places = dict(partition.places)
+        for page in range(partition.number, partition.last + 1):
+            yield batch_of(self.pages.fetch(page)["rows"], self.names)
 
 
 class PageStream(DataSourceStreamReader):
-    """Offsets are numbers of records listed; a partition is a page's worth of records, found anew when it is read."""
+    """Offsets are numbers of records listed; a partition is a page's worth of records or, of many, several pages', found anew when it is read."""
 
     def __init__(self, pages: FolderPages, schema: StructType):
         self.pages, self.names = pages, schema.fieldNames()
@@ -129,6 +145,7 @@ class PageStream(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         size = max(1, len(self.pages.fetch(1)["rows"]))
+        size *= max(1, math.ceil((end["n"] - start["n"]) / size / PARTITIONS))
         return [Span(a, min(a + size, end["n"])) for a in range(start["n"], end["n"], size)] or [Span(0, 0)]
 
     def read(self, partition: Span) -> Iterator[tuple]:
