@@ -229,8 +229,10 @@ def tables_by_reference(references: DataFrame, tables: DataFrame, report: str, r
     nothing else. Others mean the first table whose name holds them or is held in
     them (``name``); what is left means the first table whose first ``sample`` rows
     have the first three words of a statement that holds the reference or is held
-    in it (``words``). Each stage works on what the one before left; names and
-    words are found by automata, so no reference meets every table.
+    in it (``words``). Each stage works on what the one before left. Names and
+    references of a report meet by equality of what may be held, words are found by
+    an automaton, so no reference meets every table. All of them may be as many as
+    the tables, so none is sent to the driver or broadcast.
     """
     from tallystone.operators import terms
 
@@ -238,21 +240,21 @@ def tables_by_reference(references: DataFrame, tables: DataFrame, report: str, r
     known = tables.select(report, F.col(table).alias("__table"), F.col(order).alias("__order"), F.coalesce(F.col(name), F.lit("")).alias("__name"), F.col(rows).alias("__rows"))
     numbers, texts = asked.where(F.col("__ref").rlike(r"^\d+$")), asked.where(~F.col("__ref").rlike(r"^\d+$"))
     first = lambda found: found.groupBy(report, "__ref").agg(F.min_by("__table", "__order").alias("__table"))
-    by_id = first(known.withColumn("__ref", F.col("__table").cast("string")).join(numbers, [report, "__ref"]))
+    by_id = first(known.withColumn("__ref", F.col("__table").cast("string")).join(numbers.hint("merge"), [report, "__ref"]))
 
-    # A reference in a name, and a name in a reference: one join each, on equality.
-    in_names = terms.contained(known, [report, "__table", "__order"], "__name", texts.select("__ref"), "__ref").select(report, "__ref", "__table", "__order").join(texts, [report, "__ref"])
-    in_texts = terms.contained(texts, [report, "__ref"], "__ref", known.select("__name"), "__name").select(report, "__ref", "__name").join(known.select(report, "__name", "__table", "__order"), [report, "__name"])
-    by_name = first(in_names.unionByName(in_texts.select(in_names.columns)))
+    # A reference in a name, and a name in a reference. Of the tables of one name the first one counts.
+    named = known.where("__name <> ''").groupBy(report, "__name").agg(F.min_by("__table", "__order").alias("__table"), F.min("__order").alias("__order"))
+    pairs = [terms.contained_within(named, texts, report, "__name", "__ref"), terms.contained_within(texts, named, report, "__ref", "__name")]
+    by_name = first(pairs[0].unionByName(pairs[1]).join(named.hint("merge"), [report, "__name"]))
 
-    left = texts.join(by_name.select(report, "__ref"), [report, "__ref"], "left_anti")
+    left = texts.join(by_name.select(report, "__ref").hint("merge"), [report, "__ref"], "left_anti")
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.array(*[F.lit(w) for w in words]).alias("words")) for k, words in TELLING_WORDS.items()])
     meant = left.select(report, "__ref", F.explode(kinds).alias("__k")).where(F.contains(F.col("__k.kind"), F.col("__ref")) | F.contains(F.col("__ref"), F.col("__k.kind")))
     text = F.array_join(F.transform(F.slice(F.coalesce("__rows", F.array().cast("array<array<string>>")), 1, sample), lambda r: F.array_join(r, " ")), " ")
     held = terms.contained(known.withColumn("__text", text), [report, "__table", "__order"], "__text", sorted({w for ws in TELLING_WORDS.values() for w in ws}), "__word")
     per_table = held.groupBy(report, "__table", "__order").agg(F.collect_set("__word").alias("__has"))
     of_kind = per_table.select(report, "__table", "__order", F.explode(F.filter(kinds, lambda k: F.size(F.array_intersect(k["words"], F.col("__has"))) == 3)).alias("__k"))
-    by_words = first(meant.select(report, "__ref", F.col("__k.kind").alias("__kind")).join(of_kind.select(report, F.col("__k.kind").alias("__kind"), "__table", "__order"), [report, "__kind"]))
+    by_words = first(meant.select(report, "__ref", F.col("__k.kind").alias("__kind")).join(of_kind.groupBy(report, F.col("__k.kind").alias("__kind")).agg(F.min_by("__table", "__order").alias("__table"), F.min("__order").alias("__order")).hint("merge"), [report, "__kind"]))
 
     found = by_id.withColumn("stage", F.lit("id")).unionByName(by_name.withColumn("stage", F.lit("name"))).unionByName(by_words.withColumn("stage", F.lit("words")))
-    return asked.join(found, [report, "__ref"], "left").select(report, F.col("__ref").alias(reference), F.col("__table").alias(table), "stage")
+    return asked.join(found.hint("merge"), [report, "__ref"], "left").select(report, F.col("__ref").alias(reference), F.col("__table").alias(table), "stage")

@@ -126,6 +126,26 @@ def contained(rows: DataFrame, keys: list[str], text: str, terms: DataFrame | li
     return _found(rows, keys, text, terms, term, True)
 
 
+def contained_within(holders: DataFrame, parts: DataFrame, group: str, text: str, part: str) -> DataFrame:
+    """(group, text, part): every distinct part that a distinct text of the same group contains; empty parts are none.
+
+    Both may be as many as rows, so neither is handed to the tasks: the runs of a
+    text that are as long as a part of its group, and may be one by 64 bits that
+    its group's parts of that length set, meet the parts by equality.
+    """
+    head, number = lambda t, n: F.substring(t, F.lit(1), F.least(n, F.lit(16))), F.length(part).alias("__n")
+    bit = lambda t, n: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(head(t, n)), F.lit(64)).cast("int"))
+    known = parts.select(group, F.col(part).cast("string").alias(part)).where(F.length(part) > 0).distinct()
+    lengths = known.groupBy(group, number).agg(F.bit_or(bit(F.col(part), F.length(part))).alias("__bits")).groupBy(group).agg(F.collect_list(F.struct("__n", "__bits")).alias("__lengths"))
+    texts = holders.select(group, F.col(text).cast("string").alias(text)).where(F.length(text) > 0).distinct()
+    size, t = F.length(text), F.col(text)
+    runs = lambda x: F.transform(F.sequence(F.lit(1), size - x["__n"] + 1), lambda i: F.substring(t, i, x["__n"]))
+    likely = lambda x: F.filter(runs(x), lambda r: bit(r, x["__n"]).bitwiseAND(x["__bits"]) != 0)
+    held = F.array_distinct(F.flatten(F.transform(F.filter("__lengths", lambda x: x["__n"] <= size), likely)))
+    cut = texts.join(lengths.hint("merge"), group).select(group, text, F.explode(held).alias(part))
+    return cut.join(known.hint("merge"), [group, part]).select(group, text, part)
+
+
 def subject_tables(tables: DataFrame, keys: list[str], name: str, headers: str, rows: str, subjects: DataFrame | list[str], subject: str = "subject") -> DataFrame:
     """(keys, subject) once for every subject that stands in a table's name or in the first cell of a row.
 
