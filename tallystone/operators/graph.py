@@ -76,11 +76,12 @@ def lanes(nodes: DataFrame, lane: str, order: str, rows_a_range: int = 1 << 20)
     Lanes are few; a lane may hold any share of the nodes. It is cut at
     approximate quantiles of ``order`` (a number or time) into ranges, rows are numbered inside
     a range, and the ranges' sizes are summed before them, so no task holds a lane.
+    Approximate quantiles may differ from one run to the next, so they are kept before use.
     """
     n = max(1, min(10_000, nodes.count() // rows_a_range))
     cuts = F.percentile_approx(order, [k / n for k in range(1, n)]) if n > 1 else F.array().cast(f"array<{nodes.schema[order].dataType.simpleString()}>")
     first = nodes.groupBy(lane).agg(F.min(order).alias("__first"), (cuts if n > 1 else F.first(cuts)).alias("__cuts"))
-    numbered = first.withColumn("lane_no", F.row_number().over(Window.orderBy("__first")))  # a row for each lane
+    numbered = F.broadcast(checkpointed(first.withColumn("lane_no", F.row_number().over(Window.orderBy("__first")))))  # a row for each lane
     ranged = nodes.join(numbered, lane).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(order)))).drop("__cuts", "__first")
     before = Window.partitionBy(lane).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranged.groupBy(lane, "__range").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
