@@ -26,9 +26,9 @@ def normal_name(text: Column) -> Column:
 
 
 def normal_address(text: Column) -> Column:
-    """An address without markup, blanks, punctuation, level names and postcodes."""
+    """An address without markup, blanks, punctuation, level names and postcodes; six digits that number a house or a room are no postcode."""
     bare = F.regexp_replace(normal_name(text), r"[,.;:，。；：、()（）\-#]", "")
-    return F.regexp_replace(F.regexp_replace(bare, "特别行政区|自治区|省|市", ""), r"(?<!\d)\d{6}(?!\d)", "")
+    return F.regexp_replace(F.regexp_replace(bare, "特别行政区|自治区|省|市", ""), r"(?<!\d)\d{6}(?![\d号號室弄巷栋幢座楼层])", "")
 
 
 def phones(text: Column) -> Column:
