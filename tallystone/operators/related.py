@@ -70,12 +70,25 @@ def without_excluded(marks: DataFrame, excluded: DataFrame) -> DataFrame:
     return marks.where(F.length("value") >= 2).join(excluded.select("value"), "value", "left_anti")
 
 
-def linked(marks: DataFrame, levels: dict[str, int] = LEVELS) -> DataFrame:
-    """Members of classes that share a value in a dimension: class id, number of links, level. One shuffle for all dimensions."""
-    rows = marks.where(F.col("value").isNotNull() & (F.col("value") != "")).select("entity", "dimension", "value").distinct()
+#: Links from which on a value counts as very common; there is at most one such value for that many marks.
+COMMON = 100_000
+
+
+def linked(marks: DataFrame, levels: dict[str, int] = LEVELS, common: int = COMMON) -> DataFrame:
+    """Members of classes that share a value in a dimension: class id, number of links, level. One shuffle for all dimensions.
+
+    Classes of values with ``common`` links or more are few and are broadcast, so no task
+    holds such a value's members; all other classes may be as many as the marks, and are merged.
+    Marks are dealt over all shuffle partitions: they compress so well that, by their
+    bytes, a few tasks would be given too many of them.
+    """
+    n = int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = marks.where(F.col("value").isNotNull() & (F.col("value") != "")).select("entity", "dimension", "value").repartition(n, "entity", "value").distinct()
     classes = rows.groupBy("dimension", "value").agg(F.min("entity").alias("class_id"), (F.count(F.lit(1)) - 1).alias("n_links")).where("n_links > 0")
     level = F.try_element_at(F.create_map(*[F.lit(x) for pair in levels.items() for x in pair]), F.col("dimension"))
-    return rows.join(classes, ["dimension", "value"]).withColumn("level", level)
+    cold = rows.join(F.broadcast(classes.where(F.col("n_links") >= common).select("dimension", "value")), ["dimension", "value"], "left_anti").join(classes.where(F.col("n_links") < common).hint("merge"), ["dimension", "value"])
+    hot = rows.join(F.broadcast(classes.where(F.col("n_links") >= common)), ["dimension", "value"])
+    return cold.unionByName(hot).withColumn("level", level)
 
 
 def crossed(left: DataFrame, right: DataFrame, dimension: str, level: int) -> DataFrame:
