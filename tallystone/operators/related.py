@@ -125,8 +125,9 @@ def profile(companies: DataFrame, since: int = 2018, capital: float = 1e6, insur
 
 def investments(edges: DataFrame, companies: DataFrame, name: str = "name") -> DataFrame:
     """Edges (parent, child) whose both ends are companies at hand."""
-    known = companies.select(F.col(name).alias("__n")).distinct()
-    return edges.join(known, edges["child"] == known["__n"], "left_semi").join(known, edges["parent"] == known["__n"], "left_semi").distinct()
+    known = companies.select(F.col(name).alias("__n")).distinct().hint("merge")
+    pairs = edges.distinct()
+    return pairs.join(known, pairs["child"] == known["__n"], "left_semi").join(known, pairs["parent"] == known["__n"], "left_semi")
 
 
 def relation_type(trades: DataFrame, targets: DataFrame, a: str, b: str, name: str) -> DataFrame:

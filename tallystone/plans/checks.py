@@ -378,11 +378,13 @@ def q80_relation_types(t):
 
 
 @query("""
-with e as (select distinct l_suppkey as p, l_partkey as c from lineitem)
-select 'C' || p as parent, count(*) as n from e where c in (select s_suppkey from supplier) and p in (select s_suppkey from supplier) group by 1""")
+with e as (select distinct l_suppkey as p, l_partkey as c from lineitem), k as (select s_suppkey as k from supplier union select p_partkey from part)
+select 'C' || p as parent, count(*) as n from e where c in (select k from k) and p in (select k from k) group by 1""")
 def q81_investments(t):
+    """Companies are suppliers and parts, whole keys, so that no trade of either is left out."""
     edges = t("lineitem").select(words("C", F.col("l_suppkey")).alias("parent"), words("C", F.col("l_partkey")).alias("child"))
-    return related.investments(edges, t("supplier").select(words("C", F.col("s_suppkey")).alias("name"))).groupBy("parent").agg(F.count(F.lit(1)).alias("n"))
+    known = t("supplier").select(words("C", F.col("s_suppkey")).alias("name")).unionByName(t("part").select(words("C", F.col("p_partkey")).alias("name")))
+    return related.investments(edges, known).groupBy("parent").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select lang as project, count(*) as n_chunks, count(distinct source) as n_sources from documents group by 1")
