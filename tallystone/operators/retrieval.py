@@ -15,6 +15,8 @@ from tallystone.session import shared_path
 from tallystone.sources.folders import files_below, opened
 
 BLOCK, PART = 1024, 1 << 15
+#: Characters of texts whose pieces a task holds at a time.
+CHUNK_CHARS = 2_000_000
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -120,7 +122,13 @@ def recursive_chunks(documents: DataFrame, key: str, text: str, size: int = 800,
 
     def run(batches):
         for df in batches:
-            rows = [(k, i, c) for k, t in zip(df[key], df[text], strict=True) for i, c in enumerate(c for c in split_text(t or "", size) if len(c) >= least)]
+            rows, held = [], 0
+            for k, t in zip(df[key], df[text], strict=True):
+                if held + len(t or "") > CHUNK_CHARS and rows:
+                    yield pd.DataFrame(rows, columns=[key, "chunk_index", "chunk"])
+                    rows, held = [], 0
+                held += len(t or "")
+                rows.extend((k, i, c) for i, c in enumerate(c for c in split_text(t or "", size) if len(c) >= least))
             yield pd.DataFrame(rows, columns=[key, "chunk_index", "chunk"])
 
     kind = documents.schema[key].dataType.simpleString()
@@ -172,21 +180,32 @@ def chunks(documents: DataFrame, key: str, text: str, strategy: str = "chinese_r
     re-assembly is exact; ``overlap`` is the beginning of the next piece, ``size *
     overlap`` characters at most. A chunk to be embedded is core and overlap;
     ``worth_keeping`` tells those of ``least`` characters or more. Null texts have none.
+    A task holds the pieces of ``CHUNK_CHARS`` characters at a time, or of one text.
     """
     levels, context = STRATEGIES[strategy], int(size * overlap)
 
     def run(batches):
-        for df in batches:
-            rows = []
-            for k, t in zip(df[key], df[text], strict=True):
-                pieces, start = cores(t or "", size, least, levels), 0
+        for whole in batches:
+            rows, held = [], 0
+            for k, t in zip(whole.column(0), whole.column(1)):
+                k, t = k.as_py(), t.as_py() or ""
+                if rows and held + len(t) > CHUNK_CHARS:
+                    yield made(rows, whole.schema.field(0).type)
+                    rows, held = [], 0
+                held += len(t)
+                pieces, start = cores(t, size, least, levels), 0
                 for i, piece in enumerate(pieces):
                     rows.append((k, i, piece, pieces[i + 1][:context] if i + 1 < len(pieces) else "", start))
                     start += len(piece)
-            yield pd.DataFrame(rows, columns=[key, "chunk_index", "core", "overlap", "start"])
+            if rows:
+                yield made(rows, whole.schema.field(0).type)
+
+    def made(rows, key_type):
+        columns = zip(list(zip(*rows)), [key_type, pa.int32(), pa.string(), pa.string(), pa.int32()])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], [key, "chunk_index", "core", "overlap", "start"])
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(key, text).mapInPandas(run, f"{key} {kind}, chunk_index int, core string, overlap string, start int")
+    return documents.select(key, F.col(text).cast("string")).mapInArrow(run, f"{key} {kind}, chunk_index int, core string, overlap string, start int")
 
 
 def worth_keeping(core: Column, overlap: Column, least: int = 50) -> Column:
