@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallystone.llm import simhash
-from tallystone.llm.common import fresh, salted_join, saved, with_arrow
+from tallystone.llm.common import fresh, only_rows, passing, salted_join, saved, with_arrow
 from tallystone.llm.components import roots
 
 WORDS, SIMILARITY, BANDS, ROWS, SEED = 5, 0.8, 14, 5, 20240601
@@ -151,34 +151,46 @@ def keep_one(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     describe = lambda texts: [[dict(zip(("node", "fp", "bands", "low"), x, strict=True)) for x in zip(*described(texts), strict=True)]]
     marked = with_arrow(documents, text, [(made, kind, arrow)], lambda: describe).withColumn(row, F.monotonically_increasing_id())
     marked = saved(marked, "near-marked")
+    with passing(documents.sparkSession):
+        kept = saved(_representatives(marked, made, doc_id, text, row, similarity), "near-kept", outlives=True)
+    return only_rows(marked, kept, row).select(*[F.col(f"`{c}`") for c in documents.columns])
+
+
+def _representatives(marked: DataFrame, made: str, doc_id: str, text: str, row: str, similarity: float) -> DataFrame:
+    """The row of the kept document of every group; texts are not shuffled, and tables no step reads any more are removed."""
+    spark = marked.sparkSession
     rows = marked.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(row).alias("row"), f"{made}.*")
 
     # A node is named by the first row that has it; its best document is kept beside.
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
     nodes = saved(rows.groupBy("node").agg(F.min("row").alias("id"), best, F.min("fp").alias("fp"), F.min("low").alias("low"), F.min_by("bands", "row").alias("bands")).drop("node"), "near-nodes")
-    pairs = by_bands(nodes).unionByName(by_fingerprints(nodes)).groupBy("a", "b").agg(F.max("share").alias("share")).where("a <> b")
-    pairs = saved(pairs, "near-pairs")
+    with passing(spark):
+        pairs = by_bands(nodes).unionByName(by_fingerprints(nodes)).groupBy("a", "b").agg(F.max("share").alias("share")).where("a <> b")
+        pairs = saved(pairs, "near-pairs", outlives=True)
 
     # Sets of those nodes only that have a candidate, made from their texts.
     asked = pairs.select(F.col("a").alias(row)).unionByName(pairs.select(F.col("b").alias(row))).distinct()
-    texts = marked.select(row, F.col(f"`{text}`").alias("text")).join(asked, row, "left_semi")
+    texts = only_rows(marked.select(row, F.col(f"`{text}`").alias("text")), asked, row)
     as_longs = lambda t: pa.array(shingles(t).view(np.int64), pa.int64())
     sets = with_arrow(texts, "text", [("set", T.ArrayType(T.LongType()), pa.list_(pa.int64()))], lambda: lambda ts: [[as_longs(t) for t in ts]])
     sets = saved(sets.select(F.col(row).alias("id"), "set"), "near-sets")
 
     first = pairs.groupBy("b").agg(F.max_by("a", F.struct("share", -F.col("a"))).alias("a")).select("a", "b")
-    group = saved(roots(saved(verified(first, sets, similarity), "near-held")), "near-groups")
+    with passing(spark):
+        held = saved(verified(first, sets, similarity), "near-held", outlives=True)
+    with passing(spark):
+        group = saved(roots(held), "near-groups", outlives=True)
     # Candidates that still lie between two groups: only the nodes that have one are looked up.
     inside = saved(sets.select("id").join(group, sets["id"] == group["node"], "left").select("id", F.coalesce("root", "id").alias("root")), "near-inside")
     other = pairs.join(first, ["a", "b"], "left_anti").select("a", "b")
     for side, by in (("a", "b"), ("b", "a")):
         other = saved(salted_join(other, inside.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}")), side, by), "near-other")
     apart = other.where("root_a <> root_b")
-    bridges = saved(verified(apart, sets, similarity).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "near-bridges")
+    with passing(spark):
+        bridges = saved(verified(apart, sets, similarity).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "near-bridges", outlives=True)
     if bridges.limit(1).count():
         above = roots(bridges)
         group = group.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(above).groupBy("node").agg(F.min("root").alias("root"))
 
     named = nodes.select("id", "best").join(group, nodes["id"] == group["node"], "left").select("best", F.coalesce("root", "id").alias("root"))
-    kept = named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
-    return marked.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in documents.columns])
+    return named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
