@@ -186,16 +186,17 @@ def cross_foot_tables(rows: DataFrame, headers: str, cells: str, patterns: tuple
     finds fewer relations. Empty cells and dashes are zero; null where no pattern
     fits, a row is too short or a cell is no amount. Row-wise, no shuffle.
     """
-    chosen, heads = [], header_roles(F.col(headers)) if chain else F.col(headers)
-    for p in patterns or (CHAIN_PATTERNS if chain else CROSS_PATTERNS):
-        parts = [(s, _column_of(heads, h)) for s, h in p.operands]
-        target = _column_of(heads, p.result)
-        fits = reduce(lambda a, b: a & b, [c.isNotNull() for _, c in parts], target.isNotNull())
-        long = F.size(F.col(cells)) > F.greatest(target, *[c for _, c in parts])
-        amount = lambda c: F.when(long, calculator_number(F.coalesce(F.get(F.col(cells), c), F.lit("")))).try_cast(MONEY)
-        expected = sum(amount(c) * s for s, c in parts)
-        chosen.append(F.when(fits, F.struct(F.lit(p.id).alias("pattern"), expected.cast("double").alias("expected"), amount(target).cast("double").alias("actual"))))
-    out = rows.withColumn("__c", F.coalesce(*chosen))
+    known = patterns or (CHAIN_PATTERNS if chain else CROSS_PATTERNS)
+    # Each step has a column of its own, so that roles, places and amounts are made once a row.
+    out = rows.withColumn("__heads", header_roles(F.col(headers)) if chain else F.col(headers))
+    places = [F.array(*[_column_of(F.col("__heads"), h) for _, h in p.operands], _column_of(F.col("__heads"), p.result)) for p in known]
+    out = out.withColumn("__all", F.transform(F.array(*places), lambda c: F.when(F.forall(c, lambda i: i.isNotNull()), c)))
+    out = out.withColumn("__c", F.coalesce(*[F.when(F.get("__all", F.lit(n)).isNotNull(), F.struct(F.lit(n).alias("n"), F.get("__all", F.lit(n)).alias("places"))) for n in range(len(known))]))
+    amount = lambda c: calculator_number(F.coalesce(F.get(F.col(cells), c), F.lit(""))).try_cast(MONEY)
+    out = out.withColumn("__v", F.when(F.size(F.col(cells)) > F.array_max("__c.places"), F.transform("__c.places", amount)))
+    value = lambda i: F.get("__v", F.lit(i))
+    found = [F.struct(F.lit(p.id).alias("pattern"), sum(value(i) * s for i, (s, _) in enumerate(p.operands)).cast("double").alias("expected"), value(len(p.operands)).cast("double").alias("actual")) for p in known]
+    out = out.withColumn("__c", F.coalesce(*[F.when(F.col("__c.n") == n, f) for n, f in enumerate(found)])).drop("__heads", "__all", "__v")
     gap = F.round(F.abs(F.col("__c.expected") - F.col("__c.actual")), 6)
     return out.select("*", F.col("__c.pattern").alias("pattern"), F.col("__c.expected").alias("expected"), F.col("__c.actual").alias("actual"), (gap <= TOLERANCE).alias("passed")).drop("__c")
 
