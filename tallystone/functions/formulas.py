@@ -58,9 +58,10 @@ def compile_formula(formula: str, value: Callable[[str], Column]) -> Column:
 
 #: Numbers, operators and brackets of a written formula.
 TOKEN = r"(\d+\.?\d*(?:[eE][-+]?\d+)?|\.\d+(?:[eE][-+]?\d+)?|\*\*|//|[-+*/%()])"
-#: How tightly operators bind; ``u-`` and ``u+`` are signs. Only ``**`` groups from the right.
-BINDING = {"+": 1, "-": 1, "*": 2, "/": 2, "//": 2, "%": 2, "u-": 3, "u+": 3, "**": 4}
-_STACKS = "struct<vals: array<double>, ops: array<string>, operand: boolean, ok: boolean>"
+#: Operators as numbers, whose tens tell how tightly they bind; ``u-`` and ``u+`` are signs. Only ``**`` groups from the right.
+OPERATORS = {"(": 0, "+": 10, "-": 11, "*": 20, "/": 21, "//": 22, "%": 23, "u-": 30, "u+": 31, "**": 40}
+NUMBER, CLOSING = -1, -2
+_STACKS = "struct<vals: array<double>, ops: array<int>, operand: boolean, ok: boolean>"
 
 
 def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -68,19 +69,22 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _binding(op: Column) -> Column:
-    out = F.when(op == "(", F.lit(0))
-    for level in sorted(set(BINDING.values())):
-        out = out.when(op.isin([o for o, b in BINDING.items() if b == level]), F.lit(level))
-    return out
+def _coded(token: Column) -> Column:
+    """A token as (code, number): texts are looked at once, the fold compares numbers."""
+    code = F.when(token == ")", CLOSING)
+    for op, n in OPERATORS.items():
+        code = code.when(token == op, n)
+    # Only numbers are cast: a cast that fails costs more than all else.
+    return F.get(F.transform(F.array(code.otherwise(NUMBER)), lambda c: F.struct(c.alias("code"), F.when(c == NUMBER, token.try_cast("double")).alias("number"))), F.lit(0))
 
 
 def _applied(op: Column, a: Column, b: Column) -> Column:
     """a op b; null for a division by zero and for what is no real number."""
     quotient = F.try_divide(a, b)
     power = F.when((a == 0) & (b < 0), F.lit(None).cast("double")).otherwise(F.pow(a, b))
-    found = F.when(op == "+", a + b).when(op == "-", a - b).when(op == "*", a * b).when(op == "/", quotient).when(op == "//", F.floor(quotient).cast("double"))
-    return found.when(op == "%", a - F.floor(quotient) * b).when(op == "**", F.when(~F.isnan(power), power))
+    is_ = lambda name: op == OPERATORS[name]
+    found = F.when(is_("+"), a + b).when(is_("-"), a - b).when(is_("*"), a * b).when(is_("/"), quotient).when(is_("//"), F.floor(quotient).cast("double"))
+    return found.when(is_("%"), a - F.floor(quotient) * b).when(is_("**"), F.when(~F.isnan(power), power))
 
 
 def _popped(state: Column, least: Column) -> Column:
@@ -90,14 +94,14 @@ def _popped(state: Column, least: Column) -> Column:
     def step(acc: Column, op: Column) -> Column:
         vals, n = acc["vals"], F.size(acc["vals"])
         last, other = F.get(vals, n - 1), F.get(vals, n - 2)
-        sign = op.isin("u-", "u+")
-        value = F.when(op == "u-", -last).when(op == "u+", last).otherwise(_applied(op, other, last))
+        sign = (op == OPERATORS["u-"]) | (op == OPERATORS["u+"])
+        value = F.when(op == OPERATORS["u-"], -last).when(op == OPERATORS["u+"], last).otherwise(_applied(op, other, last))
         rest = F.slice(vals, F.lit(1), F.greatest(n - F.when(sign, 1).otherwise(2), F.lit(0)))
         done = F.struct(F.concat(rest, F.array(value)).alias("vals"), F.slice(acc["ops"], F.lit(1), F.size(acc["ops"]) - 1).alias("ops"), F.lit(False).alias("stop"))
-        halt = acc["stop"] | (op == "(") | (_binding(op) < least)
+        halt = acc["stop"] | (op < least * 10)  # an opening bracket, too
         return F.when(halt, F.struct(acc["vals"].alias("vals"), acc["ops"].alias("ops"), F.lit(True).alias("stop"))).otherwise(done)
 
-    return F.aggregate(F.reverse(state["ops"]), start.cast("struct<vals: array<double>, ops: array<string>, stop: boolean>"), step)
+    return F.aggregate(F.reverse(state["ops"]), start.cast("struct<vals: array<double>, ops: array<int>, stop: boolean>"), step)
 
 
 def _read(state: Column, token: Column) -> Column:
@@ -106,21 +110,22 @@ def _read(state: Column, token: Column) -> Column:
     def made(vals: Column, ops: Column, operand: bool, ok: Column) -> Column:
         return F.struct(vals.alias("vals"), ops.alias("ops"), F.lit(operand).alias("operand"), ok.alias("ok")).cast(_STACKS)
 
-    vals, ops, wanted, ok = state["vals"], state["ops"], state["operand"], state["ok"]
+    vals, ops, wanted, ok, code = state["vals"], state["ops"], state["operand"], state["ok"], token["code"]
+    minus, plus, power = OPERATORS["-"], OPERATORS["+"], OPERATORS["**"]
     push = lambda x: F.concat(ops, F.array(x))
-    number = made(F.concat(vals, F.array(token.try_cast("double"))), ops, False, ok & wanted)
-    opening = made(vals, push(F.lit("(")), True, ok & wanted)
-    sign = made(vals, push(F.concat(F.lit("u"), token)), True, ok & token.isin("-", "+"))
+    number = made(F.concat(vals, F.array(token["number"])), ops, False, ok & wanted)
+    opening = made(vals, push(F.lit(OPERATORS["("])), True, ok & wanted)
+    sign = made(vals, push(F.when(code == minus, OPERATORS["u-"]).otherwise(OPERATORS["u+"])), True, ok & ((code == minus) | (code == plus)))
     # An operator that groups from the left carries out those that bind as tightly, a closing bracket all of them.
-    least = F.when(token == ")", F.lit(1)).otherwise(_binding(token) + F.when(token == "**", 1).otherwise(0))
+    least = F.when(code == CLOSING, 1).when(code == power, power // 10 + 1).otherwise(F.floor(code / 10).cast("int"))
 
     def after(p: Column) -> Column:
         top = F.get(p["ops"], F.size(p["ops"]) - 1)
-        closing = made(p["vals"], F.slice(p["ops"], F.lit(1), F.greatest(F.size(p["ops"]) - 1, F.lit(0))), False, ok & ~wanted & F.coalesce(top == "(", F.lit(False)))
-        return F.when(token == ")", closing).otherwise(made(p["vals"], F.concat(p["ops"], F.array(token)), True, ok & ~wanted))
+        closing = made(p["vals"], F.slice(p["ops"], F.lit(1), F.greatest(F.size(p["ops"]) - 1, F.lit(0))), False, ok & ~wanted & F.coalesce(top == OPERATORS["("], F.lit(False)))
+        return F.when(code == CLOSING, closing).otherwise(made(p["vals"], F.concat(p["ops"], F.array(code)), True, ok & ~wanted))
 
     unchanged = made(vals, ops, False, F.lit(False))
-    return F.when(~ok, unchanged).when(token.rlike(r"^[\d.]"), number).when(token == "(", opening).when(wanted & (token != ")"), sign).otherwise(_bound(_popped(state, least), after))
+    return F.when(~ok, unchanged).when(code == NUMBER, number).when(code == OPERATORS["("], opening).when(wanted & (code != CLOSING), sign).otherwise(_bound(_popped(state, least), after))
 
 
 def evaluate(formula: Column) -> Column:
@@ -131,18 +136,19 @@ def evaluate(formula: Column) -> Column:
     formula, and for what is no finite real number. A fold over the tokens with
     two arrays as stacks; no Python worker.
     """
-    bare = F.translate(formula, ",", "")
-    strange = F.regexp_replace(bare, TOKEN + r"|\s", "") != ""
-    # Two numbers that only a blank parts are two tokens, so the fold refuses them.
-    tokens = F.regexp_extract_all(bare, F.lit(TOKEN), 1)
-    start = F.struct(F.array().cast("array<double>").alias("vals"), F.array().cast("array<string>").alias("ops"), F.lit(True).alias("operand"), F.lit(True).alias("ok")).cast(_STACKS)
+    start = F.struct(F.array().cast("array<double>").alias("vals"), F.array().cast("array<int>").alias("ops"), F.lit(True).alias("operand"), F.lit(True).alias("ok")).cast(_STACKS)
 
     def last(state: Column) -> Column:
         done = _bound(_popped(state, F.lit(1)), lambda p: F.when((F.size(p["ops"]) == 0) & (F.size(p["vals"]) == 1), F.get(p["vals"], F.lit(0))))
         return F.when(state["ok"] & ~state["operand"], done)
 
-    value = F.aggregate(tokens, start, _read, last)
-    return F.when(~strange, F.when(F.abs(value) < F.lit(float("inf")), value))
+    def read(bare: Column) -> Column:
+        # Two numbers that only a blank parts are two tokens, so the fold refuses them.
+        tokens = F.transform(F.regexp_extract_all(bare, F.lit(TOKEN), 1), _coded)
+        value = F.when(F.regexp_replace(bare, TOKEN + r"|\s", "") == "", F.aggregate(tokens, start, _read, last))
+        return _bound(value, lambda v: F.when(F.abs(v) < F.lit(float("inf")), v))
+
+    return _bound(F.translate(formula, ",", ""), read)
 
 
 #: Fields that stand for each other where one has no value, in this order.

@@ -21,7 +21,10 @@ def words(*parts) -> Column:
 
 
 def picked(place: Column, *options) -> Column:
-    return F.get(F.array(*[F.lit(o) if isinstance(o, str) else o for o in options]), place.cast("int"))
+    out = F.when(place == 0, options[0])
+    for i, option in enumerate(options[1:], 1):
+        out = out.when(place == i, option)
+    return out
 
 
 @query("""
