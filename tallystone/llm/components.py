@@ -12,6 +12,13 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
 
 
+def _stars(edges: DataFrame) -> bool:
+    """True if every u has one edge and is no other's v: each v, smaller than its u, is then a component's root."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("above"), F.lit(0).alias("below")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("above"), F.lit(1).alias("below")))
+    ends = ends.groupBy("node").agg(F.sum("above").alias("above"), F.max("below").alias("below"))
+    return not ends.agg(F.max(F.when(F.col("above") > 0, F.col("above") + F.col("below") > 1))).first()[0]
+
+
 def roots(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b): the smallest node it reaches.
 
@@ -19,12 +26,8 @@ def roots(edges: DataFrame) -> DataFrame:
     salted. Edges are saved after every round.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, seen = saved(now, "edges"), None
-    while True:
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark[0] == 0 or mark == seen:
-            break
-        seen = mark
+    now = saved(now, "edges")
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = salted_join(both, _least(both), "u", "v").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         large = saved(large, "large-star")

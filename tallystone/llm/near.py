@@ -10,7 +10,8 @@ of key, are compared by their sets of shingles; only those that hold link.
 Texts with equal sets are one node. A task compares the nodes of a key by their
 minima's low bytes, first one against all others; those surely alike leave, so a
 dense group gives a few candidates a node, not all pairs. Verified first is each
-node's best candidate; then the candidates that still lie between two groups.
+node's best candidate; then the keys are looked through once more, by the nodes that
+have candidates, for those that still lie between two groups.
 
 Defined cases: texts without words, null ones too, are one group; repeated rows are
 copies; the smallest id stays, rows without an id only where no other is in their
@@ -82,53 +83,83 @@ def described(texts: list[str]) -> list[list]:
     return [node, fp, bands, low]
 
 
-def candidates_of(keys: np.ndarray, ids: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, agreement) of nodes that share a key and may be alike, ids a < b."""
+def _meeting(keys: np.ndarray, ids: np.ndarray, low: np.ndarray, root: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, place, agreement) of nodes that share a key and may be alike; with roots, of those only that differ in theirs."""
     order = np.lexsort((ids * np.int64(0x5851F42D4C957F2D), keys))
-    keys, ids, low = keys[order], ids[order], low[order]
+    keys, low = keys[order], low[order]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
     sizes = np.diff(np.r_[first, len(keys)])
+    if root is not None and len(keys):
+        root = root[order]
+        mixed = np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first)
+        first, sizes = first[mixed], sizes[mixed]
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     alike = lambda x, y: ((x == y).mean(-1) - 1 / 256) / (1 - 1 / 256)  # noqa: E731 - low bytes agree by chance, too
+    apart = lambda x, y: True if root is None else root[x] != root[y]
     two = first[sizes == 2]
     share = alike(low[two], low[two + 1])
-    kept = two[share >= MAYBE]
-    found.append((ids[kept], ids[kept + 1], share[share >= MAYBE]))
+    near = (share >= MAYBE) & apart(two, two + 1)
+    found.append((two[near], two[near] + 1, share[near]))
     for start, size in zip(first[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
         rest = np.arange(start, start + size)
         while len(rest) > 1:
             head, rest = rest[0], rest[1:]
             share = alike(low[rest], low[head])
-            near = share >= MAYBE
-            found.append((np.full(int(near.sum()), ids[head]), ids[rest[near]], share[near]))
+            near = (share >= MAYBE) & apart(rest, head)
+            found.append((np.full(int(near.sum()), head), rest[near], share[near]))
             rest = rest[share < SURELY]
-    a, b, s = (np.concatenate(x) for x in zip(*found, strict=True))
-    return np.minimum(a, b), np.maximum(a, b), s
+    x, y, s = (np.concatenate(z) for z in zip(*found, strict=True))
+    return order[x], order[y], s
+
+
+def candidates_of(keys: np.ndarray, ids: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, agreement) of nodes that share a key and may be alike, ids a < b."""
+    x, y, s = _meeting(keys, ids, low, None)
+    return np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), s
 
 
 def by_bands(nodes: DataFrame) -> DataFrame:
     """Candidates (a, b, share) from nodes (id, bands, low)."""
-    spread = nodes.select("id", F.explode("bands").alias("key"), "low")
+    return _dealt(nodes, [])
+
+
+def between(nodes: DataFrame) -> DataFrame:
+    """Candidates (a, b, share, root_a, root_b) of different roots, from nodes (id, bands, low, root).
+
+    The candidates of ``by_bands`` that no group has within: a dense group that is
+    one already gives none, however many nodes it has.
+    """
+    return _dealt(nodes, ["root"])
+
+
+def _dealt(nodes: DataFrame, root: list[str]) -> DataFrame:
+    spread = nodes.select("id", F.explode("bands").alias("key"), "low", *root)
     tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.count() * BANDS // KEYS_A_TASK)
 
     def run(batches):
-        keys, ids, low = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, BANDS * ROWS), np.uint8)]
+        longs = {c: [np.zeros(0, np.int64)] for c in ("key", "id", *root)}
+        low = [np.zeros((0, BANDS * ROWS), np.uint8)]
         for batch in batches:
-            keys.append(batch.column("key").to_numpy(zero_copy_only=False))
-            ids.append(batch.column("id").to_numpy(zero_copy_only=False))
+            for c, parts in longs.items():
+                parts.append(batch.column(c).to_numpy(zero_copy_only=False))
             low.append(np.frombuffer(b"".join(batch.column("low").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS))
+        made = {c: np.concatenate(parts) for c, parts in longs.items()}
         with np.errstate(over="ignore"):
-            a, b, s = candidates_of(np.concatenate(keys), np.concatenate(ids), np.concatenate(low))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], ["a", "b", "share"])
+            x, y, s = _meeting(made["key"], made["id"], np.concatenate(low), made.get("root"))
+        swap = made["id"][x] > made["id"][y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        columns = {"a": made["id"][x], "b": made["id"][y], "share": s} | {f"root_{side}": made[c][z] for c in root for side, z in (("a", x), ("b", y))}
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns.values()], list(columns))
 
-    return spread.repartition(tasks, "key").mapInArrow(run, "a long, b long, share double")
+    schema = "a long, b long, share double" + ", root_a long, root_b long" * bool(root)
+    return spread.repartition(tasks, "key").mapInArrow(run, schema)
 
 
 def by_fingerprints(nodes: DataFrame) -> DataFrame:
     """Candidates (a, b, share) from nodes (id, fp): equal fingerprints, and those that Golay keys bring together."""
     least = saved(nodes.groupBy("fp").agg(F.min("id").alias("head")), "near-fingerprints")
     same = salted_join(nodes.select("fp", "id"), least, "fp", "id").where("head < id").select(F.col("head").alias("a"), F.col("id").alias("b"))
-    linked = saved(simhash.links(least.select("fp")), "near-links")
+    linked = saved(simhash.links(least.select("fp")).distinct(), "near-links")
     # A link's second end is its group's smallest fingerprint, which many links may have.
     a = linked.join(least.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a")
     a = salted_join(a, least.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b", "a")
@@ -165,8 +196,9 @@ def _representatives(marked: DataFrame, made: str, doc_id: str, text: str, row:
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
     nodes = saved(rows.groupBy("node").agg(F.min("row").alias("id"), best, F.min("fp").alias("fp"), F.min("low").alias("low"), F.min_by("bands", "row").alias("bands")).drop("node"), "near-nodes")
     with passing(spark):
-        pairs = by_bands(nodes).unionByName(by_fingerprints(nodes)).groupBy("a", "b").agg(F.max("share").alias("share")).where("a <> b")
-        pairs = saved(pairs, "near-pairs", outlives=True)
+        linked = saved(by_fingerprints(nodes).where("a <> b"), "near-linked", outlives=True)
+        pairs = by_bands(nodes).where("a <> b").unionByName(linked)
+        pairs = saved(pairs.groupBy("a", "b").agg(F.max("share").alias("share")), "near-pairs", outlives=True)
 
     # Sets of those nodes only that have a candidate, made from their texts.
     asked = pairs.select(F.col("a").alias(row)).unionByName(pairs.select(F.col("b").alias(row))).distinct()
@@ -180,12 +212,13 @@ def _representatives(marked: DataFrame, made: str, doc_id: str, text: str, row:
         held = saved(verified(first, sets, similarity), "near-held", outlives=True)
     with passing(spark):
         group = saved(roots(held), "near-groups", outlives=True)
-    # Candidates that still lie between two groups: only the nodes that have one are looked up.
+    # Candidates that still lie between two groups: those within one are not made again, so a dense group gives none.
     inside = saved(sets.select("id").join(group, sets["id"] == group["node"], "left").select("id", F.coalesce("root", "id").alias("root")), "near-inside")
-    other = pairs.join(first, ["a", "b"], "left_anti").select("a", "b")
+    apart = between(nodes.join(inside, "id").select("id", "bands", "low", "root")).where("a <> b").drop("share")
     for side, by in (("a", "b"), ("b", "a")):
-        other = saved(salted_join(other, inside.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}")), side, by), "near-other")
-    apart = other.where("root_a <> root_b")
+        linked = salted_join(linked, inside.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}")), side, by)
+    apart = apart.unionByName(linked.drop("share").where("root_a <> root_b")).distinct()
+    apart = saved(apart.join(first, ["a", "b"], "left_anti"), "near-apart")
     with passing(spark):
         bridges = saved(verified(apart, sets, similarity).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "near-bridges", outlives=True)
     if bridges.limit(1).count():
