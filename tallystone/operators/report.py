@@ -118,8 +118,8 @@ def annotated_foot(cells: DataFrame, row_notes: DataFrame, column_notes: DataFra
     Row notes are (table, row, kind, op, is_subitem): parts of another row are
     not summed. Column notes are (table, column, kind). Totals that are no number
     or placeholders are left out, as are columns without details. Cells meet their
-    notes by keys; one aggregation by column then sums the details and keeps the
-    column's few totals beside the sum.
+    notes by keys, the last time by column: its cells are then sorted by column already,
+    and a window adds the sum of the details to the totals without a further shuffle or sort.
     """
     kind = F.lower("kind")
     amount = (kind == "amount") | (~F.col("kind").isin(RATIO_KINDS) & kind.contains("amount"))
@@ -127,8 +127,9 @@ def annotated_foot(cells: DataFrame, row_notes: DataFrame, column_notes: DataFra
     noted = noted.join(column_notes.where(amount).select(table, column).distinct(), [table, column]).withColumn("__value", _amount(F.col(text)))
     is_total = F.col("__kind").isin(TOTAL_KINDS) & ~F.trim(F.col(text)).isin(NO_TOTAL) & F.col("__value").isNotNull()
     detail = F.when((F.col("__kind") == "detail") & ~F.coalesce("is_subitem", F.lit(False)), F.when(F.col("op") == "-", -F.col("__value")).otherwise(F.col("__value")))
-    sums = noted.groupBy(table, column).agg(F.sum(detail).alias("footed"), F.collect_list(F.when(is_total, F.struct(F.col(row), F.col("__value").alias("total")))).alias("__totals"))
-    both = sums.where("footed is not null").select(table, column, "footed", F.explode("__totals").alias("__t")).select(table, column, "footed", "__t.*")
+    marked = noted.select(table, row, column, F.col("__value").alias("total"), is_total.alias("__total"), detail.alias("__detail"))
+    summed = marked.withColumn("footed", F.sum("__detail").over(Window.partitionBy(table, column)))
+    both = summed.where(F.col("__total") & F.col("footed").isNotNull())
     gap = F.abs(F.col("total") - F.col("footed"))
     passed = gap <= TOLERANCE
     return both.select(table, row, column, F.col("footed").cast("double").alias("footed"), F.col("total").cast("double").alias("total"), gap.cast("double").alias("difference"), passed.alias("passed"), F.when(passed, "info").otherwise("warning").alias("severity"))

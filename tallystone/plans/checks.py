@@ -457,15 +457,20 @@ f as (select k, 100 as row_no, col, footed, footed as total from s union all sel
 select k, row_no, col, cast(footed as double) as footed, cast(total as double) as total, cast(abs(total - footed) as double) as difference, total = footed as passed, case when total = footed then 'info' else 'warning' end as severity from f where total <> 0""")
 def q136_annotated_totals(t):
     """An order's lines as annotated rows: line 4 is taken off, line 5 is a part of another, rows 50 and 100 hold totals."""
-    n, both = F.col("l_linenumber"), lambda p, q: F.explode(F.array(*[F.struct(F.lit(i).alias("col"), v.alias("v")) for i, v in ((1, p), (2, q), (3, p))])).alias("c")
+    k, n = F.col("k"), F.col("row_no")
     sign = F.when(n == 4, -1).when(n == 5, 0).otherwise(1)
-    lines = t("lineitem").select(F.col("l_orderkey").alias("k"), n.alias("row_no"), sign.alias("sign"), both(money("l_extendedprice"), money("l_quantity"))).select("k", "row_no", "sign", "c.*")
-    sums = lines.groupBy("k", "col").agg(F.sum(F.col("v") * F.col("sign")).alias("v"))
-    off = F.when((F.col("k") % 10 == 0) & (F.col("row_no") == 50), F.lit("0.05").cast("decimal(18,2)")).otherwise(F.lit(0).cast("decimal(18,2)"))
-    totals = sums.withColumn("row_no", F.explode(F.array(F.lit(50), F.lit(100)))).select("k", "row_no", "col", F.when((F.col("k") % 4 == 1) & (F.col("row_no") == 50), "—").otherwise((F.col("v") + off).cast("string")).alias("text"))
-    cells = lines.select("k", "row_no", "col", F.col("v").cast("string").alias("text")).unionByName(totals)
-    kind = F.when(F.col("row_no") == 50, "小计").when(F.col("row_no") == 100, "total").otherwise("detail")
-    row_notes = cells.select("k", "row_no").distinct().select("k", "row_no", kind.alias("kind"), F.when(F.col("row_no") == 4, "-").otherwise("+").alias("op"), (F.col("row_no") == 5).alias("is_subitem"))
+    lines = t("lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("row_no"), money("l_extendedprice").alias("p"), money("l_quantity").alias("q"))
+    cells_of = lambda rows, text: rows.select("k", "row_no", F.explode(F.array(*[F.struct(F.lit(i).alias("col"), text(F.col(v)).alias("text")) for i, v in ((1, "p"), (2, "q"), (3, "p"))])).alias("c")).select("k", "row_no", "c.*")
+    off = F.when((k % 10 == 0) & (n == 50), F.lit("0.05").cast("decimal(18,2)")).otherwise(F.lit(0).cast("decimal(18,2)"))
+    sums = lines.groupBy("k").agg(F.sum(F.col("p") * sign).alias("p"), F.sum(F.col("q") * sign).alias("q"))
+    totals = sums.withColumn("row_no", F.explode(F.array(F.lit(50), F.lit(100))))
+    shown = lambda v: F.when((k % 4 == 1) & (n == 50), "—").otherwise((v + off).cast("string"))
+    cells = cells_of(lines, lambda v: v.cast("string")).unionByName(cells_of(totals, shown))
+    # Notes are made of a line's and an order's key, not of all their cells.
+    orders = lines.select("k").distinct()
+    kind = F.when(n == 50, "小计").when(n == 100, "total").otherwise("detail")
+    noted = lines.select("k", "row_no").distinct().unionByName(orders.select("k", F.explode(F.array(F.lit(50), F.lit(100))).alias("row_no")))
+    row_notes = noted.select("k", "row_no", kind.alias("kind"), F.when(n == 4, "-").otherwise("+").alias("op"), (n == 5).alias("is_subitem"))
     kinds = F.create_map(F.lit(1), F.lit("amount"), F.lit(2), F.lit("Amount_in_units"), F.lit(3), F.lit("percentage"))
-    column_notes = cells.select("k", "col").distinct().withColumn("kind", kinds[F.col("col")])
+    column_notes = orders.select("k", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("col")).withColumn("kind", kinds[F.col("col")])
     return report.annotated_foot(cells, row_notes, column_notes, "k", "row_no", "col", "text")
