@@ -85,7 +85,13 @@ def table_number(text: Column) -> Column:
     """A cell's amount where a table's total is looked up: the first number, null for empty cells and dashes.
 
     Brackets around the whole make it negative; full-width ones are no brackets, and no unit multiplies.
+    Amounts in plain digits take one match and one cast, and texts without a digit one match more.
     """
+    simple = F.when(text.rlike(SIMPLE), F.translate(text, ",", "").try_cast("double"))
+    return F.coalesce(simple, F.when(text.rlike(r"\d"), _looked_up(text)))
+
+
+def _looked_up(text: Column) -> Column:
     bare = F.regexp_replace(text, EDGES, "")
     wrapped = bare.rlike(r"(?s)^\(.*\)$")
     value = F.regexp_extract(F.translate(bare, ", ", ""), r"-?\d+\.?\d*", 0).try_cast("double")
