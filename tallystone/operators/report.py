@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tallystone.functions.formulas import signed_sum
 from tallystone.functions.numbers import TOLERANCE, calculator_number, check_equal
-from tallystone.operators.statements import multi_currency, statement_text
+from tallystone.operators.statements import not_to_foot, whole_text
 
 #: Endings that a note's subject may have beyond the statement's item.
 SUBJECT_ENDINGS = ["净值", "净额", "账面价值", "账面余额", "原值"]
@@ -52,17 +52,35 @@ def foot_tables(cells: DataFrame, table: str, row: str, column: str, label: str,
     are left out; a mismatch is a warning, as is a number too large to be summed
     (then ``footed`` is null). One aggregation, combined before its shuffle.
     """
-    bare = F.translate(F.coalesce(F.col(label), F.lit("")), " \t\r\n\u3000", "")
     if header is not None:
-        cells = cells.where(~F.coalesce(F.lower(F.col(header)).rlike("|".join(PERCENT_WORDS)), F.lit(False)))
+        cells = cells.where(~_of_percentages(F.col(header)))
     # Names and amounts are made once a cell, before the aggregation uses them several times.
-    number = F.when(F.col(text) != "", calculator_number(F.col(text)))
-    cells = cells.select(table, column, row, bare.alias("__name"), number.alias("__number"), F.trim(F.col(text)).isin(NO_TOTAL).alias("__none"))
-    name, value = F.col("__name"), F.col("__value")
-    cells = cells.select(
-        table, column, row, F.col("__number").try_cast(MONEY).alias("__value"), "__number", "__none",
-        (name.rlike("合计|总计") & ~name.contains("小计")).alias("__g"), name.contains("小计").alias("__s"), (name.contains("减") & name.rlike("[:：]")).alias("__m"),
-    )
+    named = cells.select(table, column, row, _bare(F.col(label)).alias("__name"), F.col(text).alias("__text"))
+    return _foot(_marked(named, table, column, row, "__text"), table, row, column)
+
+
+def _of_percentages(header: Column) -> Column:
+    return F.coalesce(F.lower(header).rlike("|".join(PERCENT_WORDS)), F.lit(False))
+
+
+def _bare(label: Column) -> Column:
+    return F.translate(F.coalesce(label, F.lit("")), " \t\r\n\u3000", "")
+
+
+def _marked(named: DataFrame, *keep: str) -> DataFrame:
+    """The columns to ``keep``, with __g, __s and __m by __name: rows of a total, of a subtotal, and to be taken off."""
+    name = F.col("__name")
+    grand = (name.contains("合计") | name.contains("总计")) & ~name.contains("小计")
+    return named.select(*keep, grand.alias("__g"), name.contains("小计").alias("__s"), (name.contains("减") & name.rlike("[:：]")).alias("__m"))
+
+
+def _foot(marked: DataFrame, table: str, row: str, column: str) -> DataFrame:
+    """The footing of ``foot_tables`` from cells whose rows are marked."""
+    text = F.col("__text")
+    number = F.when(text != "", calculator_number(text))
+    cells = marked.select(table, column, row, "__g", "__s", "__m", number.alias("__number"), F.trim(text).isin(NO_TOTAL).alias("__none"))
+    cells = cells.withColumn("__value", F.col("__number").try_cast(MONEY))
+    value = F.col("__value")
     grand, part, shown = F.col("__g"), F.col("__s"), ~F.coalesce("__none", F.lit(True))
     detail = F.when(~grand & ~part, F.when(F.col("__m"), -F.abs(value)).otherwise(value))
     sums = cells.groupBy(table, column).agg(
@@ -86,16 +104,24 @@ def with_merged_headers(tables: DataFrame, headers: str, rows: str) -> DataFrame
     has a header word, and takes the first along; else the first is one if it
     has a header word or its first cell repeats the first header. No shuffle.
     """
-    top, body = F.col(headers), F.col(rows)
+    t = tables.withColumn("__n", _header_rows(F.col(headers), F.col(rows)))
+    kept = F.when(F.col("__n") == 0, F.col(rows)).otherwise(F.slice(rows, F.col("__n") + 1, F.greatest(F.size(rows) - F.col("__n"), F.lit(0))))
+    return t.withColumns({headers: _joined_headers(F.col(headers), F.col(rows), F.col("__n")), rows: kept}).drop("__n")
+
+
+def _header_rows(top: Column, body: Column) -> Column:
+    """How many rows belong to the headers."""
     row = lambda i: F.get(body, F.lit(i))
     fits = lambda i: (F.size(body) >= 2) & (F.size(row(i)) == F.size(top))
     worded = lambda i: F.concat_ws(" ", row(i)).rlike("|".join(HEADER_WORDS))
     start = F.get(row(0), F.lit(0))
     repeated = (start != "") & start.contains(F.get(top, F.lit(0)))
-    n = F.when(fits(1) & worded(1), 2).when(fits(0) & (worded(0) | F.coalesce(repeated, F.lit(False))), 1).otherwise(0)
-    joined = F.transform(top, lambda h, i: F.concat_ws(" ", h, F.when(F.col("__n") > 0, F.get(row(0), i)), F.when(F.col("__n") > 1, F.get(row(1), i))))
-    kept = F.when(F.col("__n") == 0, body).otherwise(F.slice(body, F.col("__n") + 1, F.greatest(F.size(body) - F.col("__n"), F.lit(0))))
-    return tables.withColumn("__n", n).withColumns({headers: joined, rows: kept}).drop("__n")
+    return F.when(fits(1) & worded(1), 2).when(fits(0) & (worded(0) | F.coalesce(repeated, F.lit(False))), 1).otherwise(0)
+
+
+def _joined_headers(top: Column, body: Column, n: Column) -> Column:
+    row = lambda i: F.get(body, F.lit(i))
+    return F.transform(top, lambda h, i: F.concat_ws(" ", h, F.when(n > 0, F.get(row(0), i)), F.when(n > 1, F.get(row(1), i))))
 
 
 def foot_matrices(tables: DataFrame, table: str, headers: str, rows: str) -> DataFrame:
@@ -104,12 +130,17 @@ def foot_matrices(tables: DataFrame, table: str, headers: str, rows: str) -> Dat
     Statements and tables of several currencies are left out. The first cell of
     a row is its label. The result's ``col`` counts from 0.
     """
-    kept = tables.where(~multi_currency(F.col(headers), F.col(rows)) & ~statement_text(F.col(headers), F.col(rows)))
-    t = with_merged_headers(kept.select(table, headers, rows), headers, rows)
-    lines = t.select(table, headers, F.posexplode(rows).alias("row", "__cells"))
-    cells = lines.select(table, "row", F.get("__cells", F.lit(0)).alias("label"), F.posexplode(F.arrays_zip(F.col(headers).alias("head"), F.col("__cells").alias("text"))).alias("col", "__z"))
-    amounts = cells.where((F.col("col") > 0) & F.col("__z.head").isNotNull()).select(table, "row", "col", "label", F.col("__z.head").alias("head"), F.col("__z.text").alias("text"))
-    return foot_tables(amounts, table, "row", "col", "label", "text", "head")
+    # Each step has a column of its own: a filter, or an array exploded by its name, would make the tables again for each condition.
+    h, r = F.col(headers), F.col(rows)
+    t = tables.select(table, headers, rows, whole_text(h, r).alias("__said"))
+    t = t.select(table, headers, rows, not_to_foot(F.col("__said"), h, r).alias("__out"), _header_rows(h, r).alias("__n"))
+    # Headers are read once a table and labels once a row, before there are cells.
+    heads = F.transform(_joined_headers(h, r, F.col("__n")), lambda head, i: F.when((i > 0) & head.isNotNull() & ~_of_percentages(head), i))
+    t = t.select(table, rows, "__out", "__n", F.filter(heads, lambda i: i.isNotNull()).alias("__columns"))
+    lines = t.select(table, "__n", "__columns", F.posexplode(F.when(~F.col("__out"), r)).alias("row", "__cells")).where(F.col("row") >= F.col("__n"))
+    lines = _marked(lines.withColumn("__name", _bare(F.get("__cells", F.lit(0)))), table, "row", "__columns", "__cells")
+    cells = lines.select("*", F.explode(F.when(F.size("__cells") > 0, F.col("__columns"))).alias("col"))
+    return _foot(cells.withColumn("__text", F.get("__cells", F.col("col"))), table, "row", "col")
 
 
 def annotated_foot(cells: DataFrame, row_notes: DataFrame, column_notes: DataFrame, table: str, row: str, column: str, text: str) -> DataFrame:

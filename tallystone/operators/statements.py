@@ -123,22 +123,38 @@ def table_class(text: Column, n_rows: Column, has_amount: Column, keywords: list
 
 
 def several_currencies(text: Column, currencies: list[str] = CURRENCIES) -> Column:
-    """Two currencies or more in a text."""
+    """Two currencies or more in a text, which is made once for all of them."""
+    return F.get(F.transform(F.array(text), lambda t: _several(t, currencies)), F.lit(0))
+
+
+def _several(text: Column, currencies: list[str] = CURRENCIES) -> Column:
     return sum(text.contains(c).cast("int") for c in currencies) >= 2
 
 
+def _stated(text: Column) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(w) for w in STATEMENT_WORDS])
+
+
+def whole_text(headers: Column, rows: Column) -> Column:
+    """Headers and cells in one text; empty without any. Tables without missing rows take the short way."""
+    flat = lambda cells: F.array_join(cells, " ")
+    return F.concat_ws(" ", flat(headers), F.coalesce(flat(F.flatten(rows)), flat(F.transform(rows, flat)), F.lit("")))
+
+
 def multi_currency(headers: Column, rows: Column, sample: int = 30) -> Column:
     """Tables by currency, whose total is in one: two currencies in the headers and the first ``sample`` rows, and a row 合计."""
-    none = F.array().cast("array<array<string>>")
-    body = F.coalesce(rows, none)
-    text = F.concat_ws(" ", F.array_join(F.coalesce(headers, F.array().cast("array<string>")), " "), F.array_join(F.transform(F.slice(body, 1, sample), lambda r: F.array_join(r, " ")), " "))
-    return several_currencies(text) & F.exists(body, lambda r: F.coalesce(F.get(r, F.lit(0)).contains("合计"), F.lit(False)))
+    total = F.exists(F.coalesce(rows, F.array().cast("array<array<string>>")), lambda r: F.coalesce(F.get(r, F.lit(0)).contains("合计"), F.lit(False)))
+    return several_currencies(whole_text(headers, F.slice(rows, 1, sample))) & total
 
 
 def statement_text(headers: Column, rows: Column) -> Column:
     """True for tables that have a word of a statement in a header or a cell."""
-    cells = F.concat(F.array(F.coalesce(headers, F.array().cast("array<string>"))), F.coalesce(rows, F.array().cast("array<array<string>>")))
-    return F.array_join(F.transform(cells, lambda r: F.array_join(r, " ")), " ").rlike("|".join(STATEMENT_WORDS))
+    return F.get(F.transform(F.array(whole_text(headers, rows)), _stated), F.lit(0))
+
+
+def not_to_foot(text: Column, headers: Column, rows: Column) -> Column:
+    """``statement_text`` or ``multi_currency`` of tables whose ``whole_text`` is there already; rows are read again only where it has two currencies."""
+    return _stated(text) | (_several(text) & multi_currency(headers, rows))
 
 
 def numeric_shares(headers: Column, rows: Column) -> Column:

@@ -436,13 +436,15 @@ select k, col, cast(footed as double) as footed, cast(total as double) as total,
 def q135_matrix_footing(t):
     """Tables of an order's lines under no, one or two further header rows; a row 减： is taken off, 减值损失 is not; some totals are 0.00."""
     k, texts = F.col("k"), lambda *x: F.array(*[F.lit(v) if isinstance(v, str) else v for v in x])
-    price, quantity = money("l_extendedprice"), money("l_quantity")
-    sign = F.when(F.col("l_linenumber") == 7, -1).otherwise(1)
-    label = F.when(F.col("l_linenumber") == 7, "减：返还").when(F.col("l_linenumber") == 3, "减值损失").otherwise("明细")
-    lines = t("lineitem").select(F.col("l_orderkey").alias("k"), F.struct(F.col("l_linenumber").alias("n"), texts(label, price.cast("string"), quantity.cast("string")).alias("c")).alias("line"), (price * sign).alias("p"), (quantity * sign).alias("q"))
+    lines = t("lineitem").select(F.col("l_orderkey").alias("k"), F.struct(F.col("l_linenumber").alias("n"), money("l_extendedprice").alias("p"), money("l_quantity").alias("q")).alias("line"))
+    label = lambda n: F.when(n == 7, "减：返还").when(n == 3, "减值损失").otherwise("明细")
+    written = lambda x: texts(label(x["n"]), x["p"].cast("string"), x["q"].cast("string"))
+    signed = lambda c: F.when(F.col("line.n") == 7, -F.col(f"line.{c}")).otherwise(F.col(f"line.{c}"))
     off = F.when(F.col("k") % 10 == 0, F.lit("0.05").cast("decimal(18,2)")).otherwise(F.lit(0).cast("decimal(18,2)"))
     shown = lambda c: F.when(k % 4 == 1, "0.00").otherwise((c + off).cast("string"))
-    sums = lines.groupBy("k").agg(F.transform(F.array_sort(F.collect_list("line")), lambda x: x["c"]).alias("lines"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    # Lines are shuffled as numbers, over all partitions, as their tables take far more time than their bytes tell, and written afterwards.
+    lines = lines.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k")
+    sums = lines.groupBy("k").agg(F.transform(F.sort_array(F.collect_list("line")), written).alias("lines"), F.sum(signed("p")).alias("p"), F.sum(signed("q")).alias("q"))
     last = F.when(k % 5 == 0, "数量").otherwise("占比")
     headers = F.when(k % 3 == 0, texts("项目", "金额", last)).when(k % 3 == 1, texts("项目", "本年", "本年")).otherwise(texts("项目", "2024", "2024"))
     above = F.when(k % 3 == 1, F.array(texts("项目", "金额", last))).when(k % 3 == 2, F.array(texts("", "本年", "本年"), texts("类别", "金额", last)))
